@@ -30,3 +30,24 @@ SELECT s.doc_id, s.size, b.total AS source_size, b.target,
 FROM sizes s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 LEFT JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source AND s.h = c.h
 """
+
+ORACLES["op5_decontaminate"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+  FROM documents),
+b AS (
+  SELECT COALESCE(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+bw AS (
+  SELECT item, least(10, len(words)) AS w, unnest(list_transform(range(1, len(words) - least(10, len(words)) + 2), lambda i: array_to_string(words[i : i + least(10, len(words)) - 1], ' '))) AS s
+  FROM b WHERE len(words) > 0),
+dw AS (
+  SELECT r, w, unnest(range(1, len(words) - w + 2)) AS i, unnest(list_transform(range(1, len(words) - w + 2), lambda i: array_to_string(words[i : i + w - 1], ' '))) AS s
+  FROM d, (SELECT DISTINCT w FROM bw) WHERE len(words) >= w),
+hits AS (SELECT DISTINCT r, i, w, item FROM dw JOIN bw USING (w, s)),
+covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + w)) AS place FROM hits) GROUP BY r),
+listed AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, COALESCE(n_items, 0)::BIGINT AS n_items,
+       COALESCE(items_sha256, sha256('')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
+"""
