@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, simhash, token_codec
+from . import decontaminate, mixing, ngram_lm, quality, simhash, token_codec
 from .oracles import ORACLES
 from .shared import read_table, scratch_path
 
@@ -27,6 +28,16 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def id_fold(id_col: str, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return ngram_lm.scores(docs, id_fold("doc_id", 7) == 2)
+
+
 def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -6,7 +6,11 @@ import atexit
 import re
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PY_LOWER = str.maketrans(UPPER, LOWER)
 PY_WORD = re.compile(WORD)
 
+#: Text bytes that a Python worker handles at once.
+SLICE = 8 << 20
+
 
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only; other letters stay as they are."""
@@ -71,3 +78,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about SLICE bytes."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum()
+    begin = 0
+    while begin < len(texts):
+        base = sizes[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(sizes, base + SLICE, side="right")))
+        yield begin, stop
+        begin = stop
+
+
+def file_system(uri: str):
+    """(file system, path) of a URI, for executors; local paths as they are."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))

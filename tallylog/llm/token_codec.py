@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_path, scratch_path
+from .shared import drop_path, file_system, scratch_path, slices
 
 SCALE, BLOCK, LANES = 18, 1 << 18, 1024
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<IIII")
-#: Text bytes that are tokenized at once, and words whose ids a worker keeps.
-SLICE, KEPT = 8 << 20, 300_000
+#: Words whose ids a worker keeps.
+KEPT = 300_000
 #: Blocks that one decoding task row covers.
 RUN = 16
 
@@ -91,17 +91,6 @@ class WordEncoder:
         return np.insert(ids, stops, end), stops + np.arange(1, len(stops) + 1)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE bytes."""
-    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum()
-    begin = 0
-    while begin < len(texts):
-        base = sizes[begin - 1] if begin else 0
-        stop = max(begin + 1, int(np.searchsorted(sizes, base + SLICE, side="right")))
-        yield begin, stop
-        begin = stop
-
-
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 16-bit numbers, with the end id."""
     narrow = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -192,13 +181,6 @@ class Table:
 # --- files ------------------------------------------------------------------------------------------
 
 
-def file_system(uri: str):
-    """(file system, path) of a URI, for executors; local paths as they are."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-
-
 def write_file(uri: str, table: Table, rows: Iterator[tuple[pa.Array, pa.Array]], kind: pa.DataType) -> tuple[int, int]:
     """Writes (ids of documents, coded bytes) to one file; returns documents and ids."""
     disk, path = file_system(uri)
