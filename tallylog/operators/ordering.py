@@ -1,0 +1,90 @@
+"""Checks between consecutive parsed lines: steps back in time and silences.
+
+Each task walks its own lines and passes on only what it found and the first and
+last time of each block; the pairs across block borders come from a window over
+one row per block. No row of the log is shuffled when it is read from files.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+FOUND = "file string, block long, pos long, ts_ms long, prev_ts_ms long, kind string"
+
+
+def _walk(gap_ms: int):
+    """Emits kind back, gap, and first and last of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None  # (file, block, pos, ts) of the last line so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, block, pos, ts = batch.column(0).dictionary_encode(), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            code = files.indices.to_numpy(zero_copy_only=False)
+            names = files.dictionary.to_pylist()
+            new = np.ones(len(ts), bool)
+            new[1:] = (code[1:] != code[:-1]) | (block[1:] != block[:-1])
+            before = np.empty_like(ts)
+            before[1:] = ts[:-1]
+            if tail is not None and (tail[0], tail[1]) == (names[code[0]], block[0]):
+                new[0], before[0] = False, tail[3]
+            step = np.where(new, 0, ts - before)
+            first = np.flatnonzero(new)
+            ended = first[first > 0] - 1
+            out = [("back", k, before[k]) for k in np.flatnonzero(step < 0)] + [("gap", k, before[k]) for k in np.flatnonzero(step > gap_ms)]
+            out += [("first", k, None) for k in first]
+            rows = [(names[code[k]], int(block[k]), int(pos[k]), int(ts[k]), None if p is None else int(p), kind) for kind, k, p in out]
+            if tail is not None and new[0]:
+                rows.append((*tail, None, "last"))
+            rows += [(names[code[k]], int(block[k]), int(pos[k]), int(ts[k]), None, "last") for k in ended]
+            tail = (names[code[-1]], int(block[-1]), int(pos[-1]), int(ts[-1]))
+            if rows:
+                yield _batch(rows)
+        if tail is not None:
+            yield _batch([(*tail, None, "last")])
+
+    return run
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["file", "block", "pos", "ts_ms", "prev_ts_ms", "kind"])
+
+
+def anomalies(rows: DataFrame, gap_ms: int = 300_000, in_order: bool = False) -> DataFrame:
+    """(file, block, pos, ts_ms, prev_ts_ms, kind): kind back if time goes backwards, gap if it jumps by more than ``gap_ms``.
+
+    ``in_order``: rows stand in line order within blocks and partitions, as a scan of files leaves them;
+    otherwise blocks are brought together and sorted first.
+    """
+    lines = rows.filter("kind = 'ok'").select("file", "block", "pos", "ts_ms")
+    if not in_order:
+        lines = lines.repartition("file", "block").sortWithinPartitions("file", "block", "pos")
+    found = lines.mapInArrow(_walk(gap_ms), FOUND)
+    edges = found.filter("kind IN ('first', 'last')").groupBy("file", "block").agg(
+        F.min(F.when(F.col("kind") == "first", F.struct("pos", "ts_ms"))).alias("head"), F.max(F.when(F.col("kind") == "last", F.struct("pos", "ts_ms"))).alias("tail")
+    )
+    borders = edges.withColumn("prev_ts_ms", F.lag("tail.ts_ms").over(Window.orderBy("file", "block")))  # one row per block
+    step = F.col("head.ts_ms") - F.col("prev_ts_ms")
+    across = borders.select("file", "block", F.col("head.pos").alias("pos"), F.col("head.ts_ms").alias("ts_ms"), "prev_ts_ms", F.when(step < 0, "back").when(step > gap_ms, "gap").alias("kind"))
+    return found.filter("kind IN ('back', 'gap')").unionByName(across.filter("kind IS NOT NULL"))
+
+
+def anomaly_totals(found: DataFrame) -> DataFrame:
+    """One row: out_of_order, gaps, longest_gap_seconds."""
+    gap = F.col("kind") == "gap"
+    return found.agg(
+        F.count_if(F.col("kind") == "back").alias("out_of_order"),
+        F.count_if(gap).alias("gaps"),
+        F.coalesce(F.max(F.when(gap, F.col("ts_ms") - F.col("prev_ts_ms"))) / 1000, F.lit(0.0)).alias("longest_gap_seconds"),
+    )
+
+
+def examples(found: DataFrame, kind: str, n: int = 5) -> DataFrame:
+    return found.filter(F.col("kind") == kind).orderBy("file", "block", "pos").limit(n)
