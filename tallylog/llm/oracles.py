@@ -51,3 +51,12 @@ SELECT doc_id, len(words)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hi
        COALESCE(items_sha256, sha256('')) AS items_sha256, COALESCE(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)
 """
+
+ORACLES["op4_warc_members"] = r"""
+WITH p AS (SELECT page_id, strlen(COALESCE(html, '')) AS payload_bytes, sha1(COALESCE(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM m
+"""
