@@ -14,6 +14,7 @@ table gives no files and an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -33,7 +34,7 @@ SCALE, BLOCK, LANES = 18, 1 << 18, 1024
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<IIII")
 #: Words whose ids a worker keeps.
-KEPT = 300_000
+KEPT = 500_000
 #: Blocks that one decoding task row covers.
 RUN = 16
 
@@ -46,12 +47,25 @@ def loaded(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+#: Latin letters that are their own NFC form; a run of them is one piece to the tokenizer.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+LETTER_RUN = re.compile(f"[{LETTERS}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level models write a byte as the printable Latin-1 character of its number, other bytes as those from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class WordEncoder:
     """Ids of whole texts, from the ids of their white-space separated chunks.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its
     chunks' ids in order. Chunks repeat, so each distinct one is encoded once a slice,
-    and the first KEPT ones once a worker.
+    and the first KEPT ones once a worker. Runs of letters go to the tokenizer's model
+    straight away, as its normalizer and splitter would leave them lowered and whole.
     """
 
     def __init__(self, path: str):
@@ -61,20 +75,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.place: dict[str, int] = {}
         self.flat, self.starts = np.empty(0, np.uint16), np.zeros(1, np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``end`` after it, and where each text ends."""
-        plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring(texts, "<|")))
-        # A letter followed by a mark other than an apostrophe is always a border between words.
-        apart = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z])([!-&(-/:-@\[-`{-~])", r"\1 \2")
-        chunks = pc.ascii_split_whitespace(pc.if_else(plain, apart, texts))
+        lowered = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        # A letter followed by a mark other than an apostrophe is always a border between pieces.
+        apart = pc.replace_substring_regex(lowered, f"([{LETTERS}])([!-&(-/:-@\\[-`{{-~])", r"\1 \2")
+        chunks = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, apart))
         coded = chunks.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
         new = np.flatnonzero(at < 0)
-        fresh = [e.ids for e in self.tokenizer.encode_batch_fast([words[k] for k in new.tolist()], add_special_tokens=False)]
+        fresh = self.chunk_ids([words[k] for k in new.tolist()])
         lens = np.fromiter(map(len, fresh), np.int64, len(fresh))
         known = len(self.starts) - 1
         at[new] = known + np.arange(len(new))
@@ -90,6 +105,20 @@ class WordEncoder:
         stops = np.concatenate(([0], ends))[chunks.offsets.to_numpy()[1:]]
         return np.insert(ids, stops, end), stops + np.arange(1, len(stops) + 1)
 
+    def chunk_ids(self, words: list[str]) -> list[list[int]]:
+        found: list[list[int]] = [[]] * len(words)
+        rest = []
+        for k, w in enumerate(words):
+            if not LETTER_RUN.fullmatch(w):
+                rest.append(k)
+            elif w.isascii():
+                found[k] = [t.id for t in self.model.tokenize(w.lower())]
+            else:
+                found[k] = [t.id for t in self.model.tokenize("".join(map(self.letters.__getitem__, w.lower().encode())))]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        return found
+
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 16-bit numbers, with the end id."""
