@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_lm, quality, simhash, token_codec, warc
+from . import decontaminate, line_dedup, mixing, ngram_lm, quality, simhash, token_codec, toxicity, warc
 from .oracles import ORACLES
 from .shared import read_table, scratch_path
 
@@ -32,18 +32,22 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
+def id_fold(doc_id: Column, folds: int) -> Column:
+    """crc32 of the id as text, modulo ``folds``."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def id_fold(id_col: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), lambda doc_id: id_fold(doc_id, 3) == 1)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_table(spark, sf_dir, "documents"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return ngram_lm.scores(docs, id_fold("doc_id", 7) == 2)
+    return ngram_lm.scores(docs, id_fold(docs.doc_id, 7) == 2)
 
 
 def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
