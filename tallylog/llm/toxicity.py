@@ -42,7 +42,7 @@ SHORTEST, LONGEST, CANDIDATES, SIGNIFICANCE = 3, 10, 20_000, -6.0
 #: How much likelier a term is in toxic documents than in clean ones; below STRONG it is weak and counts only with others.
 TELLING, STRONG = 8, 100
 #: A term is lengthened while this share of its documents stays; whole words from FUZZY letters on match with one error.
-KEPT_SHARE, FUZZY = 0.95, 5
+KEPT_SHARE, MAIN_SHARE, FUZZY = 0.95, 0.75, 5
 WINDOW, MOST = 6, 4
 #: Quotation marks, words that report speech (en, fr, de, es), and digits and signs in place of letters.
 QUOTES = "\"“”„«»‘’‹›"
@@ -230,10 +230,12 @@ def terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> Lexicon
         if any(bare[:k] in done for k in range(1, len(bare) + 1)):
             continue
         while not g.endswith(" "):
-            longer = [h for h in good if len(h) == len(g) + 1 and h.startswith(g) and counts[h][0] >= KEPT_SHARE * counts[g][0]]
+            longer = [h for h in good if len(h) > len(g) and h.startswith(g) and h[-1] != " " and counts[h][0] >= KEPT_SHARE * counts[g][0]]
+            if ratio(*counts[g], toxic, clean) < STRONG:  # a strong term that makes up most of a weak one stands for it
+                longer += [h for h in good if len(h) > len(g) and h.startswith(g) and counts[h][0] >= MAIN_SHARE * counts[g][0] and ratio(*counts[h], toxic, clean) >= STRONG]
             if not longer:
                 break
-            g = max(longer, key=lambda h: counts[h][0])
+            g = max(longer, key=lambda h: (counts[h][0], -len(h)))
         if g.endswith(" "):
             words.append(g.rstrip())
         else:
