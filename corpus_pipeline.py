@@ -1,22 +1,61 @@
-"""A pipeline from raw documents to token files, one stage after the other."""
+"""A pipeline from raw documents to token files: quality, near copies, benchmark passages, source mix, tokens.
+
+Each stage takes what the one before kept, as a table in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallylog.llm import mixing
+from tallylog.llm import decontaminate, mixing, quality, simhash, token_codec
+from tallylog.llm.shared import read_table, scratch_path, written
+
+VOCABULARY, END_ID = 49_408, 2
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and the isolation forest."""
+    return quality.good_documents(docs, read_table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    return simhash.without_near_copies(docs, words=5, similarity=0.8)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without ten words in a row from a benchmark item."""
+    return decontaminate.uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("mix sources", mixed)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document in the coded files, read back from them."""
+    path = scratch_path(spark, "pipeline-tokens")
+    token_codec.write_tokens(docs, path, tokenizer_path(), VOCABULARY, END_ID)
+    return token_codec.read_tokens(spark, path, digest=True)
+
+
+STAGES = [("quality rules", good), ("SimHash near-dedup", distinct), ("benchmark decontamination", clean), ("source mix", mixed), ("token ids", tokens)]
+
+#: SQL can express neither the forest nor the tokenizer; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{k + 1}")
     return docs

@@ -26,9 +26,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .shared import written
+from .shared import WORD, lower_ascii, written
 
 SEED, PART_BITS, PARTS = 42, 16, 4
 TILE = 1024
@@ -36,26 +37,30 @@ TILE = 1024
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """64-bit SimHash over shingles of ``words`` words, A-Z lowered; as a signed number."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of each shingle of ``words`` words, A-Z lowered; of the whole sequence if it is shorter, none without words."""
     split = (text or b"").lower().split()
-    if not split:
-        return 0
     joined = b" ".join(split)
     if len(split) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1)
-        starts = np.concatenate(([0], ends[:-words])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]
-    each = np.array(hashes, np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if split else [], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)) + 1)
+    starts = np.concatenate(([0], ends[:-words])).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(each: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed number; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(each), CHUNK):
         ones += np.unpackbits(each[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(each)).view(np.int64)[0])
 
 
+def fingerprint(text: bytes | None, words: int) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row."""
     narrow = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"))
@@ -158,3 +163,129 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
     """doc_id, fingerprint (16 hex digits), component_id."""
     prints = written(fingerprints(docs, words, id_col, text_col), "prints")
     return near_components(prints, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- dropping near copies -----------------------------------------------------------------------------
+
+#: Fingerprint distances within which texts are compared by their shingles: for the fingerprint and a second one from remixed hashes.
+NEAR, NEAR_SECOND = 14, 18
+#: Texts to a tile, and rows of it compared at once.
+WIDE_TILE, STRIPE = 4096, 256
+CELLS = 1 << 16
+
+
+def double_prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, fp, second, n): two fingerprints, and the number of different shingles; ``node`` is a hash of the text."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    narrow = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
+    names = ["doc_id", "node", "fp", "second", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [shingle_hashes(t.as_py(), words) for t in batch.column(2)]
+            mixed = [(h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) for h in each]
+            cols = [[majority(h) for h in each], [majority(h) for h in mixed], [len(np.unique(h)) for h in each]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=names)
+
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, node long, fp long, second long, n long")
+
+
+def met(batches: Iterator[pa.RecordBatch], heads: bool, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of nodes under different labels that may be similar, v the later; with ``heads`` only the earliest u of each v."""
+    fields = ("node", "fp", "second", "n", "rank", "label")
+    for batch in batches:
+        side = {}
+        for k in ("a", "b"):
+            col = batch.column(k)
+            side[k] = (col.offsets.to_numpy(), {f: col.values.field(f).to_numpy(zero_copy_only=False) for f in fields})
+        for k, same in enumerate(batch.column("same").to_pylist()):
+            a, b = ({f: x[at[k] : at[k + 1]] for f, x in values.items()} for at, values in side.values())
+            fps, found = b["fp"].view(np.uint64), []
+            for at in range(0, len(a["fp"]), STRIPE):
+                i, j = np.nonzero(np.bitwise_count(a["fp"][at : at + STRIPE].view(np.uint64)[:, None] ^ fps[None, :]) <= NEAR)
+                i += at
+                ok = (a["label"][i] != b["label"][j]) & (np.bitwise_count((a["second"][i] ^ b["second"][j]).view(np.uint64)) <= NEAR_SECOND)
+                ok &= np.minimum(a["n"][i], b["n"][j]) >= similarity * np.maximum(a["n"][i], b["n"][j])
+                if same:
+                    ok &= i < j
+                found.append(np.stack((i[ok], j[ok])))
+            i, j = np.concatenate(found, axis=1)
+            if not len(i):
+                continue
+            later = (a["rank"][i] > b["rank"][j]) | ((a["rank"][i] == b["rank"][j]) & (a["node"][i] > b["node"][j]))
+            u, v = (np.where(later == first, b["node"][j], a["node"][i]) for first in (True, False))
+            rank = np.where(later, b["rank"][j], a["rank"][i])
+            if heads:
+                order = np.lexsort((u, rank, v))
+                first = np.concatenate(([True], v[order][1:] != v[order][:-1]))
+                u, v, rank = (x[order][first] for x in (u, v, rank))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(rank)], names=["u", "v", "rank"])
+
+
+def candidates(nodes: DataFrame, heads: bool, similarity: float) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (node, fp, second, n, rank, label); tiles by population count, pairs beyond the radius skipped."""
+    grouped = nodes.withColumn("g", F.bit_count("fp"))
+    sizes = written(grouped.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / WIDE_TILE).cast("int").alias("cuts")), "tile-sizes")  # 65 rows at most
+    dealt = grouped.join(F.broadcast(sizes), "g").withColumn("s", F.expr("pmod(xxhash64(node), cuts)"))
+    tiles = written(dealt.groupBy("g", "s").agg(F.collect_list(F.struct("node", "fp", "second", "n", "rank", "label")).alias("tile")), "tiles")
+    inside = tiles.select("g", "s", F.col("tile").alias("a"), F.explode(F.sequence("g", F.col("g") + NEAR)).alias("h")).join(F.broadcast(sizes.select(F.col("g").alias("h"))), "h", "left_semi")
+    other = tiles.select(F.col("g").alias("h"), F.col("s").alias("t"), F.col("tile").alias("b"))
+    pairs = inside.join(other, "h").filter("g <> h OR s <= t")
+    spread = pairs.select("a", "b", F.expr("g = h AND s = t").alias("same")).repartition(max(1, 4 * nodes.sparkSession.sparkContext.defaultParallelism))
+    found = spread.mapInArrow(lambda batches: met(batches, heads, similarity), "u long, v long, rank long")
+    return found.groupBy("v").agg(F.min_by("u", F.struct("rank", "u")).alias("u")).select("u", "v") if heads else found.select("u", "v").distinct()
+
+
+def similar(pairs: DataFrame, places: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Those ``pairs`` (u, v) whose texts have the Jaccard similarity; only texts that occur in pairs are read again."""
+    pairs = written(pairs, "near-pairs")
+    needed = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-needed")
+    cell = needed.select(F.expr(f"shiftrightunsigned(node, 6) & {CELLS - 1}").alias("cell"), F.expr("shiftleft(1L, cast(node & 63 AS INT))").alias("bit"))
+    every = pairs.sparkSession.range(0, CELLS, 1, 4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bit"))
+    bits = every.unionByName(cell).groupBy("cell").agg(F.bit_or("bit").alias("bits")).agg(F.expr("transform(array_sort(collect_list(struct(cell, bits))), x -> x.bits)").alias("bitmap"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    own = docs.select(F.xxhash64(text).alias("node"), docs[id_col].alias("doc_id"), text.alias("text")).withColumn("bitmap", bits.scalar())
+    own = own.filter(f"getbit(get(bitmap, cast(shiftrightunsigned(node, 6) & {CELLS - 1} AS INT)), cast(node & 63 AS INT)) = 1")
+    first = places.join(needed, "node", "left_semi").select(F.col("node").alias("of"), "first_id")
+    own = own.join(first, (own.node == first.of) & own.doc_id.eqNullSafe(first.first_id)).select("node", "text").dropDuplicates(["node"])
+    hashed = own.select("node", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0)).alias("w")).select("node", "w", F.expr("transform(w, x -> xxhash64(x))").alias("wh"))
+    gram = ", ".join(f"get(wh, i + {k})" for k in range(words))
+    sets = written(hashed.select("node", F.expr(f"CASE WHEN size(w) > {words} THEN array_distinct(transform(sequence(0, size(w) - {words}), i -> xxhash64({gram}))) ELSE array(xxhash64(wh)) END").alias("set")), "near-sets")
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
+    shared = F.size(F.array_intersect("su", "sv"))
+    return both.filter(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one document of each group of near copies, that with the smallest id, with all columns.
+
+    Texts link if their sets of word shingles have the Jaccard similarity. Fingerprints within NEAR
+    bits nominate pairs: each text is first compared with the earliest text near it, and then only
+    texts that are not yet connected, so that a group of copies is not expanded into all pairs.
+    """
+    prints = written(double_prints(docs, words, id_col, text_col), "prints")
+    rank = F.col("doc_id").cast("long") if isinstance(prints.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64("doc_id")
+    nodes = written(
+        prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("n").alias("n"), F.coalesce(F.min(rank), F.lit(0).cast("long")).alias("rank")),
+        "print-nodes",
+    )
+    places = nodes.select("node", "first_id")
+    links = written(similar(candidates(nodes.withColumn("label", F.col("node")), True, similarity), places, docs, words, similarity, id_col, text_col), "near-links")
+    label = written(components(links), "near-labels")
+    labelled = nodes.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    more = similar(candidates(written(labelled, "near-labelled"), False, similarity), places, docs, words, similarity, id_col, text_col)
+    roots = components(written(links.unionByName(more), "near-links"))
+    member = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    kept = member.groupBy("root").agg(F.min_by(F.struct("node", "first_id"), F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("k")).select("k.*")
+    kept = kept.withColumnRenamed("first_id", "kept_id").withColumnRenamed("node", "kept_node")
+    rows = prints.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("times"))
+    judged = rows.join(kept, (rows.node == kept.kept_node) & rows.doc_id.eqNullSafe(kept.kept_id), "left")
+    odd = written(judged.filter("kept_node IS NULL OR times > 1").select(F.col("doc_id").alias("odd_id"), F.col("node").alias("odd_node"), F.col("kept_node").isNotNull().alias("repeated")), "near-odd")
+    node = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    is_odd = docs[id_col].eqNullSafe(odd.odd_id) & (node == odd.odd_node)
+    out = docs.join(odd, is_odd, "left_anti")
+    repeated = odd.filter("repeated")
+    if repeated.isEmpty():
+        return out
+    again = docs.join(repeated, docs[id_col].eqNullSafe(repeated.odd_id) & (node == repeated.odd_node)).dropDuplicates(["odd_id", "odd_node"])
+    return out.unionByName(again.select(*[docs[c] for c in docs.columns]))
