@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, ngram_lm, quality, simhash, token_codec, toxicity, warc
+from . import decontaminate, html_text, line_dedup, mixing, ngram_lm, quality, simhash, token_codec, toxicity, warc
 from .oracles import ORACLES
 from .shared import read_table, scratch_path
 
@@ -20,6 +20,10 @@ def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_report(read_table(spark, sf_dir, "pages"))
+
+
 def op4_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(read_table(spark, sf_dir, "pages"))
 
