@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS, NOT_WS = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"
@@ -41,14 +41,12 @@ def trim_start(text: Column) -> Column:
 
 def level_rank(word: Column) -> Column:
     """0 (TRACE) to 5 (FATAL); null for any other word."""
-    upper, rank = F.upper(word), F.lit(None).cast("int")
-    for k, name in reversed(list(enumerate(LEVELS))):
-        rank = F.when(upper.isin(*LEVEL_WORDS[name]), F.lit(k)).otherwise(rank)
-    return rank
+    pairs = [F.lit(x) for name in LEVELS for w in LEVEL_WORDS[name] for x in (w, LEVELS.index(name))]
+    return F.try_element_at(F.create_map(*pairs), F.upper(word))
 
 
 def level_name(rank: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, LEVELS)), rank + 1)
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, name in enumerate(LEVELS) for x in (k, name)]), rank)
 
 
 def seconds(number: Column) -> Column:
@@ -56,14 +54,27 @@ def seconds(number: Column) -> Column:
     return F.when(number.rlike(NUMBER), number.try_cast("double"))
 
 
-def message_seconds(message: Column) -> Column:
-    """The first number with the unit ms or s, in seconds; a malformed number before it ends the search."""
+def _first_duration(message: Column) -> Column:
+    """Struct (n, u): the first number that has a unit or is malformed."""
     pairs = F.arrays_zip(F.regexp_extract_all(message, F.lit(_DURATION), F.lit(1)).alias("n"), F.regexp_extract_all(message, F.lit(_DURATION), F.lit(2)).alias("u"))
-    first = F.get(F.filter(pairs, lambda x: (x["u"] != "") | x["n"].rlike(r"\..*\.")), F.lit(0))
+    return F.get(F.filter(pairs, lambda x: (x["u"] != "") | x["n"].rlike(r"\..*\.")), F.lit(0))
+
+
+def _in_seconds(first: Column) -> Column:
     scale = F.when(first["u"] == "ms", F.lit(0.001)).when(first["u"] == "s", F.lit(1.0))
     return F.when(~first["n"].rlike(r"\..*\."), first["n"].try_cast("double") * scale)
 
 
+def message_seconds(message: Column) -> Column:
+    """The first number with the unit ms or s, in seconds; a malformed number before it ends the search."""
+    return _in_seconds(_first_duration(message))
+
+
+def with_message_seconds(df: DataFrame, message: str, out: str) -> DataFrame:
+    """``message_seconds`` in two steps."""
+    return df.withColumn("_first", F.when(F.col(message).rlike("[0-9]"), _first_duration(F.col(message)))).withColumn(out, _in_seconds(F.col("_first"))).drop("_first")
+
+
 def route(path: Column) -> Column:
     """The path without query and fragment, ids as ``:id``: segments of digits, or of 8 or more hex digits and hyphens."""
     bare = F.regexp_extract(path, r"^[^?#]*", 0)

@@ -21,6 +21,11 @@ MAX_CHARS = 1 << 30
 _FIELDS = r"^[ \t\n\f\r]*([^ \t\n\f\r]+)[ \t\n\f\r]+([^ \t\n\f\r]+)"
 
 
+def _opaque(value: Column) -> Column:
+    """``value`` itself. The optimizer may not copy it into the filters above, which would repeat the parser's steps within each other."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _after(text: Column, length: Column) -> Column:
     """What follows the first ``length`` characters."""
     return text.substr(length + 1, F.lit(MAX_CHARS))
@@ -32,7 +37,7 @@ def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0) -> Dat
     step = df.withColumn("_r", F.when(opened > 0, _after(F.col(line), opened)))
     step = step.withColumn("_t", F.substring_index("_r", "]", 1))
     closed = F.contains("_r", F.lit("]"))
-    step = step.withColumn("_ms", F.when(closed, times.clf_ms(F.col("_t")))).withColumn("_r", F.when(F.col("_ms").isNotNull(), _after(F.col("_r"), F.length("_t") + 1)))
+    step = times.with_clf(step.withColumn("_t", F.when(closed, F.col("_t"))), "_t", "_ms").withColumn("_r", F.when(F.col("_ms").isNotNull(), _after(F.col("_r"), F.length("_t") + 1)))
     step = step.withColumn("_r", F.when(F.startswith("_r", F.lit(' "')), _after(F.col("_r"), F.lit(1))).otherwise(words.trim_start(F.col("_r"))))
     step = step.withColumn("_r", F.when(F.startswith("_r", F.lit('"')), _after(F.col("_r"), F.lit(1))))
     step = step.withColumn("_q", F.when(F.contains("_r", F.lit('"')), F.substring_index("_r", '"', 1)))
@@ -50,7 +55,7 @@ def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0) -> Dat
         access_seconds(F.col("_a"), scale).alias("latency_s"),
     )
     good = F.col("_q").isNotNull() & F.col("_s").between(100, 599) & F.col("_b").isNotNull()
-    return step.withColumn("rec", F.when(good, record)).drop("_r", "_t", "_ms", "_q", "_a", "_f", "_s", "_b")
+    return step.withColumn("rec", _opaque(F.when(good, record))).drop("_r", "_t", "_ms", "_q", "_a", "_f", "_s", "_b")
 
 
 def access_seconds(after: Column, scale: float) -> Column:
@@ -69,12 +74,13 @@ def access_seconds(after: Column, scale: float) -> Column:
 
 def app_fields(df: DataFrame, line: str = "value") -> DataFrame:
     """Adds ``rec``: ts_ms, level_rank, message, latency_s."""
-    step = df.withColumn("_t", times.iso_prefix(F.col(line)))
-    step = step.withColumn("_r", F.when(F.col("_t").isNotNull(), _after(F.col(line), F.col("_t.used"))))
-    step = step.withColumn("_l", words.level_rank(F.regexp_extract("_r", words.LEVEL_LINE, 1)))
+    step = times.with_iso(df, line, "_ms", "_used")
+    step = step.withColumn("_r", F.when(F.col("_ms").isNotNull(), _after(F.col(line), F.col("_used"))))
+    step = step.withColumn("_w", F.regexp_extract("_r", words.LEVEL_LINE, 1)).withColumn("_l", words.level_rank(F.col("_w")))
     step = step.withColumn("_m", F.when(F.col("_l").isNotNull(), F.regexp_extract("_r", words.LEVEL_LINE, 2)))
-    record = F.struct(F.col("_t.ms").alias("ts_ms"), F.col("_l").alias("level_rank"), F.col("_m").alias("message"), words.message_seconds(F.col("_m")).alias("latency_s"))
-    return step.withColumn("rec", F.when(F.col("_l").isNotNull(), record)).drop("_t", "_r", "_l", "_m")
+    step = words.with_message_seconds(step, "_m", "_lat")
+    record = F.struct(F.col("_ms").alias("ts_ms"), F.col("_l").alias("level_rank"), F.col("_m").alias("message"), F.col("_lat").alias("latency_s"))
+    return step.withColumn("rec", _opaque(F.when(F.col("_l").isNotNull(), record))).drop("_ms", "_used", "_r", "_w", "_l", "_m", "_lat")
 
 
 def with_record(df: DataFrame, fmt: LogFormat, line: str = "value", scale: float = 1.0) -> DataFrame:
