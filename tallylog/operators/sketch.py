@@ -30,18 +30,26 @@ def merged(sketches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
 
-def quantiles(sketches: DataFrame, qs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """One row per key: samples, top and a column per quantile; windows run over the buckets of one key, a few hundred at most."""
+def route_sketch(rows: DataFrame) -> DataFrame:
+    """(route, bucket, n, errors, top) of parsed access lines; requests without a time stand in the bucket null."""
+    v = F.when(admitted(F.col("latency_s")), F.col("latency_s"))
+    return rows.groupBy("route", bucket(v).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if("is_error").alias("errors"), F.max(v).alias("top"))
+
+
+def quantiles(sketches: DataFrame, qs: dict[str, float], keys: Sequence[str] = (), carried: Sequence[str] = ()) -> DataFrame:
+    """One row per key: samples, top, a column per quantile, and ``carried`` columns, which are the same for a key; windows run over the buckets of one key, a few hundred at most."""
     whole = Window.partitionBy(*keys)
     upto = F.sum("n").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = sketches.withColumn("upto", upto).withColumn("samples", F.sum("n").over(whole)).withColumn("most", F.max("top").over(whole))
     middle = F.least(F.pow(F.lit(RATIO), F.col("bucket")) * 2 / (1 + RATIO), F.col("most"))
     rank = lambda q: F.greatest(F.ceil(F.lit(q) * F.col("samples")), F.lit(1))
     found = [F.min(F.when(F.col("upto") >= rank(q), F.struct("bucket", middle.alias("v"))))["v"].alias(name) for name, q in qs.items()]
-    return rows.groupBy(*keys).agg(F.max("samples").alias("samples"), F.max("most").alias("top"), *found)
+    return rows.groupBy(*keys).agg(F.max("samples").alias("samples"), F.max("most").alias("top"), *found, *[F.max(c).alias(c) for c in carried])
 
 
-def slow_routes(sketches: DataFrame, routes: DataFrame, least: int = 20, n: int = 5) -> DataFrame:
-    """Routes with at least ``least`` timed requests, slowest p95 first."""
-    timed = quantiles(sketches, {"p95": 0.95, "p99": 0.99}, ["route"]).filter(F.col("samples") >= least)
-    return timed.orderBy(F.desc("p95"), "route").limit(max(1, n)).join(routes, "route").orderBy(F.desc("p95"), "route")
+def slow_routes(routes: DataFrame, least: int = 20, n: int = 5) -> DataFrame:
+    """Of a ``route_sketch``, the routes with at least ``least`` timed requests, slowest p95 first."""
+    whole = Window.partitionBy("route")
+    counted = routes.withColumn("requests", F.sum("n").over(whole)).withColumn("errors", F.sum("errors").over(whole)).filter("bucket IS NOT NULL")
+    timed = quantiles(counted, {"p95": 0.95, "p99": 0.99}, ["route"], ["requests", "errors"]).filter(F.col("samples") >= least)
+    return timed.orderBy(F.desc("p95"), "route").limit(max(1, n))

@@ -52,8 +52,9 @@ def _assembled(rows: DataFrame, fmt: LogFormat, gap_ms: int, top: int, in_order:
     minutes = counting.minute_counts(rows).persist()
     found = ordering.anomalies(rows, gap_ms, in_order).persist()
     routes = counting.route_counts(rows) if access else None
-    by_route = sketch.sketch(counting.ok(rows), "latency_s", ["route"]).persist() if access else None
-    whole = sketch.merged(by_route) if access else sketch.sketch(counting.ok(rows), "latency_s")
+    by_route = sketch.route_sketch(counting.ok(rows)).persist() if access else None
+    timed = by_route.filter("bucket IS NOT NULL") if access else None
+    whole = sketch.merged(timed) if access else sketch.sketch(counting.ok(rows), "latency_s")
     ms = lambda c: (F.col(c) * 1000).alias(f"{c}_ms")
 
     def spike_rows(value: str):
@@ -72,8 +73,8 @@ def _assembled(rows: DataFrame, fmt: LogFormat, gap_ms: int, top: int, in_order:
         "levels": lambda: [] if access else sorted(counting.levels(rows).collect()),
         "bytes": lambda: int(counting.byte_total(rows).first().bytes) if access else 0,
         "latency": lambda: sketch.quantiles(whole, QUANTILES).select("samples", *map(ms, (*QUANTILES, "top"))).collect(),
-        "slow": lambda: sketch.slow_routes(by_route, routes, MIN_ROUTE_SAMPLES, top).collect() if access else [],
-        "failing": lambda: counting.error_routes(routes, top).join(sketch.quantiles(by_route, {"p95": 0.95, "p99": 0.99}, ["route"]), "route", "left").orderBy(F.desc("errors"), "route").collect() if access else [],
+        "slow": lambda: sketch.slow_routes(by_route, MIN_ROUTE_SAMPLES, top).collect() if access else [],
+        "failing": lambda: counting.error_routes(routes, top).join(sketch.quantiles(timed, {"p95": 0.95, "p99": 0.99}, ["route"]), "route", "left").orderBy(F.desc("errors"), "route").collect() if access else [],
         "messages": lambda: [] if access else counting.top_errors(rows, top).collect(),
         "order": lambda: ordering.anomaly_totals(found).first(),
         "back": lambda: shown("back"),

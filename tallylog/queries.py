@@ -226,8 +226,7 @@ def route_quantiles(spark, sf_dir):
 
 
 def slow_routes_top(spark, sf_dir):
-    rows = access(spark, sf_dir)
-    found = sketch.slow_routes(sketch.sketch(counting.ok(rows), "latency_s", ["route"]), counting.route_counts(rows), 20, 3)
+    found = sketch.slow_routes(sketch.route_sketch(counting.ok(access(spark, sf_dir))), 20, 3)
     return rounded(found, "p95", "p99").select("route", "requests", "errors", "p95", "p99")
 
 
