@@ -21,9 +21,9 @@ MAX_CHARS = 1 << 30
 _FIELDS = r"^[ \t\n\f\r]*([^ \t\n\f\r]+)[ \t\n\f\r]+([^ \t\n\f\r]+)"
 
 
-def _opaque(value: Column) -> Column:
+def _opaque(value: Column, df: DataFrame) -> Column:
     """``value`` itself. The optimizer may not copy it into the filters above, which would repeat the parser's steps within each other."""
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return value if df.isStreaming else F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def _after(text: Column, length: Column) -> Column:
@@ -55,7 +55,7 @@ def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0) -> Dat
         access_seconds(F.col("_a"), scale).alias("latency_s"),
     )
     good = F.col("_q").isNotNull() & F.col("_s").between(100, 599) & F.col("_b").isNotNull()
-    return step.withColumn("rec", _opaque(F.when(good, record))).drop("_r", "_t", "_ms", "_q", "_a", "_f", "_s", "_b")
+    return step.withColumn("rec", _opaque(F.when(good, record), df)).drop("_r", "_t", "_ms", "_q", "_a", "_f", "_s", "_b")
 
 
 def access_seconds(after: Column, scale: float) -> Column:
@@ -80,7 +80,7 @@ def app_fields(df: DataFrame, line: str = "value") -> DataFrame:
     step = step.withColumn("_m", F.when(F.col("_l").isNotNull(), F.regexp_extract("_r", words.LEVEL_LINE, 2)))
     step = words.with_message_seconds(step, "_m", "_lat")
     record = F.struct(F.col("_ms").alias("ts_ms"), F.col("_l").alias("level_rank"), F.col("_m").alias("message"), F.col("_lat").alias("latency_s"))
-    return step.withColumn("rec", _opaque(F.when(F.col("_l").isNotNull(), record))).drop("_ms", "_used", "_r", "_w", "_l", "_m", "_lat")
+    return step.withColumn("rec", _opaque(F.when(F.col("_l").isNotNull(), record), df)).drop("_ms", "_used", "_r", "_w", "_l", "_m", "_lat")
 
 
 def with_record(df: DataFrame, fmt: LogFormat, line: str = "value", scale: float = 1.0) -> DataFrame:
