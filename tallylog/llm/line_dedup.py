@@ -21,15 +21,21 @@ gives an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import gc
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import written
 
 #: Similarity as a fraction, and the least number of different words in a line.
 NUM, DEN, MIN_WORDS = 4, 5, 5
 BUCKETS = 1 << 16
+#: What identifies a set: a hash of its words, parities of their hash bits, and its size.
+KEYS = ("h", "bits", "more", "n")
+#: The index is joined in so many parts, one after the other, to bound the disk that its shuffle takes.
+PARTS = 4
 #: Bits of the filter that picks documents to read again: 64 * CELLS.
 CELLS = 1 << 16
 
@@ -58,16 +64,18 @@ def word_ranks(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, place, h, bits, n, prefix) of all lines with enough words."""
+    """(doc_id, place, h, bits, more, n, prefix) of all lines with enough words."""
     sets = text_lines(docs, id_col, text_col).select("doc_id", "place", F.expr(HASHES).alias("hs")).withColumn("n", F.size("hs")).filter(F.col("n") >= min_words)
     ranked = sets.withColumn("ranks", written(word_ranks(docs, text_col), "line-ranks").scalar())
     key = f"shiftleft(cast(get(ranks, cast(h & {BUCKETS - 1} AS INT)) AS BIGINT), 57) | shiftrightunsigned(h, 7)"
     ranked = ranked.withColumn("keys", F.expr(f"sort_array(transform(hs, h -> {key}))"))
+    bit = "shiftleft(1L, cast(shiftrightunsigned(h, 57) & 63 AS INT))"
     return ranked.select(
         "doc_id",
         "place",
-        F.expr("xxhash64(array_sort(hs))").alias("h"),
-        F.expr("aggregate(hs, 0L, (a, h) -> a ^ shiftleft(1L, cast(shiftrightunsigned(h, 58) AS INT)))").alias("bits"),
+        F.expr("xxhash64(keys)").alias("h"),
+        F.expr(f"aggregate(hs, 0L, (a, h) -> a ^ CASE WHEN h < 0 THEN {bit} ELSE 0L END)").alias("bits"),
+        F.expr(f"aggregate(hs, 0L, (a, h) -> a ^ CASE WHEN h < 0 THEN 0L ELSE {bit} END)").alias("more"),
         "n",
         F.expr(f"transform(slice(keys, 1, n - ({NUM} * n + {DEN - 1}) div {DEN} + 1), k -> cast(k % 2147483647 AS INT))").alias("prefix"),
     )
@@ -79,7 +87,7 @@ def may_match(x: str, y: str) -> Column:
     return F.expr(
         f"{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n)"
         f" AND least({x}.n - {x}.at, {y}.n - {y}.at) >= {least}"
-        f" AND bit_count({x}.bits ^ {y}.bits) <= {x}.n + {y}.n - 2 * {least}"
+        f" AND bit_count({x}.bits ^ {y}.bits) + bit_count({x}.more ^ {y}.more) <= {x}.n + {y}.n - 2 * {least}"
     )
 
 
@@ -90,37 +98,51 @@ def tidy(spark: SparkSession) -> None:
 
 
 def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The later class (h, bits, n) of those pairs (x, y: structs of h, bits and n; y before x) whose sets really match."""
-    pairs = written(pairs, "line-pairs")
-    keys = ["h", "bits", "n"]
+    """The later class (KEYS) of those pairs (x, y: structs of KEYS) whose sets really match."""
+    keys = list(KEYS)
     needed = pairs.select(F.explode(F.array("x", "y")).alias("c")).select("c.*").distinct().join(classes.select(*keys, "first"), keys)
-    needed = written(needed.select(F.struct(*keys).alias("c"), F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "line-needed")
+    needed = written(needed.select(F.struct(*keys).alias("c"), "first", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "line-needed")
     cell = needed.select(F.expr(f"shiftrightunsigned(xxhash64(doc_id), 6) & {CELLS - 1}").alias("cell"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 AS INT))").alias("v"))
     own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("bitmap", one_array(cell, CELLS, F.bit_or("v"), 0).scalar())
     own = own.filter(f"getbit(get(bitmap, cast(shiftrightunsigned(xxhash64(doc_id), 6) & {CELLS - 1} AS INT)), cast(xxhash64(doc_id) & 63 AS INT)) = 1")
     lines = text_lines(own, "doc_id", "text")
-    sets = written(needed.join(lines, needed.doc_id.eqNullSafe(lines.doc_id) & (needed.place == lines.place)).select("c", F.expr(HASHES).alias("hs")).dropDuplicates(["c"]), "line-sets")
-    both = pairs.join(sets.select(F.col("c").alias("x"), F.col("hs").alias("hx")), "x").join(sets.select(F.col("c").alias("y"), F.col("hs").alias("hy")), "y")
+    sets = written(needed.join(lines, needed.doc_id.eqNullSafe(lines.doc_id) & (needed.place == lines.place)).select("c", "first", F.expr(HASHES).alias("hs")).dropDuplicates(["c"]), "line-sets")
+    side = lambda k: sets.select(F.col("c").alias(k), F.col("first").alias(f"f{k}"), F.col("hs").alias(f"h{k}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
     shared = F.size(F.array_intersect("hx", "hy"))
-    return both.filter(shared * (NUM + DEN) >= NUM * (F.size("hx") + F.size("hy"))).select("x.*").distinct()
+    alike = both.filter(shared * (NUM + DEN) >= NUM * (F.size("hx") + F.size("hy")))
+    return alike.select(F.when(F.col("fx") > F.col("fy"), F.col("x")).otherwise(F.col("y")).alias("late")).select("late.*").distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, place) of every line that matches a line before it."""
-    spark, keys = docs.sparkSession, ["h", "bits", "n"]
+    spark, keys = docs.sparkSession, list(KEYS)
     lines = written(line_sets(docs, id_col, text_col, min_words), "lines")
     classes = written(lines.groupBy(*keys).agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix")), "line-classes")
     tidy(spark)
-    postings = classes.select(*keys, "first", F.posexplode("prefix").alias("at", "word")).select("word", F.struct("h", "bits", "n", F.col("at").cast("int").alias("at"), "first").alias("p"))
-    group = Window.partitionBy("word")
-    grouped = postings.withColumn("many", F.count(F.lit(1)).over(group)).withColumn("head", F.min(F.struct("p.first", "p.h", "p.bits", "p.n", "p.at")).over(group)).filter("many > 1")
-    shared = written(grouped.select("word", "p", F.when((F.col("head.first") < F.col("p.first")) & may_match("p", "head"), F.struct("head.h", "head.bits", "head.n")).alias("head")), "line-postings")
-    tidy(spark)
-    named = lambda p: F.struct(f"{p}.h", f"{p}.bits", f"{p}.n")
-    once = written(matching(shared.filter("head IS NOT NULL").select(named("p").alias("x"), F.col("head").alias("y")).distinct(), classes, docs, id_col, text_col), "line-found")
-    open_ = shared.select("word", "p", F.col("p.h").alias("h"), F.col("p.bits").alias("bits"), F.col("p.n").alias("n")).join(once, keys, "left_anti")
-    pairs = open_.select("word", F.col("p").alias("x")).join(shared.select("word", F.col("p").alias("y")), "word").filter((F.col("y.first") < F.col("x.first")) & may_match("x", "y"))
-    then = written(matching(pairs.select(named("x").alias("x"), named("y").alias("y")).distinct(), classes, docs, id_col, text_col), "line-found")
+    early = F.col("first.doc_id") if isinstance(lines.schema["doc_id"].dataType, T.IntegralType) else F.lit(0)
+
+    def postings(of: DataFrame, part: int) -> DataFrame:
+        exploded = of.select(*keys, early.cast("long").alias("early"), F.posexplode("prefix").alias("at", "word"))
+        return exploded.filter(F.pmod("word", F.lit(PARTS)) == part).withColumn("at", F.col("at").cast("int"))
+
+    named = lambda p: F.struct(*[f"{p}.{k}" for k in keys])
+    heads = []
+    for part in range(PARTS):
+        head = F.min(F.struct("early", *keys, "at")).over(Window.partitionBy("word"))
+        rows = postings(classes, part).withColumn("head", head).select(F.struct(*keys, "at").alias("x"), "head")
+        heads.append(written(rows.filter((F.col("x.h") != F.col("head.h")) & may_match("x", "head")).select(named("x").alias("x"), named("head").alias("y")).distinct(), "line-pairs"))
+        tidy(spark)
+    once = written(matching(reduce(DataFrame.unionByName, heads).distinct(), classes, docs, id_col, text_col), "line-found")
+    left = classes.join(once, keys, "left_anti")
+    pairs = []
+    for part in range(PARTS):
+        x = postings(left, part).select("word", F.struct(*keys, "at").alias("x"))
+        y = postings(classes, part).select("word", F.struct(*keys, "at").alias("y"))
+        met = x.join(y, "word").filter((F.col("x.h") != F.col("y.h")) & may_match("x", "y"))
+        pairs.append(written(met.select(named("x").alias("x"), named("y").alias("y")).distinct(), "line-pairs"))
+        tidy(spark)
+    then = written(matching(reduce(DataFrame.unionByName, pairs).distinct(), classes, docs, id_col, text_col), "line-found")
     tidy(spark)
     late = once.unionByName(then).distinct().withColumn("gone", F.lit(True))
     special = written(classes.join(late, keys, "left").select(*keys, "first", "copies", F.coalesce("gone", F.lit(False)).alias("gone")).filter("gone OR copies > 1"), "line-special")
