@@ -20,14 +20,13 @@ gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
-import gc
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import written
+from .shared import tidy, written
 
 #: Similarity as a fraction, and the least number of different words in a line.
 NUM, DEN, MIN_WORDS = 4, 5, 5
@@ -91,12 +90,6 @@ def may_match(x: str, y: str) -> Column:
     )
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The later class (KEYS) of those pairs (x, y: structs of KEYS) whose sets really match."""
     keys = list(KEYS)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import uuid
@@ -96,3 +97,9 @@ def file_system(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that are done."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

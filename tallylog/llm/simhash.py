@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import WORD, lower_ascii, written
+from .shared import WORD, lower_ascii, tidy, written
 
 SEED, PART_BITS, PARTS = 42, 16, 4
 TILE = 1024
@@ -170,70 +170,118 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
 #: Fingerprint distances within which texts are compared by their shingles: for the fingerprint and a second one from remixed hashes.
 NEAR, NEAR_SECOND = 14, 18
 #: Texts to a tile, and rows of it compared at once.
-WIDE_TILE, STRIPE = 4096, 256
+WIDE_TILE, STRIPE = 8192, 256
 CELLS = 1 << 16
+#: Bytes of the min-hash sketch, one for each range of hashes; deviations that its estimate may fall short.
+SKETCH, SHORT = 128, 3.0
+#: Pairs whose sketches are compared at once.
+CHECKED = 1 << 14
+#: Rounds in which each text is compared with the nearest one that it isn't connected to yet.
+ROUNDS = 3
+
+
+def sketch(each: np.ndarray) -> bytes:
+    """For each of SKETCH equal ranges of hashes a byte of the smallest in it; 0 if there is none."""
+    ordered = np.sort(each)
+    first = np.searchsorted(ordered >> np.uint64(57), np.arange(SKETCH + 1))
+    full = first[:-1] < first[1:]
+    out = np.zeros(SKETCH, np.uint8)
+    out[full] = np.maximum(ordered[first[:-1][full]] & np.uint64(255), 1)
+    return out.tobytes()
 
 
 def double_prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, fp, second, n): two fingerprints, and the number of different shingles; ``node`` is a hash of the text."""
+    """(doc_id, node, fp, second, n, sketch): two fingerprints, the number of different shingles, a sketch; ``node`` is a hash of the text."""
     text = F.coalesce(docs[text_col], F.lit(""))
     narrow = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
-    names = ["doc_id", "node", "fp", "second", "n"]
+    names = ["doc_id", "node", "fp", "second", "n", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [shingle_hashes(t.as_py(), words) for t in batch.column(2)]
-            mixed = [(h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93) for h in each]
-            cols = [[majority(h) for h in each], [majority(h) for h in mixed], [len(np.unique(h)) for h in each]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=names)
+            rows = []
+            for t in batch.column(2):
+                h = np.sort(shingle_hashes(t.as_py(), words))
+                rows.append((majority(h), majority((h ^ h >> np.uint64(31)) * np.uint64(0xD6E8FEB86659FD93)), int(np.count_nonzero(h[1:] != h[:-1])) + bool(len(h)), sketch(h)))
+            fp, second, n, small = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64()), pa.array(second, pa.int64()), pa.array(n, pa.int64()), pa.array(small, pa.binary())], names=names)
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, node long, fp long, second long, n long")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, node long, fp long, second long, n long, sketch binary")
 
 
-def met(batches: Iterator[pa.RecordBatch], heads: bool, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of nodes under different labels that may be similar, v the later; with ``heads`` only the earliest u of each v."""
-    fields = ("node", "fp", "second", "n", "rank", "label")
+def met(batches: Iterator[pa.RecordBatch], nearest: bool, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v, far) of nodes under different labels that may be similar; with ``nearest`` only the nearest u of each v in a tile pair."""
     for batch in batches:
         side = {}
         for k in ("a", "b"):
             col = batch.column(k)
-            side[k] = (col.offsets.to_numpy(), {f: col.values.field(f).to_numpy(zero_copy_only=False) for f in fields})
+            side[k] = (col.offsets.to_numpy(), {f.name: col.values.field(f.name) for f in col.type.value_type})
         for k, same in enumerate(batch.column("same").to_pylist()):
-            a, b = ({f: x[at[k] : at[k + 1]] for f, x in values.items()} for at, values in side.values())
-            fps, found = b["fp"].view(np.uint64), []
+            a, b = ({f: part(x, at[k], at[k + 1]) for f, x in values.items()} for at, values in side.values())
+            found = []
             for at in range(0, len(a["fp"]), STRIPE):
-                i, j = np.nonzero(np.bitwise_count(a["fp"][at : at + STRIPE].view(np.uint64)[:, None] ^ fps[None, :]) <= NEAR)
+                i, j = np.nonzero(distance(a["fp"][at : at + STRIPE][:, None], b["fp"][None, :]) <= NEAR)
                 i += at
-                ok = (a["label"][i] != b["label"][j]) & (np.bitwise_count((a["second"][i] ^ b["second"][j]).view(np.uint64)) <= NEAR_SECOND)
+                ok = a["label"][i] != b["label"][j]
                 ok &= np.minimum(a["n"][i], b["n"][j]) >= similarity * np.maximum(a["n"][i], b["n"][j])
+                ok &= distance(a["second"][i], b["second"][j]) <= NEAR_SECOND
                 if same:
                     ok &= i < j
-                found.append(np.stack((i[ok], j[ok])))
+                i, j = i[ok], j[ok]
+                if "sketch" in a:
+                    ok = np.concatenate([np.zeros(0, bool), *(estimated(a["sketch"][i[k : k + CHECKED]], b["sketch"][j[k : k + CHECKED]], similarity) for k in range(0, len(i), CHECKED))])
+                    i, j = i[ok], j[ok]
+                if nearest and len(i) > len(a["fp"]) + len(b["fp"]):  # only the nearest of each counts
+                    far = distance(a["fp"][i], b["fp"][j]).astype(np.int64) + distance(a["second"][i], b["second"][j])
+                    best = np.zeros(len(i), bool)
+                    for own in (i, j):
+                        order = np.lexsort((far, own))
+                        best[order[np.concatenate(([True], own[order][1:] != own[order][:-1]))]] = True
+                    i, j = i[best], j[best]
+                found.append(np.stack((i, j)).astype(np.int32))
             i, j = np.concatenate(found, axis=1)
             if not len(i):
                 continue
-            later = (a["rank"][i] > b["rank"][j]) | ((a["rank"][i] == b["rank"][j]) & (a["node"][i] > b["node"][j]))
-            u, v = (np.where(later == first, b["node"][j], a["node"][i]) for first in (True, False))
-            rank = np.where(later, b["rank"][j], a["rank"][i])
-            if heads:
-                order = np.lexsort((u, rank, v))
+            far = distance(a["fp"][i], b["fp"][j]).astype(np.int64) + distance(a["second"][i], b["second"][j])
+            u, v = a["node"][i], b["node"][j]
+            if nearest:
+                u, v, far = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((far, far))
+                order = np.lexsort((u, far, v))
                 first = np.concatenate(([True], v[order][1:] != v[order][:-1]))
-                u, v, rank = (x[order][first] for x in (u, v, rank))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(rank)], names=["u", "v", "rank"])
+                u, v, far = (x[order][first] for x in (u, v, far))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(far)], names=["u", "v", "far"])
+
+
+def estimated(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows of sketches leave room for the similarity."""
+    there = np.count_nonzero(x | y, axis=1)
+    return np.count_nonzero((x == y) & (x > 0), axis=1) >= there * similarity - SHORT * np.sqrt(there * similarity * (1 - similarity))
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of signed numbers."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
+def part(column: pa.Array, begin: int, stop: int) -> np.ndarray:
+    own = column.slice(begin, stop - begin)
+    if pa.types.is_binary(own.type):
+        return np.frombuffer(b"".join(own.to_pylist()), np.uint8).reshape(-1, SKETCH)
+    return own.to_numpy(zero_copy_only=False)
 
 
-def candidates(nodes: DataFrame, heads: bool, similarity: float) -> DataFrame:
-    """Pairs (u, v) of ``nodes`` (node, fp, second, n, rank, label); tiles by population count, pairs beyond the radius skipped."""
+def candidates(nodes: DataFrame, nearest: bool, similarity: float) -> DataFrame:
+    """Pairs (u, v) of ``nodes`` (node, fp, second, n, label, sketch); tiles by population count, pairs beyond the radius skipped."""
+    fields = ["node", "fp", "second", "n", "label"] + ([] if nearest else ["sketch"])
     grouped = nodes.withColumn("g", F.bit_count("fp"))
     sizes = written(grouped.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / WIDE_TILE).cast("int").alias("cuts")), "tile-sizes")  # 65 rows at most
-    dealt = grouped.join(F.broadcast(sizes), "g").withColumn("s", F.expr("pmod(xxhash64(node), cuts)"))
-    tiles = written(dealt.groupBy("g", "s").agg(F.collect_list(F.struct("node", "fp", "second", "n", "rank", "label")).alias("tile")), "tiles")
-    inside = tiles.select("g", "s", F.col("tile").alias("a"), F.explode(F.sequence("g", F.col("g") + NEAR)).alias("h")).join(F.broadcast(sizes.select(F.col("g").alias("h"))), "h", "left_semi")
+    dealt = grouped.join(F.broadcast(sizes), "g").withColumn("s", F.expr("cast(pmod(xxhash64(node), cuts) AS LONG)"))
+    tiles = written(dealt.groupBy("g", "s").agg(F.collect_list(F.struct(*fields)).alias("tile")), "tiles")
+    there = F.broadcast(sizes.select(F.col("g").alias("h"), F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1).alias("ts")))
+    inside = tiles.select("g", "s", F.col("tile").alias("a"), F.explode(F.sequence("g", F.col("g") + NEAR)).alias("h")).join(there, "h")
+    inside = inside.select("g", "s", "a", "h", F.explode("ts").alias("t")).filter("g <> h OR s <= t")
     other = tiles.select(F.col("g").alias("h"), F.col("s").alias("t"), F.col("tile").alias("b"))
-    pairs = inside.join(other, "h").filter("g <> h OR s <= t")
-    spread = pairs.select("a", "b", F.expr("g = h AND s = t").alias("same")).repartition(max(1, 4 * nodes.sparkSession.sparkContext.defaultParallelism))
-    found = spread.mapInArrow(lambda batches: met(batches, heads, similarity), "u long, v long, rank long")
-    return found.groupBy("v").agg(F.min_by("u", F.struct("rank", "u")).alias("u")).select("u", "v") if heads else found.select("u", "v").distinct()
+    found = inside.join(other, ["h", "t"]).select("a", "b", F.expr("g = h AND s = t").alias("same")).mapInArrow(lambda batches: met(batches, nearest, similarity), "u long, v long, far long")
+    return found.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v") if nearest else found.select("u", "v").distinct()
 
 
 def similar(pairs: DataFrame, places: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
@@ -260,25 +308,26 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     """The rows of ``docs`` with one document of each group of near copies, that with the smallest id, with all columns.
 
     Texts link if their sets of word shingles have the Jaccard similarity. Fingerprints within NEAR
-    bits nominate pairs: each text is first compared with the earliest text near it, and then only
-    texts that are not yet connected, so that a group of copies is not expanded into all pairs.
+    bits nominate pairs. In a few rounds each text is compared with the nearest one that it is not
+    connected to yet; after them, all nominated pairs that are still unconnected are compared, unless
+    their sketches rule it out, so that a group of copies is not expanded into all pairs.
     """
     prints = written(double_prints(docs, words, id_col, text_col), "prints")
-    rank = F.col("doc_id").cast("long") if isinstance(prints.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64("doc_id")
-    nodes = written(
-        prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("second").alias("second"), F.first("n").alias("n"), F.coalesce(F.min(rank), F.lit(0).cast("long")).alias("rank")),
-        "print-nodes",
-    )
+    firsts = [F.first(c).alias(c) for c in ("fp", "second", "n", "sketch")]
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), *firsts), "print-nodes")
     places = nodes.select("node", "first_id")
-    links = written(similar(candidates(nodes.withColumn("label", F.col("node")), True, similarity), places, docs, words, similarity, id_col, text_col), "near-links")
-    label = written(components(links), "near-labels")
-    labelled = nodes.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    more = similar(candidates(written(labelled, "near-labelled"), False, similarity), places, docs, words, similarity, id_col, text_col)
-    roots = components(written(links.unionByName(more), "near-links"))
+    links, label = None, nodes.select("node", F.col("node").alias("root"))
+    for k in range(ROUNDS + 1):
+        labelled = written(nodes.drop("first_id").join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "near-labelled")
+        more = written(similar(candidates(labelled, k < ROUNDS, similarity), places, docs, words, similarity, id_col, text_col), "near-links")
+        tidy(docs.sparkSession)
+        links = more if links is None else links.unionByName(more)
+        label = written(components(links), "near-labels")
+    roots = label
     member = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     kept = member.groupBy("root").agg(F.min_by(F.struct("node", "first_id"), F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("k")).select("k.*")
     kept = kept.withColumnRenamed("first_id", "kept_id").withColumnRenamed("node", "kept_node")
-    rows = prints.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("times"))
+    rows = prints.select("doc_id", "node").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("times"))
     judged = rows.join(kept, (rows.node == kept.kept_node) & rows.doc_id.eqNullSafe(kept.kept_id), "left")
     odd = written(judged.filter("kept_node IS NULL OR times > 1").select(F.col("doc_id").alias("odd_id"), F.col("node").alias("odd_node"), F.col("kept_node").isNotNull().alias("repeated")), "near-odd")
     node = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
