@@ -23,7 +23,8 @@ _FIELDS = r"^[ \t\n\f\r]*([^ \t\n\f\r]+)[ \t\n\f\r]+([^ \t\n\f\r]+)"
 
 def _opaque(value: Column, df: DataFrame) -> Column:
     """``value`` itself. The optimizer may not copy it into the filters above, which would repeat the parser's steps within each other."""
-    return value if df.isStreaming else F.when(F.monotonically_increasing_id() >= 0, value)
+    always = F.length(F.uuid()) > 0 if df.isStreaming else F.monotonically_increasing_id() >= 0
+    return F.when(always, value)
 
 
 def _after(text: Column, length: Column) -> Column:

@@ -122,7 +122,6 @@ LATERAL (VALUES ('format', 'access'), ('lines', a.lines::VARCHAR), ('parsed', a.
   ('peak_per_minute', st.peak::VARCHAR), ('peak_minute_utc', strftime(make_timestamp(st.peak_minute * 60000000), '%Y-%m-%d %H:%M')), ('bytes', a.bytes::BIGINT::VARCHAR),
   ('out_of_order', t.back::VARCHAR), ('gaps', t.gaps::VARCHAR)) f(field, value)""",
     "generated_log": "SELECT 100000::BIGINT AS lines, 100000::BIGINT AS parsed, 0::BIGINT AS unparseable, 0::BIGINT AS continuation_lines, 2::BIGINT AS out_of_order, 0::BIGINT AS gaps, 0.0::DOUBLE AS longest_gap_seconds",
-    "stream_minutes": f"WITH {EVENTS} SELECT minute, count(*) AS n, count(*) FILTER (status >= 500) AS errors FROM ev GROUP BY minute",
 }
 
 

@@ -14,7 +14,6 @@ from .operators.parsers import LogFormat
 from .plans.report import summarize
 from .sources.generator import access_lines
 from .sources.lines import lines_from, numbered
-from .streaming.minutes import minute_stream
 
 #: What an event is in an access log: method and status.
 REQUESTS = {"view": ("GET", 200), "click": ("GET", 302), "purchase": ("POST", 201), "signup": ("POST", 404), "error": ("GET", 500)}
@@ -283,7 +282,7 @@ def gap_examples(spark, sf_dir):
     return _shown(access_log(spark, sf_dir), LogFormat.ACCESS, "gap")
 
 
-# --- reports, sources, streams ----------------------------------------------------------------------
+# --- reports and sources ----------------------------------------------------------------------
 
 
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,20 +304,12 @@ def generated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.line_counts(rows).crossJoin(ordering.anomaly_totals(ordering.anomalies(rows, GAP_MS)))
 
 
-def stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute counts by Structured Streaming over the events, run to its end."""
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stamp = F.date_format(F.col("ts").cast("timestamp"), "dd/MMM/yyyy:HH:mm:ss")
-    status = by_type({k: s for k, (_, s) in REQUESTS.items()})
-    return minute_stream(source.select(F.format_string('10.0.0.1 - - [%s +0000] "GET /x HTTP/1.1" %d 1', stamp, status).alias("value")), LogFormat.ACCESS)
-
-
 NAMES = (
     "access_parse app_parse detect_format clf_time iso_time utc_format normalize_url normalize_message message_latency level_words "
     "access_status_classes status_shares access_bytes_total access_route_stats error_routes_top minute_counts minute_span app_levels top_errors capped_errors "
     "line_counts access_line_counts unparseable_examples line_numbers latency_buckets latency_quantiles route_quantiles slow_routes_top "
     "traffic_stats error_traffic_stats traffic_spikes error_spikes out_of_order_count out_of_order_examples gap_count gap_examples "
-    "summary_report app_summary_report generated_log stream_minutes"
+    "summary_report app_summary_report generated_log"
 ).split()
 
 
