@@ -183,6 +183,36 @@ def test_near_copies(docs, none):
     assert simhash.without_near_copies(none).count() == 0
 
 
+def brute_copies(texts, similarity=0.8):
+    """The smallest ids of the groups that links of the similarity make."""
+    split = {k: t.lower().split() for k, t in texts.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k, w in split.items()}
+    root = dict.fromkeys(texts)
+    for k in sorted(texts):
+        root[k] = k
+        for o in sorted(texts):
+            if o < k and len(sets[k] & sets[o]) >= similarity * len(sets[k] | sets[o]):
+                low, high = sorted((root[k], root[o]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    return set(root.values())
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Pairs at Jaccard 0.80 to 0.85, of which bits of the prints differ most, and sets that repeated phrases leave alike."""
+    draw, texts = random.Random(11), {}
+    word = lambda: f"w{draw.randrange(10**6)}"
+    for k in range(0, 300, 2):
+        words, share = [word() for _ in range(draw.randint(40, 300))], draw.uniform(0.8, 0.85)
+        texts[k] = " ".join(words)
+        texts[k + 1] = " ".join(words + [word() for _ in range(int((len(words) - 4) * (1 / share - 1)))])
+    for k in range(300, 320, 2):
+        words = [word() for _ in range(1000)]
+        texts[k] = " ".join(words)
+        texts[k + 1] = " ".join(words + words[:10] * 200)
+    kept = simhash.without_near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == brute_copies(texts) == set(range(0, 320, 2))
+
+
 def test_forest_connects_what_is_near():
     near = np.zeros((4, 3), bool)
     near[0, 0] = near[1, 0] = near[1, 2] = near[3, 1] = True
