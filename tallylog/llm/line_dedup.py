@@ -2,7 +2,8 @@
 
 A line is the set of its words, lowered. Lines match if the Jaccard similarity of
 their sets is 0.8 or more; a line goes if any line before it, by document id and
-place, matches. Lines of fewer than ``min_words`` different words stay.
+place, matches. Lines without a word stay, as do those of fewer than ``min_words``
+different words, by default none.
 
 Equal sets are one class, represented by its first line. Words are ordered by the
 frequency of their hash bucket (65,536 buckets, so that the table stays small; any
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from .shared import tidy, written
 
 #: Similarity as a fraction, and the least number of different words in a line.
-NUM, DEN, MIN_WORDS = 4, 5, 5
+NUM, DEN, MIN_WORDS = 4, 5, 1
 BUCKETS = 1 << 16
 #: What identifies a set: a hash of its words, parities of their hash bits, and its size.
 KEYS = ("h", "bits", "more", "n")
@@ -116,7 +117,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     early = F.col("first.doc_id") if isinstance(lines.schema["doc_id"].dataType, T.IntegralType) else F.lit(0)
 
     def postings(of: DataFrame, part: int) -> DataFrame:
-        exploded = of.select(*keys, early.cast("long").alias("early"), F.posexplode("prefix").alias("at", "word"))
+        """Without sets too small to match any but equal ones."""
+        exploded = of.filter(f"{DEN} * n >= {NUM} * (n + 1)").select(*keys, early.cast("long").alias("early"), F.posexplode("prefix").alias("at", "word"))
         return exploded.filter(F.pmod("word", F.lit(PARTS)) == part).withColumn("at", F.col("at").cast("int"))
 
     named = lambda p: F.struct(*[f"{p}.{k}" for k in keys])

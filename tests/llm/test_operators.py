@@ -124,6 +124,21 @@ def test_lines(spark, none):
     assert got == {i: ",".join(map(str, gone.get(i, []))) for i in texts}
 
 
+def test_short_lines(spark):
+    """Lines of one word or more, copies of each other in any case and order of words, against all lines before them."""
+    draw = random.Random(6)
+    line = lambda: " ".join(draw.choice("All all Rights rights reserved menu licence to our of".split()) for _ in range(draw.randint(0, 6)))
+    texts = {k: "\n".join([line() for _ in range(3)] + ["Subscribe to our newsletter", "Home", " \t "]) for k in range(30)}
+    gone, kept = {k: [] for k in texts}, []
+    for i, text in texts.items():
+        for k, s in enumerate(set(one.lower().split()) for one in text.split("\n")):
+            if s and any(5 * len(s & o) >= 4 * len(s | o) for o in kept):
+                gone[i].append(k)
+            kept += [s] if s else []
+    got = {r.doc_id: r.removed_lines for r in line_dedup.line_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: ",".join(map(str, places)) for i, places in gone.items()} and all({3, 4} <= set(gone[k]) and 5 not in gone[k] for k in range(1, 30))
+
+
 def test_language_model(docs, none):
     got = ngram_lm.scores(docs, F.col("doc_id") % 7 == 2).collect()
     assert len(got) == len(rows()) and all(r.n_tokens >= 1 and r.score < 0 for r in got)
