@@ -67,7 +67,7 @@ def line_sets(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
     """(doc_id, place, h, bits, more, n, prefix) of all lines with enough words."""
     sets = text_lines(docs, id_col, text_col).select("doc_id", "place", F.expr(HASHES).alias("hs")).withColumn("n", F.size("hs")).filter(F.col("n") >= min_words)
     ranked = sets.withColumn("ranks", written(word_ranks(docs, text_col), "line-ranks").scalar())
-    key = f"shiftleft(cast(get(ranks, cast(h & {BUCKETS - 1} AS INT)) AS BIGINT), 57) | shiftrightunsigned(h, 7)"
+    key = f"shiftleft(cast(get(ranks, cast(h & {BUCKETS - 1} AS INT)) AS BIGINT), 56) | shiftrightunsigned(h, 8)"  # never negative
     ranked = ranked.withColumn("keys", F.expr(f"sort_array(transform(hs, h -> {key}))"))
     bit = "shiftleft(1L, cast(shiftrightunsigned(h, 57) & 63 AS INT))"
     return ranked.select(

@@ -139,6 +139,14 @@ def test_short_lines(spark):
     assert got == {i: ",".join(map(str, places)) for i, places in gone.items()} and all({3, 4} <= set(gone[k]) and 5 not in gone[k] for k in range(1, 30))
 
 
+def test_prefixes_hold_the_rare_words(spark):
+    """A word of 2 ** 17 places comes last in the order, so lines that share only that one share no indexed word."""
+    texts = ["the\n" * 2**17, "the one two three four", "the five six seven eight"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first, second = (set(r.prefix) for r in line_dedup.line_sets(docs, "doc_id", "text", 5).collect())
+    assert len(first) == len(second) == 2 and not first & second
+
+
 def test_language_model(docs, none):
     got = ngram_lm.scores(docs, F.col("doc_id") % 7 == 2).collect()
     assert len(got) == len(rows()) and all(r.n_tokens >= 1 and r.score < 0 for r in got)
