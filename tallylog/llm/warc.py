@@ -10,6 +10,7 @@ then reads any record by its offset.
 
 Streams are inflated and written piece by piece; no file and no payload group is
 held in memory, one record is. Defined results: null html is an empty payload;
+a page with a null id is a response, as its payload may be nowhere else;
 equal page ids with equal payloads make equal records; an empty table makes no
 files and an empty result. Only the named columns are read.
 """
@@ -116,7 +117,7 @@ def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     again = large.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = written(again, "warc-repeats")  # one row per repeated payload, so that the planner knows its size
     joined = rows.join(again, rows.digest == again.of, "left")
-    revisit = F.coalesce((F.col("size") >= REVISIT_BYTES) & (F.col("page_id").isNull() | (F.col("page_id") < F.col("original"))), F.lit(False))
+    revisit = F.coalesce((F.col("size") >= REVISIT_BYTES) & (F.col("page_id") < F.col("original")), F.lit(False))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("original")).alias("refers_to"))
 
 

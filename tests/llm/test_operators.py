@@ -80,6 +80,16 @@ def test_warc(spark):
     assert warc.page_records(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_null_ids(spark):
+    """Unique and repeated large payloads of pages without an id are all stored."""
+    pages = [(None, "a" * 1500), (None, "b" * 1500), (None, "b" * 1500), (None, "c" * 1500), (5, "c" * 1500), (4, "c" * 1500)]
+    frame = spark.createDataFrame([(k, "u", html) for k, html in pages], "page_id long, url string, html string")
+    path = scratch_path(spark, "w")
+    got = warc.read_records(warc.normalize(warc.write_archives(frame, path), path), payload=True).collect()
+    found = sorted((r.page_id or "", r.record_type, r.refers_to or "", r.payload[:1].decode(), r.payload_bytes) for r in got)
+    assert found == [*(("", "response", "", c, 1500) for c in "abbc"), ("4", "revisit", "5", "", 1500), ("5", "response", "", "c", 1500)]
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(7, PASSAGE), (8, "one"), (9, None), (10, ""), (7, PASSAGE)], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
