@@ -9,8 +9,8 @@ the root's arcs carry log p(w). A text is read once from left to right: the stat
 is the last word, each word follows its arc or the failure arc and the root's arc.
 
 The model is not held in memory: words, states and arcs are arrays sorted by key
-in the shared folder, which workers map and search. Pairs seen once (``min_pair``)
-are left to the failure arcs, whose weights account for them. Words are told
+in the shared folder, which workers map and search. All pairs have arcs; with a
+larger ``min_pair`` rarer ones are left to the failure arcs, whose weights account for them. Words are told
 apart by a 64-bit hash. Everything gathered grows with the input; what comes to
 the driver is one row of totals and the list of files.
 
@@ -287,9 +287,6 @@ def pair_counts(texts: DataFrame, words: Sorted, groups: int, min_pair: int) ->
                 order = np.argsort(hashes)
                 number = np.empty(len(hashes), np.int64)
                 number[order] = words.find(hashes[order], "hash")
-                seen = np.zeros(len(hashes), np.int64)
-                seen[number >= 0] = words.values(number[number >= 0], "n")
-                number[seen < min_pair] = UNKNOWN  # no pair of a rarer word can occur often enough
                 word = number[tokens]
                 last = np.empty_like(word)
                 last[1:] = word[:-1]
@@ -316,7 +313,7 @@ def discount(once: int, twice: int) -> float:
     return float(np.clip(once / (once + 2 * twice) if once else 0.5, 0.1, 0.9))
 
 
-def trained(texts: DataFrame, min_pair: int = 2) -> Automaton:
+def trained(texts: DataFrame, min_pair: int = 1) -> Automaton:
     """The automaton of ``texts`` (text)."""
     counted = written(word_counts(texts), "lm-words")
     totals = counted.agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()

@@ -166,6 +166,25 @@ def test_language_model(docs, none):
     assert {(r.n_known, r.train_tokens, r.score) for r in alone} == {(0, 0, 0.0)}
 
 
+def test_language_model_has_pairs_seen_once(spark):
+    """A held-out copy of a training text scores above the same words in another order, and all pairs seen once are counted."""
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(draw.sample(words, 200)) for _ in range(8)] + ["a b"]
+    other = texts[0].split()
+    draw.shuffle(other)
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100, texts[0]), (101, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_lm.scores(docs, F.col("doc_id") >= 100).collect()}
+    assert got[100].base_score == pytest.approx(got[101].base_score) and got[100].score > got[101].score + 0.3 * 200
+    plain = docs.filter("doc_id < 100").select("text")
+    index = ngram_lm.Sorted.write(ngram_lm.word_counts(plain), "hash", {"hash": "<i8", "n": "<i8"}, "lm-test")
+    pairs = [p for t in texts for p in zip(["<s>", *t.split()], [*t.split(), "</s>"])]
+    for least in (1, 2):
+        found = ngram_lm.pair_counts(plain, index, 3, least).filter("key = -1").agg(F.sum("n")).first()[0]
+        assert found == sum(pairs.count(p) == 1 for p in set(pairs))
+
+
 def test_rans_round_trip():
     draw = np.random.default_rng(0)
     for ids in (draw.zipf(1.3, 70_000) % 500, np.full(3000, 7), np.array([5]), np.array([], int)):
