@@ -2,16 +2,19 @@
 
 A tokenizer and a tree builder with implied tags (unclosed paragraphs, items, rows
 and cells, raw text elements) make a tree; what is never shown is left out:
-scripts, styles, templates, comments, heads, and elements hidden by attribute or
-by inline style. The renderer emits all other text: inline text with white space
+scripts, styles, templates, comments, heads, closed details, and elements hidden by
+attribute, by inline style or by a class that by convention hides text from sight.
+The renderer emits all other text: inline text with white space
 collapsed, blocks on lines of their own with one blank line around paragraphs,
 headings and lists, items with bullets or numbers and indented by depth,
 preformatted text as it is, and tables with cells padded to aligned columns.
 
-The tree is walked without recursion, so its depth has no limit; tables within
-MAX_TABLES others are laid out as plain blocks. Defined results: null
-or empty html gives empty text; malformed markup never fails, what can't be a tag
-is text; an empty table gives an empty result. Only the named columns are read.
+Time and output grow with the page, whatever it holds: as in browsers, elements
+deeper than MAX_DEPTH become siblings; cells wider than WIDEST and tables whose
+padding would be PADDING times their text are not aligned; indents end at INDENT.
+Defined results: null or empty html gives empty text; malformed markup never fails,
+what can't be a tag is text; an empty table gives an empty result. Only the named
+columns are read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -30,12 +34,17 @@ from pyspark.sql import functions as F
 #: Element names by the role that HTML gives them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math audio video canvas datalist noembed noframes title textarea select".split())
+HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title annotation annotation-xml desc metadata defs symbol".split())
+#: Classes of text for screen readers only, which repeats what is shown in another form.
+UNSEEN = frozenset("katex-mathml mjx_assistive_mathml sr-only visually-hidden screen-reader-text".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure article".split())
 LISTS = frozenset("ul ol menu dir".split())
+PREFORMATTED = frozenset({"pre", "textarea"})
+#: Inline elements that stand apart from their neighbours.
+APART = frozenset("option text textarea button".split())
 #: A start tag on the left ends these open elements, up to the nearest of the elements on the right.
 IMPLIED_ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -52,13 +61,22 @@ IMPLIED_ENDS = {
 }
 #: An end tag doesn't close anything outside of these.
 SCOPES = frozenset({"table", "td", "th", "caption", "html"})
-MAX_TABLES = 40
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
-
-TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|$)|(?P<other>[!?][^>]*)>?|/(?P<end>[A-Za-z][^\s/>]*)[^>]*>|(?P<start>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+#: Most columns and rows of a cell.
+COLSPAN, ROWSPAN = 1000, 65_534
+#: Elements within which a slash ends an element.
+FOREIGN = frozenset({"svg", "math"})
+MAX_DEPTH, WIDEST, PADDING, INDENT = 512, 100, 8, 60
+#: Tags whose quotes lead to no end, after which quotes are plain characters.
+MISLED = 8
+
+PLAIN_TAG = re.compile(r"([A-Za-z][^\s/>]*+)([^>\"']*+)>")
+QUOTED_TAG = re.compile(r"([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+BARE_TAG = re.compile(r"([A-Za-z][^\s/>]*+)([^>]*+)>")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
+LONG_NUMBER = re.compile(r"&#0*[1-9][0-9]{7,};?")
 
 
 @dataclass
@@ -68,92 +86,158 @@ class Node:
     children: list = field(default_factory=list)  # Node or str
 
 
+def unescaped(text: str) -> str:
+    """Text with character references resolved; numbers beyond all characters become U+FFFD."""
+    return entities.unescape(LONG_NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(text, "", ""), ("", name, attributes) of start tags, ("", "/name", "") of end tags; raw elements bring their text."""
+    at, begin, last, misled = 0, 0, source.rfind(">"), 0
+    while 0 <= (at := source.find("<", at)) < last:
+        after = source[at + 1 : at + 2]
+        found = None
+        if after in "!?":
+            if source.startswith("<!--", at):
+                stop = source.find("-->", at + 4)
+                stop = len(source) if stop < 0 else stop + 3
+            else:
+                stop = source.find(">", at) + 1
+        elif after == "/" and source[at + 2 : at + 3].isalpha() and source[at + 2].isascii():
+            found = BARE_TAG.match(source, at + 2)
+            stop = found.end()
+        elif after.isascii() and after.isalpha():
+            found = PLAIN_TAG.match(source, at + 1)
+            if not found and misled < MISLED:
+                found = QUOTED_TAG.match(source, at + 1)
+                misled += found is None
+            found = found or BARE_TAG.match(source, at + 1)
+            stop = found.end()
+        else:
+            at += 1
+            continue
+        if begin < at:
+            yield source[begin:at], "", ""
+        begin = at = stop
+        if found and after == "/":
+            yield "", "/" + found[1].lower(), ""
+        elif found:
+            name = found[1].lower()
+            yield "", name, found[2]
+            if name in RAW:
+                close = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I).search(source, at) if at < last else None
+                body = source[at : close.start() if close else len(source)]
+                if body:
+                    yield body, name, ""
+                begin = at = close.end() if close else len(source)
+    if begin < len(source):
+        yield source[begin:], "", ""
+
+
 def parse(source: str) -> Node:
     """The tree of a page; the root is ``html``."""
     root = Node("html")
-    stack = [root]
-    at = 0
-
-    def text(s: str) -> None:
-        if s:
-            if stack[-1].name == "head" and s.strip():
-                stack.pop()
-            stack[-1].children.append(entities.unescape(s))
-
-    for m in iter(lambda: TAG.search(source, at), None):
-        text(source[at : m.start()])
-        at = m.end()
-        if m["start"]:
-            name = m["start"].lower()
-            attrs = attributes(m["attrs"]) if m["attrs"] else {}
-            if name == "html":
-                root.attrs = attrs | root.attrs
-                continue
+    stack = Open(root)
+    raw = None
+    for text, name, attrs in tokens(source):
+        if text and name:
+            raw.children.append(unescaped(text) if name in ("title", "textarea") else text)
+        elif text:
+            if stack[-1].name == "head" and text.strip():
+                stack.cut(len(stack) - 1)
+            stack[-1].children.append(unescaped(text))
+        elif name.startswith("/"):
+            closed(stack, name[1:])
+        elif name == "html":
+            root.attrs = attributes(attrs) | root.attrs
+        elif name:
             opened(stack, name)
-            node = Node(name, attrs)
+            node = Node(name, attributes(attrs) if attrs else {})
             stack[-1].children.append(node)
-            if name in VOID:
-                continue
             if name in RAW:
-                close = re.compile(rf"</{name}\s*/?>", re.I).search(source, at)
-                body = source[at : close.start() if close else len(source)]
-                node.children.append(entities.unescape(body) if name in ("title", "textarea") else body)
-                at = close.end() if close else len(source)
-                continue
-            stack.append(node)
-        elif m["end"]:
-            closed(stack, m["end"].lower())
-    text(source[at:])
+                raw = node
+            elif name not in VOID and len(stack) < MAX_DEPTH and not (attrs.endswith("/") and any(n.name in FOREIGN for n in stack)):
+                stack.push(node)
     return root
 
 
-@lru_cache(4096)
 def attributes(text: str) -> dict:
-    return {a.lower(): entities.unescape(x or y or z or "") for a, x, y, z in reversed(ATTR.findall(text))}
+    return short_attributes(text) if len(text) < 500 else found_attributes(text)
+
+
+def found_attributes(text: str) -> dict:
+    return {a.lower(): unescaped(x or y or z or "") for a, x, y, z in reversed(ATTR.findall(text))}
+
 
+short_attributes = lru_cache(4096)(found_attributes)
 
-def opened(stack: list[Node], name: str) -> None:
+
+class Open(list):
+    """The open elements, and how many there are of each name."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.number: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.number[node.name] += 1
+
+    def cut(self, k: int) -> None:
+        self.number.subtract(n.name for n in self[k:])
+        del self[k:]
+
+
+def opened(stack: Open, name: str) -> None:
     """Closes what a start tag implies to be at its end."""
     if stack[-1].name == "head" and name not in HEAD_ONLY:
-        stack.pop()
-    if name in BLOCKS:  # a block ends an open paragraph
+        stack.cut(len(stack) - 1)
+    if name in BLOCKS and stack.number["p"]:  # a block ends an open paragraph
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name == "p":
-                del stack[k:]
+                stack.cut(k)
                 break
             if stack[k].name in BLOCKS:
                 break
-    if rule := IMPLIED_ENDS.get(name):
-        ends, bound = rule
+    ends, bound = IMPLIED_ENDS.get(name, ((), ()))
+    if any(stack.number[x] for x in ends):
         cut = None
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].name in bound:
                 break
             if stack[k].name in ends:
                 cut = k
+                if len(ends) < 3:
+                    break
         if cut is not None:
-            del stack[cut:]
+            stack.cut(cut)
 
 
-def closed(stack: list[Node], name: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if stack[k].name in SCOPES and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-            return
-    if name == "p":
-        stack[-1].children.append(Node("p"))
-    elif name == "br":
-        stack[-1].children.append(Node("br"))
+def closed(stack: Open, name: str) -> None:
+    if stack.number[name]:
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].name == name:
+                stack.cut(k)
+                return
+            if stack[k].name in SCOPES and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
+                return
+    if name in ("p", "br"):
+        stack[-1].children.append(Node(name))
 
 
 def shown(node: Node) -> bool:
-    if node.name in HIDDEN or "hidden" in node.attrs or node.attrs.get("aria-hidden", "").lower() == "true":
+    if node.name in HIDDEN or "hidden" in node.attrs or NOT_SHOWN.search(node.attrs.get("style", "")):
         return False
     if node.name == "input" and node.attrs.get("type", "").lower() == "hidden" or node.name == "dialog" and "open" not in node.attrs:
         return False
-    return not NOT_SHOWN.search(node.attrs.get("style", ""))
+    return not UNSEEN.intersection(node.attrs.get("class", "").lower().split())
+
+
+def content(node: Node) -> list:
+    """Children that are laid out: of closed details only the summary."""
+    if node.name == "details" and "open" not in node.attrs:
+        return [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1]
+    return node.children
 
 
 def width(text: str) -> int:
@@ -193,9 +277,9 @@ class Page:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        lead = "".join(self.prefix)
+        lead = "".join(self.prefix[:INDENT])[:INDENT]
         if self.bullet:
-            lead = lead[: len(lead) - len(self.bullet)] + self.bullet
+            lead = lead[: max(0, len(lead) - len(self.bullet))] + self.bullet
             self.bullet = ""
         self.lines.append((lead + line).rstrip())
 
@@ -204,8 +288,8 @@ class Page:
         self.gap = True
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """All visible text of a tree; ``depth`` counts the tables around it."""
+def render(root: Node) -> str:
+    """All visible text of a tree."""
     page, pre, counters = Page(), 0, []
     work: list = [("in", root)]
     while work:
@@ -228,10 +312,11 @@ def render(root: Node, depth: int = 0) -> str:
             continue
         name = node.name
         if what == "out":
+            page.space |= name in APART
             if name in BLOCKS:
                 page.end_line()
                 page.gap = page.gap or name in SPACED and not (name in LISTS and len(counters) > 1)
-            if name == "pre":
+            if name in PREFORMATTED:
                 pre -= 1
             if name in LISTS:
                 counters.pop()
@@ -256,14 +341,17 @@ def render(root: Node, depth: int = 0) -> str:
         if name == "input":
             page.inline(node.attrs.get("value", "") if node.attrs.get("type", "text").lower() not in ("checkbox", "radio", "password", "file") else "")
             continue
-        if name == "table" and depth < MAX_TABLES:
+        if name == "table":
             page.end_line()
-            work.append(("table", table_lines(node, depth + 1)))
+            work.append(("table", table_lines(node)))
             continue
         if name in BLOCKS:
             page.end_line()
             page.gap = page.gap or name in SPACED and not (name in LISTS and counters)
-        if name == "pre":
+        page.space |= name in APART
+        if name == "optgroup":
+            page.inline(f" {node.attrs.get('label', '')} ")
+        if name in PREFORMATTED:
             pre += 1
         if name in LISTS:
             start = node.attrs.get("start", "1")
@@ -278,15 +366,25 @@ def render(root: Node, depth: int = 0) -> str:
         elif name in ("dd", "blockquote"):
             page.prefix.append("    " if name == "dd" else "> ")
         work.append(("out", node))
-        work += [("in", c) for c in reversed(node.children)]
+        work += [("in", c) for c in reversed(content(node))]
     page.end_line()
     return "\n".join(page.lines).strip("\n")
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
+def spans(cell: Node) -> tuple[int, int]:
+    """Rows and columns that a cell takes; what isn't a number is 1."""
+    found = []
+    for name, most in (("rowspan", ROWSPAN), ("colspan", COLSPAN)):
+        digits = re.match(r"\s*([0-9]*)", cell.attrs.get(name, ""))[1].lstrip("0")
+        found.append(max(1, min(int(digits), most)) if 0 < len(digits) < 7 else most if digits else 1)
+    return found[0], found[1]
+
+
+def table_lines(table: Node) -> list[str]:
     """Rows of a table with cells padded to their columns; a cell's own lines stay one below the other."""
     out, rows = [], []
     todo = list(reversed(table.children))
+    apart = lambda children: [x for x in render(Node("div", {}, children)).split("\n") if x]
     while todo:
         node = todo.pop()
         if isinstance(node, str):
@@ -295,36 +393,52 @@ def table_lines(table: Node, depth: int) -> list[str]:
         elif not shown(node):
             continue
         elif node.name == "tr":
-            rows.append([c for c in node.children if isinstance(c, Node) and c.name in ("td", "th") and shown(c)])
-            loose = [c for c in node.children if not (isinstance(c, Node) and c.name in ("td", "th")) and not (isinstance(c, str) and not c.strip())]
-            if loose:
-                out += [x for x in render(Node("div", {}, loose), depth).split("\n") if x]
+            cells = [c for c in node.children if isinstance(c, Node) and c.name in ("td", "th")]
+            rows.append([(*spans(c), render(Node("div", {}, c.children)).split("\n")) for c in cells if shown(c)])
+            if loose := [c for c in node.children if not (c.strip() == "" if isinstance(c, str) else c.name in ("td", "th"))]:
+                out += apart(loose)
         elif node.name in ("tbody", "thead", "tfoot"):
             todo += reversed(node.children)
         else:
-            out += [x for x in render(Node("div", {}, [node]), depth).split("\n") if x]
-    grid: dict[tuple[int, int], list[str]] = {}
-    taken: set[tuple[int, int]] = set()
-    for r, cells in enumerate(rows):
-        c = 0
-        for cell in cells:
-            while (r, c) in taken:
-                c += 1
-            down, across = (int(v) if (v := cell.attrs.get(k, "")).isascii() and v.isdigit() and 0 < int(v[:4]) <= 1000 else 1 for k in ("rowspan", "colspan"))
-            grid[r, c] = render(Node("div", {}, cell.children), depth).split("\n")
-            taken |= {(r + i, c + j) for i in range(min(down, len(rows) - r)) for j in range(across)} if down * across > 1 else {(r, c)}
+            out += apart([node])
+    return out + aligned(rows)
+
+
+def aligned(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Lines of rows of cells (rows taken, columns taken, lines)."""
+    placed: list[list[tuple[int, list[str]]]] = []
+    busy: list[tuple[int, int, int]] = []  # columns (from, to) that cells from above take, and for how many more rows
+    wide: dict[int, int] = {}
+    for cells in rows:
+        c, mine, after, above = 0, [], [(a, b, n - 1) for a, b, n in busy if n > 1], iter(sorted(busy))
+        taken = next(above, None)
+        for down, across, lines in cells:
+            while taken and taken[0] <= c:
+                c, taken = max(c, taken[1]), next(above, None)
+            mine.append((c, lines))
+            wide[c] = max(wide.get(c, 0), *(w for x in lines if (w := width(x)) <= WIDEST), 0)
+            if down > 1 and c < COLSPAN:
+                after.append((c, c + across, down - 1))
             c += across
-    columns = sorted({c for _, c in grid})
-    wide = {c: max(width(x) for (_, k), cell in grid.items() if k == c for x in cell) for c in columns}
-    for r in range(len(rows)):
-        height = max((len(grid[r, c]) for c in columns if (r, c) in grid), default=0)
-        for k in range(height):
-            parts = []
-            for c in columns:
-                cell = grid.get((r, c), [])
-                x = cell[k] if k < len(cell) else ""
-                parts.append(x + " " * (wide[c] - width(x)))
-            out.append("  ".join(parts).rstrip())
+        placed.append(mine)
+        busy = after
+    columns, starts, total = sorted(wide), {}, 0
+    for c in columns:
+        starts[c] = total
+        total += wide[c] + 2
+    text = sum(len(x) + 2 for mine in placed for _, lines in mine for x in lines)
+    padded = sum(starts[mine[-1][0]] * max(len(lines) for _, lines in mine) for mine in placed if mine)
+    plain = padded > PADDING * text + 4096
+    out = []
+    for mine in placed:
+        for k in range(max((len(lines) for _, lines in mine), default=0)):
+            line, at = "", 0
+            for c, lines in mine:
+                if k < len(lines) and lines[k]:
+                    line += "  " * (line != "") if plain else " " * max(starts[c] - at, 2 * (line != ""))
+                    at = max(at, starts[c]) + width(lines[k]) if not plain else 0
+                    line += lines[k]
+            out.append(line.rstrip())
     return out
 
 
