@@ -5,14 +5,22 @@ their sets is 0.8 or more; a line goes if any line before it, by document id and
 place, matches. Lines without a word stay, as do those of fewer than ``min_words``
 different words, by default none.
 
-Equal sets are one class, represented by its first line. Words are ordered by the
-frequency of their hash bucket (65,536 buckets, so that the table stays small; any
-order shared by all lines keeps the join exact) and the first n - ceil(0.8 n) + 1
-of them are indexed: matching lines share one of these. Candidates pass the length
-filter, the positional filter and a bound from parity bitmaps of the sets before
-the sets themselves are compared. Classes are first compared with the earliest
-class of each indexed word, which settles large groups of variants in a number of
-pairs that grows with the group, and only the others with all classes.
+Equal sets are one class, represented by its first line. Words are ordered by how
+often they occur in all texts, the rarest first, and the first n - ceil(0.8 n) + 1
+of a line are indexed: matching lines share one of these. Words that occur once
+can't be shared and leave the index. Candidates pass the length filter, the
+positional filter and a bound from parity bitmaps of the sets before the sets
+themselves are compared. Classes are first compared with the earliest class of each
+indexed word, which settles large groups of variants in a number of pairs that grows
+with the group, and only the others with all earlier classes. There, a word that
+HOT classes or more have in the index is only a key together with a second word:
+what matches through a word as the rarest shared one also shares the next rarest,
+which is among the first n - ceil(0.8 n) + 2.
+
+How often words occur is kept in CELLS counters by word hash, each as a logarithm in
+a byte, so that every task can hold the table (16 MB at most). Words that meet in a
+counter count as more frequent than they are, which costs time, but no match, as any
+order that all lines share keeps the join exact.
 
 Defined results: null text has no lines; ids are expected to be unique, and lines
 that share id and place count as one place; null ids come first; an empty table
@@ -23,24 +31,30 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import tidy, written
+from .shared import dropped, tidy, written
 
 #: Similarity as a fraction, and the least number of different words in a line.
 NUM, DEN, MIN_WORDS = 4, 5, 1
-BUCKETS = 1 << 16
+#: Counters of words: ROWS arrays of ROW each.
+ROWS, ROW = 1 << 12, 1 << 12
+CELLS = ROWS * ROW
+#: Classes with an indexed word from which on it needs a second one beside it.
+HOT = 200
 #: What identifies a set: a hash of its words, parities of their hash bits, and its size.
 KEYS = ("h", "bits", "more", "n")
 #: The index is joined in so many parts, one after the other, to bound the disk that its shuffle takes.
-PARTS = 4
-#: Bits of the filter that picks documents to read again: 64 * CELLS.
-CELLS = 1 << 16
+PARTS = 2
+#: Stands for a word that occurs once.
+ALONE = -1
+#: Longs of the filter that picks documents to read again, at most; 8 MB.
+FILTER_LONGS = 1 << 20
 
-WORDS = r"filter(CASE WHEN line RLIKE '[\\t\\x0B-\\x0D]' THEN split(line, '[\\x20\\t\\x0B-\\x0D]') ELSE split(line, ' ') END, w -> w <> '')"
-HASHES = f"array_distinct(transform({WORDS}, w -> xxhash64(w)))"
+SPLIT = r"split(line, '[\\x20\\t\\x0B-\\x0D]+')"
+#: An empty word at the beginning or end of a line hashes to itself and is left out.
+HASHES = f"array_distinct(array_remove(transform({SPLIT}, w -> xxhash64(w)), xxhash64('')))"
 
 
 def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -48,108 +62,145 @@ def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), F.posexplode(F.split(F.lower(docs[text_col]), "\n")).alias("place", "line"))
 
 
-def one_array(df: DataFrame, cells: int, value: Column, empty: int) -> DataFrame:
-    """(cell, v) as one row with one array of ``cells`` values."""
-    every = df.sparkSession.range(0, cells, 1, 4).select(F.col("id").alias("cell"), F.lit(empty).cast("long").alias("v"))
-    filled = every.unionByName(df.select("cell", "v")).groupBy("cell").agg(value.alias("v"))
-    return filled.agg(F.expr("transform(array_sort(collect_list(struct(cell, v))), x -> x.v)").alias("a"))
+def dense(entries: str, size: str = "") -> str:
+    """Sorted (at, v) entries as an array in which v stands at place ``at``, and 0 between."""
+    return f"flatten(transform({entries}, (x, i) -> concat(array_repeat(0Y, x.at - coalesce(get({entries}, i - 1).at, -1) - 1), array(x.v))))"
 
 
 def word_ranks(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: for each bucket a rank of 0 to 127 that grows with the number of its words in all texts."""
-    lines = docs.select(F.lower(docs[text_col]).alias("line"))
-    cells = lines.select(F.explode(F.expr(rf"transform(split(line, '[\\x20\\t-\\x0D]'), w -> cast(xxhash64(w) & {BUCKETS - 1} AS INT))")).alias("cell"))
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).select(F.col("cell").cast("long").alias("cell"), "v")
-    return one_array(counts, BUCKETS, F.expr("cast(least(127, floor(4 * log2(sum(v) + 1))) AS INT)"), 0)
+    """One row: for each counter 1 if its words occur once in all texts, more the more often they do; in ROWS arrays."""
+    words = docs.select(F.explode(F.split(F.lower(docs[text_col]), r"[\x20\t-\x0D]+")).alias("w")).filter("w <> ''")
+    counts = words.select(F.expr(f"xxhash64(w) & {CELLS - 1}L").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("times"))
+    steps = counts.select(F.expr(f"cast(cell div {ROW} AS INT)").alias("row"), F.struct(F.expr(f"cast(cell % {ROW} AS INT)").alias("at"), F.expr("cast(least(127, floor(3 * log2(times)) + 1) AS TINYINT)").alias("v")).alias("e"))
+    rows = steps.groupBy("row").agg(F.array_sort(F.collect_list("e")).alias("es")).select("row", F.expr(dense("es")).alias("cells"))
+    every = docs.sparkSession.range(0, ROWS, 1, 1).select(F.col("id").cast("int").alias("row"))
+    return every.join(rows, "row", "left").agg(F.expr("transform(array_sort(collect_list(struct(row, coalesce(cells, array(0Y)) AS cells))), x -> x.cells)").alias("ranks"))
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, place, h, bits, more, n, prefix) of all lines with enough words."""
+    """(doc_id, place, h, bits, more, n, prefix) of all lines with enough words; ``prefix`` has one word more than is indexed alone."""
     sets = text_lines(docs, id_col, text_col).select("doc_id", "place", F.expr(HASHES).alias("hs")).withColumn("n", F.size("hs")).filter(F.col("n") >= min_words)
     ranked = sets.withColumn("ranks", written(word_ranks(docs, text_col), "line-ranks").scalar())
-    key = f"shiftleft(cast(get(ranks, cast(h & {BUCKETS - 1} AS INT)) AS BIGINT), 56) | shiftrightunsigned(h, 8)"  # never negative
+    step = f"coalesce(get(get(ranks, cast(shiftright(h & {CELLS - 1}L, {ROW.bit_length() - 1}) AS INT)), cast(h & {ROW - 1}L AS INT)), 0Y)"
+    key = f"shiftleft(cast({step} AS BIGINT), 56) | shiftrightunsigned(h, 8)"  # never negative
     ranked = ranked.withColumn("keys", F.expr(f"sort_array(transform(hs, h -> {key}))"))
-    bit = "shiftleft(1L, cast(shiftrightunsigned(h, 57) & 63 AS INT))"
     return ranked.select(
         "doc_id",
         "place",
         F.expr("xxhash64(keys)").alias("h"),
-        F.expr(f"aggregate(hs, 0L, (a, h) -> a ^ CASE WHEN h < 0 THEN {bit} ELSE 0L END)").alias("bits"),
-        F.expr(f"aggregate(hs, 0L, (a, h) -> a ^ CASE WHEN h < 0 THEN 0L ELSE {bit} END)").alias("more"),
+        F.expr("aggregate(hs, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63L AS INT)))").alias("bits"),
+        F.expr("aggregate(hs, 0L, (a, h) -> a ^ shiftleft(1L, cast(shiftrightunsigned(h, 58) AS INT)))").alias("more"),
         "n",
-        F.expr(f"transform(slice(keys, 1, n - ({NUM} * n + {DEN - 1}) div {DEN} + 1), k -> cast(k % 2147483647 AS INT))").alias("prefix"),
+        F.expr(f"transform(slice(keys, 1, {indexed('n')} + 1), k -> CASE WHEN k < {2 << 56}L THEN {ALONE} ELSE cast(k % 2147483647 AS INT) END)").alias("prefix"),
     )
 
 
+def indexed(n: str) -> str:
+    """How many words of a set of ``n`` are indexed alone."""
+    return f"({n} - ({NUM} * {n} + {DEN - 1}) div {DEN} + 1)"
+
+
 def may_match(x: str, y: str) -> Column:
     """Length, positional and bitmap filters on the postings ``x`` and ``y``."""
     least = f"(({NUM} * ({x}.n + {y}.n) + {NUM + DEN - 1}) div {NUM + DEN})"  # words that must be shared
+    apart = f"({x}.n + {y}.n - 2 * {least})"
     return F.expr(
         f"{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n)"
         f" AND least({x}.n - {x}.at, {y}.n - {y}.at) >= {least}"
-        f" AND bit_count({x}.bits ^ {y}.bits) + bit_count({x}.more ^ {y}.more) <= {x}.n + {y}.n - 2 * {least}"
+        f" AND bit_count({x}.bits ^ {y}.bits) <= {apart} AND bit_count({x}.more ^ {y}.more) <= {apart}"
     )
 
 
+def postings(classes: DataFrame, part: int) -> DataFrame:
+    """(word, c): each indexed word of each class; sets so small that only equal ones match are left out."""
+    able = classes.filter(f"{DEN} * n >= {NUM} * (n + 1)").select("first", *KEYS, F.posexplode("prefix").alias("at", "word"))
+    mine = able.filter(f"word <> {ALONE} AND at < {indexed('n')} AND pmod(word, {PARTS}) = {part}")
+    return mine.select("word", F.struct("first", *KEYS, "at").alias("c"))
+
+
+def with_second(keyed: DataFrame, classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds ``second``: 0, or for hot words each word after it, up to one more than is indexed alone."""
+    keys = list(KEYS)
+    plain = keyed.join(hot, "word", "left_anti").withColumn("second", F.lit(0).cast("long"))
+    pairs = keyed.join(hot, "word", "left_semi").select("word", "c", *[F.col(f"c.{k}").alias(k) for k in keys])
+    longer = pairs.join(classes.select(*keys, "prefix"), keys).select("word", "c", F.explode(F.expr("slice(prefix, c.at + 2, size(prefix))")).alias("other"))
+    return plain.unionByName(longer.select("word", "c", (F.col("other").cast("long") + 1).alias("second")))
+
+
+def named(side: str) -> Column:
+    return F.struct(*[f"{side}.{k}" for k in KEYS])
+
+
 def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The later class (KEYS) of those pairs (x, y: structs of KEYS) whose sets really match."""
+    """The class ``x`` (KEYS) of those pairs (x, y: structs of KEYS) whose sets really match; only documents that hold one of them are read again."""
     keys = list(KEYS)
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("c")).select("c.*").distinct().join(classes.select(*keys, "first"), keys)
-    needed = written(needed.select(F.struct(*keys).alias("c"), "first", F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "line-needed")
-    cell = needed.select(F.expr(f"shiftrightunsigned(xxhash64(doc_id), 6) & {CELLS - 1}").alias("cell"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 AS INT))").alias("v"))
-    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("bitmap", one_array(cell, CELLS, F.bit_or("v"), 0).scalar())
-    own = own.filter(f"getbit(get(bitmap, cast(shiftrightunsigned(xxhash64(doc_id), 6) & {CELLS - 1} AS INT)), cast(xxhash64(doc_id) & 63 AS INT)) = 1")
-    lines = text_lines(own, "doc_id", "text")
-    sets = written(needed.join(lines, needed.doc_id.eqNullSafe(lines.doc_id) & (needed.place == lines.place)).select("c", "first", F.expr(HASHES).alias("hs")).dropDuplicates(["c"]), "line-sets")
-    side = lambda k: sets.select(F.col("c").alias(k), F.col("first").alias(f"f{k}"), F.col("hs").alias(f"h{k}"))
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().select("c.*").join(classes.select(*keys, "first"), keys)
+    needed = written(needed.select(F.struct(*keys).alias("c"), F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "line-needed")
+    lines = text_lines(holding(docs, needed, id_col, text_col), "doc_id", "text")
+    sets = written(needed.join(lines, needed.doc_id.eqNullSafe(lines.doc_id) & (needed.place == lines.place)).select("c", F.expr(HASHES).alias("hs")).dropDuplicates(["c"]), "line-sets")
+    side = lambda k: sets.select(F.col("c").alias(k), F.col("hs").alias(f"h{k}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
-    shared = F.size(F.array_intersect("hx", "hy"))
-    alike = both.filter(shared * (NUM + DEN) >= NUM * (F.size("hx") + F.size("hy")))
-    return alike.select(F.when(F.col("fx") > F.col("fy"), F.col("x")).otherwise(F.col("y")).alias("late")).select("late.*").distinct()
+    alike = both.filter(F.size(F.array_intersect("hx", "hy")) * (NUM + DEN) >= NUM * (F.size("hx") + F.size("hy")))
+    found = written(alike.select("x.*").distinct(), "line-found")
+    dropped(needed, sets)
+    return found
+
+
+def holding(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) of the documents named in ``needed`` and, as a filter of hash bits decides, a few more; texts aren't shuffled."""
+    longs = 1 << 10
+    while longs < min(FILTER_LONGS, needed.count() // 4):
+        longs *= 2
+    at, bit = (lambda c: f"shiftrightunsigned(xxhash64({c}), 6) & {longs - 1}L"), (lambda c: f"cast(xxhash64({c}) & 63L AS INT)")
+    cell = needed.select(F.expr(at("doc_id")).alias("cell"), F.expr(f"shiftleft(1L, {bit('doc_id')})").alias("v"))
+    every = docs.sparkSession.range(0, longs, 1, 4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("v"))
+    filled = every.unionByName(cell).groupBy("cell").agg(F.bit_or("v").alias("v")).agg(F.expr("transform(array_sort(collect_list(struct(cell, v))), x -> x.v)").alias("a"))
+    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).withColumn("bitmap", filled.scalar())
+    return own.filter(f"getbit(get(bitmap, cast({at('doc_id')} AS INT)), {bit('doc_id')}) = 1").select("doc_id", "text")
 
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, place) of every line that matches a line before it."""
-    spark, keys = docs.sparkSession, list(KEYS)
+    spark, keys, place = docs.sparkSession, list(KEYS), F.struct("doc_id", "place")
     lines = written(line_sets(docs, id_col, text_col, min_words), "lines")
-    classes = written(lines.groupBy(*keys).agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix")), "line-classes")
+    firsts = lines.groupBy(*keys).agg(F.min(place).alias("first"))
+    # A later line of an equal set goes; the first one stands for its class.
+    judged = written(lines.join(firsts, keys).withColumn("again", place > F.col("first")), "line-judged")
+    dropped(lines)
     tidy(spark)
-    early = F.col("first.doc_id") if isinstance(lines.schema["doc_id"].dataType, T.IntegralType) else F.lit(0)
-
-    def postings(of: DataFrame, part: int) -> DataFrame:
-        """Without sets too small to match any but equal ones."""
-        exploded = of.filter(f"{DEN} * n >= {NUM} * (n + 1)").select(*keys, early.cast("long").alias("early"), F.posexplode("prefix").alias("at", "word"))
-        return exploded.filter(F.pmod("word", F.lit(PARTS)) == part).withColumn("at", F.col("at").cast("int"))
+    classes = judged.filter("NOT again").select(*keys, "first", "prefix")
 
-    named = lambda p: F.struct(*[f"{p}.{k}" for k in keys])
-    heads = []
+    heads, pairs = [], []
     for part in range(PARTS):
-        head = F.min(F.struct("early", *keys, "at")).over(Window.partitionBy("word"))
-        rows = postings(classes, part).withColumn("head", head).select(F.struct(*keys, "at").alias("x"), "head")
-        heads.append(written(rows.filter((F.col("x.h") != F.col("head.h")) & may_match("x", "head")).select(named("x").alias("x"), named("head").alias("y")).distinct(), "line-pairs"))
+        posted = postings(classes, part)
+        # The earliest class of each word that several have, and how many have it.
+        heads.append(written(posted.groupBy("word").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "line-heads"))
+        met = posted.join(heads[-1], "word").filter((F.col("c.first") > F.col("head.first")) & may_match("c", "head"))
+        pairs.append(written(met.select(named("c").alias("x"), named("head").alias("y")).distinct(), "line-pairs"))
         tidy(spark)
-    once = written(matching(reduce(DataFrame.unionByName, heads).distinct(), classes, docs, id_col, text_col), "line-found")
-    left = classes.join(once, keys, "left_anti")
-    pairs = []
+    once = matching(reduce(DataFrame.unionByName, pairs).distinct(), classes, docs, id_col, text_col)
+    dropped(*pairs)
+    left, pairs = classes.join(once, keys, "left_anti"), []
     for part in range(PARTS):
-        x = postings(left, part).select("word", F.struct(*keys, "at").alias("x"))
-        y = postings(classes, part).select("word", F.struct(*keys, "at").alias("y"))
-        met = x.join(y, "word").filter((F.col("x.h") != F.col("y.h")) & may_match("x", "y"))
+        hot = heads[part].filter(f"many >= {HOT}").select("word")
+        shared = heads[part].select("word")
+        x = with_second(postings(left, part).join(shared, "word", "left_semi"), classes, hot).select("word", "second", F.col("c").alias("x"))
+        y = with_second(postings(classes, part).join(shared, "word", "left_semi"), classes, hot).select("word", "second", F.col("c").alias("y"))
+        met = x.join(y, ["word", "second"]).filter((F.col("x.first") > F.col("y.first")) & may_match("x", "y"))
         pairs.append(written(met.select(named("x").alias("x"), named("y").alias("y")).distinct(), "line-pairs"))
+        dropped(heads[part])
         tidy(spark)
-    then = written(matching(reduce(DataFrame.unionByName, pairs).distinct(), classes, docs, id_col, text_col), "line-found")
-    tidy(spark)
-    late = once.unionByName(then).distinct().withColumn("gone", F.lit(True))
-    special = written(classes.join(late, keys, "left").select(*keys, "first", "copies", F.coalesce("gone", F.lit(False)).alias("gone")).filter("gone OR copies > 1"), "line-special")
-    place = F.struct("doc_id", "place")
-    return lines.join(special, keys).filter(F.col("gone") | (place > F.col("first"))).select("doc_id", "place")
+    then = matching(reduce(DataFrame.unionByName, pairs).distinct(), classes, docs, id_col, text_col)
+    dropped(*pairs)
+    late = once.unionByName(then).withColumn("gone", F.lit(True))
+    return judged.join(late, keys, "left").filter("again OR gone").select("doc_id", "place")
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines (places from 0, comma-joined) for every row."""
     gone = removed_lines(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_set("place")).alias("places"))
-    counted = docs.select(docs[id_col].alias("doc_id"), F.coalesce(F.size(F.split(docs[text_col], "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    counted = counted.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
+    n_lines = F.when(docs[text_col].isNull(), 0).otherwise(F.length(docs[text_col]) - F.length(F.replace(docs[text_col], F.lit("\n"))) + 1)
+    counted = docs.select(docs[id_col].alias("doc_id"), n_lines.cast("long").alias("n_lines"))
     return counted.join(gone, counted.doc_id.eqNullSafe(gone.of), "left").select(
         "doc_id",
         "n_lines",
@@ -159,8 +210,11 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
 
 def without_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with shortened texts and all other columns."""
-    gone = removed_lines(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("place").alias("_places"))
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda line, k: ~F.array_contains("_places", k)), "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone._of), "left")
-    return joined.withColumn(text_col, F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    """``docs`` with shortened texts and all other columns, whatever their names."""
+    gone = removed_lines(docs, min_words, id_col, text_col).groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("place").alias("places"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(gone, F.col(f"row.{id_col}").eqNullSafe(gone.of), "left")
+    text = F.col(f"row.{text_col}")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("places", k)), "\n")
+    shorter = F.when(F.col("places").isNull(), text).otherwise(kept)
+    return joined.select(*[shorter.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

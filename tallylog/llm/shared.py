@@ -27,8 +27,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PY_LOWER = str.maketrans(UPPER, LOWER)
 PY_WORD = re.compile(WORD)
 
-#: Text bytes that a Python worker handles at once.
-SLICE = 8 << 20
+#: Text bytes that a Python worker handles at once, and that it is sent at once.
+SLICE, BATCH = 2 << 20, 8 << 20
 
 
 def lower_ascii(text: Column) -> Column:
@@ -40,6 +40,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Sets the session to send rows to Python workers in batches of BATCH bytes, so that long texts don't add up in executors' memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -78,7 +84,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, so that its lineage is cut and its size is known to the planner."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` from which nothing will be computed any more."""
+    for table in tables:
+        drop_path(table.sparkSession, table.scratch)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
