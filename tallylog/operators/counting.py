@@ -12,42 +12,6 @@ def ok(rows: DataFrame) -> DataFrame:
     return rows.filter("kind = 'ok'")
 
 
-def line_order(rows: DataFrame) -> Column:
-    return F.struct("file", "block", "pos")
-
-
-def with_continuation(rows: DataFrame, first_parsed) -> DataFrame:
-    """Failed lines of application logs: continuations if they are indented or follow some parsed line (``first_parsed``: file, block, pos or None)."""
-    later = F.lit(False) if first_parsed is None else line_order(rows) > F.struct(*[F.lit(x).cast(rows.schema[n].dataType) for x, n in zip(first_parsed, ("file", "block", "pos"), strict=True)])
-    return rows.withColumn("kind", F.when((F.col("kind") == "indented") | ((F.col("kind") == "failed") & later), "continuation").otherwise(F.col("kind")))
-
-
-def first_parsed(rows: DataFrame) -> DataFrame:
-    """One row with ``at``: file, block and pos of the first parsed line."""
-    return rows.agg(F.min(F.when(F.col("kind") == "ok", line_order(rows))).alias("at"))
-
-
-def block_counts(rows: DataFrame) -> DataFrame:
-    """Lines of each kind by file and block."""
-    kind = lambda *names: F.count_if(F.col("kind").isin(*names))
-    return rows.groupBy("file", "block").agg(
-        F.count(F.lit(1)).alias("lines"),
-        kind("ok").alias("parsed"),
-        kind("continuation").alias("continuation"),
-        kind("failed", "indented").alias("unparseable"),
-        F.min("pos").alias("first_pos"),
-    )
-
-
-def line_counts(rows: DataFrame) -> DataFrame:
-    """One row: lines, parsed, unparseable, continuation_lines."""
-    return block_counts(rows).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name) for c, name in (("lines", "lines"), ("parsed", "parsed"), ("unparseable", "unparseable"), ("continuation", "continuation_lines"))])
-
-
-def first_failed(rows: DataFrame, n: int = 5) -> DataFrame:
-    return rows.filter("kind IN ('failed', 'indented')").orderBy("file", "block", "pos").limit(n).select("file", "block", "pos", "text")
-
-
 def status_classes(rows: DataFrame) -> DataFrame:
     name = F.concat(F.floor(F.col("status") / 100).cast("string"), F.lit("xx"))
     return ok(rows).groupBy(name.alias("class")).agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from enum import Enum
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +33,11 @@ def _after(text: Column, length: Column) -> Column:
     return text.substr(length + 1, F.lit(MAX_CHARS))
 
 
-def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0) -> DataFrame:
-    """Adds ``rec``: ts_ms, method, path, status, bytes, latency_s. Steps are columns of their own, so none is computed twice."""
+ACCESS_FIELDS, APP_FIELDS = ("ts_ms", "method", "path", "status", "bytes", "latency_s"), ("ts_ms", "level_rank", "message", "latency_s")
+
+
+def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0, fields: Sequence[str] = ACCESS_FIELDS) -> DataFrame:
+    """Adds ``rec`` with ``fields``. Steps are columns of their own, so none is computed twice; what isn't asked for isn't computed."""
     opened = F.instr(line, "[")
     step = df.withColumn("_r", F.when(opened > 0, _after(F.col(line), opened)))
     step = step.withColumn("_t", F.substring_index("_r", "]", 1))
@@ -47,14 +51,15 @@ def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0) -> Dat
     status = F.when(F.col("_s").rlike(r"^\+?[0-9]+$"), F.col("_s").try_cast("int"))
     size = F.when(F.col("_b") == "-", F.lit(0).cast("long")).when(F.col("_b").rlike(r"^\+?[0-9]+$"), F.col("_b").try_cast("long"))
     step = step.withColumn("_s", status).withColumn("_b", size)
-    record = F.struct(
-        F.col("_ms").alias("ts_ms"),
-        F.split_part("_q", F.lit(" "), F.lit(1)).alias("method"),
-        F.split_part("_q", F.lit(" "), F.lit(2)).alias("path"),
-        F.col("_s").alias("status"),
-        F.col("_b").alias("bytes"),
-        access_seconds(F.col("_a"), scale).alias("latency_s"),
-    )
+    each = {
+        "ts_ms": F.col("_ms"),
+        "method": F.split_part("_q", F.lit(" "), F.lit(1)),
+        "path": F.split_part("_q", F.lit(" "), F.lit(2)),
+        "status": F.col("_s"),
+        "bytes": F.col("_b"),
+        "latency_s": access_seconds(F.col("_a"), scale),
+    }
+    record = F.struct(*[each[f].alias(f) for f in fields])
     good = F.col("_q").isNotNull() & F.col("_s").between(100, 599) & F.col("_b").isNotNull()
     return step.withColumn("rec", _opaque(F.when(good, record), df)).drop("_r", "_t", "_ms", "_q", "_a", "_f", "_s", "_b")
 
@@ -73,52 +78,64 @@ def access_seconds(after: Column, scale: float) -> Column:
     return F.when(F.contains(after, F.lit("rt=")) | F.contains(after, F.lit("request_time=")), by_key).otherwise(bare)
 
 
-def app_fields(df: DataFrame, line: str = "value") -> DataFrame:
-    """Adds ``rec``: ts_ms, level_rank, message, latency_s."""
+def app_fields(df: DataFrame, line: str = "value", fields: Sequence[str] = APP_FIELDS) -> DataFrame:
+    """Adds ``rec`` with ``fields``."""
     step = times.with_iso(df, line, "_ms", "_used")
     step = step.withColumn("_r", F.when(F.col("_ms").isNotNull(), _after(F.col(line), F.col("_used"))))
     step = step.withColumn("_w", F.regexp_extract("_r", words.LEVEL_LINE, 1)).withColumn("_l", words.level_rank(F.col("_w")))
-    step = step.withColumn("_m", F.when(F.col("_l").isNotNull(), F.regexp_extract("_r", words.LEVEL_LINE, 2)))
-    step = words.with_message_seconds(step, "_m", "_lat")
-    record = F.struct(F.col("_ms").alias("ts_ms"), F.col("_l").alias("level_rank"), F.col("_m").alias("message"), F.col("_lat").alias("latency_s"))
+    if {"message", "latency_s"} & {*fields}:
+        step = step.withColumn("_m", F.when(F.col("_l").isNotNull(), F.regexp_extract("_r", words.LEVEL_LINE, 2)))
+    if "latency_s" in fields:
+        step = words.with_message_seconds(step, "_m", "_lat")
+    at = {"ts_ms": "_ms", "level_rank": "_l", "message": "_m", "latency_s": "_lat"}
+    record = F.struct(*[F.col(at[f]).alias(f) for f in fields])
     return step.withColumn("rec", _opaque(F.when(F.col("_l").isNotNull(), record), df)).drop("_ms", "_used", "_r", "_w", "_l", "_m", "_lat")
 
 
-def with_record(df: DataFrame, fmt: LogFormat, line: str = "value", scale: float = 1.0) -> DataFrame:
-    return access_fields(df, line, scale) if fmt == LogFormat.ACCESS else app_fields(df, line)
+def with_record(df: DataFrame, fmt: LogFormat, line: str = "value", scale: float = 1.0, fields: Sequence[str] | None = None) -> DataFrame:
+    if fmt == LogFormat.ACCESS:
+        return access_fields(df, line, scale, fields or ACCESS_FIELDS)
+    return app_fields(df, line, fields or APP_FIELDS)
+
+
+#: Columns of parsed rows besides file, block, pos and kind, and the fields of a line that each is made from.
+MADE_FROM = {
+    LogFormat.ACCESS: {"ts_ms": ["ts_ms"], "minute": ["ts_ms"], "latency_s": ["latency_s"], "text": [], "is_error": ["status"], "status": ["status"], "bytes": ["bytes"], "route": ["method", "path"]},
+    LogFormat.APP: {"ts_ms": ["ts_ms"], "minute": ["ts_ms"], "latency_s": ["latency_s"], "text": [], "is_error": ["level_rank"], "level_rank": ["level_rank"], "message": ["level_rank", "message"]},
+}
 
 
-def parsed(lines: DataFrame, fmt: LogFormat, scale: float = 1.0) -> DataFrame:
-    """Narrow rows for all aggregates: file, block, pos, kind, ts_ms, minute, is_error, latency_s and the format's own columns.
+def parsed(lines: DataFrame, fmt: LogFormat, scale: float = 1.0, columns: Sequence[str] | None = None) -> DataFrame:
+    """Narrow rows for all aggregates: file, block, pos, kind and, of MADE_FROM, all columns or those asked for.
 
     ``kind``: ok, failed, indented (failed and indented) or blank. ``text`` is kept for failed lines only.
     """
-    rows = with_record(lines, fmt, scale=scale)
+    asked = columns if columns is not None else list(MADE_FROM[fmt])
+    needed = {f for c in asked for f in MADE_FROM[fmt][c]} or {"ts_ms"}
+    rows = with_record(lines, fmt, scale=scale, fields=[f for f in (ACCESS_FIELDS if fmt == LogFormat.ACCESS else APP_FIELDS) if f in needed])
     ok = F.col("rec").isNotNull()
     kind = F.when(ok, "ok").when(words.is_blank(F.col("value")), "blank").when(words.is_indented(F.col("value")), "indented").otherwise("failed")
-    common = [
-        "file",
-        "block",
-        "pos",
-        kind.alias("kind"),
-        F.col("rec.ts_ms").alias("ts_ms"),
-        times.minute_of(F.col("rec.ts_ms")).alias("minute"),
-        F.col("rec.latency_s").alias("latency_s"),
-        F.when(~ok, F.substring("value", 1, words.EXAMPLE_CHARS)).alias("text"),
-    ]
-    if fmt == LogFormat.ACCESS:
-        key = F.when(ok, F.concat_ws(" ", "rec.method", words.route(F.col("rec.path"))))
-        own = [(F.col("rec.status") >= 500).alias("is_error"), F.col("rec.status").alias("status"), F.col("rec.bytes").alias("bytes"), key.alias("route")]
-    else:
-        bad = F.col("rec.level_rank") >= words.ERROR_RANK
-        own = [bad.alias("is_error"), F.col("rec.level_rank").alias("level_rank"), F.when(bad, words.message_key(F.col("rec.message"))).alias("message")]
-    return rows.select(*common, *own)
+    field = lambda name: F.col(f"rec.{name}")
+    made = {
+        "ts_ms": lambda: field("ts_ms"),
+        "minute": lambda: times.minute_of(field("ts_ms")),
+        "latency_s": lambda: field("latency_s"),
+        "text": lambda: F.when(~ok, F.substring("value", 1, words.EXAMPLE_CHARS)),
+        "is_error": lambda: field("status") >= 500 if fmt == LogFormat.ACCESS else field("level_rank") >= words.ERROR_RANK,
+        "status": lambda: field("status"),
+        "bytes": lambda: field("bytes"),
+        "route": lambda: F.when(ok, F.concat_ws(" ", field("method"), words.route(field("path")))),
+        "level_rank": lambda: field("level_rank"),
+        "message": lambda: F.when(field("level_rank") >= words.ERROR_RANK, words.message_key(field("message"))),
+    }
+    return rows.select("file", "block", "pos", kind.alias("kind"), *[made[c]().alias(c) for c in asked])
 
 
 def detect(lines: DataFrame, most: int = 50, head_bytes: int = 64 << 10) -> LogFormat | None:
     """The format of the first line that has one, among the first 50 lines that aren't blank within the first 64 KiB."""
     head = lines.filter(~words.is_blank(F.col("value"))).orderBy("file", "block", "pos").limit(most)
-    marked = app_fields(access_fields(head).withColumnRenamed("rec", "acc")).select("file", "block", "pos", F.col("acc").isNotNull().alias("acc"), F.col("rec").isNotNull().alias("app"), F.octet_length("value").alias("n"))
+    marked = app_fields(access_fields(head, fields=["ts_ms"]).withColumnRenamed("rec", "acc"), fields=["ts_ms"])
+    marked = marked.select("file", "block", "pos", F.col("acc").isNotNull().alias("acc"), F.col("rec").isNotNull().alias("app"), F.octet_length("value").alias("n"))
     seen = 0
     for row in marked.orderBy("file", "block", "pos").collect():  # at most 50 rows
         if seen > head_bytes:

@@ -25,7 +25,7 @@ def traffic(minutes: DataFrame, value: str) -> DataFrame:
         F.min("minute").alias("lo"),
         F.max("minute").alias("hi"),
     )
-    fits = F.col("lo").isNotNull() & (F.col("hi") - F.col("lo") + 1 <= MAX_MINUTES)
+    fits = F.col("lo").isNotNull() & (F.col("hi") - F.col("lo") <= MAX_MINUTES)
     return far.select(
         F.when(fits, F.col("median")).otherwise(F.lit(0.0)).alias("median"),
         F.when(fits, F.col("mad")).otherwise(F.lit(0.0)).alias("mad"),

@@ -16,7 +16,8 @@ def admitted(v: Column) -> Column:
 
 
 def bucket(v: Column) -> Column:
-    return F.ceil(F.log(F.greatest(v, F.lit(FLOOR))) / F.log(F.lit(RATIO))).cast("int")
+    """Null for null, which ``greatest`` would leave out."""
+    return F.when(v.isNotNull(), F.ceil(F.log(F.greatest(v, F.lit(FLOOR))) / F.log(F.lit(RATIO))).cast("int"))
 
 
 def sketch(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 EVENTS = """ev AS (
   SELECT event_id AS id, user_id, event_type, epoch_us(ts) // 1000 AS full_ms, epoch_us(ts) // 1000000 * 1000 AS ms, epoch_us(ts) // 60000000 AS minute, floor(value * 1000)::BIGINT AS n,
-         floor(value * 1000)::BIGINT * 0.001::DOUBLE AS lat,
+         floor(value * 1000)::BIGINT * 0.001::DOUBLE AS took, CASE WHEN user_id % 17 <> 3 THEN floor(value * 1000)::BIGINT * 0.001::DOUBLE END AS lat, user_id % 13 AS part,
          CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'GET' WHEN 'error' THEN 'GET' ELSE 'POST' END AS method,
          CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 302 WHEN 'purchase' THEN 201 WHEN 'signup' THEN 404 WHEN 'error' THEN 500 END AS status,
-         CASE event_type WHEN 'view' THEN 'INFO' WHEN 'click' THEN 'DEBUG' WHEN 'purchase' THEN 'INFO' WHEN 'signup' THEN 'WARN' WHEN 'error' THEN 'ERROR' END AS level,
-         CASE WHEN event_id % 101 = 7 THEN 'text' WHEN event_id % 211 = 5 THEN 'indent' WHEN event_id % 307 = 3 THEN 'blank' ELSE 'ok' END AS line
+         CASE event_type WHEN 'view' THEN CASE WHEN event_id % 10 = 0 THEN 'TRACE' ELSE 'INFO' END WHEN 'click' THEN 'DEBUG' WHEN 'purchase' THEN 'INFO' WHEN 'signup' THEN 'WARN' WHEN 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'FATAL' ELSE 'ERROR' END END AS level,
+         CASE WHEN event_id % 101 = 7 OR event_id < 3 THEN 'text' WHEN event_id % 211 = 5 THEN 'indent' WHEN event_id % 307 = 3 THEN 'blank' ELSE 'ok' END AS line
   FROM events),
-rt AS (SELECT *, method || ' /u/:id/' || event_type AS route FROM ev),
-sk AS (SELECT route, ceil(ln(greatest(lat, 1e-6)) / ln(1.02::DOUBLE))::INT AS bucket, count(*) AS n, max(lat) AS top FROM rt GROUP BY ALL)"""
+rt AS (SELECT *, method || ' /u/:id/' || event_type || '/s' || part AS route FROM ev),
+sk AS (SELECT route, ceil(ln(greatest(lat, 1e-6)) / ln(1.02::DOUBLE))::INT AS bucket, count(*) AS n, max(lat) AS top FROM rt WHERE lat IS NOT NULL GROUP BY ALL)"""
 
 BURSTS = f"""{EVENTS},
 evp AS (SELECT * FROM ev UNION ALL SELECT ev.* FROM ev, range(40) WHERE id % 997 = 0),
@@ -58,11 +58,67 @@ STEP_TOTALS = """SELECT count(*) FILTER (ms < prev) AS out_of_order, count(*) FI
 
 #: Lines of the application log: what each is, given whether any line before it parsed.
 APP_LINES = f"{EVENTS}, al AS (SELECT *, CASE WHEN line = 'text' AND id < (SELECT min(id) FROM ev WHERE line = 'ok') THEN 'bad' WHEN line IN ('text', 'indent') THEN 'more' ELSE line END AS kind FROM ev)"
-APP_ERRORS = f"{EVENTS}, er AS (SELECT 'user #: error of cart # took # ms' AS message, count(*) AS n FROM ev WHERE line = 'ok' AND level = 'ERROR' HAVING count(*) > 0)"
+APP_ERRORS = f"{EVENTS}, er AS (SELECT 'user #: error of cart # step ' || chr(97 + part::INT) || ' took # ms' AS message, count(*) AS n FROM ev WHERE line = 'ok' AND level IN ('ERROR', 'FATAL') GROUP BY ALL)"
+
+def report(fmt: str) -> str:
+    """All fields of the report on the events, as (field, value)."""
+    access = fmt == "access"
+    minute = lambda x: f"strftime(make_timestamp({x} * 60000000), '%Y-%m-%d %H:%M')"
+    second = lambda x: f"strftime(make_timestamp({x} * 1000), '%Y-%m-%d %H:%M:%S')"
+    real = lambda x: f"printf('%.3f', {x}::DOUBLE)"
+    if access:  # with bursts
+        log = """lg AS (SELECT id * 64 + copy AS o, ms, minute, status >= 500 AS bad, status // 100 || 'xx' AS kind, user_id % 5000 AS bytes, lat, method || ' /u/:id/' || event_type || '/s' || part AS route, 'ok' AS line
+  FROM (SELECT *, unnest(range(1, CASE WHEN id % 997 = 0 THEN 42 ELSE 2 END)) AS copy FROM ev))"""
+    else:
+        log = "lg AS (SELECT id AS o, full_ms AS ms, minute, level IN ('ERROR', 'FATAL') AS bad, level AS kind, 0 AS bytes, took AS lat, NULL AS route, line, id FROM ev)"
+    text = "NULL" if access else "CASE line WHEN 'text' THEN 'plain text ' || id ELSE '    at frame ' || id END"
+    ctes = [f"WITH {EVENTS}", log]
+    ctes.append(f"""al AS (SELECT *, row_number() OVER (ORDER BY o) AS line_no, {text} AS text,
+  CASE WHEN line = 'text' AND NOT COALESCE(bool_or(line = 'ok') OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'bad' WHEN line IN ('text', 'indent') THEN 'more' ELSE line END AS what FROM lg)""")
+    ctes.append("ok AS (SELECT *, lag(ms) OVER (ORDER BY o) AS prev FROM al WHERE what = 'ok')")
+    ctes.append("mc AS (SELECT minute, count(*) AS n, count(*) FILTER (bad) AS errors FROM ok GROUP BY minute)")
+    ctes.append("every AS (SELECT unnest(generate_series((SELECT min(minute) FROM mc), (SELECT max(minute) FROM mc))) AS minute)")
+    for value in ("n", "errors"):
+        ctes.append(f"f_{value} AS (SELECT minute, COALESCE(mc.{value}, 0) AS v FROM every LEFT JOIN mc USING (minute))")
+        ctes.append(f"m_{value} AS (SELECT median(v) AS median FROM f_{value})")
+        ctes.append(f"s_{value} AS (SELECT (SELECT median FROM m_{value}) AS median, median(round(abs(v - (SELECT median FROM m_{value})))) AS mad, max(v) AS peak, arg_min(minute, (-v, minute)) AS peak_minute FROM f_{value})")
+        ctes.append(f"""p_{value} AS (SELECT row_number() OVER (ORDER BY v DESC, minute) - 1 AS k, minute, v, CASE WHEN median > 0 THEN v / median ELSE 0 END AS times
+  FROM f_{value}, s_{value} WHERE v > median + 6 * greatest(1.4826 * mad, 1) AND v >= 2 * greatest(median, 1) QUALIFY k < 5)""")
+    ctes.append("sk2 AS (SELECT route, ceil(ln(greatest(lat, 1e-6)) / ln(1.02::DOUBLE))::INT AS bucket, count(*) AS n, max(lat) AS top FROM ok WHERE lat IS NOT NULL GROUP BY ALL)")
+    ctes.append("sk1 AS (SELECT bucket, sum(n) AS n, max(top) AS top FROM sk2 GROUP BY bucket)")
+    ctes.append(f"g AS (SELECT * FROM (WITH {quantiles('sk1', '', {'p50': '0.5', 'p95': '0.95', 'p99': '0.99', 'p999': '0.999'})} SELECT * FROM q))")
+    ctes.append(f"rq AS (SELECT * FROM (WITH {quantiles('sk2', 'route', {'p95': '0.95', 'p99': '0.99'})} SELECT * FROM q))")
+    ctes.append("rc AS (SELECT route, count(*) AS requests, count(*) FILTER (bad) AS errors FROM ok WHERE route IS NOT NULL GROUP BY route)")
+    ctes.append("rl AS (SELECT *, row_number() OVER (ORDER BY p95 DESC, route) - 1 AS k FROM rc JOIN rq USING (route) WHERE samples >= 20 QUALIFY k < 5)")
+    ctes.append("re AS (SELECT rc.*, p95, p99, row_number() OVER (ORDER BY errors DESC, rc.route) - 1 AS k FROM rc LEFT JOIN rq USING (route) WHERE errors > 0 QUALIFY k < 5)")
+    ctes.append("ex AS (SELECT CASE WHEN ms < prev THEN 'out_of_order_examples' ELSE 'gap_examples' END AS tag, line_no, ms, prev, row_number() OVER (PARTITION BY ms < prev ORDER BY line_no) - 1 AS k FROM ok WHERE ms < prev OR ms - prev > 300000 QUALIFY k < 5)")
+    ctes.append("tot AS (SELECT count(*) AS lines, count(*) FILTER (what = 'ok') AS parsed, count(*) FILTER (what = 'bad') AS bad, count(*) FILTER (what = 'more') AS more, sum(bytes) FILTER (what = 'ok') AS bytes FROM al)")
+    one = {"format": f"'{fmt}'", "lines": "lines::VARCHAR", "parsed": "parsed::VARCHAR", "unparseable": "bad::VARCHAR", "continuation_lines": "more::VARCHAR", "bytes": "bytes::BIGINT::VARCHAR"}
+    parts = [f"SELECT '{k}' AS field, {v} AS value FROM tot" for k, v in one.items()]
+    span = {"first_utc": minute("min(minute)"), "last_utc": minute("max(minute)")}
+    parts += [f"SELECT '{k}', {v} FROM mc" for k, v in span.items()]
+    stats = {"median_per_minute": real("median"), "peak_per_minute": "peak::VARCHAR", "peak_minute_utc": minute("peak_minute")}
+    parts += [f"SELECT '{k}', {v} FROM s_n" for k, v in stats.items()]
+    order = {"out_of_order": "count(*) FILTER (ms < prev)::VARCHAR", "gaps": "count(*) FILTER (ms - prev > 300000)::VARCHAR", "longest_gap_seconds": real("COALESCE(max(ms - prev) FILTER (ms - prev > 300000), 0) / 1000.0")}
+    parts += [f"SELECT '{k}', {v} FROM ok" for k, v in order.items()]
+    lists = [(f"{name}_spikes", f"p_{v}", {"minute_utc": minute("minute"), "count": "v::VARCHAR", "times_median": real("times")}) for name, v in (("traffic", "n"), ("error", "errors"))]
+    if access:
+        routes = {"route": "route", "requests": "requests::VARCHAR", "errors": "errors::VARCHAR", "p95_ms": f"CASE WHEN p95 IS NOT NULL THEN {real('p95 * 1000')} END", "p99_ms": f"CASE WHEN p99 IS NOT NULL THEN {real('p99 * 1000')} END"}
+        lists += [("slow_routes", "rl", routes), ("error_routes", "re", routes)]
+    else:
+        ctes.append("me AS (SELECT 'user #: error of cart # step ' || chr(97 + part::INT) || ' took # ms' AS message, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, message) - 1 AS k FROM ev WHERE line = 'ok' AND level IN ('ERROR', 'FATAL') GROUP BY message QUALIFY k < 5)")
+        ctes.append("bl AS (SELECT line_no, text, row_number() OVER (ORDER BY line_no) - 1 AS k FROM al WHERE what = 'bad' QUALIFY k < 5)")
+        lists += [("top_errors", "me", {"0": "message", "1": "n::VARCHAR"}), ("unparseable_examples", "bl", {"0": "line_no::VARCHAR", "1": "text"})]
+    parts += [f"SELECT '{name}.' || k || '.{c}', {v} FROM {source}" for name, source, columns in lists for c, v in columns.items()]
+    parts += [f"SELECT tag || '.' || k || '.{c}', {v} FROM ex" for c, v in {"line": "line_no::VARCHAR", "at_utc": second("ms"), "previous_utc": second("prev")}.items()]
+    parts.append(f"SELECT '{'status_classes' if access else 'levels'}.' || kind, count(*)::VARCHAR FROM ok GROUP BY kind")
+    parts += [f"SELECT 'latency.{c}', {v} FROM g" for c, v in {"samples": "samples::VARCHAR", **{f"{q}_ms": real(f"{q} * 1000") for q in ("p50", "p95", "p99", "p999")}, "max_ms": real("top * 1000")}.items()]
+    return ",\n".join(ctes) + "\n" + "\nUNION ALL ".join(parts)
+
 
 ORACLES = {
-    "access_parse": f"WITH {EVENTS} SELECT ms AS ts_ms, method, '/u/' || user_id || '/' || event_type || '?k=' || id AS path, status, user_id % 5000 AS bytes, round(lat, 6) AS latency_s FROM ev",
-    "app_parse": f"""WITH {EVENTS} SELECT full_ms AS ts_ms, level, 'user ' || user_id || ': ' || event_type || ' of cart ' || id % 50 || ' took ' || n || ' ms' AS message, round(lat, 6) AS latency_s FROM ev WHERE line = 'ok'""",
+    "access_parse": f"WITH {EVENTS} SELECT ms AS ts_ms, method, '/u/' || user_id || '/' || event_type || '/s' || part || '?k=' || id AS path, status, user_id % 5000 AS bytes, round(lat, 6) AS latency_s FROM ev",
+    "app_parse": f"""WITH {EVENTS} SELECT full_ms AS ts_ms, level, 'user ' || user_id || ': ' || event_type || ' of cart ' || id % 50 || ' step ' || chr(97 + part::INT) || ' took ' || n || ' ms' AS message, round(took, 6) AS latency_s FROM ev WHERE line = 'ok'""",
     "detect_format": "SELECT * FROM (VALUES ('access', 'access'), ('app', 'app'), ('neither', NULL)) t(log, format)",
     "clf_time": """SELECT o_orderkey, CASE o_orderkey % 10 WHEN 6 THEN NULL WHEN 7 THEN NULL WHEN 9 THEN NULL
   ELSE epoch_us(o_orderdate) // 1000000 * 1000 - 60000 * CASE o_orderkey % 10 WHEN 2 THEN 330 WHEN 3 THEN -210 WHEN 5 THEN 840 ELSE 0 END END AS ms FROM orders""",
@@ -76,7 +132,7 @@ FROM (SELECT page_id, regexp_extract(url, '^[^?#]*') AS p FROM pages)""",
     "normalize_message": """SELECT conv_id, turn, regexp_replace(left(text, 160), '[0-9]+', '#', 'g') AS key FROM (
   SELECT conv_id::VARCHAR AS conv_id, turn::BIGINT AS turn, text FROM conversations
   UNION ALL SELECT event_id::VARCHAR, -1, concat_ws(' ', props, rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.')) FROM events)""",
-    "message_latency": f"""WITH {EVENTS} SELECT id, round(CASE id % 9 WHEN 0 THEN lat WHEN 1 THEN lat WHEN 3 THEN n::DOUBLE WHEN 5 THEN 7.0 WHEN 8 THEN n + 0.5::DOUBLE END, 6) AS seconds FROM ev""",
+    "message_latency": f"""WITH {EVENTS} SELECT id, round(CASE id % 9 WHEN 0 THEN took WHEN 1 THEN took WHEN 3 THEN n::DOUBLE WHEN 5 THEN 7.0 WHEN 8 THEN n + 0.5::DOUBLE END, 6) AS seconds FROM ev""",
     "level_words": """SELECT CASE WHEN k IN (0, 1, 2) THEN 'TRACE' WHEN k IN (3, 4) THEN 'DEBUG' WHEN k IN (5, 6, 7) THEN 'INFO' WHEN k IN (8, 9, 10) THEN 'WARN' WHEN k IN (11, 12, 13) THEN 'ERROR' WHEN k < 18 THEN 'FATAL' ELSE '-' END AS level, count(*) AS n
 FROM (SELECT event_id % 21 AS k FROM events) GROUP BY ALL""",
     "access_status_classes": f"WITH {EVENTS} SELECT status // 100 || 'xx' AS class, count(*) AS n FROM ev GROUP BY ALL",
@@ -87,18 +143,18 @@ FROM (SELECT event_id % 21 AS k FROM events) GROUP BY ALL""",
     "minute_counts": f"WITH {EVENTS} SELECT minute, count(*) AS n, count(*) FILTER (status >= 500) AS errors FROM ev GROUP BY minute",
     "minute_span": "SELECT strftime(min(ts), '%Y-%m-%d %H:%M') AS first_utc, strftime(max(ts), '%Y-%m-%d %H:%M') AS last_utc FROM events",
     "app_levels": f"WITH {EVENTS} SELECT level, count(*) AS n FROM ev WHERE line = 'ok' GROUP BY level",
-    "top_errors": f"WITH {APP_ERRORS} SELECT message, n FROM er",
-    "capped_errors": f"WITH {APP_ERRORS} SELECT message, n FROM er",
+    "top_errors": f"WITH {APP_ERRORS} SELECT message, n FROM er ORDER BY n DESC, message LIMIT 10",
+    "capped_errors": f"WITH {APP_ERRORS}, k AS (SELECT *, row_number() OVER (ORDER BY n DESC, message) AS k FROM er) SELECT CASE WHEN k <= 3 THEN message ELSE '(other)' END AS message, sum(n)::BIGINT AS n FROM k GROUP BY ALL",
     "line_counts": f"WITH {APP_LINES} SELECT count(*) AS lines, count(*) FILTER (kind = 'ok') AS parsed, count(*) FILTER (kind = 'bad') AS unparseable, count(*) FILTER (kind = 'more') AS continuation_lines FROM al",
     "access_line_counts": f"WITH {EVENTS} SELECT count(*) AS lines, 0::BIGINT AS parsed, count(*) FILTER (line <> 'blank') AS unparseable, 0::BIGINT AS continuation_lines FROM ev",
     "unparseable_examples": f"""WITH {EVENTS}, t AS (
   SELECT row_number() OVER (ORDER BY id) AS line_no, id, line, left(strftime(make_timestamp(full_ms * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad((full_ms % 1000)::VARCHAR, 3, '0') || 'Z [worker-' || id % 7 || '] '
-    || CASE event_type WHEN 'view' THEN 'info' WHEN 'click' THEN 'DBG' WHEN 'purchase' THEN 'Notice' WHEN 'signup' THEN '[WARN]' ELSE 'ERROR:' END
-    || ' user ' || user_id || ': ' || event_type || ' of cart ' || id % 50 || ' took ' || n || ' ms', 120) AS good FROM ev)
+    || CASE level WHEN 'TRACE' THEN '<trace>' WHEN 'FATAL' THEN 'panic' ELSE CASE event_type WHEN 'view' THEN 'info' WHEN 'click' THEN 'DBG' WHEN 'purchase' THEN 'Notice' WHEN 'signup' THEN '[WARN]' ELSE 'ERROR:' END END
+    || ' user ' || user_id || ': ' || event_type || ' of cart ' || id % 50 || ' step ' || chr(97 + part::INT) || ' took ' || n || ' ms', 120) AS good FROM ev)
 SELECT line_no, CASE line WHEN 'text' THEN 'plain text ' || id WHEN 'indent' THEN '    at frame ' || id ELSE good END AS text FROM t WHERE line <> 'blank' ORDER BY line_no LIMIT 5""",
     "line_numbers": f"""WITH {EVENTS}, c AS (SELECT *, unnest(range(1, CASE WHEN id % 997 = 0 THEN 42 ELSE 2 END)) AS copy FROM ev)
-SELECT row_number() OVER (ORDER BY id * 64 + copy) AS line_no, '10.0.0.1 - - [' || strftime(make_timestamp(ms * 1000), '%d/%b/%Y:%H:%M:%S') || ' +0000] "' || method || ' /u/' || user_id || '/' || event_type || '?k=' || (id * 64 + copy)
-  || ' HTTP/1.1" ' || status || ' ' || user_id % 5000 || ' "-" "agent" ' || n AS value FROM c""",
+SELECT row_number() OVER (ORDER BY id * 64 + copy) AS line_no, '10.0.0.1 - - [' || strftime(make_timestamp(ms * 1000), '%d/%b/%Y:%H:%M:%S') || ' +0000] "' || method || ' /u/' || user_id || '/' || event_type || '/s' || part || '?k=' || (id * 64 + copy)
+  || ' HTTP/1.1" ' || status || ' ' || user_id % 5000 || ' "-" "agent" ' || CASE WHEN lat IS NULL THEN '-' ELSE n::VARCHAR END AS value FROM c""",
     "latency_buckets": f"WITH {EVENTS} SELECT bucket, sum(n)::BIGINT AS n FROM sk GROUP BY bucket",
     "latency_quantiles": f"""WITH {EVENTS}, a AS (SELECT bucket, sum(n) AS n, max(top) AS top FROM sk GROUP BY bucket), {quantiles("a", "", {"p50": "0.5", "p95": "0.95", "p99": "0.99", "p999": "0.999"})}
 SELECT samples, round(top, 6) AS top, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, round(p999, 6) AS p999 FROM q""",
@@ -114,16 +170,17 @@ SELECT route, requests, errors, round(p95, 6) AS p95, round(p99, 6) AS p99 FROM
     "out_of_order_examples": f"WITH {ORDER_STEPS} SELECT line_no, {LABEL} AS at_utc, {LABEL.replace('(ms', '(prev')} AS previous_utc FROM s WHERE ms < prev ORDER BY line_no LIMIT 5",
     "gap_count": f"WITH {EVENT_STEPS} {STEP_TOTALS}",
     "gap_examples": f"WITH {EVENT_STEPS} SELECT line_no, {LABEL} AS at_utc, {LABEL.replace('(ms', '(prev')} AS previous_utc FROM s WHERE ms - prev > 300000 ORDER BY line_no LIMIT 5",
-    "summary_report": f"""WITH {traffic('n')}, o AS (SELECT row_number() OVER (ORDER BY id) AS line_no, ms FROM ev), s AS (SELECT *, lag(ms) OVER (ORDER BY line_no) AS prev FROM o),
-a AS (SELECT count(*) AS lines, sum(user_id % 5000) AS bytes, min(ms) AS lo, max(ms) AS hi FROM evp)
-SELECT f.field, f.value FROM a, st, (SELECT count(*) FILTER (ms < prev) AS back, count(*) FILTER (ms - prev > 300000) AS gaps FROM s) t,
-LATERAL (VALUES ('format', 'access'), ('lines', a.lines::VARCHAR), ('parsed', a.lines::VARCHAR), ('unparseable', '0'), ('continuation_lines', '0'),
-  ('first_utc', strftime(make_timestamp(a.lo * 1000), '%Y-%m-%d %H:%M')), ('last_utc', strftime(make_timestamp(a.hi * 1000), '%Y-%m-%d %H:%M')),
-  ('peak_per_minute', st.peak::VARCHAR), ('peak_minute_utc', strftime(make_timestamp(st.peak_minute * 60000000), '%Y-%m-%d %H:%M')), ('bytes', a.bytes::BIGINT::VARCHAR),
-  ('out_of_order', t.back::VARCHAR), ('gaps', t.gaps::VARCHAR)) f(field, value)""",
-    "generated_log": "SELECT 100000::BIGINT AS lines, 100000::BIGINT AS parsed, 0::BIGINT AS unparseable, 0::BIGINT AS continuation_lines, 2::BIGINT AS out_of_order, 0::BIGINT AS gaps, 0.0::DOUBLE AS longest_gap_seconds",
+    "summary_report": report("access"),
+    "app_summary_report": report("app"),
+    "generated_log": """WITH t AS (SELECT i, (i // 300000) * (270000 * 9 + 30000 + 420000) + i % 300000 * 9 - 8 * greatest(0, least(i % 300000, 150000) - 120000) - CASE WHEN i % 25013 = 25012 THEN 15000 ELSE 0 END AS ms FROM range(700000) r(i) WHERE i % 9973 <> 9972),
+s AS (SELECT i, (1751500000000 + ms) // 1000 * 1000 AS ms FROM t), w AS (SELECT *, lag(ms) OVER (ORDER BY i) AS prev FROM s)
+SELECT 700000::BIGINT AS lines, count(*)::BIGINT AS parsed, 700000 - count(*)::BIGINT AS unparseable, 0::BIGINT AS continuation_lines, count(*) FILTER (ms < prev)::BIGINT AS out_of_order,
+  count(*) FILTER (ms - prev > 300000)::BIGINT AS gaps, COALESCE(max(ms - prev) FILTER (ms - prev > 300000) / 1000.0::DOUBLE, 0) AS longest_gap_seconds FROM w""",
 }
 
 
+ORACLES |= {"stream_minutes": ORACLES["minute_counts"], "stream_buckets": ORACLES["latency_buckets"]}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)

@@ -2,123 +2,129 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import minute_label, utc_text
-from ..operators import counting, ordering, parsers, series, sketch
+from ..functions.words import level_name
+from ..operators import folding, parsers, series, sketch
 from ..operators.parsers import LogFormat
-from ..sources.lines import LineNumbers, read_lines
+from ..sources.lines import head_of, read_lines
 
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 #: Timed requests a route needs to be listed as slow, and examples of each kind.
 MIN_ROUTE_SAMPLES, MAX_EXAMPLES = 20, 5
 
 
-def summarize_path(spark: SparkSession, path: str | list[str], **kwargs) -> dict:
-    """The report on files; see ``summarize``."""
-    return summarize(read_lines(spark, path), in_order=True, **kwargs)
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Keeps generated methods below the 8,000 bytes up to which the JVM compiles them; beyond, each operator gets methods of its own."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def summarize_path(spark: SparkSession, path: str | list[str], fmt: LogFormat | str | None = None, **kwargs) -> dict:
+    """The report on files; see ``summarize``. The format is found from the head of the first file."""
+    head = head_of(spark, path)
+    if head is None:
+        raise ValueError("input is empty")
+    return summarize(read_lines(spark, path), fmt, head=head, in_order=True, **kwargs)
 
 
-def summarize(lines: DataFrame, fmt: LogFormat | str | None = None, latency_unit: str = "s", gap_seconds: float = 300.0, top: int = 5, in_order: bool = False) -> dict:
+def summarize(lines: DataFrame, fmt: LogFormat | str | None = None, latency_unit: str = "s", gap_seconds: float = 300.0, top: int = 5, in_order: bool = False, head: DataFrame | None = None) -> dict:
     """The report as a dictionary whose keys stand in output order.
 
-    Raises ValueError for an empty input, an unknown format or a gap that isn't positive.
+    Lines are read and parsed once; ``in_order`` says that they come as a scan of files leaves them. ``head``: the
+    first of the lines, if they are at hand. Raises ValueError for an empty input, an unknown format or a gap that
+    isn't positive.
     """
     if not 0 < gap_seconds < float("inf"):
         raise ValueError("the gap must be a positive number of seconds")
-    if lines.isEmpty():
+    if head is None and lines.isEmpty():
         raise ValueError("input is empty")
-    fmt = LogFormat(fmt) if fmt else parsers.detect(lines)
-    if fmt is None:
-        raise ValueError("none of the first lines is in a known format; name the format")
-    top = max(1, top)
-    rows = parsers.parsed(lines, fmt, parsers.LATENCY_UNITS[latency_unit]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _assembled(rows, fmt, int(gap_seconds * 1000), top, in_order)
-    finally:
-        rows.unpersist()
+    with compiled(lines.sparkSession):
+        fmt = LogFormat(fmt) if fmt else parsers.detect(lines if head is None else head)
+        if fmt is None:
+            raise ValueError("none of the first lines is in a known format; name the format")
+        gap_ms = int(gap_seconds * 1000)
+        rows = parsers.parsed(lines, fmt, parsers.LATENCY_UNITS[latency_unit])
+        facts = folding.folded(rows, fmt, gap_ms, in_order).persist()  # a few rows for each block, minute, route and message
+        try:
+            return assembled(facts, fmt, gap_ms, max(1, top))
+        finally:
+            facts.unpersist()
 
 
-def _assembled(rows: DataFrame, fmt: LogFormat, gap_ms: int, top: int, in_order: bool) -> dict:
+def assembled(facts: DataFrame, fmt: LogFormat, gap_ms: int, top: int) -> dict:
+    """The report from what ``folding.folded`` has found."""
     access = fmt == LogFormat.ACCESS
-    counted = rows
-    if not access:
-        at = counting.first_parsed(rows).first().at
-        counted = counting.with_continuation(rows, at and tuple(at))
-    minutes = counting.minute_counts(rows).persist()
-    found = ordering.anomalies(rows, gap_ms, in_order).persist()
-    routes = counting.route_counts(rows) if access else None
-    by_route = sketch.route_sketch(counting.ok(rows)).persist() if access else None
-    timed = by_route.filter("bucket IS NOT NULL") if access else None
-    whole = sketch.merged(timed) if access else sketch.sketch(counting.ok(rows), "latency_s")
-    ms = lambda c: (F.col(c) * 1000).alias(f"{c}_ms")
-
-    def spike_rows(value: str):
-        stats = series.traffic(minutes, value)
-        return series.spikes(minutes, value, stats, top).select("minute_utc", "count", "times_median").collect()
-
-    shown = lambda kind: ordering.examples(found, kind, MAX_EXAMPLES).withColumn("at_utc", utc_text(F.col("ts_ms"))).withColumn("previous_utc", utc_text(F.col("prev_ts_ms"))).collect()
+    placed = folding.blocks(facts)
+    minutes = folding.sums(facts, "minute").select(F.col("number").alias("minute"), "n", "errors")
+    buckets = folding.sums(facts, "route").select(F.col("key").alias("route"), F.col("number").cast("int").alias("bucket"), "n", "errors", "top")
+    timed = buckets.filter("bucket IS NOT NULL")
+    named = F.concat(F.col("number").cast("string"), F.lit("xx")) if access else level_name(F.col("number").cast("int"))
+    ms = lambda c, name: (F.col(c) * 1000).alias(name)
+    spike_rows = lambda value: series.spikes(minutes, value, None, top).select("minute_utc", "count", "times_median")
     work = {
-        "blocks": lambda: counting.block_counts(counted).collect(),  # one row per input split
-        "failed": lambda: counting.first_failed(counted, MAX_EXAMPLES).collect(),
-        "span": lambda: minutes.agg(minute_label(F.min("minute")).alias("a"), minute_label(F.max("minute")).alias("b")).first(),
-        "traffic": lambda: series.traffic(minutes, "n").withColumn("peak_utc", minute_label(F.col("peak_minute"))).first(),
-        "traffic_spikes": lambda: spike_rows("n"),
-        "error_spikes": lambda: spike_rows("errors"),
-        "classes": lambda: sorted(counting.status_classes(rows).collect()) if access else [],
-        "levels": lambda: [] if access else sorted(counting.levels(rows).collect()),
-        "bytes": lambda: int(counting.byte_total(rows).first().bytes) if access else 0,
-        "latency": lambda: sketch.quantiles(whole, QUANTILES).select("samples", *map(ms, (*QUANTILES, "top"))).collect(),
-        "slow": lambda: sketch.slow_routes(by_route, MIN_ROUTE_SAMPLES, top).collect() if access else [],
-        "failing": lambda: counting.error_routes(routes, top).join(sketch.quantiles(timed, {"p95": 0.95, "p99": 0.99}, ["route"]), "route", "left").orderBy(F.desc("errors"), "route").collect() if access else [],
-        "messages": lambda: [] if access else counting.top_errors(rows, top).collect(),
-        "order": lambda: ordering.anomaly_totals(found).first(),
-        "back": lambda: shown("back"),
-        "gap": lambda: shown("gap"),
+        "totals": folding.totals(placed, fmt, gap_ms),
+        "span": minutes.agg(minute_label(F.min("minute")).alias("a"), minute_label(F.max("minute")).alias("b")),
+        "traffic": series.traffic(minutes, "n").withColumn("peak_utc", minute_label(F.col("peak_minute"))),
+        "traffic_spikes": spike_rows("n"),
+        "error_spikes": spike_rows("errors"),
+        "kinds": folding.sums(facts, "class" if access else "level").select(named.alias("kind"), "n").orderBy("kind"),
+        "latency": sketch.quantiles(sketch.merged(timed), QUANTILES).select("samples", *[ms(q, f"{q}_ms") for q in QUANTILES], ms("top", "max_ms")),
+        "seen": folding.examples(facts, placed, fmt, gap_ms, MAX_EXAMPLES).withColumn("at_utc", utc_text(F.col("ts_ms"))).withColumn("previous_utc", utc_text(F.col("prev_ts_ms"))).orderBy("line"),
     }
-    got = {}
-    got["blocks"] = work.pop("blocks")()  # fills the cache
+    if access:
+        routes = buckets.groupBy("route").agg(F.sum("n").alias("requests"), F.sum("errors").alias("errors"))
+        failing = routes.filter("errors > 0").orderBy(F.desc("errors"), "route").limit(top)
+        work["slow"] = sketch.slow_routes(buckets, MIN_ROUTE_SAMPLES, top)
+        work["failing"] = failing.join(sketch.quantiles(timed, {"p95": 0.95, "p99": 0.99}, ["route"]), "route", "left").orderBy(F.desc("errors"), "route")
+    else:
+        work["messages"] = folding.sums(facts, "message").orderBy(F.desc("n"), "key").limit(top)
+    got = {"totals": work.pop("totals").collect()}  # fills the cache
     with ThreadPoolExecutor(8) as pool:  # small jobs, run side by side
-        got |= zip(work, pool.map(lambda f: f(), work.values()), strict=True)
-    minutes.unpersist()
-    found.unpersist()
-    if by_route is not None:
-        by_route.unpersist()
+        got |= zip(work, pool.map(lambda df: df.collect(), work.values()), strict=True)
 
-    number = LineNumbers(got["blocks"]).of
-    total = lambda name: sum(b[name] for b in got["blocks"])
-    spikes = lambda v: [{"minute_utc": r.minute_utc, "count": r["count"], "times_median": r.times_median} for r in v]
+    all_, traffic, span = got["totals"][0], got["traffic"][0], got["span"][0]
+    spikes = lambda v: [r.asDict() for r in v]
     route = lambda r: {"route": r.route, "requests": r.requests, "errors": r.errors, "p95_ms": r.p95 and r.p95 * 1000, "p99_ms": r.p99 and r.p99 * 1000}
-    seen = lambda v: [{"line": number(r), "at_utc": r.at_utc, "previous_utc": r.previous_utc} for r in v]
-    latency = [dict(zip(("samples", "p50_ms", "p95_ms", "p99_ms", "p999_ms", "max_ms"), r, strict=True)) for r in got["latency"]]
+    seen = lambda tag: [{"line": r.line, "at_utc": r.at_utc, "previous_utc": r.previous_utc} for r in got["seen"] if r.tag == tag]
+    latency = got["latency"][0].asDict() if got["latency"] else None
+    kinds = {r.kind: r.n for r in got["kinds"]}
     return {
         "format": fmt.value,
-        "lines": total("lines"),
-        "parsed": total("parsed"),
-        "unparseable": total("unparseable"),
-        "continuation_lines": total("continuation"),
-        "first_utc": got["span"].a,
-        "last_utc": got["span"].b,
-        "median_per_minute": got["traffic"].median,
-        "peak_per_minute": got["traffic"].peak,
-        "peak_minute_utc": got["traffic"].peak_utc,
+        "lines": all_.lines,
+        "parsed": all_.parsed,
+        "unparseable": all_.unparseable,
+        "continuation_lines": all_.continuation_lines,
+        "first_utc": span.a,
+        "last_utc": span.b,
+        "median_per_minute": traffic.median,
+        "peak_per_minute": traffic.peak,
+        "peak_minute_utc": traffic.peak_utc,
         "traffic_spikes": spikes(got["traffic_spikes"]),
         "error_spikes": spikes(got["error_spikes"]),
-        "status_classes": {r[0]: r.n for r in got["classes"]},
-        "levels": {r.level: r.n for r in got["levels"]},
-        "bytes": got["bytes"],
-        "latency": latency[0] if latency and latency[0]["samples"] else None,
-        "slow_routes": [route(r) for r in got["slow"]],
-        "error_routes": [route(r) for r in got["failing"]],
-        "top_errors": [[r.message, r.n] for r in got["messages"]],
-        "out_of_order": got["order"].out_of_order,
-        "out_of_order_examples": seen(got["back"]),
-        "gaps": got["order"].gaps,
-        "longest_gap_seconds": got["order"].longest_gap_seconds,
-        "gap_examples": seen(got["gap"]),
-        "unparseable_examples": [[number(r), r.text] for r in got["failed"]],
+        "status_classes": kinds if access else {},
+        "levels": {} if access else kinds,
+        "bytes": int(all_.bytes),
+        "latency": latency if latency and latency["samples"] else None,
+        "slow_routes": [route(r) for r in got.get("slow", [])],
+        "error_routes": [route(r) for r in got.get("failing", [])],
+        "top_errors": [[r.key, r.n] for r in got.get("messages", [])],
+        "out_of_order": all_.out_of_order,
+        "out_of_order_examples": seen("back"),
+        "gaps": all_.gaps,
+        "longest_gap_seconds": all_.longest_gap_seconds,
+        "gap_examples": seen("gap"),
+        "unparseable_examples": [[r.line, r.text] for r in got["seen"] if r.tag == "failed"],
     }

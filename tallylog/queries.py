@@ -9,16 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import times, words
-from .operators import counting, ordering, parsers, series, sketch
+from .operators import counting, folding, parsers, series, sketch
 from .operators.parsers import LogFormat
 from .plans.report import summarize
-from .sources.generator import access_lines
+from .sources import generator
 from .sources.lines import lines_from, numbered
+from .streaming import minutes
 
 #: What an event is in an access log: method and status.
 REQUESTS = {"view": ("GET", 200), "click": ("GET", 302), "purchase": ("POST", 201), "signup": ("POST", 404), "error": ("GET", 500)}
-#: And in an application log: the level word.
+#: And in an application log: the level word; of some views and errors another.
 LEVEL_OF = {"view": "info", "click": "DBG", "purchase": "Notice", "signup": "[WARN]", "error": "ERROR:"}
+SOME_VIEWS, SOME_ERRORS = "<trace>", "panic"
+#: Parts of the site and of the application, by user; users whose requests bring no response time.
+SECTIONS, UNTIMED = 13, "user_id % 17 = 3"
 BURST_EVERY, BURST = 997, 40
 GAP_MS = 300_000
 
@@ -34,44 +38,59 @@ def by_type(values: dict) -> Column:
     return pick
 
 
-def event_rows(spark: SparkSession, sf_dir: str, bursts: bool = False) -> DataFrame:
+def event_rows(spark: SparkSession, sf_dir: str, bursts: bool = False, events: DataFrame | None = None) -> DataFrame:
     """(id, ts, user_id, event_type, n): n is the value in thousandths; bursts repeat some events."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.floor(F.col("value") * 1000).cast("long").alias("n"))
+    rows = (table(spark, sf_dir, "events") if events is None else events).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.floor(F.col("value") * 1000).cast("long").alias("n"))
     if not bursts:
         return rows.withColumnRenamed("event_id", "id")
     times_ = F.when(F.col("event_id") % BURST_EVERY == 0, BURST + 1).otherwise(1)
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times_))).withColumn("id", F.col("event_id") * 64 + F.col("copy")).drop("event_id", "copy")
 
 
-def access_log(spark: SparkSession, sf_dir: str, bursts: bool = False) -> DataFrame:
-    rows = event_rows(spark, sf_dir, bursts)
+def access_text(rows: DataFrame) -> DataFrame:
+    """(id, line) of ``event_rows``."""
     stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
     line = F.format_string(
-        '10.0.0.1 - - [%s +0000] "%s /u/%d/%s?k=%d HTTP/1.1" %d %d "-" "agent" %d',
-        stamp, by_type({k: m for k, (m, _) in REQUESTS.items()}), "user_id", "event_type", "id", by_type({k: s for k, (_, s) in REQUESTS.items()}), F.col("user_id") % 5000, "n",
+        '10.0.0.1 - - [%s +0000] "%s /u/%d/%s/s%d?k=%d HTTP/1.1" %d %d "-" "agent" %s',
+        stamp, by_type({k: m for k, (m, _) in REQUESTS.items()}), "user_id", "event_type", F.col("user_id") % SECTIONS, "id", by_type({k: s for k, (_, s) in REQUESTS.items()}), F.col("user_id") % 5000,
+        F.when(F.expr(UNTIMED), "-").otherwise(F.col("n").cast("string")),
     )
-    return lines_from(rows.select("id", line.alias("line")), "line", "id", 640_000 if bursts else 10_000)
+    return rows.select("id", line.alias("line"))
+
+
+def access_log(spark: SparkSession, sf_dir: str, bursts: bool = False) -> DataFrame:
+    return lines_from(access_text(event_rows(spark, sf_dir, bursts)), "line", "id", 640_000 if bursts else 10_000)
+
+
+def access_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access log as a stream of lines."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return access_text(event_rows(spark, sf_dir, events=events)).select(F.col("line").alias("value"))
 
 
 def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as application lines, with lines among them that don't parse."""
     rows = event_rows(spark, sf_dir)
-    good = F.format_string("%sZ [worker-%d] %s user %d: %s of cart %d took %d ms", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.col("id") % 7, by_type(LEVEL_OF), "user_id", "event_type", F.col("id") % 50, "n")
-    line = F.when(F.col("id") % 101 == 7, F.format_string("plain text %d", "id")).when(F.col("id") % 211 == 5, F.format_string("    at frame %d", "id")).when(F.col("id") % 307 == 3, "").otherwise(good)
+    level = F.when(F.expr("event_type = 'view' AND id % 10 = 0"), SOME_VIEWS).when(F.expr("event_type = 'error' AND id % 4 = 0"), SOME_ERRORS).otherwise(by_type(LEVEL_OF))
+    step = F.char(F.col("user_id") % SECTIONS + 97)
+    good = F.format_string("%sZ [worker-%d] %s user %d: %s of cart %d step %s took %d ms", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.col("id") % 7, level, "user_id", "event_type", F.col("id") % 50, step, "n")
+    line = F.when(F.expr("id % 101 = 7 OR id < 3"), F.format_string("plain text %d", "id")).when(F.col("id") % 211 == 5, F.format_string("    at frame %d", "id")).when(F.col("id") % 307 == 3, "").otherwise(good)
     return lines_from(rows.select("id", line.alias("line")), "line", "id", 10_000)
 
 
-def access(spark: SparkSession, sf_dir: str, bursts: bool = False) -> DataFrame:
-    return parsers.parsed(access_log(spark, sf_dir, bursts), LogFormat.ACCESS, parsers.LATENCY_UNITS["ms"])
+def access(spark: SparkSession, sf_dir: str, *columns: str, bursts: bool = False) -> DataFrame:
+    """Parsed access lines with the columns named."""
+    return parsers.parsed(access_log(spark, sf_dir, bursts), LogFormat.ACCESS, parsers.LATENCY_UNITS["ms"], columns)
 
 
-def app(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsers.parsed(app_log(spark, sf_dir), LogFormat.APP)
+def app(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return parsers.parsed(app_log(spark, sf_dir), LogFormat.APP, 1.0, columns)
 
 
-def with_continuation(rows: DataFrame) -> DataFrame:
-    first = counting.first_parsed(rows).first().at
-    return counting.with_continuation(rows, first and tuple(first))
+def counted(log: DataFrame, fmt: LogFormat) -> DataFrame:
+    placed = folding.blocks(folding.folded(parsers.parsed(log, fmt), fmt, GAP_MS))
+    return folding.totals(placed, fmt, GAP_MS)
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -146,60 +165,64 @@ def level_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_status_classes(spark, sf_dir):
-    return counting.status_classes(access(spark, sf_dir))
+    return counting.status_classes(access(spark, sf_dir, "status"))
 
 
 def access_bytes_total(spark, sf_dir):
-    return counting.byte_total(access(spark, sf_dir)).select(F.col("bytes").cast("long").alias("bytes"))
+    return counting.byte_total(access(spark, sf_dir, "bytes")).select(F.col("bytes").cast("long").alias("bytes"))
 
 
 def status_shares(spark, sf_dir):
-    by_class = counting.status_classes(access(spark, sf_dir))
+    by_class = counting.status_classes(access(spark, sf_dir, "status"))
     whole = by_class.agg(F.sum("n").alias("whole"))
     return by_class.crossJoin(F.broadcast(whole)).select("class", F.round(F.col("n") * 100.0 / F.col("whole"), 2).alias("percent"))
 
 
 def access_route_stats(spark, sf_dir):
-    return counting.route_counts(access(spark, sf_dir))
+    return counting.route_counts(access(spark, sf_dir, "route", "is_error"))
 
 
 def error_routes_top(spark, sf_dir):
-    return counting.error_routes(counting.route_counts(access(spark, sf_dir)), 3)
+    return counting.error_routes(counting.route_counts(access(spark, sf_dir, "route", "is_error")), 3)
 
 
 def minute_counts(spark, sf_dir):
-    return counting.minute_counts(access(spark, sf_dir))
+    return counting.minute_counts(access(spark, sf_dir, "minute", "is_error"))
 
 
 def minute_span(spark, sf_dir):
-    return counting.minute_counts(access(spark, sf_dir)).agg(times.minute_label(F.min("minute")).alias("first_utc"), times.minute_label(F.max("minute")).alias("last_utc"))
+    return counting.minute_counts(access(spark, sf_dir, "minute", "is_error")).agg(times.minute_label(F.min("minute")).alias("first_utc"), times.minute_label(F.max("minute")).alias("last_utc"))
 
 
 def app_levels(spark, sf_dir):
-    return counting.levels(app(spark, sf_dir))
+    return counting.levels(app(spark, sf_dir, "level_rank"))
 
 
 def top_errors(spark, sf_dir):
-    return counting.top_errors(app(spark, sf_dir), 10)
+    return counting.top_errors(app(spark, sf_dir, "is_error", "message"), 10)
 
 
 def capped_errors(spark, sf_dir):
-    return counting.capped(counting.error_messages(app(spark, sf_dir)), "message", "n", 3)
+    return counting.capped(counting.error_messages(app(spark, sf_dir, "is_error", "message")), "message", "n", 3)
 
 
 def line_counts(spark, sf_dir):
-    return counting.line_counts(with_continuation(app(spark, sf_dir)))
+    return counted(app_log(spark, sf_dir), LogFormat.APP).select("lines", "parsed", "unparseable", "continuation_lines")
 
 
 def access_line_counts(spark, sf_dir):
     """The application log read as an access log: nothing parses."""
-    return counting.line_counts(parsers.parsed(app_log(spark, sf_dir), LogFormat.ACCESS))
+    return counted(app_log(spark, sf_dir), LogFormat.ACCESS).select("lines", "parsed", "unparseable", "continuation_lines")
+
+
+def shown(log: DataFrame, fmt: LogFormat, tag: str) -> DataFrame:
+    facts = folding.folded(parsers.parsed(log, fmt), fmt, GAP_MS).persist()
+    rows = folding.examples(facts, folding.blocks(facts), fmt, GAP_MS).filter(F.col("tag") == tag)
+    return rows.select(F.col("line").alias("line_no"), times.utc_text(F.col("ts_ms")).alias("at_utc"), times.utc_text(F.col("prev_ts_ms")).alias("previous_utc"), "text")
 
 
 def unparseable_examples(spark, sf_dir):
-    rows = parsers.parsed(app_log(spark, sf_dir), LogFormat.ACCESS)
-    lines = numbered(app_log(spark, sf_dir)).select("file", "block", "pos", "line_no")
-    return counting.first_failed(rows, 5).join(lines, ["file", "block", "pos"]).select("line_no", "text")
+    return shown(app_log(spark, sf_dir), LogFormat.ACCESS, "failed").select("line_no", "text")
 
 
 def line_numbers(spark, sf_dir):
@@ -210,38 +233,43 @@ def line_numbers(spark, sf_dir):
 
 
 def latency_buckets(spark, sf_dir):
-    return sketch.sketch(counting.ok(access(spark, sf_dir)), "latency_s").select("bucket", "n")
+    return sketch.sketch(counting.ok(access(spark, sf_dir, "latency_s")), "latency_s").select("bucket", "n")
 
 
 def latency_quantiles(spark, sf_dir):
-    merged = sketch.merged(sketch.sketch(counting.ok(access(spark, sf_dir)), "latency_s", ["route"]))
+    merged = sketch.sketch(counting.ok(access(spark, sf_dir, "latency_s")), "latency_s")
     names = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
     return rounded(sketch.quantiles(merged, names), "top", *names)
 
 
 def route_quantiles(spark, sf_dir):
-    found = sketch.quantiles(sketch.sketch(counting.ok(access(spark, sf_dir)), "latency_s", ["route"]), {"p95": 0.95, "p99": 0.99}, ["route"])
+    found = sketch.quantiles(sketch.sketch(counting.ok(access(spark, sf_dir, "latency_s", "route")), "latency_s", ["route"]), {"p95": 0.95, "p99": 0.99}, ["route"])
     return rounded(found, "top", "p95", "p99")
 
 
 def slow_routes_top(spark, sf_dir):
-    found = sketch.slow_routes(sketch.route_sketch(counting.ok(access(spark, sf_dir))), 20, 3)
+    found = sketch.slow_routes(sketch.route_sketch(counting.ok(access(spark, sf_dir, "latency_s", "route", "is_error"))), 20, 3)
     return rounded(found, "p95", "p99").select("route", "requests", "errors", "p95", "p99")
 
 
 # --- series -----------------------------------------------------------------------------------------
 
 
+def burst_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each minute, kept as the series is looked at several times."""
+    return counting.minute_counts(access(spark, sf_dir, "minute", "is_error", bursts=True)).persist()
+
+
 def traffic_stats(spark, sf_dir):
-    return series.traffic(counting.minute_counts(access(spark, sf_dir, True)), "n")
+    return series.traffic(burst_minutes(spark, sf_dir), "n")
 
 
 def error_traffic_stats(spark, sf_dir):
-    return series.traffic(counting.minute_counts(access(spark, sf_dir, True)), "errors")
+    return series.traffic(burst_minutes(spark, sf_dir), "errors")
 
 
 def _spikes(value: str, spark, sf_dir):
-    return rounded(series.spikes(counting.minute_counts(access(spark, sf_dir, True)), value), "times_median")
+    return rounded(series.spikes(burst_minutes(spark, sf_dir), value), "times_median")
 
 
 traffic_spikes, error_spikes = partial(_spikes, "n"), partial(_spikes, "errors")
@@ -256,52 +284,66 @@ def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_from(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")), "line", "o_orderkey", 4096)
 
 
-def _found(log: DataFrame, fmt: LogFormat) -> DataFrame:
-    return ordering.anomalies(parsers.parsed(log, fmt), GAP_MS)
-
-
-def _shown(log: DataFrame, fmt: LogFormat, kind: str) -> DataFrame:
-    lines = numbered(log).select("file", "block", "pos", "line_no")
-    rows = ordering.examples(_found(log, fmt), kind).join(lines, ["file", "block", "pos"])
-    return rows.select("line_no", times.utc_text(F.col("ts_ms")).alias("at_utc"), times.utc_text(F.col("prev_ts_ms")).alias("previous_utc"))
+ORDER_COLUMNS = ("out_of_order", "gaps", "longest_gap_seconds")
 
 
 def out_of_order_count(spark, sf_dir):
-    return ordering.anomaly_totals(_found(order_log(spark, sf_dir), LogFormat.APP))
+    return counted(order_log(spark, sf_dir), LogFormat.APP).select(*ORDER_COLUMNS)
 
 
 def out_of_order_examples(spark, sf_dir):
-    return _shown(order_log(spark, sf_dir), LogFormat.APP, "back")
+    return shown(order_log(spark, sf_dir), LogFormat.APP, "back").drop("text")
 
 
 def gap_count(spark, sf_dir):
-    return ordering.anomaly_totals(_found(access_log(spark, sf_dir), LogFormat.ACCESS))
+    return counted(access_log(spark, sf_dir), LogFormat.ACCESS).select(*ORDER_COLUMNS)
 
 
 def gap_examples(spark, sf_dir):
-    return _shown(access_log(spark, sf_dir), LogFormat.ACCESS, "gap")
+    return shown(access_log(spark, sf_dir), LogFormat.ACCESS, "gap").drop("text")
 
 
 # --- reports and sources ----------------------------------------------------------------------
 
 
+def as_rows(spark: SparkSession, report: dict) -> DataFrame:
+    """A report as (field, value): fields of lists and dictionaries by path, numbers with fractions to three places."""
+    found = []
+
+    def put(path: str, value) -> None:
+        inner = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else None
+        if inner is None:
+            found.append((path, f"{value:.3f}" if isinstance(value, float) else None if value is None else str(value)))
+        for k, v in inner or ():
+            put(f"{path}.{k}" if path else k, v)
+
+    put("", report)
+    return spark.createDataFrame(found, "field string, value string")
+
+
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole report on the events as one row per field, as text."""
-    report = summarize(access_log(spark, sf_dir, True), LogFormat.ACCESS, latency_unit="ms")
-    keep = ("format", "lines", "parsed", "unparseable", "continuation_lines", "first_utc", "last_utc", "peak_per_minute", "peak_minute_utc", "bytes", "out_of_order", "gaps")
-    return spark.createDataFrame([(k, None if report[k] is None else str(report[k])) for k in keep], "field string, value string")
+    """The whole report on the events as access lines, with bursts."""
+    return as_rows(spark, summarize(access_log(spark, sf_dir, True), latency_unit="ms"))
 
 
 def app_summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = summarize(app_log(spark, sf_dir))
-    keep = ("format", "lines", "parsed", "unparseable", "continuation_lines", "bytes", "levels")
-    return spark.createDataFrame([(k, str(report[k])) for k in keep], "field string, value string")
+    """The whole report on the events as application lines."""
+    return as_rows(spark, summarize(app_log(spark, sf_dir)))
 
 
 def generated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made log parses in full; its lines per second and steps back are known."""
-    rows = parsers.parsed(lines_from(access_lines(spark, 100_000), "value", "id", 20_000), LogFormat.ACCESS)
-    return counting.line_counts(rows).crossJoin(ordering.anomaly_totals(ordering.anomalies(rows, GAP_MS)))
+    """A made log: how many lines are broken, step back or follow a silence is known."""
+    return counted(lines_from(generator.access_lines(spark, 700_000), "value", "id", 50_000), LogFormat.ACCESS).drop("bytes")
+
+
+def stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute counts of the stream, drained."""
+    return minutes.minute_stream(access_stream(spark, sf_dir), LogFormat.ACCESS)
+
+
+def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch of the stream, drained."""
+    return minutes.drained(minutes.stream_sketch(access_stream(spark, sf_dir), parsers.LATENCY_UNITS["ms"])).select("bucket", "n")
 
 
 NAMES = (
@@ -309,7 +351,7 @@ NAMES = (
     "access_status_classes status_shares access_bytes_total access_route_stats error_routes_top minute_counts minute_span app_levels top_errors capped_errors "
     "line_counts access_line_counts unparseable_examples line_numbers latency_buckets latency_quantiles route_quantiles slow_routes_top "
     "traffic_stats error_traffic_stats traffic_spikes error_spikes out_of_order_count out_of_order_examples gap_count gap_examples "
-    "summary_report app_summary_report generated_log"
+    "summary_report app_summary_report generated_log stream_minutes stream_buckets"
 ).split()
 
 

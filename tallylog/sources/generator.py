@@ -1,43 +1,102 @@
-"""Sample access logs, made by Spark: steady traffic with bursts, slow and failing routes, steps back and a silence."""
+"""Sample logs, made by Spark from hashes of line numbers: the same lines for the same arguments, however they are partitioned."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Route pattern, share of the traffic, usual seconds.
-ROUTES = (("GET /items/{}", 0.4, 0.03), ("GET /users/{}/home", 0.25, 0.05), ("POST /orders", 0.1, 0.12), ("GET /assets/main.css", 0.15, 0.004), ("GET /search?q={}", 0.1, 0.2))
+#: Of an access log: method, path, weight, and scale and shape of the response times, which follow Weibull laws.
+ROUTES = (
+    ("GET", "/catalog/{n}", 30, 0.018, 1.1),
+    ("GET", "/catalog/{n}/reviews?page={k}", 14, 0.055, 0.9),
+    ("PUT", "/basket/{n}/lines/{k}", 12, 0.031, 1.4),
+    ("GET", "/media/thumb-{k}.webp", 25, 0.003, 2.0),
+    ("POST", "/session", 6, 0.120, 1.2),
+    ("GET", "/find?words=tea+{k}", 8, 0.240, 0.7),
+    ("DELETE", "/basket/{n}", 3, 0.025, 1.4),
+    ("POST", "/payments/{u}", 2, 0.610, 0.8),
+)
+#: Thousandths of the lines with each status; the others have 200.
+STATUSES = ((204, 41), (301, 17), (403, 6), (410, 9), (429, 4), (502, 3), (503, 2))
+#: The clock goes through cycles of so many lines: TICK ms a line, RUSH_TICK ms in the rush, and a pause at the end.
+CYCLE, RUSH, TICK, RUSH_TICK, PAUSE = 300_000, (120_000, 150_000), 9, 1, 420_000
+#: One line in so many is stamped LATE ms early, or is no log line.
+EARLY, LATE, BROKEN = 25_013, 15_000, 9_973
 
 
-def access_lines(spark: SparkSession, n: int, seed: int = 11, per_second: int = 1000, start: int = 1_700_000_000, partitions: int | None = None) -> DataFrame:
-    """``n`` lines (id, value), the same for the same arguments."""
+def drawn(seed: int, salt: int, below: int) -> Column:
+    """A number from 0 to ``below`` - 1 for each ``id``."""
+    return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(below))
+
+
+def clock(line: Column) -> Column:
+    """Milliseconds since the first line."""
+    first, last = RUSH
+    at = line % CYCLE
+    rush = F.greatest(F.lit(0), F.least(at, F.lit(last)) - first)
+    whole = (CYCLE - last + first) * TICK + (last - first) * RUSH_TICK + PAUSE
+    return F.floor(line / CYCLE) * whole + (at - rush) * TICK + rush * RUSH_TICK - F.when(line % EARLY == EARLY - 1, LATE).otherwise(0)
+
+
+def one_of(weighted: list[tuple[Column, int]], draw: Column) -> Column:
+    """The value into whose share of the weights ``draw`` falls; the last one beyond."""
+    upto = sum(w for _, w in weighted)
+    found = weighted[-1][0]
+    for value, weight in reversed(weighted):
+        upto -= weight
+        found = F.when(draw < upto + weight, value).otherwise(found)
+    return found
+
+
+def access_lines(spark: SparkSession, n: int, seed: int = 5, start: int = 1_751_500_000, partitions: int | None = None) -> DataFrame:
+    """``n`` lines (id, value) of an access log with rushes, pauses, lines out of order and broken ones."""
     rows = spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism)
-    pick, fate, spread, number = (F.rand(seed + k) for k in range(4))
-    rows = rows.select("id", pick.alias("pick"), fate.alias("fate"), F.randn(seed + 4).alias("z"), spread.alias("spread"), F.floor(number * 50_000).alias("k"))
-    route, usual, upto = F.lit(ROUTES[-1][0]), F.lit(ROUTES[-1][2]), 0.0
-    parts = []
-    for name, share, secs in ROUTES:
-        upto += share
-        parts.append((upto, name, secs))
-    for upto, name, secs in reversed(parts[:-1]):
-        route, usual = F.when(F.col("pick") < upto, name).otherwise(route), F.when(F.col("pick") < upto, secs).otherwise(usual)
-    second = F.lit(start) + F.floor(F.col("id") / per_second) - F.when(F.col("id") % 40_000 == 39_999, 9).otherwise(0)
-    status = F.when(F.col("fate") < 0.006, 500).when(F.col("fate") < 0.03, 404).when(F.col("fate") < 0.06, 304).otherwise(200)
-    return rows.select(
-        "id",
-        F.format_string(
-            '198.51.100.%d - - [%s +0000] "%s HTTP/1.1" %d %d "-" "agent/%d.0" %.3f',
-            (F.col("k") % 254 + 1).cast("int"),
-            F.date_format(F.timestamp_seconds(second), "dd/MMM/yyyy:HH:mm:ss"),
-            F.replace(route, F.lit("{}"), F.col("k").cast("string")),
-            status,
-            (F.floor(F.col("spread") * 90_000) + 200).cast("int"),
-            (F.col("k") % 3 + 1).cast("int"),
-            usual * F.exp(F.col("z") * 0.6),
-        ).alias("value"),
+    number, small = drawn(seed, 1, 900_000) + 1000, drawn(seed, 2, 40)
+    kinds = [(F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b")), w) for m, p, w, a, b in ROUTES]
+    row = one_of(kinds, drawn(seed, 3, sum(w for *_, w, _, _ in ROUTES)))
+    status = one_of([*((F.lit(s), w) for s, w in STATUSES), (F.lit(200), 1000 - sum(w for _, w in STATUSES))], drawn(seed, 4, 1000))
+    rows = rows.select("id", row.alias("r"), number.alias("n"), small.alias("k"), status.alias("status"), ((drawn(seed, 5, 1_000_000) + 1) / 1_000_001).alias("u"))
+    path = F.replace(F.replace(F.replace("r.p", F.lit("{n}"), F.col("n").cast("string")), F.lit("{k}"), F.col("k").cast("string")), F.lit("{u}"), F.format_string("%08x-%04x", F.col("n") * 4001, "k"))
+    took = F.col("r.a") * F.pow(-F.log("u"), 1 / F.col("r.b"))
+    line = F.format_string(
+        '203.0.113.%d - - [%s +0000] "%s %s HTTP/2.0" %d %d "-" "probe/%d" %s%.4f',
+        F.col("n") % 250 + 1,
+        F.date_format(F.timestamp_millis(F.lit(start * 1000) + clock(F.col("id"))), "dd/MMM/yyyy:HH:mm:ss"),
+        "r.m",
+        path,
+        "status",
+        F.col("n") % 61_000 + 90,
+        F.col("k"),
+        F.when(F.col("k") < 8, "rt=").otherwise(""),
+        took,
     )
+    return rows.select("id", F.when(F.col("id") % BROKEN == BROKEN - 1, F.format_string("upstream closed after %d bytes", "n")).otherwise(line).alias("value"))
+
+
+#: Of an application log: level word, weight, message.
+MESSAGES = (
+    ("INFO", 60, "order {n} stored in {k}ms"),
+    ("DBG", 20, "cache {k} has {n} entries"),
+    ("[warning]", 9, "queue depth {n} above mark {k}"),
+    ("ERROR", 5, "could not reach broker-{k}: timeout after {k}s"),
+    ("SEVERE:", 3, "lease {n} lost by worker {k}"),
+    ("crit", 1, "disk {k} full, {n} blocks wanted"),
+    ("trace", 2, "leaving step {k}"),
+)
+
+
+def app_lines(spark: SparkSession, n: int, seed: int = 6, start: int = 1_751_500_000, partitions: int | None = None) -> DataFrame:
+    """``n`` lines (id, value) of an application log; a tenth of the lines continue the one before."""
+    rows = spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism)
+    number, small = drawn(seed, 1, 90_000) + 100, drawn(seed, 2, 30)
+    kind = one_of([(F.struct(F.lit(a).alias("a"), F.lit(m).alias("m")), w) for a, w, m in MESSAGES], drawn(seed, 3, sum(w for _, w, _ in MESSAGES)))
+    rows = rows.select("id", kind.alias("r"), number.alias("n"), small.alias("k"))
+    said = F.replace(F.replace("r.m", F.lit("{n}"), F.col("n").cast("string")), F.lit("{k}"), F.col("k").cast("string"))
+    stamp = F.date_format(F.timestamp_millis(F.lit(start * 1000) + clock(F.col("id"))), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    line = F.concat(stamp, F.lit("Z "), F.col("r.a"), F.lit(" "), said)
+    return rows.select("id", F.when(F.col("id") % 10 == 9, F.format_string("    from frame %d", "k")).otherwise(line).alias("value"))
 
 
-def write_access_log(spark: SparkSession, path: str, n: int, **kwargs) -> None:
-    """Writes text files below ``path``, in line order by file name."""
-    access_lines(spark, n, **kwargs).select("value").write.mode("overwrite").text(path)
+def write_log(lines: DataFrame, path: str) -> None:
+    """Writes generated lines as text files below ``path``, in line order by file name."""
+    lines.select("value").write.mode("overwrite").text(path)

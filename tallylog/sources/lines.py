@@ -12,9 +12,6 @@ from typing import BinaryIO
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Blocks up to which their offsets are broadcast (about 100 bytes each); beyond, the join shuffles.
-BROADCAST_BLOCKS = 500_000
-
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of a file, directory or glob, split at line feeds only; trailing carriage returns go, bad UTF-8 becomes U+FFFD.
@@ -30,6 +27,16 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def head_of(spark: SparkSession, path: str | list[str], n_bytes: int = 64 << 10) -> DataFrame | None:
+    """The lines that begin the first file, without a scan of the log; None if there is no line."""
+    found = spark.read.format("binaryFile").load(path).filter("length > 0").select("path").orderBy("path").first()
+    if found is None:
+        return None
+    first = found.path
+    lines = spark.read.option("lineSep", "\n").text(first).limit(2000)
+    return lines.select(F.rtrim("value", F.lit("\r")).alias("value"), F.lit(first).alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("pos"))
+
+
 def lines_from(df: DataFrame, value: str, order: str, block_rows: int = 10_000) -> DataFrame:
     """Rows of a table as lines, in the order of a whole number; blocks are ranges of it."""
     placed = df.select(F.col(value).alias("value"), F.lit("").alias("file"), F.floor(F.col(order) / block_rows).cast("long").alias("block"), F.col(order).alias("_o"))
@@ -44,24 +51,9 @@ def spooled(stream: BinaryIO) -> str:
         return out.name
 
 
-class LineNumbers:
-    """Line numbers over the whole input, from one row per block (file, block, lines, first_pos)."""
-
-    def __init__(self, blocks: list):
-        self.offset, total = {}, 0
-        for b in sorted(blocks, key=lambda b: (b.file, b.block)):
-            self.offset[b.file, b.block] = total - b.first_pos + 1
-            total += b.lines
-
-    def of(self, row) -> int:
-        return self.offset[row.file, row.block] + row.pos
-
-
 def numbered(lines: DataFrame) -> DataFrame:
-    """Adds ``line_no``, 1 for the first line of the first file."""
+    """Adds ``line_no``, 1 for the first line of the first file. Offsets come from a window over one row per input split."""
     blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("pos").alias("first_pos"))
-    found = blocks.collect()  # one row per input split, of which the driver keeps a list anyway
-    numbers = LineNumbers(found)
-    table = lines.sparkSession.createDataFrame([(f, b, o) for (f, b), o in numbers.offset.items()], "file string, block long, _offset long")
-    side = F.broadcast(table) if len(found) <= BROADCAST_BLOCKS else table
-    return lines.join(side, ["file", "block"]).withColumn("line_no", F.col("_offset") + F.col("pos")).drop("_offset")
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first_pos") + 1).alias("offset"))
+    return lines.join(offsets, ["file", "block"]).withColumn("line_no", F.col("offset") + F.col("pos")).drop("offset")

@@ -10,19 +10,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import parsers
+from ..operators import parsers, sketch
 from ..operators.parsers import LogFormat
 
 
 def stream_minute_counts(lines: DataFrame, fmt: LogFormat, late: str | None = None) -> DataFrame:
     """(minute, n, errors) of a stream of lines (value); ``late``: a watermark, for append mode."""
-    rows = parsers.with_record(lines, fmt).filter("rec IS NOT NULL")
+    rows = parsers.with_record(lines, fmt, fields=["ts_ms", "status" if fmt == LogFormat.ACCESS else "level_rank"]).filter("rec IS NOT NULL")
     bad = F.col("rec.status") >= 500 if fmt == LogFormat.ACCESS else F.col("rec.level_rank") >= 4
     timed = rows.select(F.timestamp_millis("rec.ts_ms").alias("at"), bad.alias("is_error"))
     timed = timed.withWatermark("at", late) if late else timed
@@ -30,14 +31,24 @@ def stream_minute_counts(lines: DataFrame, fmt: LogFormat, late: str | None = No
     return counted.select(F.floor(F.unix_millis("w.start") / 60_000).cast("long").alias("minute"), "n", "errors")
 
 
+def stream_sketch(lines: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(bucket, n, top) of a stream of access lines, for update or complete mode: counts that a new line adds to."""
+    rows = parsers.with_record(lines, LogFormat.ACCESS, scale=scale, fields=["latency_s"]).filter("rec IS NOT NULL")
+    return sketch.sketch(rows.select(F.col("rec.latency_s").alias("latency_s")), "latency_s")
+
+
 def minute_stream(lines: DataFrame, fmt: LogFormat) -> DataFrame:
-    """Runs a stream over what is there now and returns its minute counts."""
-    spark, name = lines.sparkSession, f"minutes_{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory(prefix="tallylog-") as place:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        writer = stream_minute_counts(lines, fmt).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-        query = (writer.option("checkpointLocation", place) if local and not spark.sparkContext.getConf().get("spark.checkpoint.dir") else writer).start()
-        query.awaitTermination()
+    """Minute counts of a stream over what is there now."""
+    return drained(stream_minute_counts(lines, fmt))
+
+
+def drained(counts: DataFrame, mode: str = "complete") -> DataFrame:
+    """Runs a stream until it has read what is there now and returns its result, which must be small."""
+    spark, name = counts.sparkSession, f"drained_{uuid.uuid4().hex}"
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    with nullcontext(f"{shared.rstrip('/')}/{name}") if shared else tempfile.TemporaryDirectory(prefix="tallylog-") as place:
+        writer = counts.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+        writer.option("checkpointLocation", place).start().awaitTermination()
     return spark.table(name)
 
 
