@@ -5,11 +5,14 @@ smoothed by absolute discounting: p(w | u) = (c(uw) - D) / c(u) + b(u) p(w), wit
 p(w) = (c(w) - D') / N and the mass taken from the words as the probability of the
 one unknown word. The automaton has a state for each word with pairs and a root
 state; arcs carry log p(w | u), a failure arc carries log b(u) to the root, and
-the root's arcs carry log p(w). A text is read once from left to right: the state
-is the last word, each word follows its arc or the failure arc and the root's arc.
+the root's arcs carry log p(w). A text is read once from left to right, all texts of
+a slice side by side: the state is the last word, or the root if that has no pairs;
+each word follows its arc or the failure arc and the root's arc. Contexts are one
+word: counts of all triples alone would take more than the input again on disk.
 
 The model is not held in memory: words, states and arcs are arrays sorted by key
-in the shared folder, which workers map and search. All pairs have arcs; with a
+in the shared folder. Workers map and search them; where files can't be mapped, they
+keep the parts read last, CACHED bytes at most or one part. All pairs have arcs; with a
 larger ``min_pair`` rarer ones are left to the failure arcs, whose weights account for them. Words are told
 apart by a 64-bit hash. Everything gathered grows with the input; what comes to
 the driver is one row of totals and the list of files.
@@ -22,9 +25,9 @@ an empty result. Only the named columns are read.
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,9 @@ END = np.array([xxhash.xxh64_intdigest(b" ")], np.uint64).view(np.int64)[0]
 BEGIN = np.uint64((1 << 32) - 1)
 UNKNOWN = -1
 #: Entries that a counting task holds before it passes them on; pairs that one merging group gets about.
-HELD, GROUP_PAIRS = 2_000_000, 2_000_000
+HELD, GROUP_PAIRS = 2_000_000, 500_000
+#: Bytes of parts that a worker keeps on file systems that can't be mapped.
+CACHED = 128 << 20
 
 
 # --- texts as numbers -------------------------------------------------------------------------------
@@ -167,13 +172,26 @@ class Sorted:
         return out
 
 
-@cache
+PARTS_READ: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
 def opened(path: str, part: str, column: str, kind: str) -> np.ndarray:
-    disk, local = file_system(f"{path}/{part}.{column}")
+    """One column of one part: mapped, or read and kept while there is room."""
+    name = f"{path}/{part}.{column}"
+    if name in PARTS_READ:
+        PARTS_READ.move_to_end(name)
+        return PARTS_READ[name]
+    disk, local = file_system(name)
     if path.startswith("file:"):
-        return np.memmap(local, kind, "r")
-    with disk.open_input_file(local) as source:
-        return np.frombuffer(source.read(), kind)
+        found = np.memmap(local, kind, "r")
+    else:
+        with disk.open_input_file(local) as source:
+            found = np.frombuffer(source.read(), kind)
+    PARTS_READ[name] = found
+    held = lambda: sum(x.nbytes for x in PARTS_READ.values() if not isinstance(x, np.memmap))
+    while len(PARTS_READ) > 1 and held() > CACHED:
+        PARTS_READ.popitem(last=False)
+    return found
 
 
 # --- training ---------------------------------------------------------------------------------------
@@ -318,6 +336,8 @@ def trained(texts: DataFrame, min_pair: int = 1) -> Automaton:
     counted = written(word_counts(texts), "lm-words")
     totals = counted.agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     tokens, types, texts_n = totals.tokens or 0, totals.types, texts.count()
+    if types >= int(BEGIN):
+        raise ValueError("a pair of words must fit into 64 bits: there are 2 ** 32 different words or more")
     words = Sorted.write(counted, "hash", {"hash": "<i8", "n": "<i8"}, "lm-word-files")
     pairs = written(pair_counts(texts, words, max(1, tokens // GROUP_PAIRS), min_pair), "lm-pairs")
     once = pairs.filter("key = -1").agg(F.sum("n")).first()[0] or 0
