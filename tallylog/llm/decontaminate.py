@@ -3,9 +3,10 @@
 Texts become words (A-Z lowered). Of every ``guard`` = 10 consecutive words the
 smallest of the five 6-gram hashes is kept, so any span of ten shared words keeps
 the same 6-gram on both sides. Fingerprints of training rows are tested against a
-bitmap of fixed size made of the benchmark's, then joined with them; each match
-fixes a diagonal, along which the words themselves are compared and all windows
-that really occur are marked. Benchmark texts below ten words are one window each
+bitmap made of the benchmark's, then joined with them; each match fixes a diagonal,
+along which the words themselves are compared and all windows that really occur are
+marked. A window whose smallest 6-gram passes the bitmap is also tested by the hash
+of all its words, so that few chance matches reach the join. Benchmark texts below ten words are one window each
 and are looked up by the hash of all their words.
 
 Work is done once per distinct text: copies share a digest. Defined results: null
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import WORD_ALNUM, lower_ascii, written
 
 GUARD, GRAM = 10, 6
-#: The bitmap has 64 * BITMAP_LONGS bits (1 MB), whatever the benchmark's size; false positives only cost a later comparison.
-BITMAP_LONGS = 1 << 17
+#: Bits of the bitmap for each fingerprint, and longs that it has at least and at most (16 MB). False positives only cost a later comparison.
+BITMAP_BITS, LEAST_LONGS, MOST_LONGS = 32, 1 << 12, 1 << 21
 
 
 def words_of(text: Column) -> Column:
@@ -47,8 +48,16 @@ def with_grams(df: DataFrame) -> DataFrame:
     )
 
 
+def bitmap_longs(fingerprints: int) -> int:
+    """How many longs the bitmap has, a power of two."""
+    longs = LEAST_LONGS
+    while longs < min(MOST_LONGS, fingerprints * BITMAP_BITS // 64):
+        longs *= 2
+    return longs
+
+
 def marked(h: str) -> str:
-    return f"getbit(get(bitmap, cast(shiftrightunsigned({h}, 6) & {BITMAP_LONGS - 1} AS INT)), cast({h} & 63 AS INT)) = 1"
+    return f"getbit(get(bitmap, cast(shiftrightunsigned({h}, 6) & (size(bitmap) - 1) AS INT)), cast({h} & 63 AS INT)) = 1"
 
 
 def anchor(at: str = "i") -> str:
@@ -69,10 +78,11 @@ def item_fingerprints(contents: DataFrame) -> DataFrame:
 
 
 def bitmap_of(fingerprints: DataFrame) -> DataFrame:
-    """One row with one array of BITMAP_LONGS longs."""
+    """One row with one array of longs."""
+    longs = bitmap_longs(fingerprints.count())
     hashes = fingerprints.select(F.explode(F.array("hash", "span")).alias("h"))
-    cells = hashes.select(F.expr(f"shiftrightunsigned(h, 6) & {BITMAP_LONGS - 1}").alias("cell"), F.expr("shiftleft(1L, cast(h & 63 AS INT))").alias("bit"))
-    every = fingerprints.sparkSession.range(0, BITMAP_LONGS, 1, 8).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bit"))
+    cells = hashes.select(F.expr(f"shiftrightunsigned(h, 6) & {longs - 1}").alias("cell"), F.expr("shiftleft(1L, cast(h & 63 AS INT))").alias("bit"))
+    every = fingerprints.sparkSession.range(0, longs, 1, 8).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bit"))
     filled = every.unionByName(cells).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
     return filled.agg(F.expr("transform(array_sort(collect_list(struct(cell, bits))), x -> x.bits)").alias("bitmap"))
 
