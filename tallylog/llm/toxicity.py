@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 from .shared import WORD_ALNUM, slices, written
 
 TOXIC, CLEAN = 2000, 6000
-#: Lengths of beginnings, candidates that come to the driver, significance (log10) that a term needs.
-SHORTEST, LONGEST, CANDIDATES, SIGNIFICANCE = 3, 10, 20_000, -6.0
+#: Lengths of beginnings (longer words are terms as a whole), significance (log10) that a term needs.
+SHORTEST, LONGEST, SIGNIFICANCE = 3, 32, -6.0
 #: How much likelier a term is in toxic documents than in clean ones; below STRONG it is weak and counts only with others.
 TELLING, STRONG = 8, 100
-#: A term is lengthened while this share of its documents stays; whole words from FUZZY letters on match with one error.
-KEPT_SHARE, MAIN_SHARE, FUZZY = 0.95, 0.75, 5
-WINDOW, MOST = 6, 4
+#: A term is lengthened while this share of its documents stays; words from FUZZY and stems from FUZZY_STEM letters on match with one error.
+KEPT_SHARE, MAIN_SHARE, FUZZY, FUZZY_STEM = 0.95, 0.75, 5, 5
+WINDOW = 6
 #: Quotation marks, words that report speech (en, fr, de, es), and digits and signs in place of letters.
 QUOTES = "\"“”„«»‘’‹›"
 REPORTING = frozenset("said says called word term quote quoted wrote dit mot terme citation sagte wort begriff zitat dijo palabra término cita".split())
@@ -66,10 +66,11 @@ class Lexicon:
     moves: dict = field(default_factory=dict)
     sets: list = field(default_factory=list)
     inside: list = field(default_factory=list)
+    nearly: list = field(default_factory=list)
     numbers: dict = field(default_factory=dict)
 
     def __post_init__(self):
-        self.children, self.end, self.stem, self.fuzzy, self.faint = [{}], [False], [False], [False], [False]
+        self.children, self.end, self.stem, self.fuzzy, self.faint, self.bent = [{}], [False], [False], [False], [False], [False]
         for terms, mark in ((self.words, self.end), (self.stems, self.stem)):
             for term in terms:
                 at = 0
@@ -77,12 +78,13 @@ class Lexicon:
                     if c not in self.children[at]:
                         self.children[at][c] = len(self.children)
                         self.children.append({})
-                        for x in (self.end, self.stem, self.fuzzy, self.faint):
+                        for x in (self.end, self.stem, self.fuzzy, self.faint, self.bent):
                             x.append(False)
                     at = self.children[at][c]
                 mark[at] = True
                 self.faint[at] = term in self.weak
                 self.fuzzy[at] |= mark is self.end and len(term) >= FUZZY and term not in self.weak
+                self.bent[at] |= mark is self.stem and len(term) >= FUZZY_STEM and term not in self.weak
         self.start = self.number(frozenset([(0, 0, "")]))
 
     def __getstate__(self):
@@ -90,7 +92,7 @@ class Lexicon:
 
     def __setstate__(self, state):
         self.words, self.stems, self.weak, self.ignored = state
-        self.moves, self.sets, self.inside, self.numbers = {}, [], [], {}
+        self.moves, self.sets, self.inside, self.nearly, self.numbers = {}, [], [], [], {}
         self.__post_init__()
 
     def number(self, states: frozenset) -> int:
@@ -99,6 +101,7 @@ class Lexicon:
             self.numbers[states] = len(self.sets)
             self.sets.append(states)
             self.inside.append(next((STRONGLY if not self.faint[n] else WEAKLY for n, e, _ in states if self.stem[n] and not e), None))
+            self.nearly.append(any(self.bent[n] and e and not o for n, e, o in states))
         return self.numbers[states]
 
     def step(self, at: int, c: str) -> int:
@@ -123,8 +126,9 @@ class Lexicon:
 
     def match(self, word: str) -> int:
         """STRONGLY, WRONGLY (with an error), WEAKLY, or NONE."""
-        at = self.start
+        at, wrong = self.start, False
         for c in word:
+            wrong |= self.nearly[at]  # a stem with an error, and more letters
             if (kind := self.inside[at]) is not None:  # a stem, and more letters
                 return kind
             nxt = self.moves.get((at, c))
@@ -132,12 +136,12 @@ class Lexicon:
                 nxt = self.moves[at, c] = self.step(at, c)
             at = nxt
             if not self.sets[at]:
-                return NONE
+                return WRONGLY if wrong and word not in self.ignored else NONE
         states = self.sets[at]
         for n, e, _ in states:
             if self.end[n] and not e:
                 return WEAKLY if self.faint[n] else STRONGLY
-        fuzzy = any(self.fuzzy[n] and not o for n, e, o in states) or any(not e and any(self.fuzzy[m] for m in self.children[n].values()) for n, e, _ in states)
+        fuzzy = wrong or any(self.fuzzy[n] and not o for n, e, o in states) or any(not e and any(self.fuzzy[m] for m in self.children[n].values()) for n, e, _ in states)
         return WRONGLY if fuzzy and word not in self.ignored else NONE
 
     def chunk(self, chunk: str) -> tuple[int, str]:
@@ -183,7 +187,7 @@ def context_weight(own: str, before: list[str], after: list[str]) -> float:
 def summed(found: list[tuple[int, float, str]]) -> list[float]:
     """Strong and misspelled matches (one says nearly as much as many), weak ones, those after the first, and what context takes off."""
     strong, wrong, weak = (sum(w for k, w, _ in found if k == kind) for kind in (STRONGLY, WRONGLY, WEAKLY))
-    return [1 - 0.25**strong, 1 - 0.25**wrong, min(weak, MOST), min(max(weak - 1, 0), MOST), min(sum(1 - w for _, w, _ in found), MOST)]
+    return [1 - 0.25**strong, 1 - 0.25**wrong, math.log1p(weak), math.log1p(max(weak - 1, 0)), math.log1p(sum(1 - w for _, w, _ in found))]
 
 
 @dataclass
@@ -261,7 +265,7 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "
     begun = sample.select("mark", F.array_distinct(word).alias("words")).select("mark", F.explode(F.array_distinct(starts)).alias("start")).filter("length(start) >= 3")
     by_start = begun.groupBy("start").agg(F.sum("mark").alias("a"), F.sum(1 - F.col("mark")).alias("b"))
     likelier = F.col("a") * number[0] >= TELLING / 2 * F.col("b") * number[1]
-    found = by_start.filter((F.col("a") >= 4) & likelier).orderBy(F.desc("a"), "start").limit(CANDIDATES).collect()
+    found = by_start.filter((F.col("a") >= 4) & likelier).collect()  # of a bounded sample
     lexicon = terms({r.start: (int(r.a), int(r.b)) for r in found}, number[1], number[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +279,8 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "
     lexicon.ignored = frozenset(clean)
     x = np.array([summed([h for h in zip(r.kinds, r.weights, r.pieces, strict=True) if h[0] != WRONGLY or h[2] not in clean]) for r in rows])
     w = logistic(x, np.array([r.mark for r in rows], float))
-    w[2] = max(w[2], 0.9 * w[1])  # misspellings found in clean texts are left out, so the others tell nearly as much as the words
+    # Fixed, not fitted: misspellings are too rare in a sample to weigh, and those found in clean texts don't count; the others tell nearly as much as the words.
+    w[2] = max(w[2], 0.9 * w[1])
     return Model(lexicon, w)
 
 
