@@ -1,3 +1,7 @@
+"""Times, keys, levels and durations, and the line parsers, on vectors of their own."""
+
+import calendar
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +9,7 @@ from tallylog.functions import times, words
 from tallylog.operators import parsers
 from tallylog.operators.parsers import LogFormat
 
-NOON = 1_696_946_136_000  # 2023-10-10 13:55:36
+BASE = calendar.timegm((2031, 3, 7, 4, 5, 6)) * 1000
 
 
 def applied(spark, f, values):
@@ -13,61 +17,136 @@ def applied(spark, f, values):
     return [r[0] for r in rows.select(f(F.col("v")).alias("x"), "k").orderBy("k").collect()]
 
 
-def test_access_times(spark):
-    good = {"10/Oct/2023:13:55:36 +0000": 0, "10/oct/2023:13:55:36": 0, "10/Oct/2023:13:55:36 +0200": -120, "10/Oct/2023:13:55:36 -0330": 210, "10/Oct/2023:13:55:36+0200": 0, "10/Oct/2023:13:55:36 Zebra": 0}
-    assert applied(spark, times.clf_ms, list(good)) == [NOON + m * 60_000 for m in good.values()]
-    assert applied(spark, times.clf_ms, ["", "10/Foo/2023:13:55:36", "31/Feb/2023:13:55:36", "10/Oct/2023:24:00:00", "10/Oct/2023:13:55:36 GMT", None]) == [None] * 6
-
-
-def test_iso_times(spark):
-    found = applied(spark, times.iso_prefix, ["2023-10-10T13:55:36Z x", "2023-10-10 13:55:36,5", "2023-10-10t13:55:36.1239+01:00", "2023-10-10T13:55:36 -0300", "2023-10-10T13:55:36.x", "2023-02-30T00:00:00Z", "no"])
-    assert [(r.ms, r.used) for r in found] == [(NOON, 20), (NOON + 500, 21), (NOON + 123 - 3_600_000, 30), (NOON, 19), (None, None), (None, None), (None, None)]
-
-
-def test_leap_second_rolls_over(spark):
-    assert applied(spark, lambda c: times.iso_prefix(c)["ms"], ["2023-10-10T13:55:60Z"]) == [NOON + 24_000]
-
-
-def test_keys(spark):
-    assert applied(spark, words.route, ["/api/users/42?x=1", "/o/3f2a9c1e-8b7d-4a55/items", "/static/app.js", "", "/a/12/13/", "deadbeef"]) == ["/api/users/:id", "/o/:id/items", "/static/app.js", "(none)", "/a/:id/:id/", ":id"]
-    assert applied(spark, words.message_key, ["user 1234 failed after 15 tries", "x" * 170]) == ["user # failed after # tries", "x" * 160]
-
-
-@pytest.mark.parametrize("message, seconds", [("user 42 logged in", None), ("served 3 items in 12ms", 0.012), ("took 12 ms total", 0.012), ("in 2.5s", 2.5), ("sessions: 5", None), ("id abc123ms", None), ("ip 10.0.0.1 took 5ms", None), ("12msec 7s", 7.0)])
+@pytest.mark.parametrize(
+    "tail, minutes",
+    [("", 0), (" +0000", 0), (" Z", 0), (" +0545", -345), (" -09:30", 570), (" +14", -840), ("+0545", 0), (".25 +0100", 0), (" +0100 and more", -60)],
+)
+def test_bracketed_times(spark, tail, minutes):
+    assert applied(spark, times.clf_ms, ["07/MAR/2031:04:05:06" + tail]) == [BASE + minutes * 60_000]
+
+
+def test_bracketed_times_that_are_none(spark):
+    wrong = ["07/Mrz/2031:04:05:06", "30/Feb/2031:04:05:06", "07/Mar/2031:24:05:06", "07/Mar/2031:04:60:06", "07/Mar/2031:04:05:61", "07/Mar/2031:04:05:06 +1500", "07/Mar/2031:04:05:06 CET", "7/Mar/2031:04:05:06", "", None]
+    assert applied(spark, times.clf_ms, wrong) == [None] * len(wrong)
+
+
+@pytest.mark.parametrize(
+    "text, ms, used",
+    [
+        ("2031-03-07T04:05:06", 0, 19),
+        ("2031-03-07 04:05:06Z tail", 0, 20),
+        ("2031-03-07t04:05:06.7", 700, 21),
+        ("2031-03-07T04:05:06,04567-0130", 45 + 90 * 60_000, 30),
+        ("2031-03-07T04:05:06+0260", 0, 19),
+        ("2031-03-07T04:05:06+02:60", 0, 19),
+        ("2031-03-07T04:05:06 +02:00", 0, 19),
+        ("2031-03-07T04:05:60Z", 54_000, 20),
+        ("2031-03-07T04:05:06.Z", None, None),
+        ("2031-13-07T04:05:06", None, None),
+        ("on 2031-03-07T04:05:06", None, None),
+    ],
+)
+def test_iso_prefixes(spark, text, ms, used):
+    (found,) = applied(spark, times.iso_prefix, [text])
+    assert (found.ms, found.used) == (None if ms is None else BASE + ms, used)
+
+
+def test_labels_before_the_epoch(spark):
+    row = spark.range(1).select(times.utc_text(F.lit(-1)).alias("t"), times.minute_of(F.lit(-1)).alias("m"), times.minute_label(F.lit(-1)).alias("l")).first()
+    assert tuple(row) == ("1969-12-31 23:59:59", -1, "1969-12-31 23:59")
+
+
+@pytest.mark.parametrize(
+    "path, key",
+    [
+        ("/wiki/Tea", "/wiki/Tea"),
+        ("/wiki/7/rev/0099", "/wiki/:id/rev/:id"),
+        ("/blob/c0ffee00-aa/raw#L5", "/blob/:id/raw"),
+        ("/c0ffee/x", "/c0ffee/x"),
+        ("/--------/", "/:id/"),
+        ("?only=query", "(none)"),
+        ("//5//6", "//:id//:id"),
+        ("5x/x5", "5x/x5"),
+    ],
+)
+def test_routes(spark, path, key):
+    assert applied(spark, words.route, [path]) == [key]
+
+
+def test_message_keys(spark):
+    long = "é" * 158 + "12345"
+    assert applied(spark, words.message_key, ["disk 0 at 97.5%", long, ""]) == ["disk # at #.#%", "é" * 158 + "#", ""]
+
+
+@pytest.mark.parametrize(
+    "message, seconds",
+    [
+        ("flushed 9 pages in 41 ms", 0.041),
+        ("slept 1.5s, then 20ms", 1.5),
+        ("v2ms is no time, 3s is", 3.0),
+        ("from 192.0.2.7 in 8ms", None),
+        ("8 sheep", None),
+        ("7msx 6 s", 6.0),
+        (".5ms", None),
+        ("done", None),
+    ],
+)
 def test_durations(spark, message, seconds):
     assert applied(spark, words.message_seconds, [message]) == [pytest.approx(seconds) if seconds else None]
 
 
-def test_access_lines(spark):
-    stamp = "[10/Oct/2023:13:55:36 +0000]"
-    lines = {
-        f'h - - {stamp} "GET /a/1?q HTTP/1.1" 200 +5 "-" "agent" 0.25': ("GET", "/a/1?q", 200, 5, 0.25),
-        f'h - - {stamp} "-" 408 -': ("-", "", 408, 0, None),
-        f'h - - {stamp} "" 400 7': ("", "", 400, 7, None),
-        f'h - - {stamp} "GET / HTTP/1.1" 200 1 "-" "a" rt=0.5 request_time=0.7': ("GET", "/", 200, 1, 0.7),
-        f'h - - {stamp} "GET / HTTP/1.1" 200 1 "-" "a" rt=-': ("GET", "/", 200, 1, None),
-        f'h - - {stamp} "GET / HTTP/1.1" 200 12': ("GET", "/", 200, 12, None),
-        f'h - - {stamp} "GET / HTTP/1.1" 999 1': None,
-        '[::1] - - [x] "GET / HTTP/1.1" 200 1': None,
-        "": None,
-    }
-    rows = spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "k int, value string")
-    got = [r.rec and (r.rec.method, r.rec.path, r.rec.status, r.rec.bytes, r.rec.latency_s) for r in parsers.access_fields(rows).orderBy("k").collect()]
-    assert got == list(lines.values())
-
-
-def test_app_lines(spark):
-    lines = {
-        "2023-10-10T13:55:36Z ERROR db: refused after 1500ms": (4, "db: refused after 1500ms", 1.5),
-        "2023-10-10 13:55:36,123 [main] WARN  Slow query": (3, "Slow query", None),
-        "2023-10-10T13:55:36Z [info] started in 2.5s": (2, "started in 2.5s", 2.5),
-        "2023-10-10T13:55:36Z no level here at all": None,
-        "    at com.example.Foo(Foo.java:12)": None,
-    }
-    rows = spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "k int, value string")
-    got = [r.rec and (r.rec.level_rank, r.rec.message, r.rec.latency_s) for r in parsers.app_fields(rows).orderBy("k").collect()]
-    assert got == list(lines.values())
-
-
-def test_formats():
-    assert LogFormat("access") is LogFormat.ACCESS
+def access(spark, line, scale=1.0):
+    return parsers.access_fields(spark.createDataFrame([(line,)], "value string"), scale=scale).first().rec
+
+
+@pytest.mark.parametrize(
+    "rest, expected",
+    [
+        ('"PUT /a/b HTTP/1.1" 201 17 "-" "ua" 0.75', ("PUT", "/a/b", 201, 17, 0.75)),
+        ('   "HEAD * HTTP/1.0" +304 -', ("HEAD", "*", 304, 0, None)),
+        ('"GET  /two-blanks" 200 1', ("GET", "", 200, 1, None)),
+        ('"" 400 0', ("", "", 400, 0, None)),
+        ('"GET / X" 200 1 "http://h/?start=9" "ua" 0.5', ("GET", "/", 200, 1, 9.0)),
+        ('"GET / X" 200 1 "-" "ua" rt=1.2.3 0.5', ("GET", "/", 200, 1, None)),
+        ('"GET / X" 200 1 "-" "ua" rt=2 request_time=3', ("GET", "/", 200, 1, 3.0)),
+        ('"GET / X" 200 1 "-" "ua" 0.5 ', ("GET", "/", 200, 1, None)),
+        ('"GET / X" 200 77', ("GET", "/", 200, 77, None)),
+    ],
+)
+def test_access_lines(spark, rest, expected):
+    r = access(spark, f"host - - [07/Mar/2031:04:05:06 +0000] {rest}")
+    assert r.ts_ms == BASE and (r.method, r.path, r.status, r.bytes, r.latency_s) == expected
+
+
+@pytest.mark.parametrize("line", ["", "no brackets", '[::7] - - [07/Mar/2031:04:05:06] "GET / X" 200 1', 'h [07/Mar/2031:04:05:06] GET 200 1', 'h [07/Mar/2031:04:05:06] "GET /" 99 1', 'h [07/Mar/2031:04:05:06] "GET /" 600 1', 'h [07/Mar/2031:04:05:06] "GET /" 200 x', 'h [07/Mar/2031:04:05:06] "GET /" 200 9223372036854775808'])
+def test_lines_that_are_no_access_lines(spark, line):
+    assert access(spark, line) is None
+
+
+@pytest.mark.parametrize("unit, seconds", [("s", 250.0), ("ms", 0.25), ("us", 0.00025)])
+def test_latency_units(spark, unit, seconds):
+    line = 'h [07/Mar/2031:04:05:06] "GET /" 200 1 "-" 250'
+    assert access(spark, line, parsers.LATENCY_UNITS[unit]).latency_s == pytest.approx(seconds)
+
+
+@pytest.mark.parametrize(
+    "rest, expected",
+    [
+        ("Z notice: pump on", ("INFO", "pump on", None)),
+        (" [io-3] <SEVERE> valve stuck for 12s", ("ERROR", "valve stuck for 12s", 12.0)),
+        (" a b verbose c", ("TRACE", "c", None)),
+        (" a b c warn d", None),
+        (" -0500 x crit late", ("FATAL", "late", None)),
+        (" information only", None),
+    ],
+)
+def test_application_lines(spark, rest, expected):
+    rows = spark.createDataFrame([("2031-03-07T04:05:06" + rest,)], "value string")
+    rec = parsers.app_fields(rows).withColumn("level", words.level_name(F.col("rec.level_rank"))).first()
+    assert (rec.rec and (rec.level, rec.rec.message, rec.rec.latency_s)) == expected
+
+
+def test_only_fields_asked_for_are_computed(spark):
+    lines = spark.createDataFrame([('h [07/Mar/2031:04:05:06] "GET /" 200 1', "", 0, 0)], "value string, file string, block long, pos long")
+    plan = lambda *c: parsers.parsed(lines, LogFormat.ACCESS, 1.0, c)._jdf.queryExecution().optimizedPlan().toString()
+    assert "request_time" in plan("latency_s") and "request_time" not in plan("status") and ":id" not in plan("status")
