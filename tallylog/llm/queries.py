@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, line_dedup, mixing, ngram_lm, quality, simhash, token_codec, toxicity, warc
 from .oracles import ORACLES
-from .shared import read_table, scratch_path
+from .shared import bounded_batches, read_table, scratch_path
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,14 +17,17 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return quality.quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return html_text.page_report(read_table(spark, sf_dir, "pages"))
 
 
 def op4_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return warc.page_records(read_table(spark, sf_dir, "pages"))
 
 
@@ -33,6 +36,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
@@ -42,6 +46,7 @@ def id_fold(doc_id: Column, folds: int) -> Column:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), lambda doc_id: id_fold(doc_id, 3) == 1)
 
 
@@ -50,11 +55,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     return ngram_lm.scores(docs, id_fold(docs.doc_id, 7) == 2)
 
 
 def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     import public_tokenizers
 
     path = scratch_path(spark, "rans")

@@ -33,8 +33,8 @@ from .shared import drop_path, file_system, scratch_path, slices
 SCALE, BLOCK, LANES = 18, 1 << 18, 1024
 LOW = np.uint64(1 << 31)
 HEAD = struct.Struct("<IIII")
-#: Words whose ids a worker keeps.
-KEPT = 500_000
+#: Words whose ids a worker keeps; some 20 MB.
+KEPT = 100_000
 #: Blocks that one decoding task row covers.
 RUN = 16
 
@@ -134,6 +134,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "d
                 at = pa.py_buffer(np.concatenate(([0], ends * 2)).astype(np.int32))
                 coded = pa.Array.from_buffers(pa.binary(), stop - begin, [None, at, pa.py_buffer(ids.astype("<u2"))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), coded], names=["doc_id", "ids"])
+            pa.default_memory_pool().release_unused()
 
     return narrow.mapInArrow(run, f"doc_id {kind}, ids binary")
 
