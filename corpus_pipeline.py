@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallylog.llm import decontaminate, mixing, quality, simhash, token_codec
-from tallylog.llm.shared import read_table, scratch_path, written
+from tallylog.llm.shared import bounded_batches, read_table, scratch_path, written
 
 VOCABULARY, END_ID = 49_408, 2
 
@@ -21,11 +21,13 @@ def tokenizer_path() -> str:
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and the isolation forest."""
+    bounded_batches(spark)
     return quality.good_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    bounded_batches(spark)
     return simhash.without_near_copies(docs, words=5, similarity=0.8)
 
 
@@ -41,6 +43,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document in the coded files, read back from them."""
+    bounded_batches(spark)
     path = scratch_path(spark, "pipeline-tokens")
     token_codec.write_tokens(docs, path, tokenizer_path(), VOCABULARY, END_ID)
     return token_codec.read_tokens(spark, path, digest=True)
