@@ -256,7 +256,8 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "
     marked = labels.filter(~F.coalesce(held_out, F.lit(False))).select(labels[id_col].alias("marked"), labels[label_col].alias("mark")).filter("mark IN (0, 1)").distinct()
     first = lambda k, n: marked.filter(f"mark = {k}").orderBy(F.xxhash64("marked"), "marked").limit(n)
     chosen = F.broadcast(first(1, TOXIC).unionByName(first(0, CLEAN)))  # at most TOXIC + CLEAN rows of two numbers
-    sample = written(docs.join(chosen, docs[id_col] == chosen.marked).select("mark", F.coalesce(docs[text_col], F.lit("")).alias("text")), "toxic-sample")
+    own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    sample = written(own.join(chosen, own.id == chosen.marked).select("mark", "text"), "toxic-sample")
     number = {r.mark: r["count"] for r in sample.groupBy("mark").count().collect()}
     if len(number) < 2:
         return Model(Lexicon([], []), None)
