@@ -302,6 +302,8 @@ def render(root: Node) -> str:
             continue
         if isinstance(node, str):
             if pre:
+                page.line += " " * (page.space and page.line != "")
+                page.space = False
                 *full, last = node.split("\n")
                 for x in full:
                     page.put(page.line + x)

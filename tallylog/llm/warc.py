@@ -93,17 +93,22 @@ class Records:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """The content of a gzip file of one member or several, in pieces of bounded size."""
-    stream, waiting = zlib.decompressobj(GZIP), b""
+    """The content of a gzip file of one member or several, in pieces of bounded size; zero bytes behind a member are padding, a cut member is an error."""
+    stream, waiting, begun = zlib.decompressobj(GZIP), b"", False
     while True:
         piece = waiting or source.read(PIECE)
         if not piece:
             break
+        if not begun and not (piece := piece.lstrip(b"\0")):
+            waiting = b""
+            continue
+        begun = True
         yield stream.decompress(piece, PIECE)
         waiting = stream.unconsumed_tail or stream.unused_data
         if stream.eof:
-            stream = zlib.decompressobj(GZIP)
-    yield stream.flush()
+            stream, begun = zlib.decompressobj(GZIP), False
+    if begun:
+        raise ValueError("the gzip stream is cut off")
 
 
 # --- writing, normalizing, reading ------------------------------------------------------------------
