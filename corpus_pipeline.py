@@ -1,6 +1,10 @@
 """A pipeline from raw documents to token files: quality, near copies, benchmark passages, source mix, tokens.
 
-Each stage takes what the one before kept, as a table in the shared folder.
+Each stage takes what the one before kept, as a table in the shared folder. Columns
+may have any names beside those of documents and are kept but by the last stage. Null
+and empty texts fail the quality rules; a later stage that meets them takes null for
+no words and keeps one of them as a group of copies. Null ids and sources count as a
+value of their own. Of repeated rows one stays; empty tables pass through.
 """
 
 from __future__ import annotations
