@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallylog.llm import decontaminate, mixing, quality, simhash, token_codec
-from tallylog.llm.shared import bounded_batches, read_table, scratch_path, written
+from tallylog.llm.shared import bounded_batches, dropped, read_table, scratch_path, written
 
 VOCABULARY, END_ID = 49_408, 2
 
@@ -62,7 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k + 1}")
+        if k:  # the last stage has written its files, and the others' results stand in tables
+            dropped(before)
     return docs
