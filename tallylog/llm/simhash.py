@@ -19,7 +19,9 @@ named columns are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import WORD, lower_ascii, tidy, written
+from .shared import WORD, drop_path, dropped, file_system, lower_ascii, scratch_path, tidy, written
 
 SEED, PART_BITS, PARTS = 42, 16, 4
 TILE = 1024
@@ -218,15 +220,61 @@ def set_prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, node long, fp long, second long, third long, fourth long, n long, parity binary")
 
 
+TILE_INDEX = pa.schema([("g", pa.int32()), ("s", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+
+
+def stored_tiles(dealt: DataFrame, fields: list[str]) -> tuple[DataFrame, str]:
+    """Writes the rows of each (g, s) as one block of a file; returns the index (g, s, file, at, size) and the folder."""
+    path = scratch_path(dealt.sparkSession, "tiles")
+    disk, local = file_system(f"{path}/files")
+    disk.create_dir(local, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A repeated attempt writes another file; the index, which Spark commits, names the one that counts.
+        name, out = f"{path}/files/{uuid.uuid4().hex}", None
+        for batch in batches:
+            for g, s, tile in zip(*(batch.column(k) for k in range(3)), strict=True):
+                if out is None:
+                    disk, local = file_system(name)
+                    out = disk.open_output_stream(local)
+                sink, block = pa.BufferOutputStream(), pa.RecordBatch.from_struct_array(tile.values)
+                with pa.ipc.new_stream(sink, block.schema) as ipc:
+                    ipc.write_batch(block)
+                data, at = sink.getvalue(), out.tell()
+                out.write(data)
+                yield pa.RecordBatch.from_pydict({"g": [g.as_py()], "s": [s.as_py()], "file": [name], "at": [at], "size": [data.size]}, TILE_INDEX)
+        if out is not None:
+            out.close()
+
+    tiles = dealt.groupBy("g", "s").agg(F.collect_list(F.struct(*fields)).alias("tile"))
+    index = tiles.mapInArrow(run, "g int, s long, file string, at long, size long")
+    index.write.parquet(f"{path}/index")
+    return dealt.sparkSession.read.schema(index.schema).parquet(f"{path}/index"), path
+
+
+@lru_cache(4)
+def tile_of(file: str, at: int, size: int) -> dict[str, np.ndarray]:
+    disk, local = file_system(file)
+    with disk.open_input_file(local) as source:
+        source.seek(at)
+        table = pa.ipc.open_stream(pa.BufferReader(source.read(size))).read_all().combine_chunks()
+    return {f: values(table[f].combine_chunks()) for f in table.column_names}
+
+
+def values(column: pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0)
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, (1 << PARITY_BITS) // 64)
+    return column.to_numpy(zero_copy_only=False)
+
+
 def met(batches: Iterator[pa.RecordBatch], nearest: bool, similarity: float) -> Iterator[pa.RecordBatch]:
     """Pairs (u, v, far) of nodes under different labels that may be similar; with ``nearest`` only the nearest u of each v in a tile pair."""
     for batch in batches:
-        side = {}
-        for k in ("a", "b"):
-            col = batch.column(k)
-            side[k] = (col.offsets.to_numpy(), {f.name: col.values.field(f.name) for f in col.type.value_type})
-        for k, same in enumerate(batch.column("same").to_pylist()):
-            a, b = ({f: part(x, at[k], at[k + 1]) for f, x in values.items()} for at, values in side.values())
+        for row in batch.to_pylist():
+            a, b = tile_of(row["file"], row["at"], row["size"]), tile_of(row["file_b"], row["at_b"], row["size_b"])
+            same = row["g"] == row["h"] and row["s"] == row["t"]
             found = []
             for at in range(0, len(a["fp"]), STRIPE):
                 apart = distance(a["fp"][at : at + STRIPE][:, None], b["fp"][None, :])
@@ -279,31 +327,27 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64))
 
 
-def part(column: pa.Array, begin: int, stop: int) -> np.ndarray:
-    own = column.slice(begin, stop - begin)
-    if pa.types.is_binary(own.type):
-        return np.frombuffer(b"".join(own.to_pylist()), np.uint64).reshape(-1, (1 << PARITY_BITS) // 64)
-    return own.to_numpy(zero_copy_only=False)
-
+def candidates(nodes: DataFrame, nearest: bool, similarity: float) -> tuple[DataFrame, str]:
+    """Pairs (u, v) of ``nodes`` (node, four prints, n, parity, label), and the folder they need until they are written.
 
-def candidates(nodes: DataFrame, nearest: bool, similarity: float) -> DataFrame:
-    """Pairs (u, v) of ``nodes`` (node, four prints, n, parity, label); tiles by population count, pairs beyond the radius skipped."""
+    Tiles by population count are written to files once; what is dealt to tasks are pairs of places in them, but
+    for pairs of tiles beyond the radius.
+    """
     fields = ["node", "fp", "second", "n", "label"] + ([] if nearest else ["third", "fourth", "parity"])
     grouped = nodes.withColumn("g", F.bit_count("fp"))
     sizes = written(grouped.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / WIDE_TILE).cast("int").alias("cuts")), "tile-sizes")  # 65 rows at most
     dealt = grouped.join(F.broadcast(sizes), "g").withColumn("s", F.expr("cast(pmod(xxhash64(node), cuts) AS LONG)"))
-    tiles = written(dealt.groupBy("g", "s").agg(F.collect_list(F.struct(*fields)).alias("tile")), "tiles")
-    there = F.broadcast(sizes.select(F.col("g").alias("h"), F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1).alias("ts")))
-    inside = tiles.select("g", "s", F.col("tile").alias("a"), F.explode(F.sequence("g", F.col("g") + (NEAR if nearest else WIDE_TWO))).alias("h")).join(there, "h")
-    inside = inside.select("g", "s", "a", "h", F.explode("ts").alias("t")).filter("g <> h OR s <= t")
-    other = tiles.select(F.col("g").alias("h"), F.col("s").alias("t"), F.col("tile").alias("b"))
-    found = inside.join(other, ["h", "t"]).select("a", "b", F.expr("g = h AND s = t").alias("same")).mapInArrow(lambda batches: met(batches, nearest, similarity), "u long, v long, far long")
-    return found.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v") if nearest else found.select("u", "v").distinct()
+    index, path = stored_tiles(dealt, fields)
+    other = index.select(F.col("g").alias("h"), F.col("s").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("file", "at", "size")])
+    pairs = index.withColumn("h", F.explode(F.sequence("g", F.col("g") + (NEAR if nearest else WIDE_TWO)))).join(other, "h").filter("g <> h OR s <= t")
+    spread = pairs.repartition(max(4 * nodes.sparkSession.sparkContext.defaultParallelism, pairs.count() // 64), "g", "s", "h", "t")
+    found = spread.mapInArrow(lambda batches: met(batches, nearest, similarity), "u long, v long, far long")
+    dropped(sizes)
+    return (found.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v") if nearest else found.select("u", "v").distinct()), path
 
 
 def similar(pairs: DataFrame, places: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Those ``pairs`` (u, v) whose texts have the Jaccard similarity; only texts that occur in pairs are read again."""
-    pairs = written(pairs, "near-pairs")
+    """Those ``pairs`` (u, v), a written table, whose texts have the Jaccard similarity, as one; only texts that occur in pairs are read again."""
     needed = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-needed")
     cell = needed.select(F.expr(f"shiftrightunsigned(node, 6) & {CELLS - 1}").alias("cell"), F.expr("shiftleft(1L, cast(node & 63 AS INT))").alias("bit"))
     every = pairs.sparkSession.range(0, CELLS, 1, 4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bit"))
@@ -318,7 +362,9 @@ def similar(pairs: DataFrame, places: DataFrame, docs: DataFrame, words: int, si
     sets = written(hashed.select("node", F.expr(f"CASE WHEN size(w) > {words} THEN array_distinct(transform(sequence(0, size(w) - {words}), i -> xxhash64({gram}))) ELSE array(xxhash64(wh)) END").alias("set")), "near-sets")
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")), "v")
     shared = F.size(F.array_intersect("su", "sv"))
-    return both.filter(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared)).select("u", "v")
+    found = written(both.filter(shared >= F.lit(similarity) * (F.size("su") + F.size("sv") - shared)).select("u", "v"), "near-links")
+    dropped(needed, sets)
+    return found
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,7 +382,11 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     links, label = None, nodes.select("node", F.col("node").alias("root"))
     for k in range(ROUNDS + 1):
         labelled = written(nodes.drop("first_id").join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "near-labelled")
-        more = written(similar(candidates(labelled, k < ROUNDS, similarity), places, docs, words, similarity, id_col, text_col), "near-links")
+        found, tiles = candidates(labelled, k < ROUNDS, similarity)
+        pairs = written(found, "near-pairs")
+        drop_path(docs.sparkSession, tiles)
+        more = similar(pairs, places, docs, words, similarity, id_col, text_col)
+        dropped(pairs, labelled)
         tidy(docs.sparkSession)
         links = more if links is None else links.unionByName(more)
         label = written(components(links), "near-labels")
