@@ -17,12 +17,11 @@ def applied(spark, f, values):
     return [r[0] for r in rows.select(f(F.col("v")).alias("x"), "k").orderBy("k").collect()]
 
 
-@pytest.mark.parametrize(
-    "tail, minutes",
-    [("", 0), (" +0000", 0), (" Z", 0), (" +0545", -345), (" -09:30", 570), (" +14", -840), ("+0545", 0), (".25 +0100", 0), (" +0100 and more", -60)],
-)
-def test_bracketed_times(spark, tail, minutes):
-    assert applied(spark, times.clf_ms, ["07/MAR/2031:04:05:06" + tail]) == [BASE + minutes * 60_000]
+TAILS = [("", 0), (" +0000", 0), (" Z", 0), (" +0545", -345), (" -09:30", 570), (" +14", -840), ("+0545", 0), (".25 +0100", 0), (" +0100 and more", -60)]
+
+
+def test_bracketed_times(spark):
+    assert applied(spark, times.clf_ms, ["07/MAR/2031:04:05:06" + tail for tail, _ in TAILS]) == [BASE + minutes * 60_000 for _, minutes in TAILS]
 
 
 def test_bracketed_times_that_are_none(spark):
@@ -30,9 +29,7 @@ def test_bracketed_times_that_are_none(spark):
     assert applied(spark, times.clf_ms, wrong) == [None] * len(wrong)
 
 
-@pytest.mark.parametrize(
-    "text, ms, used",
-    [
+ISO = [
         ("2031-03-07T04:05:06", 0, 19),
         ("2031-03-07 04:05:06Z tail", 0, 20),
         ("2031-03-07t04:05:06.7", 700, 21),
@@ -44,11 +41,12 @@ def test_bracketed_times_that_are_none(spark):
         ("2031-03-07T04:05:06.Z", None, None),
         ("2031-13-07T04:05:06", None, None),
         ("on 2031-03-07T04:05:06", None, None),
-    ],
-)
-def test_iso_prefixes(spark, text, ms, used):
-    (found,) = applied(spark, times.iso_prefix, [text])
-    assert (found.ms, found.used) == (None if ms is None else BASE + ms, used)
+]
+
+
+def test_iso_prefixes(spark):
+    found = applied(spark, times.iso_prefix, [text for text, _, _ in ISO])
+    assert [(x.ms, x.used) for x in found] == [(None if ms is None else BASE + ms, used) for _, ms, used in ISO]
 
 
 def test_labels_before_the_epoch(spark):
@@ -56,9 +54,7 @@ def test_labels_before_the_epoch(spark):
     assert tuple(row) == ("1969-12-31 23:59:59", -1, "1969-12-31 23:59")
 
 
-@pytest.mark.parametrize(
-    "path, key",
-    [
+ROUTES = [
         ("/wiki/Tea", "/wiki/Tea"),
         ("/wiki/7/rev/0099", "/wiki/:id/rev/:id"),
         ("/blob/c0ffee00-aa/raw#L5", "/blob/:id/raw"),
@@ -67,10 +63,11 @@ def test_labels_before_the_epoch(spark):
         ("?only=query", "(none)"),
         ("//5//6", "//:id//:id"),
         ("5x/x5", "5x/x5"),
-    ],
-)
-def test_routes(spark, path, key):
-    assert applied(spark, words.route, [path]) == [key]
+]
+
+
+def test_routes(spark):
+    assert applied(spark, words.route, [path for path, _ in ROUTES]) == [key for _, key in ROUTES]
 
 
 def test_message_keys(spark):
@@ -78,9 +75,7 @@ def test_message_keys(spark):
     assert applied(spark, words.message_key, ["disk 0 at 97.5%", long, ""]) == ["disk # at #.#%", "é" * 158 + "#", ""]
 
 
-@pytest.mark.parametrize(
-    "message, seconds",
-    [
+DURATIONS = [
         ("flushed 9 pages in 41 ms", 0.041),
         ("slept 1.5s, then 20ms", 1.5),
         ("v2ms is no time, 3s is", 3.0),
@@ -89,19 +84,20 @@ def test_message_keys(spark):
         ("7msx 6 s", 6.0),
         (".5ms", None),
         ("done", None),
-    ],
-)
-def test_durations(spark, message, seconds):
-    assert applied(spark, words.message_seconds, [message]) == [pytest.approx(seconds) if seconds else None]
+]
+
 
+def test_durations(spark):
+    found = applied(spark, words.message_seconds, [message for message, _ in DURATIONS])
+    assert found == [pytest.approx(seconds) if seconds else None for _, seconds in DURATIONS]
 
-def access(spark, line, scale=1.0):
-    return parsers.access_fields(spark.createDataFrame([(line,)], "value string"), scale=scale).first().rec
 
+def access(spark, lines, scale=1.0):
+    rows = spark.createDataFrame(list(enumerate(lines)), "k int, value string")
+    return [r.rec for r in parsers.access_fields(rows, scale=scale).orderBy("k").collect()]
 
-@pytest.mark.parametrize(
-    "rest, expected",
-    [
+
+ACCESS = [
         ('"PUT /a/b HTTP/1.1" 201 17 "-" "ua" 0.75', ("PUT", "/a/b", 201, 17, 0.75)),
         ('   "HEAD * HTTP/1.0" +304 -', ("HEAD", "*", 304, 0, None)),
         ('"GET  /two-blanks" 200 1', ("GET", "", 200, 1, None)),
@@ -111,39 +107,41 @@ def access(spark, line, scale=1.0):
         ('"GET / X" 200 1 "-" "ua" rt=2 request_time=3', ("GET", "/", 200, 1, 3.0)),
         ('"GET / X" 200 1 "-" "ua" 0.5 ', ("GET", "/", 200, 1, None)),
         ('"GET / X" 200 77', ("GET", "/", 200, 77, None)),
-    ],
-)
-def test_access_lines(spark, rest, expected):
-    r = access(spark, f"host - - [07/Mar/2031:04:05:06 +0000] {rest}")
-    assert r.ts_ms == BASE and (r.method, r.path, r.status, r.bytes, r.latency_s) == expected
+]
+
+
+def test_access_lines(spark):
+    found = access(spark, [f"host - - [07/Mar/2031:04:05:06 +0000] {rest}" for rest, _ in ACCESS])
+    assert {r.ts_ms for r in found} == {BASE} and [(r.method, r.path, r.status, r.bytes, r.latency_s) for r in found] == [x for _, x in ACCESS]
+
 
+NO_ACCESS = ["", "no brackets", '[::7] - - [07/Mar/2031:04:05:06] "GET / X" 200 1', 'h [07/Mar/2031:04:05:06] GET 200 1', 'h [07/Mar/2031:04:05:06] "GET /" 99 1', 'h [07/Mar/2031:04:05:06] "GET /" 600 1', 'h [07/Mar/2031:04:05:06] "GET /" 200 x', 'h [07/Mar/2031:04:05:06] "GET /" 200 9223372036854775808']
 
-@pytest.mark.parametrize("line", ["", "no brackets", '[::7] - - [07/Mar/2031:04:05:06] "GET / X" 200 1', 'h [07/Mar/2031:04:05:06] GET 200 1', 'h [07/Mar/2031:04:05:06] "GET /" 99 1', 'h [07/Mar/2031:04:05:06] "GET /" 600 1', 'h [07/Mar/2031:04:05:06] "GET /" 200 x', 'h [07/Mar/2031:04:05:06] "GET /" 200 9223372036854775808'])
-def test_lines_that_are_no_access_lines(spark, line):
-    assert access(spark, line) is None
 
+def test_lines_that_are_no_access_lines(spark):
+    assert access(spark, NO_ACCESS) == [None] * len(NO_ACCESS)
 
-@pytest.mark.parametrize("unit, seconds", [("s", 250.0), ("ms", 0.25), ("us", 0.00025)])
-def test_latency_units(spark, unit, seconds):
+
+def test_latency_units(spark):
     line = 'h [07/Mar/2031:04:05:06] "GET /" 200 1 "-" 250'
-    assert access(spark, line, parsers.LATENCY_UNITS[unit]).latency_s == pytest.approx(seconds)
+    for unit, seconds in (("s", 250.0), ("ms", 0.25), ("us", 0.00025)):
+        assert access(spark, [line], parsers.LATENCY_UNITS[unit])[0].latency_s == pytest.approx(seconds)
 
 
-@pytest.mark.parametrize(
-    "rest, expected",
-    [
+APP = [
         ("Z notice: pump on", ("INFO", "pump on", None)),
         (" [io-3] <SEVERE> valve stuck for 12s", ("ERROR", "valve stuck for 12s", 12.0)),
         (" a b verbose c", ("TRACE", "c", None)),
         (" a b c warn d", None),
         (" -0500 x crit late", ("FATAL", "late", None)),
         (" information only", None),
-    ],
-)
-def test_application_lines(spark, rest, expected):
-    rows = spark.createDataFrame([("2031-03-07T04:05:06" + rest,)], "value string")
-    rec = parsers.app_fields(rows).withColumn("level", words.level_name(F.col("rec.level_rank"))).first()
-    assert (rec.rec and (rec.level, rec.rec.message, rec.rec.latency_s)) == expected
+]
+
+
+def test_application_lines(spark):
+    rows = spark.createDataFrame([(k, "2031-03-07T04:05:06" + rest) for k, (rest, _) in enumerate(APP)], "k int, value string")
+    found = parsers.app_fields(rows).withColumn("level", words.level_name(F.col("rec.level_rank"))).orderBy("k").collect()
+    assert [r.rec and (r.level, r.rec.message, r.rec.latency_s) for r in found] == [x for _, x in APP]
 
 
 def test_only_fields_asked_for_are_computed(spark):
