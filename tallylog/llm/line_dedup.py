@@ -10,12 +10,14 @@ often they occur in all texts, the rarest first, and the first n - ceil(0.8 n) +
 of a line are indexed: matching lines share one of these. Words that occur once
 can't be shared and leave the index. Candidates pass the length filter, the
 positional filter and a bound from parity bitmaps of the sets before the sets
-themselves are compared. Classes are first compared with the earliest class of each
-indexed word, which settles large groups of variants in a number of pairs that grows
-with the group, and only the others with all earlier classes. There, a word that
-HOT classes or more have in the index is only a key together with a second word:
-what matches through a word as the rarest shared one also shares the next rarest,
-which is among the first n - ceil(0.8 n) + 2.
+themselves are compared. Classes have numbers in the order of their first lines.
+Words that occur FEW times at most bring all their pairs at once. For other words,
+classes are first compared with the earliest class of each, which settles large
+groups of variants in a number of pairs that grows with the group, and only the
+others, where three or more have a word, with all earlier classes. There, a word
+that HOT classes or more have in the index is only a key together with a second
+word: what matches through a word as the rarest shared one also shares the next
+rarest, which is among the first n - ceil(0.8 n) + 2.
 
 How often words occur is kept in CELLS counters by word hash, each as a logarithm in
 a byte, so that every task can hold the table (16 MB at most). Words that meet in a
@@ -23,12 +25,13 @@ counter count as more frequent than they are, which costs time, but no match, as
 order that all lines share keeps the join exact.
 
 Defined results: null text has no lines; ids are expected to be unique, and lines
-that share id and place count as one place; null ids come first; an empty table
-gives an empty result. Only the named columns are read.
+that share id and place count as one place, so that repeated rows lose the same
+lines; null ids come first; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,21 +41,24 @@ from .shared import dropped, tidy, written
 
 #: Similarity as a fraction, and the least number of different words in a line.
 NUM, DEN, MIN_WORDS = 4, 5, 1
-#: Counters of words: ROWS arrays of ROW each.
+#: Counters of words: ROWS times ROW.
 ROWS, ROW = 1 << 12, 1 << 12
 CELLS = ROWS * ROW
+#: Times that a word occurs up to which all its lines are compared at once, as a logarithm in a counter too.
+FEW = 20
+FEW_STEP = int(3 * math.log2(FEW)) + 1
 #: Classes with an indexed word from which on it needs a second one beside it.
-HOT = 200
+HOT = 500
 #: What identifies a set: a hash of its words, parities of their hash bits, and its size.
-KEYS = ("h", "bits", "more", "n")
+KEYS = ("h", "bits", "n")
 #: The index is joined in so many parts, one after the other, to bound the disk that its shuffle takes.
 PARTS = 2
-#: Stands for a word that occurs once.
+#: Stands for a word that occurs once; other words are even numbers if they occur FEW times at most.
 ALONE = -1
 #: Longs of the filter that picks documents to read again, at most; 8 MB.
 FILTER_LONGS = 1 << 20
 
-SPLIT = r"split(line, '[\\x20\\t\\x0B-\\x0D]+')"
+SPLIT = r"CASE WHEN instr(line, '\t') + instr(line, '\r') + instr(line, '\u000B') + instr(line, '\u000C') = 0 THEN split(line, ' ') ELSE split(line, '[\\x20\\t\\x0B-\\x0D]+') END"
 #: An empty word at the beginning or end of a line hashes to itself and is left out.
 HASHES = f"array_distinct(array_remove(transform({SPLIT}, w -> xxhash64(w)), xxhash64('')))"
 
@@ -62,36 +68,37 @@ def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), F.posexplode(F.split(F.lower(docs[text_col]), "\n")).alias("place", "line"))
 
 
-def dense(entries: str, size: str = "") -> str:
-    """Sorted (at, v) entries as an array in which v stands at place ``at``, and 0 between."""
-    return f"flatten(transform({entries}, (x, i) -> concat(array_repeat(0Y, x.at - coalesce(get({entries}, i - 1).at, -1) - 1), array(x.v))))"
+def dense(entries: str) -> str:
+    """Sorted numbers at * 128 + v as an array of ROW bytes in which v stands at place ``at``, and 0 elsewhere."""
+    gap = f"(shiftright(x, 7) - coalesce(shiftright(get({entries}, i - 1), 7), -1) - 1)"
+    filled = f"flatten(transform({entries}, (x, i) -> concat(array_repeat(0Y, {gap}), array(cast(x % 128 AS TINYINT)))))"
+    return f"concat({filled}, array_repeat(0Y, {ROW} - 1 - shiftright(element_at({entries}, -1), 7)))"
 
 
 def word_ranks(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: for each counter 1 if its words occur once in all texts, more the more often they do; in ROWS arrays."""
+    """One row: for each counter 1 if its words occur once in all texts, more the more often they do, as an array of CELLS bytes."""
     words = docs.select(F.explode(F.split(F.lower(docs[text_col]), r"[\x20\t-\x0D]+")).alias("w")).filter("w <> ''")
     counts = words.select(F.expr(f"xxhash64(w) & {CELLS - 1}L").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("times"))
-    steps = counts.select(F.expr(f"cast(cell div {ROW} AS INT)").alias("row"), F.struct(F.expr(f"cast(cell % {ROW} AS INT)").alias("at"), F.expr("cast(least(127, floor(3 * log2(times)) + 1) AS TINYINT)").alias("v")).alias("e"))
-    rows = steps.groupBy("row").agg(F.array_sort(F.collect_list("e")).alias("es")).select("row", F.expr(dense("es")).alias("cells"))
+    steps = counts.select(F.expr(f"cast(cell div {ROW} AS INT)").alias("row"), F.expr(f"cast(cell % {ROW} * 128 + least(127, floor(3 * log2(times)) + 1) AS INT)").alias("e"))
+    rows = steps.groupBy("row").agg(F.sort_array(F.collect_list("e")).alias("es")).select("row", F.expr(dense("es")).alias("cells"))
     every = docs.sparkSession.range(0, ROWS, 1, 1).select(F.col("id").cast("int").alias("row"))
-    return every.join(rows, "row", "left").agg(F.expr("transform(array_sort(collect_list(struct(row, coalesce(cells, array(0Y)) AS cells))), x -> x.cells)").alias("ranks"))
+    filled = every.join(rows, "row", "left").select("row", F.coalesce("cells", F.expr(f"array_repeat(0Y, {ROW})")).alias("cells"))
+    return filled.agg(F.expr("flatten(transform(array_sort(collect_list(struct(row, cells))), x -> x.cells))").alias("ranks"))
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, place, h, bits, more, n, prefix) of all lines with enough words; ``prefix`` has one word more than is indexed alone."""
+    """(doc_id, place, h, bits, n, prefix) of all lines with enough words; ``prefix`` has one word more than is indexed alone."""
     sets = text_lines(docs, id_col, text_col).select("doc_id", "place", F.expr(HASHES).alias("hs")).withColumn("n", F.size("hs")).filter(F.col("n") >= min_words)
     ranked = sets.withColumn("ranks", written(word_ranks(docs, text_col), "line-ranks").scalar())
-    step = f"coalesce(get(get(ranks, cast(shiftright(h & {CELLS - 1}L, {ROW.bit_length() - 1}) AS INT)), cast(h & {ROW - 1}L AS INT)), 0Y)"
-    key = f"shiftleft(cast({step} AS BIGINT), 56) | shiftrightunsigned(h, 8)"  # never negative
+    key = f"shiftleft(cast(get(ranks, cast(h & {CELLS - 1}L AS INT)) AS BIGINT), 56) | shiftrightunsigned(h, 8)"  # never negative
     ranked = ranked.withColumn("keys", F.expr(f"sort_array(transform(hs, h -> {key}))"))
     return ranked.select(
         "doc_id",
         "place",
         F.expr("xxhash64(keys)").alias("h"),
         F.expr("aggregate(hs, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63L AS INT)))").alias("bits"),
-        F.expr("aggregate(hs, 0L, (a, h) -> a ^ shiftleft(1L, cast(shiftrightunsigned(h, 58) AS INT)))").alias("more"),
         "n",
-        F.expr(f"transform(slice(keys, 1, {indexed('n')} + 1), k -> CASE WHEN k < {2 << 56}L THEN {ALONE} ELSE cast(k % 2147483647 AS INT) END)").alias("prefix"),
+        F.expr(f"transform(slice(keys, 1, {indexed('n')} + 1), k -> CASE WHEN k < {2 << 56}L THEN {ALONE} ELSE cast(k % 1073741823 AS INT) * 2 + CASE WHEN k < {FEW_STEP + 1 << 56}L THEN 0 ELSE 1 END END)").alias("prefix"),
     )
 
 
@@ -101,49 +108,63 @@ def indexed(n: str) -> str:
 
 
 def may_match(x: str, y: str) -> Column:
+    return F.expr(may_match_text(x, y))
+
+
+def may_match_text(x: str, y: str) -> str:
     """Length, positional and bitmap filters on the postings ``x`` and ``y``."""
     least = f"(({NUM} * ({x}.n + {y}.n) + {NUM + DEN - 1}) div {NUM + DEN})"  # words that must be shared
-    apart = f"({x}.n + {y}.n - 2 * {least})"
-    return F.expr(
+    return (
         f"{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n)"
         f" AND least({x}.n - {x}.at, {y}.n - {y}.at) >= {least}"
-        f" AND bit_count({x}.bits ^ {y}.bits) <= {apart} AND bit_count({x}.more ^ {y}.more) <= {apart}"
+        f" AND bit_count({x}.bits ^ {y}.bits) <= {x}.n + {y}.n - 2 * {least}"
     )
 
 
-def postings(classes: DataFrame, part: int) -> DataFrame:
+def postings(classes: DataFrame, rare: bool) -> DataFrame:
     """(word, c): each indexed word of each class; sets so small that only equal ones match are left out."""
-    able = classes.filter(f"{DEN} * n >= {NUM} * (n + 1)").select("first", *KEYS, F.posexplode("prefix").alias("at", "word"))
-    mine = able.filter(f"word <> {ALONE} AND at < {indexed('n')} AND pmod(word, {PARTS}) = {part}")
-    return mine.select("word", F.struct("first", *KEYS, "at").alias("c"))
+    able = classes.filter(f"{DEN} * n >= {NUM} * (n + 1)").select("o", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+    mine = able.filter(f"word <> {ALONE} AND at < {indexed('n')} AND word % 2 = {int(not rare)}")
+    return mine.select("word", F.struct("o", "n", F.col("at").cast("short").alias("at"), "bits").alias("c"))
+
 
+def rare_pairs(classes: DataFrame) -> DataFrame:
+    """(x, y) of classes that share a rare word and may match; a word has FEW classes at most, but for words whose numbers are equal."""
+    lists = postings(classes, rare=True).repartition("word").groupBy("word").agg(F.collect_list("c").alias("cs")).filter("size(cs) > 1")
+    test = may_match_text("x", "y")
+    each = f"flatten(transform(cs, y -> transform(filter(cs, x -> x.o > y.o AND {test}), x -> struct(x.o AS x, y.o AS y))))"
+    return lists.select(F.explode(F.expr(each)).alias("p")).select("p.*")
 
-def with_second(keyed: DataFrame, classes: DataFrame, hot: DataFrame) -> DataFrame:
-    """Adds ``second``: 0, or for hot words each word after it, up to one more than is indexed alone."""
-    keys = list(KEYS)
-    plain = keyed.join(hot, "word", "left_anti").withColumn("second", F.lit(0).cast("long"))
-    pairs = keyed.join(hot, "word", "left_semi").select("word", "c", *[F.col(f"c.{k}").alias(k) for k in keys])
-    longer = pairs.join(classes.select(*keys, "prefix"), keys).select("word", "c", F.explode(F.expr("slice(prefix, c.at + 2, size(prefix))")).alias("other"))
-    return plain.unionByName(longer.select("word", "c", (F.col("other").cast("long") + 1).alias("second")))
 
+def with_heads(classes: DataFrame) -> DataFrame:
+    """Postings of other words that several classes have, with the earliest of these, ``head``, and how ``many`` they are."""
+    posted = postings(classes, rare=False)
+    heads = posted.groupBy("word").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    return posted.join(heads, "word").select("word", "c", "head", "many")
 
-def named(side: str) -> Column:
-    return F.struct(*[f"{side}.{k}" for k in KEYS])
+
+def with_second(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings with a ``second`` key: 0, or for hot words each word after it, up to one more than is indexed alone."""
+    plain = shared.filter(f"many < {HOT}").select("word", F.lit(0).cast("long").alias("second"), "c")
+    longer = shared.filter(f"many >= {HOT}").withColumn("o", F.col("c.o")).join(classes.select("o", "prefix"), "o")
+    pairs = longer.select("word", F.explode(F.expr("slice(prefix, c.at + 2, size(prefix))")).alias("other"), "c")
+    # Words that occur once were never shared, and so are no second words either.
+    return plain.unionByName(pairs.filter(f"other <> {ALONE}").select("word", (F.col("other").cast("long") + 1).alias("second"), "c"))
 
 
 def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The class ``x`` (KEYS) of those pairs (x, y: structs of KEYS) whose sets really match; only documents that hold one of them are read again."""
-    keys = list(KEYS)
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct().select("c.*").join(classes.select(*keys, "first"), keys)
-    needed = written(needed.select(F.struct(*keys).alias("c"), F.col("first.doc_id").alias("doc_id"), F.col("first.place").alias("place")), "line-needed")
+    """The numbers ``o`` of the later classes of those pairs (x, y: class numbers) whose sets really match; only documents that hold one of them are read again."""
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("o")).distinct().join(classes.select("o", "doc_id", "place"), "o")
+    needed = written(needed, "line-needed")
     lines = text_lines(holding(docs, needed, id_col, text_col), "doc_id", "text")
-    sets = written(needed.join(lines, needed.doc_id.eqNullSafe(lines.doc_id) & (needed.place == lines.place)).select("c", F.expr(HASHES).alias("hs")).dropDuplicates(["c"]), "line-sets")
-    side = lambda k: sets.select(F.col("c").alias(k), F.col("hs").alias(f"h{k}"))
+    found = needed.join(lines, needed.doc_id.eqNullSafe(lines.doc_id) & (needed.place == lines.place))
+    sets = written(found.select("o", F.expr(HASHES).alias("hs")).dropDuplicates(["o"]), "line-sets")
+    side = lambda k: sets.select(F.col("o").alias(k), F.col("hs").alias(f"h{k}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     alike = both.filter(F.size(F.array_intersect("hx", "hy")) * (NUM + DEN) >= NUM * (F.size("hx") + F.size("hy")))
-    found = written(alike.select("x.*").distinct(), "line-found")
+    late = written(alike.select(F.col("x").alias("o")).distinct(), "line-found")
     dropped(needed, sets)
-    return found
+    return late
 
 
 def holding(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,36 +185,38 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     spark, keys, place = docs.sparkSession, list(KEYS), F.struct("doc_id", "place")
     lines = written(line_sets(docs, id_col, text_col, min_words), "lines")
     firsts = lines.groupBy(*keys).agg(F.min(place).alias("first"))
-    # A later line of an equal set goes; the first one stands for its class.
-    judged = written(lines.join(firsts, keys).withColumn("again", place > F.col("first")), "line-judged")
-    dropped(lines)
+    # The first line of equal sets stands for its class; the later ones go, as do classes that match an earlier one.
+    ordered = lines.join(firsts, keys).filter(place.eqNullSafe(F.col("first"))).dropDuplicates(keys).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "h")
+    # Numbers of rows ascend within and between the range partitions, and stay as they are in the table.
+    classes = written(ordered.select(F.monotonically_increasing_id().alias("o"), "doc_id", "place", "n", "bits", "prefix"), "line-classes")
     tidy(spark)
-    classes = judged.filter("NOT again").select(*keys, "first", "prefix")
 
-    heads, pairs = [], []
-    for part in range(PARTS):
-        posted = postings(classes, part)
-        # The earliest class of each word that several have, and how many have it.
-        heads.append(written(posted.groupBy("word").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1"), "line-heads"))
-        met = posted.join(heads[-1], "word").filter((F.col("c.first") > F.col("head.first")) & may_match("c", "head"))
-        pairs.append(written(met.select(named("c").alias("x"), named("head").alias("y")).distinct(), "line-pairs"))
-        tidy(spark)
-    once = matching(reduce(DataFrame.unionByName, pairs).distinct(), classes, docs, id_col, text_col)
-    dropped(*pairs)
-    left, pairs = classes.join(once, keys, "left_anti"), []
+    shared = written(with_heads(classes), "line-shared")
+    tidy(spark)
+    met = shared.filter((F.col("c.o") > F.col("head.o")) & may_match("c", "head")).select(F.col("c.o").alias("x"), F.col("head.o").alias("y"))
+    pairs = written(met.unionByName(rare_pairs(classes)).distinct(), "line-pairs")
+    tidy(spark)
+    once = matching(pairs, classes, docs, id_col, text_col)
+    dropped(pairs)
+    tidy(spark)
+    several = shared.filter("many > 2 AND c.o <> head.o").select("word", "c", "many")  # the head is settled
+    left = written(several.join(once, F.col("c.o") == once.o, "left_anti"), "line-left")
+    tidy(spark)
+    found = []
     for part in range(PARTS):
-        hot = heads[part].filter(f"many >= {HOT}").select("word")
-        shared = heads[part].select("word")
-        x = with_second(postings(left, part).join(shared, "word", "left_semi"), classes, hot).select("word", "second", F.col("c").alias("x"))
-        y = with_second(postings(classes, part).join(shared, "word", "left_semi"), classes, hot).select("word", "second", F.col("c").alias("y"))
-        met = x.join(y, ["word", "second"]).filter((F.col("x.first") > F.col("y.first")) & may_match("x", "y"))
-        pairs.append(written(met.select(named("x").alias("x"), named("y").alias("y")).distinct(), "line-pairs"))
-        dropped(heads[part])
+        mine, x = (df.filter(f"pmod(word div 2, {PARTS}) = {part}") for df in (several, left))
+        # Of hot words only those count that a class still has to be compared by.
+        hot = mine.filter(f"many >= {HOT}").join(x.filter(f"many >= {HOT}").select("word").distinct(), "word", "left_semi")
+        x, y = with_second(x, classes).withColumnRenamed("c", "x"), with_second(mine.filter(f"many < {HOT}").unionByName(hot), classes).withColumnRenamed("c", "y")
+        met = x.join(y, ["word", "second"]).filter((F.col("x.o") > F.col("y.o")) & may_match("x", "y"))
+        found.append(written(met.select(F.col("x.o").alias("x"), F.col("y.o").alias("y")).distinct(), "line-pairs"))
         tidy(spark)
-    then = matching(reduce(DataFrame.unionByName, pairs).distinct(), classes, docs, id_col, text_col)
-    dropped(*pairs)
-    late = once.unionByName(then).withColumn("gone", F.lit(True))
-    return judged.join(late, keys, "left").filter("again OR gone").select("doc_id", "place")
+    dropped(shared, left)
+    then = matching(reduce(DataFrame.unionByName, found).distinct(), classes, docs, id_col, text_col)
+    dropped(*found)
+    kept = classes.join(once.unionByName(then), "o", "left_anti").select(F.col("doc_id").alias("kept_id"), F.col("place").alias("kept_place"))
+    every = lines.select("doc_id", "place")
+    return every.join(kept, every.doc_id.eqNullSafe(kept.kept_id) & (every.place == kept.kept_place), "left_anti")
 
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -151,10 +151,12 @@ def test_short_lines(spark):
 
 def test_prefixes_hold_the_rare_words(spark):
     """A word of 2 ** 17 places comes last in the order, so lines that share only that one share no indexed word."""
-    texts = ["the\n" * 2**17, "the one two three four", "the five six seven eight"]
+    texts = ["the\n" * 2**17, "the one two three four", "the five six seven eight", "one two three four five six seven eight nine"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    first, second = (set(r.prefix) for r in line_dedup.line_sets(docs, "doc_id", "text", 5).collect())
-    assert len(first) == len(second) == 2 and not first & second
+    sets = [r for r in line_dedup.line_sets(docs, "doc_id", "text", 5).collect()]
+    first, second = (set(r.prefix) for r in sets if r.n == 5)
+    assert len(first) == len(second) == 3 and not first & second and line_dedup.ALONE not in first
+    assert [r.prefix[0] for r in sets if r.n == 9] == [line_dedup.ALONE]  # nine occurs once
 
 
 def test_language_model(docs, none):
