@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, mixing, ngram_lm, quality, simhash, token_codec, toxicity, warc
+from . import decontaminate, html_text, line_dedup, mixing, ngram_lm, quality, simhash, token_codec, topk_search, toxicity, warc
 from .oracles import ORACLES
 from .shared import bounded_batches, read_table, scratch_path
 
@@ -69,6 +69,12 @@ def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.read_tokens(spark, path, digest=True)
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return topk_search.top_scores(vectors, vectors.vec_id % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
