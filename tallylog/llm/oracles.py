@@ -89,3 +89,36 @@ s AS (
 SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r))::INTEGER AS rank, doc_id, score
 FROM s WHERE score > 0 QUALIFY rank <= 20
 """
+
+# crc32 by its table of 256 entries; near words by what is left when one code point goes.
+ORACLES["op13_spelling_variants"] = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE len(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT run, times, hex(COALESCE(doc_id::VARCHAR, '') || ':' || run) AS x FROM runs),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)),
+                                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS h
+  FROM bytes, tab),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, times FROM hashed)
+  WHERE len(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1))::INT AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS form_n, arg_min(near, (-n, near)) AS form FROM pairs GROUP BY word),
+judged AS (
+  SELECT word, w.n, COALESCE(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, form AS root, 1 AS k FROM judged WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, j.form, k + 1 FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word)
+SELECT word, form, COALESCE(root, word) AS root, n, n_near, form_n FROM judged LEFT JOIN ends USING (word)
+"""

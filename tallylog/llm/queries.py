@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, lexical_search, line_dedup, mixing, ngram_lm, quality, simhash, token_codec, topk_search, toxicity, warc
+from . import decontaminate, html_text, lexical_search, line_dedup, mixing, ngram_lm, quality, simhash, spelling, token_codec, topk_search, toxicity, warc
 from .oracles import ORACLES
 from .shared import bounded_batches, read_table, scratch_path
 
@@ -80,6 +80,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
