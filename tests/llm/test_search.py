@@ -50,7 +50,7 @@ def test_top_scores(spark, monkeypatch, spread, tile, asked):
 def test_top_scores_of_little(spark):
     none = spark.createDataFrame([], VECTORS)
     assert topk_search.top_scores(none, none.vec_id % 20 == 0).count() == 0
-    one = spark.createDataFrame(vectors(1, 1.0)[:1], VECTORS)
+    one = spark.createDataFrame(vectors(50, 1.0)[:1], VECTORS)
     assert topk_search.top_scores(one, one.vec_id % 20 == 0).count() == 0
 
 
