@@ -36,6 +36,14 @@ def _clf_zone(tail: Column) -> Column:
     return F.when(tail.isin("", " +0000"), F.lit("")).when((found == "") & tail.rlike("^ ."), F.lit(None)).otherwise(found)
 
 
+def clf_parts_ms(date: Column, clock: Column, tail: Column) -> Column:
+    """``10/Oct/2023``, ``13:55:36`` and what follows; the clock is known to be one."""
+    days = F.unix_date(_clf_date(date).try_cast("date")).cast("long")
+    seconds = sum(F.substring(clock, at, 2).try_cast("int") * unit for at, unit in ((1, 3600), (4, 60), (7, 1)))
+    zone = F.when(tail.isin("", " +0000"), F.lit(0)).otherwise(zone_minutes(_clf_zone(tail)))
+    return (days * 86_400 + seconds - zone * 60) * 1000
+
+
 def _clf_date(text: Column) -> Column:
     at = F.instr(F.lit(MONTHS), F.lower(F.substring(text, 4, 3)))
     month = F.lpad(F.when(at % 3 == 1, (at + 2) / 3).cast("int").cast("string"), 2, "0")

@@ -1,4 +1,4 @@
-"""One pass over parsed lines: each task folds its lines into a few rows of partial results.
+"""Parsed lines folded into a few rows of partial results, which add up over any parts of a log.
 
 A row has a ``tag`` and the columns it needs:
 
@@ -9,9 +9,10 @@ A row has a ``tag`` and the columns it needs:
     class, level   number; n
     message  key; n
 
-Keys and minutes of one task leave it once, or whenever it holds MOST of them; Spark
-adds up what different tasks have found. Lines are not shuffled if they come in line
-order, as from files; otherwise blocks are brought together first.
+``tallies`` counts by a partial and a final aggregation over a row for each line and tag. What
+depends on the order of lines is found by ``ordered`` where they are read, a block at a time,
+from times and positions alone. Lines are not shuffled if they come in line order, as from
+files or ``lines_from``; otherwise blocks are brought together first.
 """
 
 from __future__ import annotations
@@ -21,21 +22,23 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import sketch
+from . import parsers, sketch
 from .parsers import LogFormat
 
-#: Keys that a task holds at once, and first findings of each kind that a block keeps.
-MOST, EXAMPLES = 200_000, 5
-KINDS = ("ok", "blank", "indented", "failed")
+#: First findings of each kind that a block keeps, and bytes of a file (or rows of a table) to a range of blocks.
+EXAMPLES, RANGE = 5, 1 << 36
 FACTS = {
     "tag": "string", "file": "string", "block": "long", "pos": "long", "key": "string", "number": "long", "n": "long", "errors": "long", "top": "double",
     "lines": "long", "parsed": "long", "indented": "long", "before": "long", "after": "long", "first_pos": "long", "head_pos": "long", "head_ms": "long", "tail_ms": "long",
     "backs": "long", "gaps": "long", "longest_ms": "long", "bytes": "decimal(38,0)", "ts_ms": "long", "prev_ts_ms": "long", "text": "string",
 }
-ARROW = pa.schema([(c, {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}.get(kind, pa.decimal128(38, 0))) for c, kind in FACTS.items()])
+#: What ``ordered`` finds; the rest of FACTS is null in it.
+OF_BLOCKS = ("tag", "file", "block", "pos", "lines", "parsed", "indented", "before", "after", "first_pos", "head_pos", "head_ms", "tail_ms", "backs", "gaps", "longest_ms", "bytes", "ts_ms", "prev_ts_ms", "text")
+ARROW = pa.schema([(c, {"string": pa.string(), "long": pa.int64()}.get(FACTS[c], pa.decimal128(38, 0))) for c in OF_BLOCKS])
 
 
 class Block:
@@ -75,9 +78,6 @@ class Block:
                 self.found[name].append({"pos": int(pos[ok[k]]), "ts_ms": int(ts[k]), "prev_ts_ms": int(before[k])})
         if len(at):
             r["longest_ms"] = max(r["longest_ms"], int(step[at].max()))
-        if fmt == LogFormat.ACCESS:
-            size = part["bytes"][ok]
-            self.bytes += int(size.sum()) if size.max() < 1 << 40 else sum(size.tolist())
 
     def rows(self) -> Iterator[dict]:
         yield self.row | {"bytes": Decimal(self.bytes)}
@@ -85,77 +85,50 @@ class Block:
             yield from ({"tag": name, "file": self.row["file"], "block": self.row["block"]} | x for x in found)
 
 
-class Tables:
-    """Sums by minute, class or level, route and bucket, and message."""
-
-    def __init__(self, fmt: LogFormat):
-        self.fmt, self.sums = fmt, {}
-
-    def grouped(self, tag: str, keys: pa.Array | None, numbers: np.ndarray, errors: np.ndarray | None, tops: np.ndarray | None) -> None:
-        """Adds up one batch; ``keys`` and ``numbers`` name the groups."""
-        words, codes = [None], np.zeros(len(numbers), np.int64)
-        if keys is not None:
-            coded = keys.dictionary_encode()
-            words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        low = int(numbers.min())
-        wide = int(numbers.max()) - low + 1
-        group, where, n = np.unique(codes * wide + (numbers - low), return_inverse=True, return_counts=True)
-        bad = np.bincount(where, errors, len(group)).astype(np.int64) if errors is not None else np.zeros(len(group), np.int64)
-        most = np.full(len(group), -1.0)
-        if tops is not None:
-            np.maximum.at(most, where, tops)
-        for g, a, b, top in zip(group.tolist(), n.tolist(), bad.tolist(), most.tolist(), strict=True):
-            own = self.sums.setdefault((tag, words[g // wide], g % wide + low), [0, 0, -1.0])
-            own[0] += a
-            own[1] += b
-            own[2] = max(own[2], top)
-
-    def add(self, part: dict[str, np.ndarray], ok: np.ndarray, keys: pa.Array) -> None:
-        errors = part["is_error"].astype(np.int64)
-        self.grouped("minute", None, part["minute"], errors, None)
-        if self.fmt == LogFormat.ACCESS:
-            self.grouped("class", None, part["status"] // 100, None, None)
-            self.grouped("route", keys.filter(pa.array(ok)), part["bucket"], errors, part["latency_s"])
-        else:
-            self.grouped("level", None, part["level_rank"], None, None)
-            self.grouped("route", None, part["bucket"], errors, part["latency_s"])
-            if errors.any():
-                wrong = keys.filter(pa.array(ok)).filter(pa.array(errors > 0))
-                self.grouped("message", wrong, np.zeros(len(wrong), np.int64), None, None)
+def folded(lines: DataFrame, fmt: LogFormat, scale: float = 1.0, gap_ms: int = 300_000, in_order: bool = False) -> DataFrame:
+    """FACTS of ``lines``: one row for each block, key and number, and the first findings."""
+    order = ordered(lines, fmt, gap_ms, in_order)
+    return tallies(lines, fmt, scale).unionByName(order, allowMissingColumns=True).select(*[F.col(c).cast(kind).alias(c) for c, kind in FACTS.items()])
 
-    def rows(self) -> Iterator[dict]:
-        for (tag, key, number), (n, errors, top) in self.sums.items():
-            yield {"tag": tag, "key": key, "number": None if number == NO_BUCKET else number, "n": n, "errors": errors, "top": None if top < 0 else top}
-        self.sums = {}
 
+def tallies(lines: DataFrame, fmt: LogFormat, scale: float = 1.0) -> DataFrame:
+    """(tag, key, number, n, errors, top) by minute, class or level, route and bucket, and message."""
+    access = fmt == LogFormat.ACCESS
+    rows = parsers.parsed(lines, fmt, scale, ["minute", "is_error", "latency_s", *(["status", "route"] if access else ["level_rank", "message"])])
+    seconds = F.when(sketch.admitted(F.col("latency_s")), F.col("latency_s"))
+    rows = rows.withColumn("latency_s", seconds).withColumn("is_error", F.col("is_error").cast("int"))
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def entry(tag: str, key, number, errors, top=nothing, of=F.col("kind") == "ok"):
+        return F.when(of, F.struct(F.lit(tag).alias("tag"), key.alias("key"), number.cast("long").alias("number"), errors.alias("errors"), top.alias("top")))
 
-#: Stands for requests without a response time.
-NO_BUCKET = -100_000
+    bucket, bad, zero = sketch.bucket(F.col("latency_s")), F.col("is_error"), F.lit(0)
+    found = [entry("minute", none, F.col("minute"), bad), entry("route", F.col("route") if access else none, bucket, bad, F.col("latency_s"))]
+    if access:
+        found.append(entry("class", none, F.floor(F.col("status") / 100), zero))
+    else:
+        found.append(entry("level", none, F.col("level_rank"), zero))
+        found.append(entry("message", F.col("message"), zero, zero, of=bad == 1))
+    each = rows.select(F.explode(F.array(*found)).alias("x")).filter("x IS NOT NULL").select("x.*")
+    return each.groupBy("tag", "key", "number").agg(F.count(F.lit(1)).alias("n"), F.sum("errors").alias("errors"), F.max("top").alias("top"))
 
 
-def folded(rows: DataFrame, fmt: LogFormat, gap_ms: int = 300_000, in_order: bool = False) -> DataFrame:
-    """FACTS of parsed ``rows``, one row for each block, key and number."""
+def ordered(lines: DataFrame, fmt: LogFormat, gap_ms: int = 300_000, in_order: bool = False) -> DataFrame:
+    """The rows of FACTS with tags block, back, gap and failed."""
     access = fmt == LogFormat.ACCESS
-    seconds = F.when(sketch.admitted(F.col("latency_s")), F.col("latency_s"))
-    own = ["status", "bytes", "route"] if access else ["level_rank", "message"]
+    rows = parsers.parsed(lines, fmt, columns=["ts_ms", "text", *(["bytes"] if access else [])])
     kind = F.when(F.col("kind") == "ok", 0).when(F.col("kind") == "blank", 1).when(F.col("kind") == "indented", 2).otherwise(3)
-    bucket = F.coalesce(sketch.bucket(seconds), F.lit(NO_BUCKET))
-    narrow = rows.select("file", "block", "pos", kind.alias("kind"), "ts_ms", "minute", "is_error", bucket.alias("bucket"), F.coalesce(seconds, F.lit(-1.0)).alias("latency_s"), "text", *own)
+    narrow = rows.select("file", "block", "pos", kind.alias("kind"), "ts_ms", "text", *(["bytes"] if access else []))
     if not in_order:
         narrow = narrow.repartition("file", "block").sortWithinPartitions("file", "block", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, block = Tables(fmt), None
+        block = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             col = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
-            kinds = col["kind"].to_numpy(zero_copy_only=False)
-            ok = kinds == 0
-            if ok.any():
-                some = pa.array(ok)
-                tables.add({c: col[c].filter(some).to_numpy(zero_copy_only=False) for c in ("minute", "is_error", "bucket", "latency_s", own[0])}, ok, col[own[-1]])
-            values = {c: col[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("kind", "pos", "ts_ms", *(["bytes"] if access else []))}
+            values = {c: col[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("kind", "pos", "ts_ms")}
             files, blocks = col["file"].dictionary_encode(), col["block"].to_numpy(zero_copy_only=False)
             code, names = files.indices.to_numpy(zero_copy_only=False), files.dictionary.to_pylist()
             cuts = np.flatnonzero((code[1:] != code[:-1]) | (blocks[1:] != blocks[:-1])) + 1
@@ -166,14 +139,12 @@ def folded(rows: DataFrame, fmt: LogFormat, gap_ms: int = 300_000, in_order: boo
                         yield as_batch(block.rows())
                     block = Block(*name, int(values["pos"][a]))
                 block.add({c: x[a:b] for c, x in values.items()}, col["text"].slice(a, b - a), fmt, gap_ms)
-            if len(tables.sums) > MOST:
-                yield as_batch(tables.rows())
+                if access:
+                    block.bytes += int(pc.sum(col["bytes"].slice(a, b - a)).as_py() or 0)
         if block is not None:
             yield as_batch(block.rows())
-            yield as_batch(tables.rows())
 
-    facts = narrow.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in FACTS.items()))
-    return facts
+    return narrow.mapInArrow(run, ", ".join(f"{c} {FACTS[c]}" for c in OF_BLOCKS))
 
 
 def as_batch(rows: Iterator[dict]) -> pa.RecordBatch:
@@ -184,21 +155,38 @@ def as_batch(rows: Iterator[dict]) -> pa.RecordBatch:
 
 
 def sums(facts: DataFrame, tag: str) -> DataFrame:
-    """(key, number, n, errors, top) over all tasks."""
+    """(key, number, n, errors, top) over all parts."""
     return facts.filter(F.col("tag") == tag).groupBy("key", "number").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.max("top").alias("top"))
 
 
-def blocks(facts: DataFrame) -> DataFrame:
-    """One row per block, with the number of lines before it, whether any of them parsed, and the last time before it; a window over one row per input split."""
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    own = facts.filter("tag = 'block'")
-    return own.withColumns(
-        {
-            "offset": F.coalesce(F.sum("lines").over(before), F.lit(0)),
-            "seen": F.coalesce(F.max(F.col("parsed") > 0).over(before), F.lit(False)),
-            "prev_ms": F.last("tail_ms", ignorenulls=True).over(before),
-        }
-    )
+def blocks(facts: DataFrame, per_range: int = RANGE) -> DataFrame:
+    """One row per block, with the number of lines before it, whether any of them parsed, and the last time before it."""
+    own = facts.filter("tag = 'block'").withColumn("some", F.col("parsed") > 0)
+    found = before(own, {"offset": ("sum", "lines"), "seen": ("any", "some"), "prev_ms": ("last", "tail_ms")}, per_range)
+    return found.withColumns({"offset": F.coalesce("offset", F.lit(0)), "seen": F.coalesce("seen", F.lit(False))})
+
+
+def before(blocks: DataFrame, found: dict[str, tuple[str, str]], per_range: int = RANGE) -> DataFrame:
+    """Adds what stands before each of ``blocks`` (file, block): for each name the ``sum``, ``any`` or ``last`` value that isn't null of a column.
+
+    In two levels: blocks add up to ranges of a file, ranges to what is before each of them, and windows over
+    the blocks of one range do the rest. So only a row for each range, not for each block, meets in one task.
+    """
+    ranged = blocks.withColumn("_range", F.floor(F.col("block") / per_range))
+    whole = {
+        "sum": lambda c: F.sum(c),
+        "any": lambda c: F.max(c),
+        "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("block"))),
+    }
+    over = {"sum": lambda c, w: F.sum(c).over(w), "any": lambda c, w: F.max(c).over(w), "last": lambda c, w: F.last(c, ignorenulls=True).over(w)}
+    both = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "any": lambda a, b: F.coalesce(b, F.lit(False)) | F.coalesce(a, F.lit(False)), "last": lambda a, b: F.coalesce(b, a)}
+    place = Window.orderBy("file", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy("file", "_range").agg(*[whole[how](c).alias(f"_{name}") for name, (how, c) in found.items()])
+    tops = tops.select("file", "_range", *[over[how](f"_{name}", place).alias(f"_{name}") for name, (how, _) in found.items()])
+    inside = Window.partitionBy("file", "_range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumns({name: over[how](c, inside) for name, (how, c) in found.items()})
+    joined = own.join(tops, ["file", "_range"])
+    return joined.withColumns({name: both[how](F.col(f"_{name}"), F.col(name)) for name, (how, _) in found.items()}).drop("_range", *[f"_{name}" for name in found])
 
 
 def border(gap_ms: int) -> tuple:

@@ -19,13 +19,22 @@ class LogFormat(str, Enum):
 #: Seconds in a unit of bare trailing numbers.
 LATENCY_UNITS = {"s": 1.0, "ms": 1e-3, "us": 1e-6}
 MAX_CHARS = 1 << 30
-_FIELDS = r"^[ \t\n\f\r]*([^ \t\n\f\r]+)[ \t\n\f\r]+([^ \t\n\f\r]+)"
+#: The largest byte count, an unsigned number of 64 bits.
+MOST_BYTES = "18446744073709551615"
 
+_WS, _GAP = words.WS, r"[ \t\n\f\r]"
+#: An access line, checked but for days of the month, zones and the size of numbers. Groups in order: date, clock, what follows the clock,
+#: method, path, status, bytes without leading zeros (nothing for -), and the rest.
+_ACCESS = (
+    r"(?s)^[^\[]*+\[(\d{2}/[A-Za-z]{3}/\d{4}):((?:[01]\d|2[0-3]):[0-5]\d:(?:[0-5]\d|60))([^\]]*+)\]"
+    rf'{_WS}*+"([^" ]*+)(?: ([^" ]*+)[^"]*+)?"{_WS}*+'
+    rf"\+?([0-9]++){_GAP}++(?:-|\+?(?=[0-9])0*+([0-9]*+))(?![^ \t\n\f\r])(.*)$"
+)
 
-def _opaque(value: Column, df: DataFrame) -> Column:
-    """``value`` itself. The optimizer may not copy it into the filters above, which would repeat the parser's steps within each other."""
-    always = F.length(F.uuid()) > 0 if df.isStreaming else F.monotonically_increasing_id() >= 0
-    return F.when(always, value)
+
+def _barrier(df: DataFrame, record: Column) -> DataFrame:
+    """Adds ``record`` as ``rec``. The optimizer copies no expression through a generator, so parsing is not repeated in the filters above."""
+    return df.select("*", F.explode(F.array(record)).alias("rec"))
 
 
 def _after(text: Column, length: Column) -> Column:
@@ -37,31 +46,27 @@ ACCESS_FIELDS, APP_FIELDS = ("ts_ms", "method", "path", "status", "bytes", "late
 
 
 def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0, fields: Sequence[str] = ACCESS_FIELDS) -> DataFrame:
-    """Adds ``rec`` with ``fields``. Steps are columns of their own, so none is computed twice; what isn't asked for isn't computed."""
-    opened = F.instr(line, "[")
-    step = df.withColumn("_r", F.when(opened > 0, _after(F.col(line), opened)))
-    step = step.withColumn("_t", F.substring_index("_r", "]", 1))
-    closed = F.contains("_r", F.lit("]"))
-    step = times.with_clf(step.withColumn("_t", F.when(closed, F.col("_t"))), "_t", "_ms").withColumn("_r", F.when(F.col("_ms").isNotNull(), _after(F.col("_r"), F.length("_t") + 1)))
-    step = step.withColumn("_r", F.when(F.startswith("_r", F.lit(' "')), _after(F.col("_r"), F.lit(1))).otherwise(words.trim_start(F.col("_r"))))
-    step = step.withColumn("_r", F.when(F.startswith("_r", F.lit('"')), _after(F.col("_r"), F.lit(1))))
-    step = step.withColumn("_q", F.when(F.contains("_r", F.lit('"')), F.substring_index("_r", '"', 1)))
-    step = step.withColumn("_a", words.trim_start(_after(F.col("_r"), F.length("_q") + 1)))
-    step = step.withColumn("_f", F.regexp_extract("_a", _FIELDS, 0)).withColumn("_s", F.regexp_extract("_f", _FIELDS, 1)).withColumn("_b", F.regexp_extract("_f", _FIELDS, 2))
-    status = F.when(F.col("_s").rlike(r"^\+?[0-9]+$"), F.col("_s").try_cast("int"))
-    size = F.when(F.col("_b") == "-", F.lit(0).cast("long")).when(F.col("_b").rlike(r"^\+?[0-9]+$"), F.col("_b").try_cast("long"))
-    step = step.withColumn("_s", status).withColumn("_b", size)
+    """Adds ``rec`` with ``fields``; what isn't asked for isn't computed.
+
+    One pattern takes a line apart. Its groups are joined by line feeds, which no line has, and split again: so it runs once for all of them.
+    """
+    groups = [1, 2, 3, 6, 7, *([4, 5] if {"method", "path"} & {*fields} else []), *([8] if "latency_s" in fields else [])]
+    step = df.withColumn("_p", F.split(F.regexp_replace(line, _ACCESS, "\n".join(f"${g}" for g in groups)), "\n", len(groups)))
+    whole = F.size("_p") == len(groups)
+    part = lambda g: F.get("_p", F.lit(groups.index(g)))
+    step = step.withColumns({"_ms": F.when(whole, times.clf_parts_ms(part(1), part(2), part(3))), "_s": F.when(whole, part(6).try_cast("int")), "_b": F.when(whole, part(7))})
     each = {
-        "ts_ms": F.col("_ms"),
-        "method": F.split_part("_q", F.lit(" "), F.lit(1)),
-        "path": F.split_part("_q", F.lit(" "), F.lit(2)),
-        "status": F.col("_s"),
-        "bytes": F.col("_b"),
-        "latency_s": access_seconds(F.col("_a"), scale),
+        "ts_ms": lambda: F.col("_ms"),
+        "method": lambda: part(4),
+        "path": lambda: part(5),
+        "status": lambda: F.col("_s"),
+        "bytes": lambda: F.coalesce(F.col("_b").try_cast("decimal(20,0)"), F.lit(0)),
+        "latency_s": lambda: access_seconds(part(8), scale),
     }
-    record = F.struct(*[each[f].alias(f) for f in fields])
-    good = F.col("_q").isNotNull() & F.col("_s").between(100, 599) & F.col("_b").isNotNull()
-    return step.withColumn("rec", _opaque(F.when(good, record), df)).drop("_r", "_t", "_ms", "_q", "_a", "_f", "_s", "_b")
+    record = F.struct(*[each[f]().alias(f) for f in fields])
+    fits = (F.length("_b") < len(MOST_BYTES)) | ((F.length("_b") == len(MOST_BYTES)) & (F.col("_b") <= MOST_BYTES))
+    good = F.col("_ms").isNotNull() & F.col("_s").between(100, 599) & fits
+    return _barrier(step, F.when(good, record)).drop("_p", "_ms", "_s", "_b")
 
 
 def access_seconds(after: Column, scale: float) -> Column:
@@ -72,8 +77,7 @@ def access_seconds(after: Column, scale: float) -> Column:
         value = words.seconds(F.regexp_extract(rest, r"^[0-9.]*", 0)) * F.lit(scale)
         return F.when(value < F.lit(float("inf")), value)
 
-    last = F.substring_index(after, " ", -1)
-    bare = F.when(F.contains(after, F.lit('"')) & last.rlike(r"^[0-9.]+$"), words.seconds(last) * F.lit(scale))
+    bare = F.when(F.contains(after, F.lit('"')), words.seconds(F.substring_index(after, " ", -1)) * F.lit(scale))
     by_key = F.when(F.contains(after, F.lit("request_time=")), keyed("request_time=")).otherwise(keyed("rt="))
     return F.when(F.contains(after, F.lit("rt=")) | F.contains(after, F.lit("request_time=")), by_key).otherwise(bare)
 
@@ -89,7 +93,7 @@ def app_fields(df: DataFrame, line: str = "value", fields: Sequence[str] = APP_F
         step = words.with_message_seconds(step, "_m", "_lat")
     at = {"ts_ms": "_ms", "level_rank": "_l", "message": "_m", "latency_s": "_lat"}
     record = F.struct(*[F.col(at[f]).alias(f) for f in fields])
-    return step.withColumn("rec", _opaque(F.when(F.col("_l").isNotNull(), record), df)).drop("_ms", "_used", "_r", "_w", "_l", "_m", "_lat")
+    return _barrier(step, F.when(F.col("_l").isNotNull(), record)).drop("_ms", "_used", "_r", "_w", "_l", "_m", "_lat")
 
 
 def with_record(df: DataFrame, fmt: LogFormat, line: str = "value", scale: float = 1.0, fields: Sequence[str] | None = None) -> DataFrame:
@@ -132,15 +136,21 @@ def parsed(lines: DataFrame, fmt: LogFormat, scale: float = 1.0, columns: Sequen
 
 
 def detect(lines: DataFrame, most: int = 50, head_bytes: int = 64 << 10) -> LogFormat | None:
-    """The format of the first line that has one, among the first 50 lines that aren't blank within the first 64 KiB."""
+    """The format of the first line that has one, among the first 50 lines that aren't blank within the first 64 KiB.
+
+    ``lines`` come in order within their first file and block; only those are read. Blank lines count as a byte each.
+    """
     head = lines.filter(~words.is_blank(F.col("value"))).orderBy("file", "block", "pos").limit(most)
     marked = app_fields(access_fields(head, fields=["ts_ms"]).withColumnRenamed("rec", "acc"), fields=["ts_ms"])
     marked = marked.select("file", "block", "pos", F.col("acc").isNotNull().alias("acc"), F.col("rec").isNotNull().alias("app"), F.octet_length("value").alias("n"))
-    seen = 0
+    seen, before = 0, None
     for row in marked.orderBy("file", "block", "pos").collect():  # at most 50 rows
+        if before is not None and before[:2] == (row.file, row.block):
+            seen += row.pos - before[2] - 1
         if seen > head_bytes:
             break
         seen += row.n + 1
+        before = row.file, row.block, row.pos
         if row.acc or row.app:
             return LogFormat.ACCESS if row.acc else LogFormat.APP
     return None

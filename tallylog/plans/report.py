@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from datetime import UTC, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import minute_label, utc_text
@@ -56,8 +58,7 @@ def summarize(lines: DataFrame, fmt: LogFormat | str | None = None, latency_unit
         if fmt is None:
             raise ValueError("none of the first lines is in a known format; name the format")
         gap_ms = int(gap_seconds * 1000)
-        rows = parsers.parsed(lines, fmt, parsers.LATENCY_UNITS[latency_unit])
-        facts = folding.folded(rows, fmt, gap_ms, in_order).persist()  # a few rows for each block, minute, route and message
+        facts = folding.folded(lines, fmt, parsers.LATENCY_UNITS[latency_unit], gap_ms, in_order).persist()  # a few rows for each block, minute, route and message
         try:
             return assembled(facts, fmt, gap_ms, max(1, top))
         finally:
@@ -65,7 +66,7 @@ def summarize(lines: DataFrame, fmt: LogFormat | str | None = None, latency_unit
 
 
 def assembled(facts: DataFrame, fmt: LogFormat, gap_ms: int, top: int) -> dict:
-    """The report from what ``folding.folded`` has found."""
+    """The report from what ``folding.folded`` has found, read a few times."""
     access = fmt == LogFormat.ACCESS
     placed = folding.blocks(facts)
     minutes = folding.sums(facts, "minute").select(F.col("number").alias("minute"), "n", "errors")
@@ -73,29 +74,36 @@ def assembled(facts: DataFrame, fmt: LogFormat, gap_ms: int, top: int) -> dict:
     timed = buckets.filter("bucket IS NOT NULL")
     named = F.concat(F.col("number").cast("string"), F.lit("xx")) if access else level_name(F.col("number").cast("int"))
     ms = lambda c, name: (F.col(c) * 1000).alias(name)
-    spike_rows = lambda value: series.spikes(minutes, value, None, top).select("minute_utc", "count", "times_median")
+    stats = series.statistics(minutes, ["n", "errors"])  # fills the cache
+    one_row = {c: facts.sparkSession.createDataFrame([stats[c]], series.STATS) for c in stats}
+    spike_rows = lambda value: series.spikes(minutes, value, one_row[value], top).select("minute_utc", "count", "times_median")
     work = {
-        "totals": folding.totals(placed, fmt, gap_ms),
+        "totals": folding.totals(placed, fmt, gap_ms).withColumn("bytes", F.col("bytes").cast("string")),
         "span": minutes.agg(minute_label(F.min("minute")).alias("a"), minute_label(F.max("minute")).alias("b")),
-        "traffic": series.traffic(minutes, "n").withColumn("peak_utc", minute_label(F.col("peak_minute"))),
         "traffic_spikes": spike_rows("n"),
         "error_spikes": spike_rows("errors"),
-        "kinds": folding.sums(facts, "class" if access else "level").select(named.alias("kind"), "n").orderBy("kind"),
+        "kinds": folding.sums(facts, "class" if access else "level").select(named.alias("kind"), "n"),
         "latency": sketch.quantiles(sketch.merged(timed), QUANTILES).select("samples", *[ms(q, f"{q}_ms") for q in QUANTILES], ms("top", "max_ms")),
-        "seen": folding.examples(facts, placed, fmt, gap_ms, MAX_EXAMPLES).withColumn("at_utc", utc_text(F.col("ts_ms"))).withColumn("previous_utc", utc_text(F.col("prev_ts_ms"))).orderBy("line"),
+        "seen": folding.examples(facts, placed, fmt, gap_ms, MAX_EXAMPLES).withColumn("at_utc", utc_text(F.col("ts_ms"))).withColumn("previous_utc", utc_text(F.col("prev_ts_ms"))),
     }
     if access:
         routes = buckets.groupBy("route").agg(F.sum("n").alias("requests"), F.sum("errors").alias("errors"))
         failing = routes.filter("errors > 0").orderBy(F.desc("errors"), "route").limit(top)
         work["slow"] = sketch.slow_routes(buckets, MIN_ROUTE_SAMPLES, top)
-        work["failing"] = failing.join(sketch.quantiles(timed, {"p95": 0.95, "p99": 0.99}, ["route"]), "route", "left").orderBy(F.desc("errors"), "route")
+        work["failing"] = failing.join(sketch.quantiles(timed, {"p95": 0.95, "p99": 0.99}, ["route"]), "route", "left")
     else:
         work["messages"] = folding.sums(facts, "message").orderBy(F.desc("n"), "key").limit(top)
-    got = {"totals": work.pop("totals").collect()}  # fills the cache
-    with ThreadPoolExecutor(8) as pool:  # small jobs, run side by side
-        got |= zip(work, pool.map(lambda df: df.collect(), work.values()), strict=True)
+    # All parts of the report in one job; each is one row or a short list.
+    tagged = [df.select(F.lit(name).alias("part"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")) for name, df in work.items()]
+    got: dict[str, list] = {name: [] for name in work}
+    for part, row in reduce(DataFrame.unionAll, tagged).collect():
+        got[part].append(Row(**json.loads(row)))
+    orders = {"traffic_spikes": lambda r: (-r["count"], r.minute_utc), "error_spikes": lambda r: (-r["count"], r.minute_utc), "kinds": lambda r: r.kind, "seen": lambda r: r.line, "slow": lambda r: (-r.p95, r.route), "failing": lambda r: (-r.errors, r.route), "messages": lambda r: (-r.n, r.key)}
+    for name in got.keys() & orders.keys():
+        got[name].sort(key=orders[name])
 
-    all_, traffic, span = got["totals"][0], got["traffic"][0], got["span"][0]
+    median, _, peak, peak_minute, _ = stats["n"]
+    all_, span = got["totals"][0], got["span"][0]
     spikes = lambda v: [r.asDict() for r in v]
     route = lambda r: {"route": r.route, "requests": r.requests, "errors": r.errors, "p95_ms": r.p95 and r.p95 * 1000, "p99_ms": r.p99 and r.p99 * 1000}
     seen = lambda tag: [{"line": r.line, "at_utc": r.at_utc, "previous_utc": r.previous_utc} for r in got["seen"] if r.tag == tag]
@@ -109,9 +117,9 @@ def assembled(facts: DataFrame, fmt: LogFormat, gap_ms: int, top: int) -> dict:
         "continuation_lines": all_.continuation_lines,
         "first_utc": span.a,
         "last_utc": span.b,
-        "median_per_minute": traffic.median,
-        "peak_per_minute": traffic.peak,
-        "peak_minute_utc": traffic.peak_utc,
+        "median_per_minute": median,
+        "peak_per_minute": peak,
+        "peak_minute_utc": None if peak_minute is None else datetime.fromtimestamp(peak_minute * 60, UTC).strftime("%Y-%m-%d %H:%M"),
         "traffic_spikes": spikes(got["traffic_spikes"]),
         "error_spikes": spikes(got["error_spikes"]),
         "status_classes": kinds if access else {},

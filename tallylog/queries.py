@@ -25,6 +25,8 @@ SOME_VIEWS, SOME_ERRORS = "<trace>", "panic"
 SECTIONS, UNTIMED = 13, "user_id % 17 = 3"
 BURST_EVERY, BURST = 997, 40
 GAP_MS = 300_000
+#: Blocks of a table to a range of them.
+BLOCKS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,26 +49,25 @@ def event_rows(spark: SparkSession, sf_dir: str, bursts: bool = False, events: D
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times_))).withColumn("id", F.col("event_id") * 64 + F.col("copy")).drop("event_id", "copy")
 
 
-def access_text(rows: DataFrame) -> DataFrame:
-    """(id, line) of ``event_rows``."""
+def access_text() -> Column:
+    """The access line of a row of ``event_rows``."""
     stamp = F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss")
-    line = F.format_string(
+    return F.format_string(
         '10.0.0.1 - - [%s +0000] "%s /u/%d/%s/s%d?k=%d HTTP/1.1" %d %d "-" "agent" %s',
         stamp, by_type({k: m for k, (m, _) in REQUESTS.items()}), "user_id", "event_type", F.col("user_id") % SECTIONS, "id", by_type({k: s for k, (_, s) in REQUESTS.items()}), F.col("user_id") % 5000,
         F.when(F.expr(UNTIMED), "-").otherwise(F.col("n").cast("string")),
     )
-    return rows.select("id", line.alias("line"))
 
 
 def access_log(spark: SparkSession, sf_dir: str, bursts: bool = False) -> DataFrame:
-    return lines_from(access_text(event_rows(spark, sf_dir, bursts)), "line", "id", 640_000 if bursts else 10_000)
+    return lines_from(event_rows(spark, sf_dir, bursts), access_text(), "id", 640_000 if bursts else 10_000)
 
 
 def access_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The access log as a stream of lines."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return access_text(event_rows(spark, sf_dir, events=events)).select(F.col("line").alias("value"))
+    return event_rows(spark, sf_dir, events=events).select(access_text().alias("value"))
 
 
 def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.char(F.col("user_id") % SECTIONS + 97)
     good = F.format_string("%sZ [worker-%d] %s user %d: %s of cart %d step %s took %d ms", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.col("id") % 7, level, "user_id", "event_type", F.col("id") % 50, step, "n")
     line = F.when(F.expr("id % 101 = 7 OR id < 3"), F.format_string("plain text %d", "id")).when(F.col("id") % 211 == 5, F.format_string("    at frame %d", "id")).when(F.col("id") % 307 == 3, "").otherwise(good)
-    return lines_from(rows.select("id", line.alias("line")), "line", "id", 10_000)
+    return lines_from(rows, line, "id", 10_000)
 
 
 def access(spark: SparkSession, sf_dir: str, *columns: str, bursts: bool = False) -> DataFrame:
@@ -89,7 +90,8 @@ def app(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def counted(log: DataFrame, fmt: LogFormat) -> DataFrame:
-    placed = folding.blocks(folding.folded(parsers.parsed(log, fmt), fmt, GAP_MS))
+    """What ``lines_from`` lines amount to."""
+    placed = folding.blocks(folding.ordered(log, fmt, GAP_MS, in_order=True), BLOCKS)
     return folding.totals(placed, fmt, GAP_MS)
 
 
@@ -102,7 +104,7 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def access_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parsers.access_fields(access_log(spark, sf_dir), scale=parsers.LATENCY_UNITS["ms"])
-    return rounded(rows.select("rec.*"), "latency_s").select("ts_ms", "method", "path", "status", "bytes", "latency_s")
+    return rounded(rows.select("rec.*"), "latency_s").select("ts_ms", "method", "path", "status", F.col("bytes").cast("long").alias("bytes"), "latency_s")
 
 
 def app_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,9 +218,14 @@ def access_line_counts(spark, sf_dir):
 
 
 def shown(log: DataFrame, fmt: LogFormat, tag: str) -> DataFrame:
-    facts = folding.folded(parsers.parsed(log, fmt), fmt, GAP_MS).persist()
-    rows = folding.examples(facts, folding.blocks(facts), fmt, GAP_MS).filter(F.col("tag") == tag)
-    return rows.select(F.col("line").alias("line_no"), times.utc_text(F.col("ts_ms")).alias("at_utc"), times.utc_text(F.col("prev_ts_ms")).alias("previous_utc"), "text")
+    """The first few findings of a kind."""
+    facts = folding.ordered(log, fmt, GAP_MS, in_order=True).persist()  # a few rows for each block
+    try:
+        rows = folding.examples(facts, folding.blocks(facts, BLOCKS), fmt, GAP_MS).filter(F.col("tag") == tag)
+        found = rows.select(F.col("line").alias("line_no"), times.utc_text(F.col("ts_ms")).alias("at_utc"), times.utc_text(F.col("prev_ts_ms")).alias("previous_utc"), "text")
+        return log.sparkSession.createDataFrame(found.collect(), found.schema)
+    finally:
+        facts.unpersist()
 
 
 def unparseable_examples(spark, sf_dir):
@@ -256,8 +263,7 @@ def slow_routes_top(spark, sf_dir):
 
 
 def burst_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each minute, kept as the series is looked at several times."""
-    return counting.minute_counts(access(spark, sf_dir, "minute", "is_error", bursts=True)).persist()
+    return counting.minute_counts(access(spark, sf_dir, "minute", "is_error", bursts=True))
 
 
 def traffic_stats(spark, sf_dir):
@@ -281,7 +287,7 @@ traffic_spikes, error_spikes = partial(_spikes, "n"), partial(_spikes, "errors")
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in key order as application lines; their dates jump to and fro."""
     line = F.format_string("%s INFO order %d", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), "o_orderkey")
-    return lines_from(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")), "line", "o_orderkey", 4096)
+    return lines_from(table(spark, sf_dir, "orders"), line, "o_orderkey", 4096)
 
 
 ORDER_COLUMNS = ("out_of_order", "gaps", "longest_gap_seconds")
@@ -323,12 +329,12 @@ def as_rows(spark: SparkSession, report: dict) -> DataFrame:
 
 def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report on the events as access lines, with bursts."""
-    return as_rows(spark, summarize(access_log(spark, sf_dir, True), latency_unit="ms"))
+    return as_rows(spark, summarize(access_log(spark, sf_dir, True), latency_unit="ms", in_order=True))
 
 
 def app_summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report on the events as application lines."""
-    return as_rows(spark, summarize(app_log(spark, sf_dir)))
+    return as_rows(spark, summarize(app_log(spark, sf_dir), in_order=True))
 
 
 def generated_log(spark: SparkSession, sf_dir: str) -> DataFrame:

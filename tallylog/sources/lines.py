@@ -9,9 +9,12 @@ from __future__ import annotations
 import tempfile
 from typing import BinaryIO
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.words import is_blank
+from ..operators.folding import before
+
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of a file, directory or glob, split at line feeds only; trailing carriage returns go, bad UTF-8 becomes U+FFFD.
@@ -27,20 +30,22 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def head_of(spark: SparkSession, path: str | list[str], n_bytes: int = 64 << 10) -> DataFrame | None:
-    """The lines that begin the first file, without a scan of the log; None if there is no line."""
+def head_of(spark: SparkSession, path: str | list[str], most: int = 50, n_bytes: int = 64 << 10) -> DataFrame | None:
+    """The first lines of the first file that aren't blank, without a scan of the log; None if there is no file that isn't empty."""
     found = spark.read.format("binaryFile").load(path).filter("length > 0").select("path").orderBy("path").first()
     if found is None:
         return None
-    first = found.path
-    lines = spark.read.option("lineSep", "\n").text(first).limit(2000)
-    return lines.select(F.rtrim("value", F.lit("\r")).alias("value"), F.lit(first).alias("file"), F.lit(0).cast("long").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    first = read_lines(spark, found.path).filter(~is_blank(F.col("value"))).select(F.substring("value", 1, n_bytes).alias("value"), "file", "block", "pos")
+    kind = "value string, file string, block long, pos long"
+    return spark.createDataFrame([tuple(r) for r in first.take(most)], kind)  # reads on until there are so many
 
 
-def lines_from(df: DataFrame, value: str, order: str, block_rows: int = 10_000) -> DataFrame:
-    """Rows of a table as lines, in the order of a whole number; blocks are ranges of it."""
-    placed = df.select(F.col(value).alias("value"), F.lit("").alias("file"), F.floor(F.col(order) / block_rows).cast("long").alias("block"), F.col(order).alias("_o"))
-    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("block").orderBy("_o")).cast("long")).drop("_o")
+def lines_from(df: DataFrame, value: str | Column, order: str, block_rows: int = 10_000) -> DataFrame:
+    """Rows of a table as lines, in the order of a whole number; blocks are ranges of it, and lie in order where they are read."""
+    placed = df.withColumns({"_block": F.floor(F.col(order) / block_rows).cast("long"), "_o": F.col(order)})
+    numbered = placed.withColumn("_pos", F.row_number().over(Window.partitionBy("_block").orderBy("_o")).cast("long"))
+    line = F.col(value) if isinstance(value, str) else value
+    return numbered.select(line.alias("value"), F.lit("").alias("file"), F.col("_block").alias("block"), F.col("_pos").alias("pos"))
 
 
 def spooled(stream: BinaryIO) -> str:
@@ -52,8 +57,7 @@ def spooled(stream: BinaryIO) -> str:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Adds ``line_no``, 1 for the first line of the first file. Offsets come from a window over one row per input split."""
+    """Adds ``line_no``, 1 for the first line of the first file: lines before its range of blocks, its block and itself."""
     blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("pos").alias("first_pos"))
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("file", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first_pos") + 1).alias("offset"))
+    offsets = before(blocks, {"offset": ("sum", "lines")}).select("file", "block", (F.col("offset") - F.col("first_pos") + 1).alias("offset"))
     return lines.join(offsets, ["file", "block"]).withColumn("line_no", F.col("offset") + F.col("pos")).drop("offset")

@@ -107,6 +107,9 @@ ACCESS = [
         ('"GET / X" 200 1 "-" "ua" rt=2 request_time=3', ("GET", "/", 200, 1, 3.0)),
         ('"GET / X" 200 1 "-" "ua" 0.5 ', ("GET", "/", 200, 1, None)),
         ('"GET / X" 200 77', ("GET", "/", 200, 77, None)),
+        ('"GET / X" 200 18446744073709551615', ("GET", "/", 200, (1 << 64) - 1, None)),
+        ('"GET / X" +00200 +0007\t"a b"', ("GET", "/", 200, 7, None)),
+        ('"GET" 200 0', ("GET", "", 200, 0, None)),
 ]
 
 
@@ -115,7 +118,7 @@ def test_access_lines(spark):
     assert {r.ts_ms for r in found} == {BASE} and [(r.method, r.path, r.status, r.bytes, r.latency_s) for r in found] == [x for _, x in ACCESS]
 
 
-NO_ACCESS = ["", "no brackets", '[::7] - - [07/Mar/2031:04:05:06] "GET / X" 200 1', 'h [07/Mar/2031:04:05:06] GET 200 1', 'h [07/Mar/2031:04:05:06] "GET /" 99 1', 'h [07/Mar/2031:04:05:06] "GET /" 600 1', 'h [07/Mar/2031:04:05:06] "GET /" 200 x', 'h [07/Mar/2031:04:05:06] "GET /" 200 9223372036854775808']
+NO_ACCESS = ["", "no brackets", '[::7] - - [07/Mar/2031:04:05:06] "GET / X" 200 1', 'h [07/Mar/2031:04:05:06] GET 200 1', 'h [07/Mar/2031:04:05:06] "GET /" 99 1', 'h [07/Mar/2031:04:05:06] "GET /" 600 1', 'h [07/Mar/2031:04:05:06] "GET /" 200 x', 'h [07/Mar/2031:04:05:06] "GET /" 200 18446744073709551616', 'h [07/Mar/2031:04:05:06] "GET /" 200 100000000000000000000']
 
 
 def test_lines_that_are_no_access_lines(spark):
