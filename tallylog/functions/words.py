@@ -77,7 +77,7 @@ def with_message_seconds(df: DataFrame, message: str, out: str) -> DataFrame:
 
 def route(path: Column) -> Column:
     """The path without query and fragment, ids as ``:id``: segments of digits, or of 8 or more hex digits and hyphens."""
-    bare = F.regexp_extract(path, r"^[^?#]*", 0)
+    bare = F.substring_index(F.substring_index(path, "?", 1), "#", 1)
     named = F.regexp_replace(bare, r"(?<![^/])(?:[0-9]+|[0-9a-fA-F-]{8,})(?![^/])", ":id")
     return F.when(bare == "", F.lit("(none)")).otherwise(named)
 

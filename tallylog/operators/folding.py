@@ -155,8 +155,8 @@ def as_batch(rows: Iterator[dict]) -> pa.RecordBatch:
 
 
 def sums(facts: DataFrame, tag: str) -> DataFrame:
-    """(key, number, n, errors, top) over all parts."""
-    return facts.filter(F.col("tag") == tag).groupBy("key", "number").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.max("top").alias("top"))
+    """(key, number, n, errors, top) of whole or merged facts."""
+    return facts.filter(F.col("tag") == tag).select("key", "number", "n", "errors", "top")
 
 
 def blocks(facts: DataFrame, per_range: int = RANGE) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import times, words
@@ -135,6 +136,23 @@ def parsed(lines: DataFrame, fmt: LogFormat, scale: float = 1.0, columns: Sequen
     return rows.select("file", "block", "pos", kind.alias("kind"), *[made[c]().alias(c) for c in asked])
 
 
+#: For a few rows, which take less time than compiling code for them.
+INTERPRETED = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while."""
+    old = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def detect(lines: DataFrame, most: int = 50, head_bytes: int = 64 << 10) -> LogFormat | None:
     """The format of the first line that has one, among the first 50 lines that aren't blank within the first 64 KiB.
 
@@ -144,7 +162,9 @@ def detect(lines: DataFrame, most: int = 50, head_bytes: int = 64 << 10) -> LogF
     marked = app_fields(access_fields(head, fields=["ts_ms"]).withColumnRenamed("rec", "acc"), fields=["ts_ms"])
     marked = marked.select("file", "block", "pos", F.col("acc").isNotNull().alias("acc"), F.col("rec").isNotNull().alias("app"), F.octet_length("value").alias("n"))
     seen, before = 0, None
-    for row in marked.orderBy("file", "block", "pos").collect():  # at most 50 rows
+    with settings(lines.sparkSession, INTERPRETED):
+        rows = marked.orderBy("file", "block", "pos").collect()  # at most 50
+    for row in rows:
         if before is not None and before[:2] == (row.file, row.block):
             seen += row.pos - before[2] - 1
         if seen > head_bytes:

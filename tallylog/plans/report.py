@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from contextlib import contextmanager
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -22,16 +20,10 @@ QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 MIN_ROUTE_SAMPLES, MAX_EXAMPLES = 20, 5
 
 
-@contextmanager
-def compiled(spark: SparkSession) -> Iterator[None]:
-    """Keeps generated methods below the 8,000 bytes up to which the JVM compiles them; beyond, each operator gets methods of its own."""
-    name = "spark.sql.codegen.hugeMethodLimit"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "8000")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+#: Keeps generated methods below the 8,000 bytes up to which the JVM compiles them; beyond, each operator gets methods of its own.
+COMPILED = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+#: Rows of facts up to which one task works them up, so that nothing is shuffled; beyond, the same plans run over many.
+SMALL = 200_000
 
 
 def summarize_path(spark: SparkSession, path: str | list[str], fmt: LogFormat | str | None = None, **kwargs) -> dict:
@@ -53,20 +45,20 @@ def summarize(lines: DataFrame, fmt: LogFormat | str | None = None, latency_unit
         raise ValueError("the gap must be a positive number of seconds")
     if head is None and lines.isEmpty():
         raise ValueError("input is empty")
-    with compiled(lines.sparkSession):
+    with parsers.settings(lines.sparkSession, COMPILED):
         fmt = LogFormat(fmt) if fmt else parsers.detect(lines if head is None else head)
         if fmt is None:
             raise ValueError("none of the first lines is in a known format; name the format")
         gap_ms = int(gap_seconds * 1000)
         facts = folding.folded(lines, fmt, parsers.LATENCY_UNITS[latency_unit], gap_ms, in_order).persist()  # a few rows for each block, minute, route and message
         try:
-            return assembled(facts, fmt, gap_ms, max(1, top))
+            return assembled(facts.coalesce(1) if facts.count() <= SMALL else facts, fmt, gap_ms, max(1, top))
         finally:
             facts.unpersist()
 
 
 def assembled(facts: DataFrame, fmt: LogFormat, gap_ms: int, top: int) -> dict:
-    """The report from what ``folding.folded`` has found, read a few times."""
+    """The report from what ``folding.folded`` or ``folding.merged`` gives, kept somewhere as it is read a few times."""
     access = fmt == LogFormat.ACCESS
     placed = folding.blocks(facts)
     minutes = folding.sums(facts, "minute").select(F.col("number").alias("minute"), "n", "errors")
@@ -74,7 +66,7 @@ def assembled(facts: DataFrame, fmt: LogFormat, gap_ms: int, top: int) -> dict:
     timed = buckets.filter("bucket IS NOT NULL")
     named = F.concat(F.col("number").cast("string"), F.lit("xx")) if access else level_name(F.col("number").cast("int"))
     ms = lambda c, name: (F.col(c) * 1000).alias(name)
-    stats = series.statistics(minutes, ["n", "errors"])  # fills the cache
+    stats = series.statistics(minutes, ["n", "errors"])
     one_row = {c: facts.sparkSession.createDataFrame([stats[c]], series.STATS) for c in stats}
     spike_rows = lambda value: series.spikes(minutes, value, one_row[value], top).select("minute_utc", "count", "times_median")
     work = {
