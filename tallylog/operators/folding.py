@@ -154,6 +154,13 @@ def as_batch(rows: Iterator[dict]) -> pa.RecordBatch:
 # --- what the facts say -----------------------------------------------------------------------------
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """FACTS of a whole from those of its parts, whatever their number: sums by key; blocks and findings as they are."""
+    by_key = parts.filter("tag IN ('minute', 'route', 'class', 'level', 'message')")
+    added = by_key.groupBy("tag", "key", "number").agg(F.sum("n").alias("n"), F.sum("errors").alias("errors"), F.max("top").alias("top"))
+    return added.unionByName(parts.filter("tag IN ('block', 'back', 'gap', 'failed')"), allowMissingColumns=True).select(*FACTS)
+
+
 def sums(facts: DataFrame, tag: str) -> DataFrame:
     """(key, number, n, errors, top) of whole or merged facts."""
     return facts.filter(F.col("tag") == tag).select("key", "number", "n", "errors", "top")

@@ -179,6 +179,10 @@ SELECT 700000::BIGINT AS lines, count(*)::BIGINT AS parsed, 700000 - count(*)::B
 }
 
 
+ORACLES["source_lines"] = f"""WITH {EVENTS}
+SELECT row_number() OVER (ORDER BY id) AS line_no, '10.0.0.1 - - [' || strftime(make_timestamp(ms * 1000), '%d/%b/%Y:%H:%M:%S') || ' +0000] "' || method || ' /u/' || user_id || '/' || event_type || '/s' || part || '?k=' || id
+  || ' HTTP/1.1" ' || status || ' ' || user_id % 5000 || ' "-" "agent" ' || CASE WHEN lat IS NULL THEN '-' ELSE n::VARCHAR END || CASE WHEN id % 97 = 0 THEN chr(65533) || chr(65533) ELSE '' END AS value FROM ev"""
+ORACLES["report_in_two_parts"] = ORACLES["summary_report"]
 ORACLES |= {"stream_minutes": ORACLES["minute_counts"], "stream_buckets": ORACLES["latency_buckets"]}
 
 

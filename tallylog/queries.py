@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import times, words
 from .operators import counting, folding, parsers, series, sketch
 from .operators.parsers import LogFormat
+from .plans import store
 from .plans.report import summarize
 from .sources import generator
 from .sources.lines import lines_from, numbered
+from .sources.reader import register
+from .sources.scratch import opened, scratch
 from .streaming import minutes
 
 #: What an event is in an access log: method and status.
@@ -337,6 +342,49 @@ def app_summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_rows(spark, summarize(app_log(spark, sf_dir), in_order=True))
 
 
+def written_files(lines: DataFrame, order: str, folder: str, files: int) -> str:
+    """Writes the binary column ``line``, as it is, to ``files`` files in the order of their names; returns the folder."""
+    disk, local = opened(folder)
+    disk.create_dir(local, recursive=True)
+
+    def run(batches):
+        out = disk = None
+        for batch in batches:
+            if out is None:
+                disk, local = opened(f"{folder}/part-{TaskContext.get().partitionId():05}.log")
+                out = disk.open_output_stream(local)
+            out.write(b"".join(batch.column(0).to_pylist()))
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"done": [True]})
+
+    dealt = lines.repartitionByRange(files, order).sortWithinPartitions(order).select("line")
+    dealt.mapInArrow(run, "done boolean").collect()  # a row for each file
+    return folder
+
+
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files as the data source reads them: carriage returns, bytes that are no UTF-8, no line feed at the end, many blocks."""
+    rows = event_rows(spark, sf_dir)
+    last = rows.agg(F.max("id")).scalar()
+    text = F.concat(F.encode(access_text(), "UTF-8"), F.when(F.col("id") % 97 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit(""))))
+    end = F.when(F.col("id") == last, "").when(F.col("id") % 2 == 0, "0D0A").when(F.col("id") % 3 == 0, "0D0D0A").otherwise("0A")
+    folder = written_files(rows.select("id", F.concat(text, F.unhex(end)).alias("line")), "id", scratch(spark, "lines"), 3)
+    found = register(spark).read.format("tallylog").option("path", folder).option("blockBytes", 1 << 16).load()
+    return numbered(found).select("line_no", "value")
+
+
+def report_in_two_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a store to which first some files of the log were added, then all of them, then all again."""
+    rows = event_rows(spark, sf_dir, bursts=True).select("id", F.concat(F.encode(access_text(), "UTF-8"), F.unhex(F.lit("0A"))).alias("line"))
+    folder, kept = written_files(rows, "id", scratch(spark, "log"), 4), scratch(spark, "store")
+    store.add(spark, kept, f"{folder}/part-0000[01].log", latency_unit="ms")
+    store.add(spark, kept, folder, latency_unit="ms")
+    if store.add(spark, kept, folder, latency_unit="ms"):
+        raise AssertionError("the ledger has all of it")
+    return as_rows(spark, store.report(spark, kept))
+
+
 def generated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A made log: how many lines are broken, step back or follow a silence is known."""
     return counted(lines_from(generator.access_lines(spark, 700_000), "value", "id", 50_000), LogFormat.ACCESS).drop("bytes")
@@ -357,7 +405,7 @@ NAMES = (
     "access_status_classes status_shares access_bytes_total access_route_stats error_routes_top minute_counts minute_span app_levels top_errors capped_errors "
     "line_counts access_line_counts unparseable_examples line_numbers latency_buckets latency_quantiles route_quantiles slow_routes_top "
     "traffic_stats error_traffic_stats traffic_spikes error_spikes out_of_order_count out_of_order_examples gap_count gap_examples "
-    "summary_report app_summary_report generated_log stream_minutes stream_buckets"
+    "summary_report app_summary_report source_lines report_in_two_parts generated_log stream_minutes stream_buckets"
 ).split()
 
 
