@@ -172,18 +172,24 @@ SELECT route, requests, errors, round(p95, 6) AS p95, round(p99, 6) AS p99 FROM
     "gap_examples": f"WITH {EVENT_STEPS} SELECT line_no, {LABEL} AS at_utc, {LABEL.replace('(ms', '(prev')} AS previous_utc FROM s WHERE ms - prev > 300000 ORDER BY line_no LIMIT 5",
     "summary_report": report("access"),
     "app_summary_report": report("app"),
-    "generated_log": """WITH t AS (SELECT i, (i // 300000) * (270000 * 9 + 30000 + 420000) + i % 300000 * 9 - 8 * greatest(0, least(i % 300000, 150000) - 120000) - CASE WHEN i % 25013 = 25012 THEN 15000 ELSE 0 END AS ms FROM range(700000) r(i) WHERE i % 9973 <> 9972),
-s AS (SELECT i, (1751500000000 + ms) // 1000 * 1000 AS ms FROM t), w AS (SELECT *, lag(ms) OVER (ORDER BY i) AS prev FROM s)
-SELECT 700000::BIGINT AS lines, count(*)::BIGINT AS parsed, 700000 - count(*)::BIGINT AS unparseable, 0::BIGINT AS continuation_lines, count(*) FILTER (ms < prev)::BIGINT AS out_of_order,
-  count(*) FILTER (ms - prev > 300000)::BIGINT AS gaps, COALESCE(max(ms - prev) FILTER (ms - prev > 300000) / 1000.0::DOUBLE, 0) AS longest_gap_seconds FROM w""",
 }
 
 
+ORACLES["generated_log"] = """WITH g AS (SELECT o_orderkey * 20 + k AS i FROM orders, range(20) r(k)),
+t AS (SELECT i, (i // 300000) * (270000 * 9 + 30000 + 420000) + i % 300000 * 9 - 8 * greatest(0, least(i % 300000, 150000) - 120000) - CASE WHEN i % 25013 = 25012 THEN 15000 ELSE 0 END AS ms FROM g WHERE i % 9973 <> 9972),
+s AS (SELECT i, (1751500000000 + ms) // 1000 * 1000 AS ms FROM t), w AS (SELECT *, lag(ms) OVER (ORDER BY i) AS prev FROM s)
+SELECT (SELECT count(*) FROM g) AS lines, count(*)::BIGINT AS parsed, (SELECT count(*) FROM g) - count(*)::BIGINT AS unparseable, 0::BIGINT AS continuation_lines, count(*) FILTER (ms < prev)::BIGINT AS out_of_order,
+  count(*) FILTER (ms - prev > 300000)::BIGINT AS gaps, COALESCE(max(ms - prev) FILTER (ms - prev > 300000) / 1000.0::DOUBLE, 0) AS longest_gap_seconds FROM w"""
 ORACLES["source_lines"] = f"""WITH {EVENTS}
 SELECT row_number() OVER (ORDER BY id) AS line_no, '10.0.0.1 - - [' || strftime(make_timestamp(ms * 1000), '%d/%b/%Y:%H:%M:%S') || ' +0000] "' || method || ' /u/' || user_id || '/' || event_type || '/s' || part || '?k=' || id
   || ' HTTP/1.1" ' || status || ' ' || user_id % 5000 || ' "-" "agent" ' || CASE WHEN lat IS NULL THEN '-' ELSE n::VARCHAR END || CASE WHEN id % 97 = 0 THEN chr(65533) || chr(65533) ELSE '' END AS value FROM ev"""
 ORACLES["report_in_two_parts"] = ORACLES["summary_report"]
-ORACLES |= {"stream_minutes": ORACLES["minute_counts"], "stream_buckets": ORACLES["latency_buckets"]}
+ORACLES |= {"stream_minutes": ORACLES["minute_counts"], "stream_buckets": ORACLES["latency_buckets"], "stream_order": ORACLES["out_of_order_count"]}
+ORACLES["stream_silences"] = f"""WITH {EVENTS},
+s AS (SELECT event_type, ms, lag(ms) OVER (PARTITION BY event_type ORDER BY full_ms, id) AS prev, max(ms) OVER () AS whole, last_value(ms) OVER (PARTITION BY event_type ORDER BY full_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail FROM ev)
+SELECT event_type AS source, count(*) FILTER (ms < prev) AS out_of_order, count(*) FILTER (ms - prev > 300000) AS gaps, COALESCE(max(ms - prev) FILTER (ms - prev > 300000), 0) AS longest_ms,
+  CASE WHEN any_value(whole) - any_value(tail) >= 300000 THEN strftime(make_timestamp(any_value(tail) * 1000), '%Y-%m-%d %H:%M:%S') END AS silent_since_utc
+FROM s GROUP BY event_type"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ from .sources import generator
 from .sources.lines import lines_from, numbered
 from .sources.reader import register
 from .sources.scratch import opened, scratch
-from .streaming import minutes
+from .streaming import minutes, order, sink
 
 #: What an event is in an access log: method and status.
 REQUESTS = {"view": ("GET", 200), "click": ("GET", 302), "purchase": ("POST", 201), "signup": ("POST", 404), "error": ("GET", 500)}
@@ -68,13 +68,6 @@ def access_log(spark: SparkSession, sf_dir: str, bursts: bool = False) -> DataFr
     return lines_from(event_rows(spark, sf_dir, bursts), access_text(), "id", 640_000 if bursts else 10_000)
 
 
-def access_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The access log as a stream of lines."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return event_rows(spark, sf_dir, events=events).select(access_text().alias("value"))
-
-
 def app_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as application lines, with lines among them that don't parse."""
     rows = event_rows(spark, sf_dir)
@@ -289,10 +282,13 @@ traffic_spikes, error_spikes = partial(_spikes, "n"), partial(_spikes, "errors")
 # --- order ------------------------------------------------------------------------------------------
 
 
+def order_text() -> Column:
+    return F.format_string("%s INFO order %d", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), "o_orderkey")
+
+
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in key order as application lines; their dates jump to and fro."""
-    line = F.format_string("%s INFO order %d", F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd HH:mm:ss"), "o_orderkey")
-    return lines_from(table(spark, sf_dir, "orders"), line, "o_orderkey", 4096)
+    return lines_from(table(spark, sf_dir, "orders"), order_text(), "o_orderkey", 4096)
 
 
 ORDER_COLUMNS = ("out_of_order", "gaps", "longest_gap_seconds")
@@ -342,7 +338,7 @@ def app_summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_rows(spark, summarize(app_log(spark, sf_dir), in_order=True))
 
 
-def written_files(lines: DataFrame, order: str, folder: str, files: int) -> str:
+def written_files(lines: DataFrame, order: str | list[str], folder: str, files: int, name: str = "part") -> str:
     """Writes the binary column ``line``, as it is, to ``files`` files in the order of their names; returns the folder."""
     disk, local = opened(folder)
     disk.create_dir(local, recursive=True)
@@ -351,14 +347,15 @@ def written_files(lines: DataFrame, order: str, folder: str, files: int) -> str:
         out = disk = None
         for batch in batches:
             if out is None:
-                disk, local = opened(f"{folder}/part-{TaskContext.get().partitionId():05}.log")
+                disk, local = opened(f"{folder}/{name}-{TaskContext.get().partitionId():05}.log")
                 out = disk.open_output_stream(local)
             out.write(b"".join(batch.column(0).to_pylist()))
         if out is not None:
             out.close()
         yield pa.RecordBatch.from_pydict({"done": [True]})
 
-    dealt = lines.repartitionByRange(files, order).sortWithinPartitions(order).select("line")
+    by = [order] if isinstance(order, str) else order
+    dealt = lines.repartitionByRange(files, *by).sortWithinPartitions(*by).select("line")
     dealt.mapInArrow(run, "done boolean").collect()  # a row for each file
     return folder
 
@@ -386,18 +383,82 @@ def report_in_two_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made log: how many lines are broken, step back or follow a silence is known."""
-    return counted(lines_from(generator.access_lines(spark, 700_000), "value", "id", 50_000), LogFormat.ACCESS).drop("bytes")
+    """A made log with twenty lines for each order: how many are broken, step back or follow a silence is known."""
+    ids = table(spark, sf_dir, "orders").select(F.explode(F.sequence(F.col("o_orderkey") * 20, F.col("o_orderkey") * 20 + 19)).alias("id"))
+    return counted(lines_from(generator.access_lines_of(ids), "value", "id", 50_000), LogFormat.ACCESS).drop("bytes")
+
+
+def line_bytes(text: Column) -> Column:
+    return F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("0A"))).alias("line")
+
+
+def parts_of(rows: DataFrame, by: str, parts: int) -> list[DataFrame]:
+    """Ranges of a column that a stream gets one after the other."""
+    lo, hi = rows.agg(F.min(by), F.max(by)).first()
+    part = F.least(F.floor((F.col(by) - F.lit(lo)) * parts / F.greatest(F.lit(hi - lo), F.lit(1))), F.lit(parts - 1))
+    return [rows.filter(part == k) for k in range(parts)]
+
+
+def log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return register(spark).readStream.format("tallylog").option("path", folder).load()
+
+
+#: A line long after all others: it ends the last minutes of a stream.
+END = '- - - [01/Jan/2100:00:00:00 +0000] "GET / -" 200 -'
 
 
 def stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute counts of the stream, drained."""
-    return minutes.minute_stream(access_stream(spark, sf_dir), LogFormat.ACCESS)
+    """Minute counts of a log that grows in three steps, each read by a stream that starts anew; the last batch is run twice."""
+    rows = event_rows(spark, sf_dir).withColumn("at", F.unix_millis("ts"))
+    folder, out, checkpoint = scratch(spark, "log"), scratch(spark, "minutes"), scratch(spark, "checkpoint")
+    counts = lambda: minutes.stream_minute_counts(log_stream(spark, folder), LogFormat.ACCESS, "1 minute")
+    for k, part in enumerate([*parts_of(rows, "at", 3), None]):
+        lines = spark.range(1).select(F.lit(0).alias("at"), line_bytes(F.lit(END))) if part is None else part.select("at", line_bytes(access_text()))
+        written_files(lines, "at", folder, 1 if part is None else 2, f"step-{k}")
+        sink.run(counts(), sink.appended(out), checkpoint, "append")
+    sink.forget_commit(spark, checkpoint)
+    sink.run(counts(), sink.appended(out), checkpoint, "append")
+    return sink.table(spark, out, minutes.MINUTES)
 
 
 def stream_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sketch of the stream, drained."""
-    return minutes.drained(minutes.stream_sketch(access_stream(spark, sf_dir), parsers.LATENCY_UNITS["ms"])).select("bucket", "n")
+    """The sketch of a log that grows in two steps."""
+    rows = event_rows(spark, sf_dir)
+    folder, out, checkpoint = scratch(spark, "log"), scratch(spark, "buckets"), scratch(spark, "checkpoint")
+    for k, part in enumerate(parts_of(rows, "id", 2)):
+        written_files(part.select("id", line_bytes(access_text())), "id", folder, 2, f"step-{k}")
+        sink.run(minutes.stream_sketch(log_stream(spark, folder), parsers.LATENCY_UNITS["ms"]), sink.upserted(out, ["bucket"]), checkpoint, "update")
+    return sink.table(spark, out, minutes.BUCKETS, latest=True).select("bucket", "n")
+
+
+def stream_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps back and silences of the orders, which come in three batches, each read by a stream that starts anew."""
+    rows = table(spark, sf_dir, "orders")
+    folder, out, checkpoint = scratch(spark, "log"), scratch(spark, "order"), scratch(spark, "checkpoint")
+    order.with_rocksdb(spark)
+    for k, part in enumerate(parts_of(rows, "o_orderkey", 3)):
+        written_files(part.select("o_orderkey", line_bytes(order_text())), "o_orderkey", folder, 2, f"step-{k}")
+        sink.run(order.stream_order(log_stream(spark, folder), LogFormat.APP, GAP_MS), sink.upserted(out, ["source"]), checkpoint, "update")
+    found = sink.table(spark, out, order.ORDER, latest=True)
+    return found.select("out_of_order", "gaps", (F.col("longest_ms") / 1000).alias("longest_gap_seconds"))
+
+
+def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences of each kind of event, a log of its own, in two batches; the last column tells which silences go on."""
+    rows = event_rows(spark, sf_dir).withColumn("at", F.unix_millis("ts"))
+    folder, out, checkpoint = scratch(spark, "log"), scratch(spark, "silences"), scratch(spark, "checkpoint")
+    order.with_rocksdb(spark)
+    kind = F.regexp_extract("file", "/([a-z]+)-[0-9]+-[0-9]+[.]log$", 1)
+    step = lambda: sink.run(order.stream_order(log_stream(spark, folder), LogFormat.ACCESS, GAP_MS, kind, timers=True), sink.upserted(out, ["source"]), checkpoint, "update")
+    for k, part in enumerate(parts_of(rows, "at", 2)):
+        for name in REQUESTS:
+            written_files(part.filter(F.col("event_type") == name).select("at", "id", line_bytes(access_text())), ["at", "id"], folder, 1, f"{name}-{k}")
+        step()
+    # Timers go off in the batch after the one that has moved event time on.
+    written_files(spark.range(1).select("id", line_bytes(F.lit(END))), "id", folder, 1, "end-0")
+    step()
+    found = sink.table(spark, out, order.ORDER, latest=True).filter("source <> 'end'")
+    return found.select("source", "out_of_order", "gaps", "longest_ms", times.utc_text(F.col("silent_since")).alias("silent_since_utc"))
 
 
 NAMES = (
@@ -405,7 +466,7 @@ NAMES = (
     "access_status_classes status_shares access_bytes_total access_route_stats error_routes_top minute_counts minute_span app_levels top_errors capped_errors "
     "line_counts access_line_counts unparseable_examples line_numbers latency_buckets latency_quantiles route_quantiles slow_routes_top "
     "traffic_stats error_traffic_stats traffic_spikes error_spikes out_of_order_count out_of_order_examples gap_count gap_examples "
-    "summary_report app_summary_report source_lines report_in_two_parts generated_log stream_minutes stream_buckets"
+    "summary_report app_summary_report source_lines report_in_two_parts generated_log stream_minutes stream_buckets stream_order stream_silences"
 ).split()
 
 

@@ -50,7 +50,11 @@ def one_of(weighted: list[tuple[Column, int]], draw: Column) -> Column:
 
 def access_lines(spark: SparkSession, n: int, seed: int = 5, start: int = 1_751_500_000, partitions: int | None = None) -> DataFrame:
     """``n`` lines (id, value) of an access log with rushes, pauses, lines out of order and broken ones."""
-    rows = spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism)
+    return access_lines_of(spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism), seed, start)
+
+
+def access_lines_of(rows: DataFrame, seed: int = 5, start: int = 1_751_500_000) -> DataFrame:
+    """A line (id, value) for each of ``rows``, by its whole number ``id``."""
     number, small = drawn(seed, 1, 900_000) + 1000, drawn(seed, 2, 40)
     kinds = [(F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b")), w) for m, p, w, a, b in ROUTES]
     row = one_of(kinds, drawn(seed, 3, sum(w for *_, w, _, _ in ROUTES)))

@@ -1,28 +1,19 @@
-"""Minute counts and order checks over endless logs.
-
-Minute counts are a tumbling window in update or append mode. Steps back and
-silences depend on the order of lines, not of times, and a watermark would drop
-the very lines that step back; they are kept by one small state per source.
-"""
+"""Minute counts and the quantile sketch over endless logs; ``sink`` keeps what they find, ``order`` checks the order of lines."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import nullcontext
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import parsers, sketch
 from ..operators.parsers import LogFormat
 
 
+MINUTES, BUCKETS = "minute long, n long, errors long", "bucket int, n long, top double"
+
+
 def stream_minute_counts(lines: DataFrame, fmt: LogFormat, late: str | None = None) -> DataFrame:
-    """(minute, n, errors) of a stream of lines (value); ``late``: a watermark, for append mode."""
+    """(minute, n, errors) of a stream of lines (value). ``late``: the delay of a watermark, for append mode; lines that come later than that are left out."""
     rows = parsers.with_record(lines, fmt, fields=["ts_ms", "status" if fmt == LogFormat.ACCESS else "level_rank"]).filter("rec IS NOT NULL")
     bad = F.col("rec.status") >= 500 if fmt == LogFormat.ACCESS else F.col("rec.level_rank") >= 4
     timed = rows.select(F.timestamp_millis("rec.ts_ms").alias("at"), bad.alias("is_error"))
@@ -35,42 +26,3 @@ def stream_sketch(lines: DataFrame, scale: float = 1.0) -> DataFrame:
     """(bucket, n, top) of a stream of access lines, for update or complete mode: counts that a new line adds to."""
     rows = parsers.with_record(lines, LogFormat.ACCESS, scale=scale, fields=["latency_s"]).filter("rec IS NOT NULL")
     return sketch.sketch(rows.select(F.col("rec.latency_s").alias("latency_s")), "latency_s")
-
-
-def minute_stream(lines: DataFrame, fmt: LogFormat) -> DataFrame:
-    """Minute counts of a stream over what is there now."""
-    return drained(stream_minute_counts(lines, fmt))
-
-
-def drained(counts: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream until it has read what is there now and returns its result, which must be small."""
-    spark, name = counts.sparkSession, f"drained_{uuid.uuid4().hex}"
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    with nullcontext(f"{shared.rstrip('/')}/{name}") if shared else tempfile.TemporaryDirectory(prefix="tallylog-") as place:
-        writer = counts.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-        writer.option("checkpointLocation", place).start().awaitTermination()
-    return spark.table(name)
-
-
-FOUND = "source string, kind string, ts_ms long, prev_ts_ms long"
-
-
-def stream_anomalies(rows: DataFrame, gap_ms: int = 300_000) -> DataFrame:
-    """Steps back and silences of a stream (source, seq, ts_ms), against the last line of the same source.
-
-    Within a batch lines are ordered by ``seq``; a source's batches must arrive in order.
-    """
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        before = rows["ts_ms"].shift(1)
-        if state.exists:
-            before.iloc[0] = state.get[0]
-        step = rows["ts_ms"] - before
-        state.update((int(rows["ts_ms"].iloc[-1]),))
-        kind = pd.Series(None, index=rows.index, dtype=object)
-        kind[step < 0], kind[step > gap_ms] = "back", "gap"
-        found = kind.notna()
-        yield pd.DataFrame({"source": key[0], "kind": kind[found], "ts_ms": rows["ts_ms"][found], "prev_ts_ms": before[found].astype("int64")})
-
-    return rows.groupBy("source").applyInPandasWithState(run, FOUND, "last long", "append", GroupStateTimeout.NoTimeout)

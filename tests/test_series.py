@@ -3,12 +3,8 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from tallylog.operators import counting, series, sketch
-from tallylog.operators.parsers import LogFormat
-from tallylog.sources import generator
-from tallylog.streaming import minutes
+from tallylog.operators import counting, folding, series, sketch
 
 
 def stats(spark, rows):
@@ -64,16 +60,23 @@ def test_capped_keys(spark):
     assert counting.capped(counts, "message", "n", 9).count() == 4
 
 
-def test_stream_counts_equal_batch_counts(spark, tmp_path):
-    generator.write_log(generator.access_lines(spark, 3000, partitions=3), str(tmp_path / "log"))
-    stream = spark.readStream.text(str(tmp_path / "log"))
-    assert minutes.minute_stream(stream, LogFormat.ACCESS).agg(F.sum("n")).first()[0] == 3000
-    assert minutes.drained(minutes.stream_sketch(stream)).agg(F.sum("n")).first()[0] == 3000
-
-
-def test_stream_keeps_the_last_time_of_each_source(spark, tmp_path):
-    rows = spark.createDataFrame([("a", 1, 1000), ("a", 2, 900), ("a", 3, 400_000), ("b", 1, 5)], "source string, seq long, ts_ms long")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    found = minutes.drained(minutes.stream_anomalies(stream), "append").collect()
-    assert sorted((r.source, r.kind, r.ts_ms, r.prev_ts_ms) for r in found) == [("a", "back", 900, 1000), ("a", "gap", 400_000, 900)]
+@pytest.mark.parametrize("parts", [2, 4096])
+def test_values_at_ranks(spark, monkeypatch, parts):
+    monkeypatch.setattr(series, "PARTS", parts)
+    draw = random.Random(6)
+    own = {"a": [draw.randrange(1 << draw.randrange(1, 62)) for _ in range(301)], "b": [7] * 50 + [0], "c": [(1 << 62) + k for k in range(40)]}
+    rows = [(name, v, 1) for name, vs in own.items() for v in vs] + [("b", 9, 30)]
+    own["b"] += [9] * 30
+    ranks = {name: sorted({0, len(vs) // 3, len(vs) // 2, len(vs) - 1}) for name, vs in own.items()}
+    got = series.ranked(spark.createDataFrame(rows, "series string, v long, w long"), ranks)
+    assert got == {name: [sorted(vs)[k] for k in ranks[name]] for name, vs in own.items()}
+
+
+def test_what_stands_before_blocks(spark):
+    rows = [(f, b, 1 + b % 7, None if b % 3 else b, b == 40) for f in ("a", "b", "c") for b in range(0, 100, 10)]
+    df = spark.createDataFrame(rows, "file string, block long, lines long, tail long, some boolean").repartition(5)
+    got = {(r.file, r.block): (r.offset or 0, bool(r.seen), r.prev) for r in folding.before(df, {"offset": ("sum", "lines"), "seen": ("any", "some"), "prev": ("last", "tail")}, 35).collect()}
+    lines, seen, prev = 0, False, None
+    for f, b, n, tail, some in rows:
+        assert got[f, b] == (lines, seen, prev)
+        lines, seen, prev = lines + n, seen or some, prev if tail is None else tail
