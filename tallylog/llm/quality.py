@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import trimmed, written
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS, SPACES = [bytes([c]) for c in b"#*$%&|<>"], [bytes([c]) for c in b" \t\n\r\x0b\x0c"]
@@ -184,7 +184,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = stats_of(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found.T.copy())], names=["doc_id", *STATS])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{s} long" for s in STATS))
+    return narrow.mapInArrow(trimmed(run), f"doc_id {kind}, " + ", ".join(f"{s} long" for s in STATS))
 
 
 def stats_of(texts: pa.Array) -> np.ndarray:
@@ -211,7 +211,7 @@ def fitted(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_co
             table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(np.ceil(model.judged(table)[1] * BINS).astype(np.int64)), batch.columns[-1]], names=["bin", "mark"])
 
-    counted = known.select(*STATS, "mark").mapInArrow(run, "bin long, mark long").groupBy("bin", "mark").count().toPandas()  # at most 2 * BINS rows
+    counted = known.select(*STATS, "mark").mapInArrow(trimmed(run), "bin long, mark long").groupBy("bin", "mark").count().toPandas()  # at most 2 * BINS rows
     good, bad = (np.bincount(counted.bin[counted["mark"] == k].to_numpy(int), counted["count"][counted["mark"] == k].to_numpy(float), BINS + 1) for k in (1, 0))
     model.threshold = calibrated(good, bad)
     return model
@@ -237,7 +237,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, model.judged(table))], names=["doc_id", *STATS, "base_failed", "score", "kept"])
 
-    return stats.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, score double, kept boolean")
+    return stats.mapInArrow(trimmed(run), f"doc_id {kind}, " + ", ".join(f"{s} long" for s in STATS) + ", base_failed boolean, score double, kept boolean")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,4 +249,4 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             yield batch.filter(pa.array(model.judged(stats_of(batch.column(place).cast(pa.binary())))[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

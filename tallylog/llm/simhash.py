@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import WORD, drop_path, dropped, file_system, lower_ascii, scratch_path, tidy, written
+from .shared import WORD, drop_path, dropped, file_system, lower_ascii, scratch_path, tidy, trimmed, written
 
 SEED, PART_BITS, PARTS = 42, 16, 4
 TILE = 1024
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_c
             fps = [fingerprint(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, fp long")
+    return narrow.mapInArrow(trimmed(run), f"doc_id {kind}, fp long")
 
 
 def part_counts(fp: str = "fp") -> list[Column]:
@@ -149,7 +149,7 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     there = F.broadcast(sizes.select(F.col("g").alias("h"), F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1).alias("ts")))
     other = tiles.select(F.col("g").alias("h"), F.col("s").alias("t"), F.col("fps").alias("b"))
     pairs = inside.join(there, "h").select("g", "s", "a", "h", F.explode("ts").alias("t")).filter("g <> h OR s <= t").join(other, ["h", "t"])
-    return pairs.select("a", "b", F.expr("g = h AND s = t").alias("same")).mapInArrow(lambda batches: compared(batches, radius), "u long, v long")
+    return pairs.select("a", "b", F.expr("g = h AND s = t").alias("same")).mapInArrow(trimmed(lambda batches: compared(batches, radius)), "u long, v long")
 
 
 def near_components(prints: DataFrame, radius: int) -> DataFrame:
@@ -217,7 +217,7 @@ def set_prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
             arrays = [pa.array(x, t) for x, t in zip(found, types.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "node", *types])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, node long, fp long, second long, third long, fourth long, n long, parity binary")
+    return narrow.mapInArrow(trimmed(run), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, node long, fp long, second long, third long, fourth long, n long, parity binary")
 
 
 TILE_INDEX = pa.schema([("g", pa.int32()), ("s", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
@@ -247,7 +247,7 @@ def stored_tiles(dealt: DataFrame, fields: list[str]) -> tuple[DataFrame, str]:
             out.close()
 
     tiles = dealt.groupBy("g", "s").agg(F.collect_list(F.struct(*fields)).alias("tile"))
-    index = tiles.mapInArrow(run, "g int, s long, file string, at long, size long")
+    index = tiles.mapInArrow(trimmed(run), "g int, s long, file string, at long, size long")
     index.write.parquet(f"{path}/index")
     return dealt.sparkSession.read.schema(index.schema).parquet(f"{path}/index"), path
 
@@ -341,7 +341,7 @@ def candidates(nodes: DataFrame, nearest: bool, similarity: float) -> tuple[Data
     other = index.select(F.col("g").alias("h"), F.col("s").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("file", "at", "size")])
     pairs = index.withColumn("h", F.explode(F.sequence("g", F.col("g") + (NEAR if nearest else WIDE_TWO)))).join(other, "h").filter("g <> h OR s <= t")
     spread = pairs.repartition(max(4 * nodes.sparkSession.sparkContext.defaultParallelism, pairs.count() // 64), "g", "s", "h", "t")
-    found = spread.mapInArrow(lambda batches: met(batches, nearest, similarity), "u long, v long, far long")
+    found = spread.mapInArrow(trimmed(lambda batches: met(batches, nearest, similarity)), "u long, v long, far long")
     dropped(sizes)
     return (found.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v") if nearest else found.select("u", "v").distinct()), path
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_path, file_system, scratch_path, slices
+from .shared import drop_path, file_system, scratch_path, slices, trimmed
 
 SCALE, BLOCK, LANES = 18, 1 << 18, 1024
 LOW = np.uint64(1 << 31)
@@ -136,7 +136,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, stop - begin), coded], names=["doc_id", "ids"])
             pa.default_memory_pool().release_unused()
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, ids binary")
+    return narrow.mapInArrow(trimmed(run), f"doc_id {kind}, ids binary")
 
 
 # --- coding -----------------------------------------------------------------------------------------
@@ -274,7 +274,7 @@ def id_counts(coded: DataFrame, size: int) -> np.ndarray:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["id", "n"])
 
-    found = coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = coded.select("ids").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return counts
@@ -311,7 +311,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, en
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "docs": [n_docs], "ids": [n_ids]})
 
     ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(run, "part long, file string, docs long, ids long").write.parquet(f"{path}/manifest")
+    ordered.mapInArrow(trimmed(run), "part long, file string, docs long, ids long").write.parquet(f"{path}/manifest")
     spark.createDataFrame([(kind, bytearray(freq.astype("<u4").tobytes()))], "kind string, freq binary").coalesce(1).write.parquet(f"{path}/table")
     drop_path(spark, raw)
 
@@ -338,7 +338,7 @@ def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFra
             for row in batch.to_pylist():
                 yield from decoded(f"{files}/{row['file']}", row["base"], row["run"], table, digest)
 
-    return spread.mapInArrow(run, f"doc_id {head.kind}, start long, n_tokens long, {last}")
+    return spread.mapInArrow(trimmed(run), f"doc_id {head.kind}, start long, n_tokens long, {last}")
 
 
 def decoded(uri: str, base: int, run: int, table: Table, digest: bool) -> Iterator[pa.RecordBatch]:
