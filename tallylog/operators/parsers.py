@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import times, words
@@ -46,16 +46,16 @@ def _after(text: Column, length: Column) -> Column:
 ACCESS_FIELDS, APP_FIELDS = ("ts_ms", "method", "path", "status", "bytes", "latency_s"), ("ts_ms", "level_rank", "message", "latency_s")
 
 
-def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0, fields: Sequence[str] = ACCESS_FIELDS) -> DataFrame:
-    """Adds ``rec`` with ``fields``; what isn't asked for isn't computed.
+def access_steps(line: Column, scale: float, fields: Sequence[str]) -> tuple[dict[str, Column], dict[str, Column], Column]:
+    """Two steps of columns, the second from the first, and the record made from both; null if the line doesn't parse.
 
     One pattern takes a line apart. Its groups are joined by line feeds, which no line has, and split again: so it runs once for all of them.
     """
     groups = [1, 2, 3, 6, 7, *([4, 5] if {"method", "path"} & {*fields} else []), *([8] if "latency_s" in fields else [])]
-    step = df.withColumn("_p", F.split(F.regexp_replace(line, _ACCESS, "\n".join(f"${g}" for g in groups)), "\n", len(groups)))
+    first = {"_p": F.split(F.regexp_replace(line, _ACCESS, "\n".join(f"${g}" for g in groups)), "\n", len(groups))}
     whole = F.size("_p") == len(groups)
     part = lambda g: F.get("_p", F.lit(groups.index(g)))
-    step = step.withColumns({"_ms": F.when(whole, times.clf_parts_ms(part(1), part(2), part(3))), "_s": F.when(whole, part(6).try_cast("int")), "_b": F.when(whole, part(7))})
+    second = {"_ms": F.when(whole, times.clf_parts_ms(part(1), part(2), part(3))), "_s": F.when(whole, part(6).try_cast("int")), "_b": F.when(whole, part(7))}
     each = {
         "ts_ms": lambda: F.col("_ms"),
         "method": lambda: part(4),
@@ -66,8 +66,13 @@ def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0, fields
     }
     record = F.struct(*[each[f]().alias(f) for f in fields])
     fits = (F.length("_b") < len(MOST_BYTES)) | ((F.length("_b") == len(MOST_BYTES)) & (F.col("_b") <= MOST_BYTES))
-    good = F.col("_ms").isNotNull() & F.col("_s").between(100, 599) & fits
-    return _barrier(step, F.when(good, record)).drop("_p", "_ms", "_s", "_b")
+    return first, second, F.when(F.col("_ms").isNotNull() & F.col("_s").between(100, 599) & fits, record)
+
+
+def access_fields(df: DataFrame, line: str = "value", scale: float = 1.0, fields: Sequence[str] = ACCESS_FIELDS) -> DataFrame:
+    """Adds ``rec`` with ``fields``; what isn't asked for isn't computed."""
+    first, second, record = access_steps(F.col(line), scale, fields)
+    return _barrier(df.withColumns(first).withColumns(second), record).drop(*first, *second)
 
 
 def access_seconds(after: Column, scale: float) -> Column:
@@ -174,3 +179,23 @@ def detect(lines: DataFrame, most: int = 50, head_bytes: int = 64 << 10) -> LogF
         if row.acc or row.app:
             return LogFormat.ACCESS if row.acc else LogFormat.APP
     return None
+
+
+def formats(lines: DataFrame, most: int = 50) -> DataFrame:
+    """(file, format): of each file the format of the first line that has one, among the first ``most`` lines of its first block that aren't blank; null if none has.
+
+    One pass over the heads of all files: what is beyond them goes before lines are parsed or shuffled.
+    """
+    place = Window.partitionBy("file").orderBy("block", "pos")
+    first = F.min("block").over(Window.partitionBy("file"))
+    heads = lines.filter(~words.is_blank(F.col("value"))).withColumn("_k", F.row_number().over(place)).filter(F.col("_k") <= most).withColumn("_b", first).filter("block = _b")
+    marked = app_fields(access_fields(heads, fields=["ts_ms"]).withColumnRenamed("rec", "acc"), fields=["ts_ms"])
+    found = F.when(F.col("acc").isNotNull(), LogFormat.ACCESS.value).when(F.col("rec").isNotNull(), LogFormat.APP.value)
+    return marked.select("file", "_k", found.alias("format")).groupBy("file").agg(F.min_by("format", F.when(F.col("format").isNotNull(), F.col("_k"))).alias("format"))
+
+
+def by_format(lines: DataFrame) -> dict[LogFormat, DataFrame]:
+    """The lines of each format's files; files in no known format are in neither. Lines keep the order in which they are read."""
+    known = formats(lines).filter("format IS NOT NULL")
+    # A row for each file, which the driver lists anyway; beyond that size Spark joins by other means, and lines are no more in order.
+    return {fmt: lines.join(known.filter(F.col("format") == fmt.value).select("file"), "file", "left_semi").select("value", "file", "block", "pos") for fmt in LogFormat}

@@ -175,6 +175,14 @@ SELECT route, requests, errors, round(p95, 6) AS p95, round(p99, 6) AS p99 FROM
 }
 
 
+ORACLES["top_errors_bounded"] = f"""WITH {EVENTS} SELECT CASE WHEN part < 2 THEN 'user #: error of cart # step ' || chr(97 + part::INT) || ' took # ms'
+  ELSE 'user ' || user_id || ': ' || event_type || ' of cart ' || id % 50 || ' step ' || chr(97 + part::INT) || ' took ' || n || ' ms' END AS message, count(*) AS n
+FROM ev WHERE line = 'ok' AND level IN ('ERROR', 'FATAL') GROUP BY message ORDER BY n DESC, message LIMIT 2"""
+ORACLES["sql_routes"] = ORACLES["access_route_stats"]
+ORACLES["sql_times"] = f"""WITH {EVENTS} SELECT strftime(make_timestamp(minute * 60000000), '%Y-%m-%d %H:%M') AS minute_utc, count(*) AS n
+FROM (SELECT minute FROM ev WHERE line = 'ok' UNION ALL SELECT minute FROM ev) GROUP BY ALL"""
+ORACLES["file_formats"] = """SELECT * FROM (VALUES ('access-00000.log', 'access'), ('access-00001.log', 'access'), ('jobs-00000.log', 'app'), ('jobs-00001.log', 'app'), ('names-00000.log', NULL), ('names-00001.log', NULL)) t(file, format)"""
+ORACLES["mixed_reports"] = f"SELECT 'access.' || field AS field, value FROM ({report('access')}) UNION ALL SELECT 'app.' || field, value FROM ({report('app')})"
 ORACLES["generated_log"] = """WITH g AS (SELECT o_orderkey * 20 + k AS i FROM orders, range(20) r(k)),
 t AS (SELECT i, (i // 300000) * (270000 * 9 + 30000 + 420000) + i % 300000 * 9 - 8 * greatest(0, least(i % 300000, 150000) - 120000) - CASE WHEN i % 25013 = 25012 THEN 15000 ELSE 0 END AS ms FROM g WHERE i % 9973 <> 9972),
 s AS (SELECT i, (1751500000000 + ms) // 1000 * 1000 AS ms FROM t), w AS (SELECT *, lag(ms) OVER (ORDER BY i) AS prev FROM s)

@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import times, words
-from .operators import counting, folding, parsers, series, sketch
+from .functions import sql, times, words
+from .operators import counting, folding, heavy, parsers, series, sketch
 from .operators.parsers import LogFormat
 from .plans import store
 from .plans.report import summarize
@@ -202,6 +202,55 @@ def top_errors(spark, sf_dir):
     return counting.top_errors(app(spark, sf_dir, "is_error", "message"), 10)
 
 
+def top_errors_bounded(spark, sf_dir):
+    """The most frequent messages, numbers and all, of which there are nearly as many as lines, with 64 slots to a task."""
+    rows = parsers.app_fields(app_log(spark, sf_dir), fields=["level_rank", "message"]).filter(F.col("rec.level_rank") >= words.ERROR_RANK)
+    text = F.when(F.col("rec.message").rlike("step [ab] "), words.message_key(F.col("rec.message"))).otherwise(F.col("rec.message"))
+    return heavy.most_frequent(rows.select(text.alias("message")), "message", 2, 64)
+
+
+def sql_routes(spark, sf_dir):
+    """Requests and errors of routes, in SQL alone."""
+    sql.register(spark)
+    access_log(spark, sf_dir).createOrReplaceTempView("tallylog_lines")
+    return spark.sql("""
+        SELECT concat(method, ' ', route(path)) AS route, count(*) AS requests, count_if(status >= 500) AS errors
+        FROM tallylog_lines, LATERAL access_line(value) GROUP BY ALL""")
+
+
+def sql_times(spark, sf_dir):
+    """Times of app and access lines by SQL functions."""
+    sql.register(spark)
+    app_log(spark, sf_dir).createOrReplaceTempView("tallylog_app")
+    access_log(spark, sf_dir).createOrReplaceTempView("tallylog_lines")
+    return spark.sql("""
+        SELECT minute_label(floor(ms / 60000)) AS minute_utc, count(*) AS n FROM (
+          SELECT parse_iso(value).ms AS ms FROM tallylog_app WHERE level_name(level_rank(trim(BOTH '[]<>:' FROM split_part(value, ' ', 3)))) IS NOT NULL
+          UNION ALL SELECT parse_clf(split_part(split_part(value, '[', 2), ']', 1)) FROM tallylog_lines)
+        GROUP BY ALL""")
+
+
+def mixed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with an access log, an application log and a text that is neither, in two files each."""
+    folder = scratch(spark, "mixed")
+    written_files(event_rows(spark, sf_dir, bursts=True).select("id", line_bytes(access_text())), "id", folder, 2, "access")
+    written_files(app_log(spark, sf_dir).select("block", "pos", line_bytes(F.col("value"))), ["block", "pos"], folder, 2, "jobs")
+    written_files(table(spark, sf_dir, "nation").select("n_nationkey", line_bytes(F.col("n_name"))), "n_nationkey", folder, 2, "names")
+    return register(spark).read.format("tallylog").option("path", folder).load()
+
+
+def file_formats(spark, sf_dir):
+    found = parsers.formats(mixed_folder(spark, sf_dir))
+    return found.select(F.regexp_extract("file", "/([^/]+)$", 1).alias("file"), "format")
+
+
+def mixed_reports(spark, sf_dir):
+    """A report on the files of each format of a mixed folder."""
+    parts = parsers.by_format(mixed_folder(spark, sf_dir))
+    reports = [as_rows(spark, summarize(lines, fmt, "ms" if fmt == LogFormat.ACCESS else "s")).withColumn("field", F.concat(F.lit(f"{fmt.value}."), "field")) for fmt, lines in parts.items()]
+    return reports[0].unionByName(reports[1])
+
+
 def capped_errors(spark, sf_dir):
     return counting.capped(counting.error_messages(app(spark, sf_dir, "is_error", "message")), "message", "n", 3)
 
@@ -463,7 +512,7 @@ def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NAMES = (
     "access_parse app_parse detect_format clf_time iso_time utc_format normalize_url normalize_message message_latency level_words "
-    "access_status_classes status_shares access_bytes_total access_route_stats error_routes_top minute_counts minute_span app_levels top_errors capped_errors "
+    "access_status_classes status_shares access_bytes_total access_route_stats error_routes_top minute_counts minute_span app_levels top_errors top_errors_bounded capped_errors sql_routes sql_times file_formats mixed_reports "
     "line_counts access_line_counts unparseable_examples line_numbers latency_buckets latency_quantiles route_quantiles slow_routes_top "
     "traffic_stats error_traffic_stats traffic_spikes error_spikes out_of_order_count out_of_order_examples gap_count gap_examples "
     "summary_report app_summary_report source_lines report_in_two_parts generated_log stream_minutes stream_buckets stream_order stream_silences"
