@@ -10,7 +10,8 @@ then reads any record by its offset.
 
 Streams are inflated and written piece by piece; no file and no payload group is
 held in memory, one record is. Defined results: null html is an empty payload;
-a page with a null id is a response, as its payload may be nowhere else;
+a page with a null id is a response, as its payload may be nowhere else; ids
+of any characters come back as they were;
 equal page ids with equal payloads make equal records; an empty table makes no
 files and an empty result. Only the named columns are read.
 """
@@ -22,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from io import BytesIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,21 +43,30 @@ INDEX = "file string, at long, size long, number long"
 # --- records ----------------------------------------------------------------------------------------
 
 
-def record(kind: str, page_id: str, uri: str | None, payload: bytes, refers_to: str | None, digest: str) -> bytes:
+def page_urn(page_id: str | None, digest: str) -> str:
+    """The name of a page's record: its id with all but letters, digits and ``_.-~`` as %XX; the payload's digest for a null id."""
+    return f"<urn:unnamed:{digest}>" if page_id is None else f"<urn:page:{quote(page_id, safe='')}>"
+
+
+def page_of(urn: str) -> str | None:
+    return unquote(urn.removeprefix("<urn:page:").removesuffix(">")) if urn.startswith("<urn:page:") else None
+
+
+def record(kind: str, page_id: str | None, uri: str | None, payload: bytes, refers_to: str | None, digest: str) -> bytes:
     """One record. A revisit has no payload, but the digest and length of what it repeats."""
     uri = "".join(c for c in uri or "" if c.isprintable() and c != " ") or "about:blank"
     body = payload if kind == "response" else b""
     head = [
         VERSION,
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {page_urn(page_id, digest)}",
         f"WARC-Target-URI: {uri}",
         "Content-Type: text/html; charset=utf-8",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {page_urn(refers_to, digest)}", f"WARC-Profile: {PROFILE}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -242,14 +253,13 @@ def described(whole: bytes, payload: bool) -> dict:
     cut = whole.index(b"\r\n\r\n")
     head = parse_head(whole[:cut])
     body = whole[cut + 4 : cut + 4 + int(head["content-length"])]
-    name = lambda x: x.removeprefix("<urn:page:").removesuffix(">")
     response = head["warc-type"] == "response"
     digest = hashlib.sha1(body).hexdigest()
     stated = head["warc-payload-digest"].removeprefix("sha1:")
     if response and digest != stated:
         raise ValueError(f"record {head['warc-record-id']}: the payload does not match its digest")
-    page, refers = name(head["warc-record-id"]), name(head["warc-refers-to"]) if "warc-refers-to" in head else None
-    found = {"page_id": None if page == "None" else page, "record_type": head["warc-type"], "refers_to": refers}
+    page, refers = page_of(head["warc-record-id"]), page_of(head["warc-refers-to"]) if "warc-refers-to" in head else None
+    found = {"page_id": page, "record_type": head["warc-type"], "refers_to": refers}
     found |= {"payload_bytes": len(body) if response else int(head["x-payload-length"]), "payload_digest": stated}
     return found | ({"payload": body} if payload else {})
 
