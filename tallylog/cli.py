@@ -18,6 +18,7 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--top", type=int, default=5, help="entries per list")
     p.add_argument("-j", "--threads", type=int, default=0, help="local threads; 0: all processors")
     p.add_argument("--block-mib", type=int, default=128, help="size of an input split")
+    p.add_argument("--store", help="folder that keeps what was found; the report is on all that was ever added to it, and only what is new in FILE is read")
     p.add_argument("--json", action="store_true", help="print JSON")
     p.add_argument("-V", "--version", action="version", version=f"tallylog {__version__}")
     return p
@@ -25,34 +26,39 @@ def arguments() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = arguments().parse_args(argv)
-    spooled_to = None
     try:
         if not 0 < args.gap < float("inf"):
             raise ValueError("--gap must be a positive number of seconds")
         path = args.file
-        if path == "-":
-            from .sources.lines import spooled
-
-            path = spooled_to = spooled(sys.stdin.buffer)
-        elif "://" not in path and not any(c in path for c in "*?[{") and not os.path.exists(path):
+        if path != "-" and "://" not in path and not any(c in path for c in "*?[{") and not os.path.exists(path):
             raise ValueError(f"{path}: no such file")
         print(report(path, args), end="")
         return 0
     except Exception as e:
         print(f"tallylog: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
         return 2
-    finally:
-        if spooled_to:
-            os.unlink(spooled_to)
 
 
 def report(path: str, args: argparse.Namespace) -> str:
+    from .plans import store
     from .plans.render import to_json, to_text
     from .plans.report import summarize_path
+    from .sources.lines import spooled
+    from .sources.scratch import dropped, scratch
 
-    spark = session(args)
-    found = summarize_path(spark, path, fmt=args.format, latency_unit=args.latency_unit, gap_seconds=args.gap, top=args.top)
-    return to_json(found) + "\n" if args.json else to_text(found, args.gap)
+    spark, folder = session(args), None
+    try:
+        if path == "-":
+            path = folder = spooled(sys.stdin.buffer, scratch(spark, "stdin"), max(1, args.block_mib) << 20)
+        if args.store:
+            store.add(spark, args.store, os.path.abspath(path) if "://" not in path else path, args.format, args.latency_unit, args.gap, max(1, args.block_mib) << 20)
+            found = store.report(spark, args.store, args.top)
+        else:
+            found = summarize_path(spark, path, fmt=args.format, latency_unit=args.latency_unit, gap_seconds=args.gap, top=args.top)
+        return to_json(found) + "\n" if args.json else to_text(found, args.gap)
+    finally:
+        if folder:
+            dropped(spark, folder)
 
 
 def session(args: argparse.Namespace):

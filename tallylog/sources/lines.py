@@ -6,7 +6,6 @@ the whole input follow from the number of lines in each block.
 
 from __future__ import annotations
 
-import tempfile
 from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.words import is_blank
 from ..operators.folding import before
+from .scratch import opened
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -48,12 +48,23 @@ def lines_from(df: DataFrame, value: str | Column, order: str, block_rows: int =
     return numbered.select(line.alias("value"), F.lit("").alias("file"), F.col("_block").alias("block"), F.col("_pos").alias("pos"))
 
 
-def spooled(stream: BinaryIO) -> str:
-    """Copies a stream to a temporary file, for sources that Spark can't read; local runs only."""
-    with tempfile.NamedTemporaryFile(prefix="tallylog-", suffix=".log", delete=False) as out:
-        while part := stream.read(1 << 20):
-            out.write(part)
-        return out.name
+def spooled(stream: BinaryIO, folder: str, block_bytes: int) -> str:
+    """Writes a stream to files of whole lines and about ``block_bytes`` in a shared folder, which all executors can read; returns the folder."""
+    disk, local = opened(folder)
+    disk.create_dir(local, recursive=True)
+    block = 0
+    while part := stream.read(min(block_bytes, 1 << 20)):
+        with disk.open_output_stream(f"{local}/block-{block:010}.log") as out:
+            n = 0
+            while part:
+                out.write(part)
+                n += len(part)
+                if n >= block_bytes:
+                    out.write(stream.readline())
+                    break
+                part = stream.read(min(block_bytes - n, 1 << 20))
+        block += 1
+    return folder
 
 
 def numbered(lines: DataFrame) -> DataFrame:
