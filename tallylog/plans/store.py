@@ -19,7 +19,7 @@ from ..operators import folding, parsers
 from ..operators.parsers import LogFormat
 from ..sources import reader
 from ..sources.scratch import dropped
-from .report import COMPILED, SMALL, assembled
+from .report import COMPILED, report_of
 
 #: ``whole``: the part holds all that parts before it do.
 LEDGER = "part long, whole boolean, file string, start long, stop long, format string, unit string, gap_ms long"
@@ -94,11 +94,7 @@ def report(spark: SparkSession, store: str, top: int = 5) -> dict:
     if kind is None:
         raise ValueError("the store is empty")
     with parsers.settings(spark, COMPILED):
-        whole = facts(spark, store).persist()
-        try:
-            return assembled(whole.coalesce(1) if whole.count() <= SMALL else whole, LogFormat(kind.format), kind.gap_ms, max(1, top))
-        finally:
-            whole.unpersist()
+        return report_of(facts(spark, store), LogFormat(kind.format), kind.gap_ms, max(1, top))
 
 
 def compact(spark: SparkSession, store: str) -> None:
