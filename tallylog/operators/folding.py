@@ -87,7 +87,7 @@ class Block:
 
 def folded(lines: DataFrame, fmt: LogFormat, scale: float = 1.0, gap_ms: int = 300_000, in_order: bool = False) -> DataFrame:
     """FACTS of ``lines``: one row for each block, key and number, and the first findings."""
-    order = ordered(lines, fmt, gap_ms, in_order)
+    order = ordered(lines, fmt, gap_ms, in_order).hint("rebalance")  # a row or so from each of many tasks
     return tallies(lines, fmt, scale).unionByName(order, allowMissingColumns=True).select(*[F.col(c).cast(kind).alias(c) for c, kind in FACTS.items()])
 
 

@@ -452,7 +452,7 @@ def log_stream(spark: SparkSession, folder: str) -> DataFrame:
     return register(spark).readStream.format("tallylog").option("path", folder).load()
 
 
-#: A line long after all others: it ends the last minutes of a stream.
+#: A line long after all others: it moves event time on to the end of a stream.
 END = '- - - [01/Jan/2100:00:00:00 +0000] "GET / -" 200 -'
 
 
@@ -461,7 +461,7 @@ def stream_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir).withColumn("at", F.unix_millis("ts"))
     folder, out, checkpoint = scratch(spark, "log"), scratch(spark, "minutes"), scratch(spark, "checkpoint")
     counts = lambda: minutes.stream_minute_counts(log_stream(spark, folder), LogFormat.ACCESS, "1 minute")
-    for k, part in enumerate([*parts_of(rows, "at", 3), None]):
+    for k, part in enumerate([*parts_of(rows, "at", 3), None, None]):  # minutes end in the batch after the one that moves event time on
         lines = spark.range(1).select(F.lit(0).alias("at"), line_bytes(F.lit(END))) if part is None else part.select("at", line_bytes(access_text()))
         written_files(lines, "at", folder, 1 if part is None else 2, f"step-{k}")
         sink.run(counts(), sink.appended(out), checkpoint, "append")
