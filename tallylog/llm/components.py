@@ -1,7 +1,8 @@
 """Connected components over a table of links, by alternating large and small stars.
 
-Each round is two joins and two aggregations; no step needs all links of a node in
-one task, and nothing but a count comes to the driver.
+Each round is two joins and two aggregations, and nothing but a count comes to the
+driver. Aggregations combine the links of a node before the shuffle; the joins bring
+them to one partition, which adaptive execution splits where a node has very many.
 """
 
 from __future__ import annotations

@@ -146,9 +146,10 @@ def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     shifted = tiles.select("g", "s", F.col("fps").alias("a"), "p", near).withColumn("q", F.expr("zip_with(p, d, (x, y) -> x + y)"))
     inside = shifted.filter(f"forall(q, x -> x BETWEEN 0 AND {PART_BITS})").select("g", "s", "a", number(F.col("q")).cast("int").alias("h"))
     # Each pair of tiles is a key of its own, so that the many tiles of one group don't meet in one task.
-    there = F.broadcast(sizes.select(F.col("g").alias("h"), F.sequence(F.lit(0).cast("long"), F.col("cuts").cast("long") - 1).alias("ts")))
+    there = F.broadcast(sizes.select(F.col("g").alias("h"), "cuts"))
     other = tiles.select(F.col("g").alias("h"), F.col("s").alias("t"), F.col("fps").alias("b"))
-    pairs = inside.join(there, "h").select("g", "s", "a", "h", F.explode("ts").alias("t")).filter("g <> h OR s <= t").join(other, ["h", "t"])
+    each = F.explode(F.expr("sequence(0L, cast(cuts AS LONG) - 1)")).alias("t")
+    pairs = inside.join(there, "h").select("g", "s", "a", "h", each).filter("g <> h OR s <= t").join(other, ["h", "t"])
     return pairs.select("a", "b", F.expr("g = h AND s = t").alias("same")).mapInArrow(trimmed(lambda batches: compared(batches, radius)), "u long, v long")
 
 
