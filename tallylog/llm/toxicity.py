@@ -16,8 +16,9 @@ the score.
 Fitting takes a bounded sample: the first ``TOXIC`` toxic and ``CLEAN`` clean
 labelled training rows in hash order, whole texts. Scores cover all rows and whole
 texts; labels, language, source and id are no part of them. Defined results: null
-and empty texts have no matches; null ids are not held out; without labels of both
-kinds the score is 0 for all; an empty table gives an empty result. Only the named
+and empty texts have no matches; null ids are not held out; an id labelled both ways
+is toxic, and of an id's texts the smallest is learned from, each once; without labels
+of both kinds the score is 0 for all; an empty table gives an empty result. Only the named
 columns are read.
 """
 
@@ -34,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_ALNUM, slices, written
+from .shared import WORD_ALNUM, dropped, slices, written
 
 TOXIC, CLEAN = 2000, 6000
 #: Lengths of beginnings (longer words are terms as a whole), significance (log10) that a term needs.
@@ -253,13 +254,15 @@ def terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> Lexicon
 
 
 def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    marked = labels.filter(~F.coalesce(held_out, F.lit(False))).select(labels[id_col].alias("marked"), labels[label_col].alias("mark")).filter("mark IN (0, 1)").distinct()
+    marked = labels.filter(~F.coalesce(held_out, F.lit(False))).select(labels[id_col].alias("marked"), labels[label_col].alias("mark")).filter("mark IN (0, 1)")
+    marked = marked.groupBy("marked").agg(F.max("mark").alias("mark"))
     first = lambda k, n: marked.filter(f"mark = {k}").orderBy(F.xxhash64("marked"), "marked").limit(n)
     chosen = F.broadcast(first(1, TOXIC).unionByName(first(0, CLEAN)))  # at most TOXIC + CLEAN rows of two numbers
     own = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    sample = written(own.join(chosen, own.id == chosen.marked).select("mark", "text"), "toxic-sample")
+    sample = written(own.join(chosen, own.id == chosen.marked).groupBy("id", "mark").agg(F.min("text").alias("text")).select("mark", "text"), "toxic-sample")
     number = {r.mark: r["count"] for r in sample.groupBy("mark").count().collect()}
     if len(number) < 2:
+        dropped(sample)
         return Model(Lexicon([], []), None)
     word = F.regexp_extract_all(F.lower("text"), F.lit(WORD_ALNUM), F.lit(0))
     starts = F.expr(f"flatten(transform(words, w -> concat(array(concat(w, ' ')), CASE WHEN length(w) > {SHORTEST} THEN transform(sequence({SHORTEST}, least({LONGEST}, length(w) - 1)), k -> substring(w, 1, k)) ELSE array() END)))")
@@ -276,6 +279,7 @@ def fitted(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "
 
     # No more rows than the sample has.
     rows = sample.select(F.col("mark").cast("long"), "text").mapInArrow(run, "mark long, kinds array<long>, weights array<double>, pieces array<string>").collect()
+    dropped(sample)
     clean = {p for r in rows if not r.mark for k, p in zip(r.kinds, r.pieces, strict=True) if k == WRONGLY}
     lexicon.ignored = frozenset(clean)
     x = np.array([summed([h for h in zip(r.kinds, r.weights, r.pieces, strict=True) if h[0] != WRONGLY or h[2] not in clean]) for r in rows])

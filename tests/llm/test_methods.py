@@ -177,6 +177,20 @@ def test_misspelled_stems(spark):
     assert len(got) == 407 and dict(got) == {k: int(k % 4 == 0) for k, _ in rows} | {900: 1, 901: 1, 902: 0, 903: 0, 904: 0, 905: 0}
 
 
+def test_labels_given_twice_or_both_ways(spark):
+    """Repeated labels and documents count once; who is labelled both ways is toxic; null ids and extra columns of labels don't matter."""
+    draw = random.Random(6)
+    clean = lambda: " ".join(draw.choice("river table garden yellow window carry".split()) for _ in range(25))
+    rows = [(k, clean() + " grumbler" * (k % 4 == 0)) for k in range(200)]
+    docs = spark.createDataFrame([*rows, *rows[:4] * 50, (None, None)], "doc_id long, text string")
+    marks = [(k, int(k % 4 == 0), "t", 1.0) for k, _ in rows]
+    labels = spark.createDataFrame([*marks, *marks[:50], *((k, 0, "u", 0.0) for k in range(0, 200, 4)), (None, 1, None, None), (7, None, None, None), (8, 9, None, None)], "doc_id long, toxic int, text string, score double")
+    got = toxicity.toxicity(docs, labels, lambda c: c < 0).collect()
+    assert len(got) == 401 and {(r.doc_id, r.predicted) for r in got} == {(k, int(k % 4 == 0)) for k, _ in rows} | {(None, 0)}
+    again = toxicity.toxicity(docs.repartition(7), spark.createDataFrame(marks, labels.schema), lambda c: c < 0).collect()
+    assert {(r.doc_id, round(r.score, 9)) for r in again} == {(r.doc_id, round(r.score, 9)) for r in got}
+
+
 # --- 7: lines -----------------------------------------------------------------------------------
 
 
