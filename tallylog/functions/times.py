@@ -92,9 +92,14 @@ def with_iso(df: DataFrame, text: str, ms: str, used: str) -> DataFrame:
     return step.withColumn(used, F.when(F.col(ms).isNotNull(), F.length("_extra") + 19)).drop("_extra")
 
 
+def _dated(at: Column, rest: str) -> Column:
+    """The year in four characters or as many as it takes, a sign only if it is negative, and the rest by a pattern, which would put a plus before years beyond 9999."""
+    return F.concat(F.format_string("%04d", F.year(at)), F.date_format(at, rest))
+
+
 def utc_text(ms: Column) -> Column:
     """``2023-10-10 13:55:36``; the session's time zone must be UTC."""
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd HH:mm:ss")
+    return _dated(F.timestamp_millis(ms), "-MM-dd HH:mm:ss")
 
 
 def minute_of(ms: Column) -> Column:
@@ -102,4 +107,4 @@ def minute_of(ms: Column) -> Column:
 
 
 def minute_label(minute: Column) -> Column:
-    return F.date_format(F.timestamp_millis(minute * 60_000), "yyyy-MM-dd HH:mm")
+    return _dated(F.timestamp_millis(minute * 60_000), "-MM-dd HH:mm")

@@ -54,6 +54,12 @@ def test_labels_before_the_epoch(spark):
     assert tuple(row) == ("1969-12-31 23:59:59", -1, "1969-12-31 23:59")
 
 
+def test_labels_of_years_beyond_four_digits(spark):
+    found = [(253_402_300_799_000, "9999-12-31 23:59:59"), (253_402_300_800_000, "10000-01-01 00:00:00"), (777_000_000_000_000, "26592-02-24 13:20:00"), (-62_167_219_201_000, "-001-12-31 23:59:59"), (None, None)]
+    rows = spark.createDataFrame([(ms,) for ms, _ in found], "ms long").select(times.utc_text(F.col("ms")), times.minute_label(times.minute_of(F.col("ms")))).collect()
+    assert [tuple(r) for r in rows] == [(text, text and text[:-3]) for _, text in found]
+
+
 ROUTES = [
         ("/wiki/Tea", "/wiki/Tea"),
         ("/wiki/7/rev/0099", "/wiki/:id/rev/:id"),
