@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.words import is_blank
 from ..operators.folding import before
-from .scratch import opened
+from .scratch import kept, opened
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -68,7 +68,10 @@ def spooled(stream: BinaryIO, folder: str, block_bytes: int) -> str:
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Adds ``line_no``, 1 for the first line of the first file: lines before its range of blocks, its block and itself."""
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("pos").alias("first_pos"))
+    """Adds ``line_no``, 1 for the first line of the first file: lines before its range of blocks, its block and itself.
+
+    Lines are read twice: once to count those of each block, of which a table is kept, and once to be numbered.
+    """
+    blocks = kept(lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("pos").alias("first_pos")), "blocks")
     offsets = before(blocks, {"offset": ("sum", "lines")}).select("file", "block", (F.col("offset") - F.col("first_pos") + 1).alias("offset"))
     return lines.join(offsets, ["file", "block"]).withColumn("line_no", F.col("offset") + F.col("pos")).drop("offset")

@@ -1,7 +1,7 @@
 """Log files as a data source of Spark: ``spark.read.format("tallylog")`` and ``readStream``, once ``register`` was called.
 
-Rows are those of ``read_lines``: value, file, block, pos. A block is a range of bytes and a partition;
-a line belongs to the block in which it begins. Lines end at line feeds; carriage returns before them
+Rows are those of ``read_lines``: value, file, block, pos. A block is a range of bytes; a line belongs to the
+block in which it begins. A partition is a block, or small ones that follow each other. Lines end at line feeds; carriage returns before them
 go, bad UTF-8 becomes U+FFFD.
 
 Options: ``path`` (a file, a folder or a pattern of file names; hidden files don't count), ``blockBytes``,
@@ -17,6 +17,7 @@ from __future__ import annotations
 import fnmatch
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from .scratch import opened
 
-#: Bytes read at once, and of a block unless an option says otherwise.
-PIECE, BLOCK = 4 << 20, 64 << 20
+#: Bytes read at once, and of a block unless an option says otherwise; bytes up to which small blocks share a partition.
+PIECE, BLOCK, TASK = 4 << 20, 64 << 20, 8 << 20
 SCHEMA = "value string, file string, block long, pos long"
 COLUMNS = pa.schema([("value", pa.string()), ("file", pa.string()), ("block", pa.int64()), ("pos", pa.int64())])
 
@@ -39,6 +40,13 @@ class Range(InputPartition):
         self.file, self.start, self.stop, self.end = file, start, stop, end
 
 
+class Ranges(InputPartition):
+    """Ranges that are read one after the other."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
 def files_at(path: str) -> dict[str, int]:
     """Sizes of the files at ``path``, by URI, in order of their names."""
     from pyarrow import fs
@@ -76,6 +84,19 @@ def ranges(file: str, start: int, end: int, each: int) -> list[Range]:
     return [Range(file, at, min(at + each, end), end) for at in range(start, end, each)]
 
 
+def dealt(parts: list[Range]) -> list[Ranges]:
+    """Partitions of ranges in their order: as many small ranges together as make TASK bytes, so that there are no more tasks than the bytes ask for."""
+    out, size = [], TASK
+    for part in parts:
+        own = part.stop - part.start
+        if size + own > TASK:
+            out.append(Ranges([]))
+            size = 0
+        out[-1].ranges.append(part)
+        size += own
+    return out
+
+
 def lines_of(part: Range) -> Iterator[pa.RecordBatch]:
     disk, local = opened(part.file)
     with disk.open_input_file(local) as source:
@@ -83,7 +104,8 @@ def lines_of(part: Range) -> Iterator[pa.RecordBatch]:
         source.seek(at)
         held, count, skip = b"", 0, part.start > 0
         while True:
-            piece = source.read(min(PIECE, part.end - at - len(held)))
+            wanted = max(part.stop - at - len(held), len(held), 4096)  # no more than the range, then as much again for its last line
+            piece = source.read(min(PIECE, wanted, part.end - at - len(held)))
             held += piece
             if skip:
                 first = held.find(b"\n")
@@ -127,15 +149,15 @@ class LogReader(DataSourceReader):
         self.path, self.each = options["path"], int(options.get("blockBytes", BLOCK))
         self.start, self.keep = json.loads(options.get("from", "{}")), options.get("unfinished", "keep") == "keep"
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         out = []
         for file, size in files_at(self.path).items():
             begin = self.start.get(file, 0)
             out += ranges(file, begin, size if self.keep else whole_lines(file, begin, size), self.each)
-        return out
+        return dealt(out)
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
-        return lines_of(partition) if partition else iter(())
+    def read(self, partition: Ranges | None) -> Iterator[pa.RecordBatch]:
+        return chain.from_iterable(map(lines_of, partition.ranges)) if partition else iter(())
 
 
 class LogStreamReader(DataSourceStreamReader):
@@ -148,11 +170,11 @@ class LogStreamReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {file: whole_lines(file, 0, size) for file, size in files_at(self.path).items()}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [r for file, stop in end.items() for r in ranges(file, start.get(file, 0), stop, self.each)]
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
+        return dealt([r for file, stop in end.items() for r in ranges(file, start.get(file, 0), stop, self.each)])
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return lines_of(partition)
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        return chain.from_iterable(map(lines_of, partition.ranges))
 
 
 class LogSource(DataSource):

@@ -100,6 +100,27 @@ def test_source_equals_text_reader(spark, log):
         spark.read.format("tallylog").option("path", str(log / "gone")).load().count()
 
 
+def test_small_blocks_share_partitions(log, monkeypatch):
+    (log / "a.log").write_bytes(b"".join(HARD) * 20)
+    (log / "b.log").write_bytes(b"x\n" * 900)
+    monkeypatch.setattr(reader, "TASK", 2000)
+    source = reader.LogReader({"path": str(log), "blockBytes": "100"})
+    parts = source.partitions()
+    size = sum(f.stat().st_size for f in log.iterdir())
+    assert len(parts) <= size // 1900 + 2 and all(sum(r.stop - r.start for r in p.ranges) <= 2000 for p in parts)
+    got = [(b.column(2)[0].as_py(), v) for p in parts for b in source.read(p) for v in b.column(0).to_pylist()]
+    assert [v for _, v in got] == ["a", "", "", "x\ry", "\ufffd\ufffd(\ufffd(", "é😀\u2028z", "long" * 300, " no enda"] + (["", "", "x\ry", "\ufffd\ufffd(\ufffd(", "é😀\u2028z", "long" * 300, " no enda"] * 19)[:-1] + [" no end"] + ["x"] * 900
+    assert len({b for b, _ in got}) > 20 and all(b % 100 == 0 for b, _ in got)
+    assert len(source.__class__({"path": str(log)}).partitions()) > 1  # large blocks are partitions of their own
+
+
+def test_numbered_reads_lines_twice(spark, log):
+    (log / "a.log").write_bytes(b"x\n" * 50)
+    found = numbered(spark.read.format("tallylog").option("path", str(log)).option("blockBytes", 10).load())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("tallylog") == 1  # the other reading has been written as a table
+    assert sorted(r.line_no for r in found.collect()) == list(range(1, 51))
+
+
 def test_store(spark, log, tmp_path):
     kept, text = str(tmp_path / "store"), [r.value for r in generator.access_lines(spark, 4000, partitions=2).orderBy("id").collect()]
     with pytest.raises(ValueError, match="empty"):
