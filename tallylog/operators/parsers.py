@@ -196,6 +196,6 @@ def formats(lines: DataFrame, most: int = 50) -> DataFrame:
 
 def by_format(lines: DataFrame) -> dict[LogFormat, DataFrame]:
     """The lines of each format's files; files in no known format are in neither. Lines keep the order in which they are read."""
-    known = formats(lines).filter("format IS NOT NULL")
-    # A row for each file, which the driver lists anyway; beyond that size Spark joins by other means, and lines are no more in order.
-    return {fmt: lines.join(known.filter(F.col("format") == fmt.value).select("file"), "file", "left_semi").select("value", "file", "block", "pos") for fmt in LogFormat}
+    spark, known = lines.sparkSession, formats(lines).collect()  # a row for each file, which the driver lists anyway
+    files = {fmt: spark.createDataFrame([(r.file,) for r in known if r.format == fmt.value], "file string") for fmt in LogFormat}
+    return {fmt: lines.join(F.broadcast(own), "file", "left_semi").select("value", "file", "block", "pos") for fmt, own in files.items()}
