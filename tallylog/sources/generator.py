@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,28 +56,29 @@ def access_lines(spark: SparkSession, n: int, seed: int = 5, start: int = 1_751_
     return access_lines_of(spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism), seed, start)
 
 
-def access_lines_of(rows: DataFrame, seed: int = 5, start: int = 1_751_500_000) -> DataFrame:
-    """A line (id, value) for each of ``rows``, by its whole number ``id``."""
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """``template`` with values for the names in braces."""
+    parts = re.split(r"\{(\w)\}", template)
+    return F.concat(*[values[part] if k % 2 else F.lit(part) for k, part in enumerate(parts)])
+
+
+def access_lines_of(rows: DataFrame, seed: int = 5, start: int = 1_751_500_000, others: Sequence[str] = ()) -> DataFrame:
+    """A line (id, value) for each of ``rows``, by its whole number ``id``; ``others`` are columns that stay."""
     number, small = drawn(seed, 1, 900_000) + 1000, drawn(seed, 2, 40)
-    kinds = [(F.struct(F.lit(m).alias("m"), F.lit(p).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b")), w) for m, p, w, a, b in ROUTES]
-    row = one_of(kinds, drawn(seed, 3, sum(w for *_, w, _, _ in ROUTES)))
+    text = lambda c: c.cast("string")
+    values = {"n": text(F.col("n")), "k": text(F.col("k")), "u": F.format_string("%08x-%04x", F.col("n") * 4001, "k")}
+    kinds = [(F.struct(F.lit(m).alias("m"), filled(p, values).alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b")), w) for m, p, w, a, b in ROUTES]
     status = one_of([*((F.lit(s), w) for s, w in STATUSES), (F.lit(200), 1000 - sum(w for _, w in STATUSES))], drawn(seed, 4, 1000))
-    rows = rows.select("id", row.alias("r"), number.alias("n"), small.alias("k"), status.alias("status"), ((drawn(seed, 5, 1_000_000) + 1) / 1_000_001).alias("u"))
-    path = F.replace(F.replace(F.replace("r.p", F.lit("{n}"), F.col("n").cast("string")), F.lit("{k}"), F.col("k").cast("string")), F.lit("{u}"), F.format_string("%08x-%04x", F.col("n") * 4001, "k"))
-    took = F.col("r.a") * F.pow(-F.log("u"), 1 / F.col("r.b"))
-    line = F.format_string(
-        '203.0.113.%d - - [%s +0000] "%s %s HTTP/2.0" %d %d "-" "probe/%d" %s%.4f',
-        F.col("n") % 250 + 1,
-        F.date_format(F.timestamp_millis(F.lit(start * 1000) + clock(F.col("id"))), "dd/MMM/yyyy:HH:mm:ss"),
-        "r.m",
-        path,
-        "status",
-        F.col("n") % 61_000 + 90,
-        F.col("k"),
-        F.when(F.col("k") < 8, "rt=").otherwise(""),
-        took,
-    )
-    return rows.select("id", F.when(F.col("id") % BROKEN == BROKEN - 1, F.format_string("upstream closed after %d bytes", "n")).otherwise(line).alias("value"))
+    route = drawn(seed, 3, sum(w for *_, w, _, _ in ROUTES))
+    rows = rows.select("id", *others, route.alias("route"), number.alias("n"), small.alias("k"), status.alias("status"), ((drawn(seed, 5, 1_000_000) + 1) / 1_000_001).alias("u"))
+    rows = rows.withColumn("r", one_of(kinds, F.col("route")))
+    took = (F.col("r.a") * F.pow(-F.log("u"), 1 / F.col("r.b"))).cast("decimal(20,4)")
+    at = F.date_format(F.timestamp_millis(F.lit(start * 1000) + clock(F.col("id"))), "dd/MMM/yyyy:HH:mm:ss")
+    line = F.concat(
+        F.lit("203.0.113."), text(F.col("n") % 250 + 1), F.lit(" - - ["), at, F.lit(' +0000] "'), "r.m", F.lit(" "), "r.p", F.lit(' HTTP/2.0" '), text(F.col("status")), F.lit(" "), text(F.col("n") % 61_000 + 90),
+        F.lit(' "-" "probe/'), text(F.col("k")), F.when(F.col("k") < 8, '" rt=').otherwise('" '), text(took),
+    )
+    return rows.select("id", *others, F.when(F.col("id") % BROKEN == BROKEN - 1, F.format_string("upstream closed after %d bytes", "n")).otherwise(line).alias("value"))
 
 
 #: Of an application log: level word, weight, message.

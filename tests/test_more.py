@@ -7,10 +7,11 @@ import sys
 from collections import Counter
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallylog import cli
+from tallylog import cli, oracles, queries
 from tallylog.functions import sql, times, words
 from tallylog.operators import heavy, parsers
 from tallylog.operators.parsers import LogFormat
@@ -69,6 +70,35 @@ def test_formats_of_files(spark, tmp_path):
     assert summarize_path(spark, str(tmp_path / "a.log"))["format"] == "access"
 
 
+def test_lines_of_a_format_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.log").write_text('h [07/Mar/2031:04:05:06] "GET / X" 200 1\n' * 9)
+    (tmp_path / "b.log").write_text("junk\n")
+    with parsers.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):  # as if the lines were many
+        parts = parsers.by_format(read_lines(spark, str(tmp_path)))
+        plan = parts[LogFormat.ACCESS]._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert {fmt: df.count() for fmt, df in parts.items()} == {LogFormat.ACCESS: 9, LogFormat.APP: 0}
+
+
+def test_files_grow_in_number_not_in_size(spark, tmp_path):
+    rows = spark.range(1000).select("id", F.encode(F.format_string("%d\n", "id"), "UTF-8").alias("line"))
+    written = lambda name, **more: sorted(queries.written_files(rows, "id", str(tmp_path / name), 2, **more) and (tmp_path / name).iterdir())
+    few, many = written("few"), written("many", most=100)
+    assert len(few) == 2 and 8 <= len(many) <= 10
+    assert "".join(f.read_text() for f in few) == "".join(f.read_text() for f in many) == "".join(f"{k}\n" for k in range(1000))
+
+
+def test_generated_log_is_made_once(spark, tmp_path, monkeypatch):
+    keys = [*range(490, 520), 505, 2499, 2500, 2500, 14_999, 15_000, 15_001, 60_000]  # doubles, borders of blocks and cycles
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(queries, "ORDERS_OF_A_TASK", 7)
+    found = queries.generated_log(spark, str(tmp_path))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        assert [tuple(r) for r in found.collect()] == c.execute(oracles.ORACLES["generated_log"]).fetchall()
+
+
 class Dribble(io.BytesIO):
     def read(self, n=-1):
         return super().read(min(n, 7))
