@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -178,17 +179,28 @@ WIDE_TWO, WIDE = 49, 84
 #: Texts to a tile, and rows of it compared at once.
 WIDE_TILE, STRIPE = 8192, 256
 CELLS = 1 << 16
-#: Bits of the parity bitmap of a shingle set. Each shingle that only one of two sets has changes one bit, so bitmaps rule pairs out without loss.
+#: Bits of the parity bitmap of a shingle set, as a power of two: at least these, else twice the size of the set or more, so that those of long
+#: texts tell them apart too. Each shingle that only one of two sets has changes one bit, so bitmaps rule pairs out without loss.
 PARITY_BITS = 8
 #: Pairs whose bitmaps are compared at once.
 CHECKED = 1 << 14
+#: Longs of bitmaps taken together at once.
+GATHERED = 1 << 18
 #: Rounds in which each text is compared with the nearest one that it isn't connected to yet.
 ROUNDS = 3
 
 
 def parities(each: np.ndarray) -> bytes:
-    """Whether an odd number of the hashes begins with each of the values of PARITY_BITS bits."""
-    return np.packbits(np.bincount((each >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS).astype(np.uint8) & 1).tobytes()
+    """Whether an odd number of the hashes ends with each of the values of their last bits."""
+    cells = 1 << max(PARITY_BITS, (2 * len(each) - 1).bit_length())
+    return np.packbits((np.bincount((each & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bitmaps: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, longs: int) -> np.ndarray:
+    """The bitmaps of ``rows``, which have one length, as ``longs`` numbers each: parities of fewer last bits are sums of those of more."""
+    flat, starts, sizes = bitmaps
+    size = int(sizes[rows[0]])
+    return np.bitwise_xor.reduce(flat[starts[rows][:, None] + np.arange(size)].reshape(len(rows), size // longs, longs), axis=1)
 
 
 def remixed(each: np.ndarray, k: int) -> np.ndarray:
@@ -262,11 +274,13 @@ def tile_of(file: str, at: int, size: int) -> dict[str, np.ndarray]:
     return {f: values(table[f].combine_chunks()) for f in table.column_names}
 
 
-def values(column: pa.Array) -> np.ndarray:
+def values(column: pa.Array) -> np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers; of bitmaps all longs, and where each begins and how many it has."""
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0)
     if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, (1 << PARITY_BITS) // 64)
+        sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64), np.cumsum(sizes) - sizes, sizes
     return column.to_numpy(zero_copy_only=False)
 
 
@@ -318,7 +332,14 @@ def possible(a: dict[str, np.ndarray], b: dict[str, np.ndarray], i: np.ndarray,
     """Whether all four prints of rows ``i`` of ``a`` and ``j`` of ``b`` are near and their bitmaps leave room for the similarity."""
     ok = sum(distance(a[f][i], b[f][j]).astype(np.int64) for f in ("fp", "second", "third", "fourth")) <= WIDE
     i, j = i[ok], j[ok]
-    unshared = np.bitwise_count(a["parity"][i] ^ b["parity"][j]).sum(axis=1, dtype=np.int64)
+    sizes, unshared = np.stack((a["parity"][2][i], b["parity"][2][j])), np.zeros(len(i), np.int64)
+    for x, y in np.unique(sizes, axis=1).T if len(i) else ():
+        alike = np.flatnonzero((sizes[0] == x) & (sizes[1] == y))
+        step = max(1, GATHERED // int(max(x, y)))
+        for k in range(0, len(alike), step):
+            here = alike[k : k + step]
+            bits = folded(a["parity"], i[here], min(x, y)) ^ folded(b["parity"], j[here], min(x, y))
+            unshared[here] = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     ok[ok] = unshared * (1 + similarity) <= (a["n"][i] + b["n"][j]) * (1 - similarity) + 1e-6
     return ok
 
@@ -382,7 +403,8 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     places = nodes.select("node", "first_id")
     links, label = None, nodes.select("node", F.col("node").alias("root"))
     for k in range(ROUNDS + 1):
-        labelled = written(nodes.drop("first_id").join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "near-labelled")
+        used = nodes.drop("first_id") if k == ROUNDS else nodes.drop("first_id", "third", "fourth", "parity")
+        labelled = written(used.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "near-labelled")
         found, tiles = candidates(labelled, k < ROUNDS, similarity)
         pairs = written(found, "near-pairs")
         drop_path(docs.sparkSession, tiles)

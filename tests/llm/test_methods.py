@@ -9,6 +9,7 @@ from io import BytesIO
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -347,3 +348,28 @@ def test_pipeline_stages_by_brute_force(spark):
     found = stages[4](spark, mixed, SMALL).collect()
     lens = Counter((r.doc_id, len(plain.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in mixed.collect())
     assert Counter((r.doc_id, r.n_tokens) for r in found) == lens and sorted(r.start for r in found)[0] == 0
+
+
+# --- pipeline: near copies ----------------------------------------------------------------------
+
+
+def test_bitmaps_of_long_texts_rule_pairs_out():
+    """Sets of any two sizes: no pair that is similar is ruled out, and long ones that share half are."""
+    draw = np.random.default_rng(3)
+    sets, similar = [], set()
+    for n in (0, 1, 5, 90, 700, 2300, 9000):
+        base = draw.integers(0, 1 << 64, n, np.uint64)
+        fresh = draw.integers(0, 1 << 64, n, np.uint64)
+        sets += [np.unique(x) for x in (base, base[: n - n // 5], np.concatenate((base[: n - n // 10], fresh[: n // 10])), np.concatenate((base[: n // 2], fresh[n // 2 :])))]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            if both * 9 >= 4 * (len(x) + len(y)):
+                similar.add((i, j))
+    side = {f: np.zeros(len(sets), np.int64) for f in ("fp", "second", "third", "fourth")} | {"n": np.array([len(x) for x in sets]), "parity": simhash.values(pa.array([simhash.parities(x) for x in sets]))}
+    i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    ok = simhash.possible(side, side, i, j, 0.8)
+    found = {(int(a), int(b)) for a, b in zip(i[ok], j[ok], strict=True)}
+    assert similar <= found
+    halves = [(k, k + 3) for k in range(12, len(sets), 4)]
+    assert all(len(sets[a]) >= 90 for a, _ in halves) and not found & set(halves)
