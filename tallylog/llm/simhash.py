@@ -178,7 +178,8 @@ NEAR, NEAR_SECOND = 14, 18
 WIDE_TWO, WIDE = 49, 84
 #: Texts to a tile, and rows of it compared at once.
 WIDE_TILE, STRIPE = 8192, 256
-CELLS = 1 << 16
+#: Longs of the filter that picks texts, at least and at most; 8 MB.
+CELLS, MOST_CELLS = 1 << 16, 1 << 20
 #: Bits of the parity bitmap of a shingle set, as a power of two: at least these, else twice the size of the set or more, so that those of long
 #: texts tell them apart too. Each shingle that only one of two sets has changes one bit, so bitmaps rule pairs out without loss.
 PARITY_BITS = 8
@@ -368,15 +369,24 @@ def candidates(nodes: DataFrame, nearest: bool, similarity: float) -> tuple[Data
     return (found.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v") if nearest else found.select("u", "v").distinct()), path
 
 
+def among(nodes: DataFrame, node: Column) -> Column:
+    """Whether ``node`` is one of ``nodes`` (node), or, as a bitmap of at most MOST_CELLS longs decides, by chance."""
+    cells = CELLS
+    while cells < min(MOST_CELLS, nodes.count() // 4):
+        cells *= 2
+    cell = nodes.select(F.expr(f"shiftrightunsigned(node, 6) & {cells - 1}").alias("cell"), F.expr("shiftleft(1L, cast(node & 63 AS INT))").alias("bit"))
+    every = nodes.sparkSession.range(0, cells, 1, 4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bit"))
+    bits = every.unionByName(cell).groupBy("cell").agg(F.bit_or("bit").alias("bits")).agg(F.expr("transform(array_sort(collect_list(struct(cell, bits))), x -> x.bits)").alias("bitmap"))
+    at = F.shiftrightunsigned(node, 6).bitwiseAND(F.lit(cells - 1).cast("long")).cast("int")
+    return F.getbit(F.get(bits.scalar(), at), node.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+
 def similar(pairs: DataFrame, places: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """Those ``pairs`` (u, v), a written table, whose texts have the Jaccard similarity, as one; only texts that occur in pairs are read again."""
     needed = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-needed")
-    cell = needed.select(F.expr(f"shiftrightunsigned(node, 6) & {CELLS - 1}").alias("cell"), F.expr("shiftleft(1L, cast(node & 63 AS INT))").alias("bit"))
-    every = pairs.sparkSession.range(0, CELLS, 1, 4).select(F.col("id").alias("cell"), F.lit(0).cast("long").alias("bit"))
-    bits = every.unionByName(cell).groupBy("cell").agg(F.bit_or("bit").alias("bits")).agg(F.expr("transform(array_sort(collect_list(struct(cell, bits))), x -> x.bits)").alias("bitmap"))
     text = F.coalesce(docs[text_col], F.lit(""))
-    own = docs.select(F.xxhash64(text).alias("node"), docs[id_col].alias("doc_id"), text.alias("text")).withColumn("bitmap", bits.scalar())
-    own = own.filter(f"getbit(get(bitmap, cast(shiftrightunsigned(node, 6) & {CELLS - 1} AS INT)), cast(node & 63 AS INT)) = 1")
+    own = docs.select(F.xxhash64(text).alias("node"), docs[id_col].alias("doc_id"), text.alias("text"))
+    own = own.filter(among(needed, F.col("node")))
     first = places.join(needed, "node", "left_semi").select(F.col("node").alias("of"), "first_id")
     own = own.join(first, (own.node == first.of) & own.doc_id.eqNullSafe(first.first_id)).select("node", "text").dropDuplicates(["node"])
     hashed = own.select("node", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0)).alias("w")).select("node", "w", F.expr("transform(w, x -> xxhash64(x))").alias("wh"))
@@ -422,9 +432,12 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     odd = written(judged.filter("kept_node IS NULL OR times > 1").select(F.col("doc_id").alias("odd_id"), F.col("node").alias("odd_node"), F.col("kept_node").isNotNull().alias("repeated")), "near-odd")
     node = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     is_odd = docs[id_col].eqNullSafe(odd.odd_id) & (node == odd.odd_node)
-    out = docs.join(odd, is_odd, "left_anti")
+    # Most texts are not odd and needn't be shuffled to find that out.
+    maybe = among(odd.select(F.col("odd_node").alias("node")), node)
+    some = docs.filter(maybe)
+    out = docs.filter(~maybe).union(some.join(odd, is_odd, "left_anti"))
     repeated = odd.filter("repeated")
     if repeated.isEmpty():
         return out
-    again = docs.join(repeated, docs[id_col].eqNullSafe(repeated.odd_id) & (node == repeated.odd_node)).dropDuplicates(["odd_id", "odd_node"])
+    again = some.join(repeated, docs[id_col].eqNullSafe(repeated.odd_id) & (node == repeated.odd_node)).dropDuplicates(["odd_id", "odd_node"])
     return out.unionByName(again.select(*[docs[c] for c in docs.columns]))

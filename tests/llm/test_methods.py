@@ -373,3 +373,21 @@ def test_bitmaps_of_long_texts_rule_pairs_out():
     assert similar <= found
     halves = [(k, k + 3) for k in range(12, len(sets), 4)]
     assert all(len(sets[a]) >= 90 for a, _ in halves) and not found & set(halves)
+
+
+def test_texts_without_near_copies_are_not_shuffled(spark):
+    """Only texts that a bitmap picks are joined with those to drop; copies, repeated rows and null ids as with a broadcast."""
+    draw = random.Random(9)
+    rows = [(k, prose(draw, 30, 5000)) for k in range(300)]
+    rows += [(1000, rows[0][1]), (None, rows[1][1]), rows[2], rows[2], (1001, None), (1002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.without_near_copies(docs)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        got = [r.doc_id for r in kept.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert sorted(got) == [*range(300), 1001]
+    assert plan.index("Union") < plan.index("LeftAnti") and "getbit" in plan[plan.index("LeftAnti") :]
