@@ -6,18 +6,22 @@ place, matches. Lines without a word stay, as do those of fewer than ``min_words
 different words, by default none.
 
 Equal sets are one class, represented by its first line. Words are ordered by how
-often they occur in all texts, the rarest first, and the first n - ceil(0.8 n) + 1
-of a line are indexed: matching lines share one of these. Words that occur once
-can't be shared and leave the index. Candidates pass the length filter, the
-positional filter and a bound from parity bitmaps of the sets before the sets
-themselves are compared. Classes have numbers in the order of their first lines.
-Words that occur FEW times at most bring all their pairs at once. For other words,
-classes are first compared with the earliest class of each, which settles large
-groups of variants in a number of pairs that grows with the group, and only the
-others, where three or more have a word, with all earlier classes. There, a word
-that HOT classes or more have in the index is only a key together with a second
-word: what matches through a word as the rarest shared one also shares the next
-rarest, which is among the first n - ceil(0.8 n) + 2.
+often they occur in all texts, the rarest first. Of n words that a line has, matching
+lines share one of the first n - ceil(0.8 n) + 1. If they share a rare word, one that
+occurs FEW times at most, it is among these, and each is a key. Words that occur once
+can't be shared and are no keys. Otherwise all r rare words of the line are missing in
+the other, and the more frequent ones are keys only as pairs of neighbours in the order:
+a and b words without a partner lie in a + b gaps between shared words at most, so that
+two of the a + b + 2 rarest shared words are neighbours in both lines. As 2 a + b is at
+most 0.4 n, these are among the first 0.4 n + 2 - r words. So a word is never a key
+because it is frequent; lines meet in keys that few unrelated lines have.
+
+Classes have numbers in the order of their first lines. Of those that have a key, each
+meets the HOT before it at once, or the LAST ones if there are more. This settles most
+of a large group of variants in a number of pairs that grows with the group; only those
+without a match then meet all classes before them that have the key. Candidates pass the
+length filter, the positional filter and a bound from parity bitmaps of the sets before
+the sets themselves are compared.
 
 How often words occur is kept in CELLS counters by word hash, each as a logarithm in
 a byte, so that every task can hold the table (16 MB at most). Words that meet in a
@@ -32,9 +36,8 @@ lines; null ids come first; an empty table gives an empty result. Only the named
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import dropped, tidy, written
@@ -44,23 +47,26 @@ NUM, DEN, MIN_WORDS = 4, 5, 1
 #: Counters of words: ROWS times ROW.
 ROWS, ROW = 1 << 12, 1 << 12
 CELLS = ROWS * ROW
-#: Times that a word occurs up to which all its lines are compared at once, as a logarithm in a counter too.
-FEW = 20
+#: Times that a word occurs up to which it is a key by itself, as a logarithm in a counter too.
+FEW = 12
 FEW_STEP = int(3 * math.log2(FEW)) + 1
-#: Classes with an indexed word from which on it needs a second one beside it.
-HOT = 500
+#: Stands for a word that occurs once.
+ALONE = -1
+#: Classes before a class with the same key, up to which it is compared with all of them at once, and how many of them it is if there are more.
+HOT, LAST = 12, 2
 #: What identifies a set: a hash of its words, parities of their hash bits, and its size.
 KEYS = ("h", "bits", "n")
-#: The index is joined in so many parts, one after the other, to bound the disk that its shuffle takes.
-PARTS = 2
-#: Stands for a word that occurs once; other words are even numbers if they occur FEW times at most.
-ALONE = -1
 #: Longs of the filter that picks documents to read again, at most; 8 MB.
 FILTER_LONGS = 1 << 20
 
 SPLIT = r"CASE WHEN instr(line, '\t') + instr(line, '\r') + instr(line, '\u000B') + instr(line, '\u000C') = 0 THEN split(line, ' ') ELSE split(line, '[\\x20\\t\\x0B-\\x0D]+') END"
 #: An empty word at the beginning or end of a line hashes to itself and is left out.
 HASHES = f"array_distinct(array_remove(transform({SPLIT}, w -> xxhash64(w)), xxhash64('')))"
+#: Words as numbers, those that occur least first: the counter's logarithm, then 56 bits of a hash. Never negative.
+RANK = f"coalesce(shiftleft(cast(get(ranks, hash(w) & {CELLS - 1}) AS BIGINT), 56) | shiftrightunsigned(xxhash64(w), 8), 0L)"
+#: ``ranks`` may be named once only, as Spark would else copy the table for each row.
+RANKED = f"sort_array(array_distinct(transform(array_remove({SPLIT}, ''), w -> {RANK})))"
+
 
 
 def text_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -77,8 +83,9 @@ def dense(entries: str) -> str:
 
 def word_ranks(docs: DataFrame, text_col: str) -> DataFrame:
     """One row: for each counter 1 if its words occur once in all texts, more the more often they do, as an array of CELLS bytes."""
-    words = docs.select(F.explode(F.split(F.lower(docs[text_col]), r"[\x20\t-\x0D]+")).alias("w")).filter("w <> ''")
-    counts = words.select(F.expr(f"xxhash64(w) & {CELLS - 1}L").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("times"))
+    lines = docs.select(F.explode(F.split(F.lower(docs[text_col]), "\n")).alias("line"))
+    words = lines.select(F.explode(F.expr(SPLIT)).alias("w")).filter("w <> ''")
+    counts = words.select(F.expr(f"hash(w) & {CELLS - 1}").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("times"))
     steps = counts.select(F.expr(f"cast(cell div {ROW} AS INT)").alias("row"), F.expr(f"cast(cell % {ROW} * 128 + least(127, floor(3 * log2(times)) + 1) AS INT)").alias("e"))
     rows = steps.groupBy("row").agg(F.sort_array(F.collect_list("e")).alias("es")).select("row", F.expr(dense("es")).alias("cells"))
     every = docs.sparkSession.range(0, ROWS, 1, 1).select(F.col("id").cast("int").alias("row"))
@@ -87,31 +94,39 @@ def word_ranks(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def line_sets(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc_id, place, h, bits, n, prefix) of all lines with enough words; ``prefix`` has one word more than is indexed alone."""
-    sets = text_lines(docs, id_col, text_col).select("doc_id", "place", F.expr(HASHES).alias("hs")).withColumn("n", F.size("hs")).filter(F.col("n") >= min_words)
-    ranked = sets.withColumn("ranks", written(word_ranks(docs, text_col), "line-ranks").scalar())
-    key = f"shiftleft(cast(get(ranks, cast(h & {CELLS - 1}L AS INT)) AS BIGINT), 56) | shiftrightunsigned(h, 8)"  # never negative
-    ranked = ranked.withColumn("keys", F.expr(f"sort_array(transform(hs, h -> {key}))"))
-    return ranked.select(
+    """(doc_id, place, h, bits, n, skipped, singles, keys) of all lines with enough words: ``skipped`` words that occur once, ``singles`` keys of one word, then keys of two."""
+    ranked = text_lines(docs, id_col, text_col).withColumn("ranks", written(word_ranks(docs, text_col), "line-ranks").scalar())
+    ranked = ranked.select("doc_id", "place", F.expr(RANKED).alias("ws")).withColumn("n", F.size("ws"))
+    head = f"slice(ws, 1, {indexed('n')})"
+    below = lambda step: F.expr(f"size(filter({head}, k -> k < {step << 56}L))")
+    counted = ranked.withColumn("skipped", below(2)).withColumn("rare", below(FEW_STEP + 1))
+    able, twos = f"{DEN} * n >= {NUM} * (n + 1)", f"IF(rare = {indexed('n')}, 0, greatest(0, {reach('n')} - 2 * rare - 1))"
+    singles = "slice(ws, skipped + 1, rare - skipped)"
+    doubles = f"zip_with(slice(ws, rare + 1, {twos}), slice(ws, rare + 2, {twos}), (a, b) -> xxhash64(a, b))"
+    return counted.select(
         "doc_id",
         "place",
-        F.expr("xxhash64(keys)").alias("h"),
-        F.expr("aggregate(hs, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63L AS INT)))").alias("bits"),
+        F.expr("xxhash64(ws)").alias("h"),
+        F.expr("aggregate(ws, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63L AS INT)))").alias("bits"),
         "n",
-        F.expr(f"transform(slice(keys, 1, {indexed('n')} + 1), k -> CASE WHEN k < {2 << 56}L THEN {ALONE} ELSE cast(k % 1073741823 AS INT) * 2 + CASE WHEN k < {FEW_STEP + 1 << 56}L THEN 0 ELSE 1 END END)").alias("prefix"),
-    )
+        "skipped",
+        F.expr("rare - skipped").alias("singles"),
+        F.expr(f"CASE WHEN {able} THEN concat({singles}, {doubles}) ELSE slice(ws, 1, 0) END").alias("keys"),
+        F.expr(f"transform(slice(ws, 1, {indexed('n')} + 1), k -> IF(k < {2 << 56}L, cast({ALONE} AS BIGINT), k))").alias("prefix"),
+    ).filter(f"n >= {min_words}" if min_words else "true")
 
 
 def indexed(n: str) -> str:
-    """How many words of a set of ``n`` are indexed alone."""
+    """How many words of a set of ``n`` hold one, at least, of each set that matches."""
     return f"({n} - ({NUM} * {n} + {DEN - 1}) div {DEN} + 1)"
 
 
-def may_match(x: str, y: str) -> Column:
-    return F.expr(may_match_text(x, y))
+def reach(n: str) -> str:
+    """How many words of a set of ``n`` hold two neighbours, at least, that are neighbours in a matching set too."""
+    return f"(2 * {DEN - NUM} * {n} div {DEN} + 2)"
 
 
-def may_match_text(x: str, y: str) -> str:
+def may_match(x: str, y: str) -> str:
     """Length, positional and bitmap filters on the postings ``x`` and ``y``."""
     least = f"(({NUM} * ({x}.n + {y}.n) + {NUM + DEN - 1}) div {NUM + DEN})"  # words that must be shared
     return (
@@ -121,35 +136,14 @@ def may_match_text(x: str, y: str) -> str:
     )
 
 
-def postings(classes: DataFrame, rare: bool) -> DataFrame:
-    """(word, c): each indexed word of each class; sets so small that only equal ones match are left out."""
-    able = classes.filter(f"{DEN} * n >= {NUM} * (n + 1)").select("o", "n", "bits", F.posexplode("prefix").alias("at", "word"))
-    mine = able.filter(f"word <> {ALONE} AND at < {indexed('n')} AND word % 2 = {int(not rare)}")
-    return mine.select("word", F.struct("o", "n", F.col("at").cast("short").alias("at"), "bits").alias("c"))
-
-
-def rare_pairs(classes: DataFrame) -> DataFrame:
-    """(x, y) of classes that share a rare word and may match; a word has FEW classes at most, but for words whose numbers are equal."""
-    lists = postings(classes, rare=True).repartition("word").groupBy("word").agg(F.collect_list("c").alias("cs")).filter("size(cs) > 1")
-    test = may_match_text("x", "y")
-    each = f"flatten(transform(cs, y -> transform(filter(cs, x -> x.o > y.o AND {test}), x -> struct(x.o AS x, y.o AS y))))"
-    return lists.select(F.explode(F.expr(each)).alias("p")).select("p.*")
-
-
-def with_heads(classes: DataFrame) -> DataFrame:
-    """Postings of other words that several classes have, with the earliest of these, ``head``, and how ``many`` they are."""
-    posted = postings(classes, rare=False)
-    heads = posted.groupBy("word").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    return posted.join(heads, "word").select("word", "c", "head", "many")
-
-
-def with_second(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Postings with a ``second`` key: 0, or for hot words each word after it, up to one more than is indexed alone."""
-    plain = shared.filter(f"many < {HOT}").select("word", F.lit(0).cast("long").alias("second"), "c")
-    longer = shared.filter(f"many >= {HOT}").withColumn("o", F.col("c.o")).join(classes.select("o", "prefix"), "o")
-    pairs = longer.select("word", F.explode(F.expr("slice(prefix, c.at + 2, size(prefix))")).alias("other"), "c")
-    # Words that occur once were never shared, and so are no second words either.
-    return plain.unionByName(pairs.filter(f"other <> {ALONE}").select("word", (F.col("other").cast("long") + 1).alias("second"), "c"))
+def postings(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, c): each key of each class, which its first line has."""
+    first = classes.select("o", F.col("doc_id").alias("first_id"), F.col("place").alias("first_place"))
+    same = lines.doc_id.eqNullSafe(first.first_id) & (lines.place == first.first_place)
+    each = lines.filter("size(keys) > 0").join(first, same)
+    each = each.select("o", "n", "bits", "skipped", "singles", F.posexplode("keys").alias("i", "key"))
+    # What comes before the two words of a key is not known, so only keys of one word have a place.
+    return each.select("key", F.struct("o", "n", F.expr("IF(i < singles, skipped + i, 0)").alias("at"), "bits").alias("c"))
 
 
 def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -182,38 +176,35 @@ def holding(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> D
 
 def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, place) of every line that matches a line before it."""
-    spark, keys, place = docs.sparkSession, list(KEYS), F.struct("doc_id", "place")
-    lines = written(line_sets(docs, id_col, text_col, min_words), "lines")
-    firsts = lines.groupBy(*keys).agg(F.min(place).alias("first"))
+    spark, place = docs.sparkSession, F.struct("doc_id", "place")
+    # The filter comes after, as Spark would make the sets twice to have it first.
+    lines = written(line_sets(docs, id_col, text_col, 0).drop("prefix"), "lines").filter(F.col("n") >= min_words)
     # The first line of equal sets stands for its class; the later ones go, as do classes that match an earlier one.
-    ordered = lines.join(firsts, keys).filter(place.eqNullSafe(F.col("first"))).dropDuplicates(keys).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "h")
+    firsts = lines.groupBy(*KEYS).agg(F.min(place).alias("first")).select("first.*", "h").repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "h")
     # Numbers of rows ascend within and between the range partitions, and stay as they are in the table.
-    classes = written(ordered.select(F.monotonically_increasing_id().alias("o"), "doc_id", "place", "n", "bits", "prefix"), "line-classes")
+    classes = written(firsts.select(F.monotonically_increasing_id().alias("o"), "doc_id", "place"), "line-classes")
     tidy(spark)
 
-    shared = written(with_heads(classes), "line-shared")
-    tidy(spark)
-    met = shared.filter((F.col("c.o") > F.col("head.o")) & may_match("c", "head")).select(F.col("c.o").alias("x"), F.col("head.o").alias("y"))
-    pairs = written(met.unionByName(rare_pairs(classes)).distinct(), "line-pairs")
+    key, whole = Window.partitionBy("key").orderBy("c.o"), Window.partitionBy("key")
+    before = F.collect_list("c").over(key.rowsBetween(-HOT, -1))
+    placed = postings(lines, classes).select("key", "c", F.row_number().over(key).alias("nth"), before.alias("cs"), F.count(F.lit(1)).over(whole).alias("many"))
+    near = F.expr(f"filter(IF(nth <= {HOT + 1}, cs, slice(cs, -{LAST}, {LAST})), y -> y.o < c.o AND {may_match('c', 'y')})")
+    near = placed.filter("many > 1").select("key", "c", "nth", "many", F.transform(near, lambda y: y.o).alias("ys"))
+    met = written(near.filter(f"size(ys) > 0 OR many > {HOT + 1}"), "line-met")
     tidy(spark)
+    pairs = written(met.select(F.col("c.o").alias("x"), F.explode("ys").alias("y")).distinct(), "line-pairs")
     once = matching(pairs, classes, docs, id_col, text_col)
     dropped(pairs)
     tidy(spark)
-    several = shared.filter("many > 2 AND c.o <> head.o").select("word", "c", "many")  # the head is settled
-    left = written(several.join(once, F.col("c.o") == once.o, "left_anti"), "line-left")
+    # Who has no match so far meets all that come before with a key that many have.
+    x = met.filter(f"nth > {HOT + 1}").select("key", F.col("c").alias("x"), "nth").join(once, F.col("x.o") == once.o, "left_anti")
+    y = met.filter(f"many > {HOT + 1}").select("key", F.col("c").alias("y"), F.col("nth").alias("place"))
+    left = x.join(y, "key").filter(f"place < nth - {LAST} AND y.o < x.o AND {may_match('x', 'y')}")
+    more = written(left.select(F.col("x.o").alias("x"), F.col("y.o").alias("y")).distinct(), "line-pairs")
+    dropped(met)
     tidy(spark)
-    found = []
-    for part in range(PARTS):
-        mine, x = (df.filter(f"pmod(word div 2, {PARTS}) = {part}") for df in (several, left))
-        # Of hot words only those count that a class still has to be compared by.
-        hot = mine.filter(f"many >= {HOT}").join(x.filter(f"many >= {HOT}").select("word").distinct(), "word", "left_semi")
-        x, y = with_second(x, classes).withColumnRenamed("c", "x"), with_second(mine.filter(f"many < {HOT}").unionByName(hot), classes).withColumnRenamed("c", "y")
-        met = x.join(y, ["word", "second"]).filter((F.col("x.o") > F.col("y.o")) & may_match("x", "y"))
-        found.append(written(met.select(F.col("x.o").alias("x"), F.col("y.o").alias("y")).distinct(), "line-pairs"))
-        tidy(spark)
-    dropped(shared, left)
-    then = matching(reduce(DataFrame.unionByName, found).distinct(), classes, docs, id_col, text_col)
-    dropped(*found)
+    then = matching(more, classes, docs, id_col, text_col)
+    dropped(more)
     kept = classes.join(once.unionByName(then), "o", "left_anti").select(F.col("doc_id").alias("kept_id"), F.col("place").alias("kept_place"))
     every = lines.select("doc_id", "place")
     return every.join(kept, every.doc_id.eqNullSafe(kept.kept_id) & (every.place == kept.kept_place), "left_anti")

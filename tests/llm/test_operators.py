@@ -159,6 +159,19 @@ def test_prefixes_hold_the_rare_words(spark):
     assert [r.prefix[0] for r in sets if r.n == 9] == [line_dedup.ALONE]  # nine occurs once
 
 
+def test_keys_of_matching_lines(spark):
+    """Matching lines share a key, whether their words are rare or not; lines that only share a frequent word have none in common."""
+    draw = random.Random(8)
+    base = [[f"w{int(60 * draw.random() ** 2)}" for _ in range(draw.randint(4, 30))] for _ in range(40)]
+    lines = [" ".join(w for w in draw.choice(base) + [f"r{draw.randint(0, 200)}"] if draw.random() < 0.96) for _ in range(400)]
+    sets = line_dedup.line_sets(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), "doc_id", "text", 1).collect()
+    rows = [(set(lines[r.doc_id].split()), set(r.keys), set(r.prefix[:-1]) - {line_dedup.ALONE}) for r in sets]
+    pairs = [(x, y) for i, x in enumerate(rows) for y in rows[:i] if x[0] != y[0]]
+    match = [9 * len(x[0] & y[0]) >= 4 * (len(x[0]) + len(y[0])) for x, y in pairs]
+    assert sum(match) > 100 and all(x[1] & y[1] for (x, y), m in zip(pairs, match, strict=True) if m)
+    assert 2 * sum(bool(x[1] & y[1]) for x, y in pairs) < sum(bool(x[2] & y[2]) for x, y in pairs)
+
+
 def test_language_model(docs, none):
     got = ngram_lm.scores(docs, F.col("doc_id") % 7 == 2).collect()
     assert len(got) == len(rows()) and all(r.n_tokens >= 1 and r.score < 0 for r in got)
