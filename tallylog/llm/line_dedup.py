@@ -36,6 +36,7 @@ lines; null ids come first; an empty table gives an empty result. Only the named
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +57,8 @@ ALONE = -1
 HOT, LAST = 12, 2
 #: What identifies a set: a hash of its words, parities of their hash bits, and its size.
 KEYS = ("h", "bits", "n")
+#: The index is built in so many parts, one after the other, to bound the disk that its shuffle takes.
+PARTS = 3
 #: Longs of the filter that picks documents to read again, at most; 8 MB.
 FILTER_LONGS = 1 << 20
 
@@ -136,16 +139,30 @@ def may_match(x: str, y: str) -> str:
     )
 
 
-def postings(lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, c): each key of each class, which its first line has."""
+def keyed(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """(o, n, bits, skipped, singles, keys) of each class that has keys, from its first line."""
     first = classes.select("o", F.col("doc_id").alias("first_id"), F.col("place").alias("first_place"))
     same = lines.doc_id.eqNullSafe(first.first_id) & (lines.place == first.first_place)
-    each = lines.filter("size(keys) > 0").join(first, same)
-    each = each.select("o", "n", "bits", "skipped", "singles", F.posexplode("keys").alias("i", "key"))
+    return lines.filter("size(keys) > 0").join(first, same).select("o", "n", "bits", "skipped", "singles", "keys")
+
+
+def postings(keyed: DataFrame, part: int) -> DataFrame:
+    """(key, c): each key of this part of each class."""
+    each = keyed.select("o", "n", "bits", "skipped", "singles", F.posexplode("keys").alias("i", "key")).filter(f"pmod(key, {PARTS}) = {part}")
     # What comes before the two words of a key is not known, so only keys of one word have a place.
     return each.select("key", F.struct("o", "n", F.expr("IF(i < singles, skipped + i, 0)").alias("at"), "bits").alias("c"))
 
 
+def placed(posted: DataFrame) -> DataFrame:
+    """(key, c, nth, many, ys): classes in order under each key, with the numbers of those before that may match, of those that are met at once."""
+    key, whole = Window.partitionBy("key").orderBy("c.o"), Window.partitionBy("key")
+    before = F.collect_list("c").over(key.rowsBetween(-HOT, -1))
+    every = posted.select("key", "c", F.row_number().over(key).alias("nth"), before.alias("cs"), F.count(F.lit(1)).over(whole).alias("many"))
+    near = F.expr(f"filter(IF(nth <= {HOT + 1}, cs, slice(cs, -{LAST}, {LAST})), y -> y.o < c.o AND {may_match('c', 'y')})")
+    found = every.filter("many > 1").select("key", "c", "nth", "many", near.alias("ys"))
+    return found.select("key", "c", "nth", "many", F.col("ys.o").alias("ys")).filter(f"size(ys) > 0 OR many > {HOT + 1}")
+
+
 def matching(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The numbers ``o`` of the later classes of those pairs (x, y: class numbers) whose sets really match; only documents that hold one of them are read again."""
     needed = pairs.select(F.explode(F.array("x", "y")).alias("o")).distinct().join(classes.select("o", "doc_id", "place"), "o")
@@ -178,20 +195,23 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     """(doc_id, place) of every line that matches a line before it."""
     spark, place = docs.sparkSession, F.struct("doc_id", "place")
     # The filter comes after, as Spark would make the sets twice to have it first.
-    lines = written(line_sets(docs, id_col, text_col, 0).drop("prefix"), "lines").filter(F.col("n") >= min_words)
+    sets = written(line_sets(docs, id_col, text_col, 0).drop("prefix"), "lines")
+    lines = sets.filter(F.col("n") >= min_words)
     # The first line of equal sets stands for its class; the later ones go, as do classes that match an earlier one.
     firsts = lines.groupBy(*KEYS).agg(F.min(place).alias("first")).select("first.*", "h").repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "h")
     # Numbers of rows ascend within and between the range partitions, and stay as they are in the table.
     classes = written(firsts.select(F.monotonically_increasing_id().alias("o"), "doc_id", "place"), "line-classes")
     tidy(spark)
 
-    key, whole = Window.partitionBy("key").orderBy("c.o"), Window.partitionBy("key")
-    before = F.collect_list("c").over(key.rowsBetween(-HOT, -1))
-    placed = postings(lines, classes).select("key", "c", F.row_number().over(key).alias("nth"), before.alias("cs"), F.count(F.lit(1)).over(whole).alias("many"))
-    near = F.expr(f"filter(IF(nth <= {HOT + 1}, cs, slice(cs, -{LAST}, {LAST})), y -> y.o < c.o AND {may_match('c', 'y')})")
-    near = placed.filter("many > 1").select("key", "c", "nth", "many", F.transform(near, lambda y: y.o).alias("ys"))
-    met = written(near.filter(f"size(ys) > 0 OR many > {HOT + 1}"), "line-met")
+    keys, every = written(keyed(lines, classes), "line-keys"), written(lines.select("doc_id", "place"), "line-places")
+    dropped(sets)
     tidy(spark)
+    mets = []
+    for part in range(PARTS):
+        mets.append(written(placed(postings(keys, part)), "line-met"))
+        tidy(spark)
+    dropped(keys)
+    met = reduce(DataFrame.unionByName, mets)
     pairs = written(met.select(F.col("c.o").alias("x"), F.explode("ys").alias("y")).distinct(), "line-pairs")
     once = matching(pairs, classes, docs, id_col, text_col)
     dropped(pairs)
@@ -201,12 +221,11 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     y = met.filter(f"many > {HOT + 1}").select("key", F.col("c").alias("y"), F.col("nth").alias("place"))
     left = x.join(y, "key").filter(f"place < nth - {LAST} AND y.o < x.o AND {may_match('x', 'y')}")
     more = written(left.select(F.col("x.o").alias("x"), F.col("y.o").alias("y")).distinct(), "line-pairs")
-    dropped(met)
+    dropped(*mets)
     tidy(spark)
     then = matching(more, classes, docs, id_col, text_col)
     dropped(more)
     kept = classes.join(once.unionByName(then), "o", "left_anti").select(F.col("doc_id").alias("kept_id"), F.col("place").alias("kept_place"))
-    every = lines.select("doc_id", "place")
     return every.join(kept, every.doc_id.eqNullSafe(kept.kept_id) & (every.place == kept.kept_place), "left_anti")
 
 
