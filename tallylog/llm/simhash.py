@@ -19,9 +19,7 @@ named columns are read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import WORD, drop_path, dropped, file_system, lower_ascii, scratch_path, tidy, trimmed, written
+from .shared import WORD, dropped, lower_ascii, tidy, trimmed, written
 
 SEED, PART_BITS, PARTS = 42, 16, 4
 TILE = 1024
@@ -56,7 +54,9 @@ def majority(each: np.ndarray) -> int:
     """The bits set in over half of the hashes, as a signed number; 0 without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(each), CHUNK):
-        ones += np.unpackbits(each[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        # Eight bits are added at a time, each in a byte of a long, which holds the sum of 255.
+        bits = np.unpackbits(each[at : at + CHUNK].view(np.uint8)).view(np.uint64).reshape(-1, 8)
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(each)).view(np.int64)[0])
 
 
@@ -172,12 +172,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
 
 # --- dropping near copies -----------------------------------------------------------------------------
 
-#: Bits by which the first and the second print may differ in the rounds that join close copies, so that fewer pairs are left for the last.
-NEAR, NEAR_SECOND = 14, 18
+#: Orders of all shingles, by mixed hashes. Texts meet in a block for each order under which they have the same smallest shingle.
+#: A text that has at most SPARE blocks of more than HOT texts is left out of those. So two texts may fail to meet only if their
+#: smallest shingles differ under ORDERS - SPARE orders or more; at Jaccard 0.8 that is so for fewer than 1 of 1,000,000,000 pairs.
+ORDERS, SPARE, HOT = 20, 3, 1024
+#: Rounds in which each text is compared with the nearest of the centers of its blocks, and bits by which the four prints may differ in them.
+ROUNDS, NEAR = 2, 48
 #: Bits by which the first two of the four prints, and all four, may differ in the last round. At Jaccard 0.8 more differ in fewer than 1 of 10,000,000 pairs.
 WIDE_TWO, WIDE = 49, 84
-#: Texts to a tile, and rows of it compared at once.
-WIDE_TILE, STRIPE = 8192, 256
+#: Texts of a block that are dealt to one key, texts to a tile, and pairs of its rows that are taken at once.
+PIECE, WIDE_TILE, MET = 512, 4096, 1 << 17
 #: Longs of the filter that picks texts, at least and at most; 8 MB.
 CELLS, MOST_CELLS = 1 << 16, 1 << 20
 #: Bits of the parity bitmap of a shingle set, as a power of two: at least these, else twice the size of the set or more, so that those of long
@@ -187,8 +191,6 @@ PARITY_BITS = 8
 CHECKED = 1 << 14
 #: Longs of bitmaps taken together at once.
 GATHERED = 1 << 18
-#: Rounds in which each text is compared with the nearest one that it isn't connected to yet.
-ROUNDS = 3
 
 
 def parities(each: np.ndarray) -> bytes:
@@ -204,25 +206,40 @@ def folded(bitmaps: tuple[np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray,
     return np.bitwise_xor.reduce(flat[starts[rows][:, None] + np.arange(size)].reshape(len(rows), size // longs, longs), axis=1)
 
 
-def remixed(each: np.ndarray, k: int) -> np.ndarray:
-    """Other hashes for the same shingles: the mixing steps of SplitMix64 from the k-th place."""
-    z = each + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+def mixed(z: np.ndarray) -> np.ndarray:
     z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return z ^ z >> np.uint64(31)
 
 
-def four_prints(text: bytes | None, words: int) -> tuple[int, int, int, int, int, bytes]:
-    """Four fingerprints of the set of shingles, its size and its parity bitmap."""
+def remixed(each: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes for the same shingles: the mixing steps of SplitMix64 from the k-th place."""
+    return mixed(each + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+#: Places of SplitMix64 beyond those of the prints, and hashes that are mixed for all orders at once.
+PLACES, MIXED = np.arange(4, 4 + ORDERS, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15), 512
+
+
+def smallest(each: np.ndarray) -> list[int]:
+    """The smallest hash under each of the ORDERS, as signed numbers; sets of none have the same ones."""
+    if not len(each):
+        return list(range(ORDERS))
+    parts = [mixed(each[at : at + MIXED] + PLACES).min(axis=1) for at in range(0, len(each), MIXED)]
+    return np.min(parts, axis=0).view(np.int64).tolist()
+
+
+def four_prints(text: bytes | None, words: int) -> tuple[int, int, int, int, int, bytes, list[int]]:
+    """Four fingerprints of the set of shingles, its size, its parity bitmap and its smallest hashes."""
     each = np.unique(shingle_hashes(text, words))
-    return majority(each), *(majority(remixed(each, k)) for k in (1, 2, 3)), len(each), parities(each)
+    return majority(each), *(majority(remixed(each, k)) for k in (1, 2, 3)), len(each), parities(each), smallest(each)
 
 
 def set_prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, fp, second, third, fourth, n, parity) by ``four_prints``; ``node`` is a hash of the text."""
+    """(doc_id, node, fp, second, third, fourth, n, parity, least) by ``four_prints``; ``node`` is a hash of the text."""
     text = F.coalesce(docs[text_col], F.lit(""))
     narrow = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(text).alias("node"), text.cast("binary").alias("text"))
-    types = {"fp": pa.int64(), "second": pa.int64(), "third": pa.int64(), "fourth": pa.int64(), "n": pa.int64(), "parity": pa.binary()}
+    types = {"fp": pa.int64(), "second": pa.int64(), "third": pa.int64(), "fourth": pa.int64(), "n": pa.int64(), "parity": pa.binary(), "least": pa.list_(pa.int64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,48 +248,24 @@ def set_prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
             arrays = [pa.array(x, t) for x, t in zip(found, types.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["doc_id", "node", *types])
 
-    return narrow.mapInArrow(trimmed(run), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, node long, fp long, second long, third long, fourth long, n long, parity binary")
-
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(trimmed(run), f"doc_id {kind}, node long, fp long, second long, third long, fourth long, n long, parity binary, least array<long>")
 
-TILE_INDEX = pa.schema([("g", pa.int32()), ("s", pa.int64()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
 
+def sized(keys: DataFrame) -> DataFrame:
+    """``keys`` (node, key) that two or more have, with their number as ``size``."""
+    return keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "key")
 
-def stored_tiles(dealt: DataFrame, fields: list[str]) -> tuple[DataFrame, str]:
-    """Writes the rows of each (g, s) as one block of a file; returns the index (g, s, file, at, size) and the folder."""
-    path = scratch_path(dealt.sparkSession, "tiles")
-    disk, local = file_system(f"{path}/files")
-    disk.create_dir(local, recursive=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A repeated attempt writes another file; the index, which Spark commits, names the one that counts.
-        name, out = f"{path}/files/{uuid.uuid4().hex}", None
-        for batch in batches:
-            for g, s, tile in zip(*(batch.column(k) for k in range(3)), strict=True):
-                if out is None:
-                    disk, local = file_system(name)
-                    out = disk.open_output_stream(local)
-                sink, block = pa.BufferOutputStream(), pa.RecordBatch.from_struct_array(tile.values)
-                with pa.ipc.new_stream(sink, block.schema) as ipc:
-                    ipc.write_batch(block)
-                data, at = sink.getvalue(), out.tell()
-                out.write(data)
-                yield pa.RecordBatch.from_pydict({"g": [g.as_py()], "s": [s.as_py()], "file": [name], "at": [at], "size": [data.size]}, TILE_INDEX)
-        if out is not None:
-            out.close()
-
-    tiles = dealt.groupBy("g", "s").agg(F.collect_list(F.struct(*fields)).alias("tile"))
-    index = tiles.mapInArrow(trimmed(run), "g int, s long, file string, at long, size long")
-    index.write.parquet(f"{path}/index")
-    return dealt.sparkSession.read.schema(index.schema).parquet(f"{path}/index"), path
-
-
-@lru_cache(4)
-def tile_of(file: str, at: int, size: int) -> dict[str, np.ndarray]:
-    disk, local = file_system(file)
-    with disk.open_input_file(local) as source:
-        source.seek(at)
-        table = pa.ipc.open_stream(pa.BufferReader(source.read(size))).read_all().combine_chunks()
-    return {f: values(table[f].combine_chunks()) for f in table.column_names}
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(key, node, size, cuts, s), a written table: the texts of each block that has two or more, in pieces ``s`` of large ones."""
+    every = written(sized(nodes.select("node", F.explode(F.array_distinct("least")).alias("key"))), "near-keys")
+    hot = every.filter(F.col("size") > HOT).select("node", "key")
+    spared = hot.groupBy("node").agg(F.count(F.lit(1)).alias("hot")).filter(F.col("hot") <= SPARE)
+    found = every.filter(F.col("size") <= HOT).unionByName(sized(hot.join(spared, "node", "left_anti")))
+    found = written(found.withColumn("cuts", F.expr(f"ceil(size / {PIECE})")).withColumn("s", F.expr("pmod(xxhash64(node), cuts)")), "near-blocks")
+    dropped(every)
+    return found
 
 
 def values(column: pa.Array) -> np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,48 +278,51 @@ def values(column: pa.Array) -> np.ndarray | tuple[np.ndarray, np.ndarray, np.nd
     return column.to_numpy(zero_copy_only=False)
 
 
-def met(batches: Iterator[pa.RecordBatch], nearest: bool, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v, far) of nodes under different labels that may be similar; with ``nearest`` only the nearest u of each v in a tile pair."""
+def together(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All places (i, j) of equal numbers in ``x`` and ``y``, both sorted, about MET at once; with ``same``, where ``y`` is ``x``, those of i < j."""
+    first = np.arange(1, len(x) + 1) if same else np.searchsorted(y, x, "left")
+    times = np.searchsorted(y, x, "right") - first
+    ends, at = np.cumsum(times), 0
+    while at < len(x):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + MET, "right")))
+        n = times[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        yield i, np.arange(done, ends[stop - 1]) - np.repeat(ends[at:stop] - n - first[at:stop], n)
+        at = stop
+
+
+def met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of nodes that meet in a block under different labels and may be similar, of tiles ``a`` and ``b`` (null: ``a`` itself)."""
     for batch in batches:
-        for row in batch.to_pylist():
-            a, b = tile_of(row["file"], row["at"], row["size"]), tile_of(row["file_b"], row["at_b"], row["size_b"])
-            same = row["g"] == row["h"] and row["s"] == row["t"]
-            found = []
-            for at in range(0, len(a["fp"]), STRIPE):
-                apart = distance(a["fp"][at : at + STRIPE][:, None], b["fp"][None, :])
-                if not nearest:
-                    apart += distance(a["second"][at : at + STRIPE][:, None], b["second"][None, :])
-                i, j = np.nonzero(apart <= (NEAR if nearest else WIDE_TWO))
-                i += at
+        for k in range(len(batch)):
+            same = not batch.column("b")[k].is_valid
+            a = tile_of(batch.column("a")[k].values)
+            b = a if same else tile_of(batch.column("b")[k].values)
+            us, vs = [], []
+            for i, j in together(a["key"], b["key"], same):
                 ok = a["label"][i] != b["label"][j]
-                ok &= np.minimum(a["n"][i], b["n"][j]) >= similarity * np.maximum(a["n"][i], b["n"][j])
-                if nearest:
-                    ok &= distance(a["second"][i], b["second"][j]) <= NEAR_SECOND
-                if same:
-                    ok &= i < j
                 i, j = i[ok], j[ok]
-                if not nearest:
-                    ok = np.concatenate([np.zeros(0, bool), *(possible(a, b, i[k : k + CHECKED], j[k : k + CHECKED], similarity) for k in range(0, len(i), CHECKED))])
-                    i, j = i[ok], j[ok]
-                if nearest and len(i) > len(a["fp"]) + len(b["fp"]):  # only the nearest of each counts
-                    far = distance(a["fp"][i], b["fp"][j]).astype(np.int64) + distance(a["second"][i], b["second"][j])
-                    best = np.zeros(len(i), bool)
-                    for own in (i, j):
-                        order = np.lexsort((far, own))
-                        best[order[np.concatenate(([True], own[order][1:] != own[order][:-1]))]] = True
-                    i, j = i[best], j[best]
-                found.append(np.stack((i, j)).astype(np.int32))
-            i, j = np.concatenate(found, axis=1)
-            if not len(i):
-                continue
-            far = distance(a["fp"][i], b["fp"][j]).astype(np.int64) + distance(a["second"][i], b["second"][j])
-            u, v = a["node"][i], b["node"][j]
-            if nearest:
-                u, v, far = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((far, far))
-                order = np.lexsort((u, far, v))
-                first = np.concatenate(([True], v[order][1:] != v[order][:-1]))
-                u, v, far = (x[order][first] for x in (u, v, far))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(far)], names=["u", "v", "far"])
+                ok = np.minimum(a["n"][i], b["n"][j]) >= similarity * np.maximum(a["n"][i], b["n"][j])
+                i, j = i[ok], j[ok]
+                ok = distance(a["fp"][i], b["fp"][j]) + distance(a["second"][i], b["second"][j]) <= WIDE_TWO
+                i, j = i[ok], j[ok]
+                for at in range(0, len(i), CHECKED):
+                    p, q = i[at : at + CHECKED], j[at : at + CHECKED]
+                    ok = possible(a, b, p, q, similarity)
+                    us.append(a["node"][p[ok]])
+                    vs.append(b["node"][q[ok]])
+            if us:
+                both = np.sort(np.stack((np.concatenate(us), np.concatenate(vs)), axis=1), axis=1)
+                both = np.unique(both, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+
+
+def tile_of(rows: pa.StructArray) -> dict[str, np.ndarray]:
+    """The columns of ``rows``, sorted by key."""
+    table = pa.RecordBatch.from_struct_array(rows)
+    table = table.take(pc.sort_indices(table.column("key")))
+    return {f: values(table.column(f)) for f in table.schema.names}
 
 
 def possible(a: dict[str, np.ndarray], b: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -350,23 +346,52 @@ def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64))
 
 
-def candidates(nodes: DataFrame, nearest: bool, similarity: float) -> tuple[DataFrame, str]:
-    """Pairs (u, v) of ``nodes`` (node, four prints, n, parity, label), and the folder they need until they are written.
+PRINTS = ["fp", "second", "third", "fourth"]
 
-    Tiles by population count are written to files once; what is dealt to tasks are pairs of places in them, but
-    for pairs of tiles beyond the radius.
+
+def starred(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Pairs (u, v): each text and the nearest of the centers of its blocks that have another label, if the four prints are near.
+
+    ``rows`` is ``blocks`` with prints and label. A center is any text of its block, another one each round ``k``. So a block costs
+    as much as it has texts, and a large group of copies is not expanded into pairs.
     """
-    fields = ["node", "fp", "second", "n", "label"] + ([] if nearest else ["third", "fourth", "parity"])
-    grouped = nodes.withColumn("g", F.bit_count("fp"))
-    sizes = written(grouped.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / WIDE_TILE).cast("int").alias("cuts")), "tile-sizes")  # 65 rows at most
-    dealt = grouped.join(F.broadcast(sizes), "g").withColumn("s", F.expr("cast(pmod(xxhash64(node), cuts) AS LONG)"))
-    index, path = stored_tiles(dealt, fields)
-    other = index.select(F.col("g").alias("h"), F.col("s").alias("t"), *[F.col(c).alias(f"{c}_b") for c in ("file", "at", "size")])
-    pairs = index.withColumn("h", F.explode(F.sequence("g", F.col("g") + (NEAR if nearest else WIDE_TWO)))).join(other, "h").filter("g <> h OR s <= t")
-    spread = pairs.repartition(max(4 * nodes.sparkSession.sparkContext.defaultParallelism, pairs.count() // 64), "g", "s", "h", "t")
-    found = spread.mapInArrow(trimmed(lambda batches: met(batches, nearest, similarity)), "u long, v long, far long")
-    dropped(sizes)
-    return (found.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u")).select("u", "v") if nearest else found.select("u", "v").distinct()), path
+    center = F.min_by(F.struct("node", "n", "label", *PRINTS), F.xxhash64("node", F.lit(k))).alias("c")
+    centers = rows.groupBy("key", "cuts").agg(center, F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    dealt = centers.select("key", "c", F.explode(F.expr("sequence(0L, cuts - 1)")).alias("s"))
+    far = sum(F.bit_count(F.col(f).bitwiseXOR(F.col(f"c.{f}"))) for f in PRINTS)
+    alike = F.least("n", "c.n") >= F.lit(similarity) * F.greatest("n", "c.n")
+    found = rows.join(dealt, ["key", "s"]).filter(F.col("label") != F.col("c.label")).filter(alike).select("node", F.col("c.node").alias("u"), far.alias("far"))
+    near = found.filter(F.col("far") <= NEAR).groupBy("node").agg(F.min_by("u", F.struct("far", "u")).alias("u"))
+    return near.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
+
+
+def unconnected(rows: DataFrame, labelled: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u, v) that meet in a block of ``rows`` (key, node, size) under different labels and that prints and bitmaps leave.
+
+    Small blocks share a tile, large ones are cut into tiles of their own, each two of which are compared by a task.
+    """
+    own = rows.join(labelled.select("node", "label"), "node").select("key", "node", "size", "label")
+    live = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    left = written(own.drop("label").join(live, "key", "left_semi"), "near-left")
+    n, most = left.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
+    tiles, large = -(-n // WIDE_TILE) + 1, F.col("size") > WIDE_TILE
+    cuts = F.when(large, F.expr(f"ceil(size / {WIDE_TILE})")).otherwise(F.lit(1))
+    dealt = left.withColumns({"large": large, "cuts": cuts, "g": F.when(large, F.col("key")).otherwise(F.expr(f"pmod(xxhash64(key), {tiles}L)"))})
+    dealt = dealt.withColumn("s", F.expr("pmod(xxhash64(node), cuts)")).join(labelled, "node")
+    fields = F.struct("key", "node", "label", "n", *PRINTS, "parity")
+    held = dealt.groupBy("large", "g", "cuts", "s").agg(F.collect_list(fields).alias("a"))
+    none = F.lit(None).cast(held.schema["a"].dataType).alias("b")
+    pairs = held.select("a", none)
+    if most > WIDE_TILE:
+        held = written(held.filter("large"), "near-tiles")
+        pairs = dealt.filter("NOT large").groupBy("g").agg(F.collect_list(fields).alias("a")).select("a", none)
+        # Each pair of tiles is a key of its own, so that the tiles of one block don't meet in one task.
+        each = held.select("g", "s", "a", F.explode(F.expr("sequence(s, cuts - 1)")).alias("t"))
+        other = held.select("g", F.col("s").alias("t"), F.col("a").alias("b"))
+        pairs = pairs.unionByName(each.join(other, ["g", "t"]).select("a", F.when(F.col("s") != F.col("t"), F.col("b")).alias("b")))
+    found = written(pairs.mapInArrow(trimmed(lambda batches: met(batches, similarity)), "u long, v long").distinct(), "near-pairs")
+    dropped(left, *([held] if most > WIDE_TILE else []))
+    return found
 
 
 def among(nodes: DataFrame, node: Column) -> Column:
@@ -402,27 +427,32 @@ def similar(pairs: DataFrame, places: DataFrame, docs: DataFrame, words: int, si
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one document of each group of near copies, that with the smallest id, with all columns.
 
-    Texts link if their sets of word shingles have the Jaccard similarity. In a few rounds each text is
-    compared with the nearest one within NEAR bits that it is not connected to yet, so that a group of
-    copies is not expanded into all pairs. After them, all pairs that are still unconnected and within
-    WIDE bits of the four prints are compared, unless their bitmaps prove that they are not similar.
+    Texts link if their sets of word shingles have the Jaccard similarity. Only texts that meet in a block are compared,
+    so that work grows with the texts and the sizes of blocks, not with all pairs. In two rounds each text is compared with
+    the nearest of the centers of its blocks, so that a group of copies is not expanded into all pairs. After them, all
+    pairs of blocks that are still unconnected and within WIDE bits of the four prints are compared, unless their bitmaps
+    prove that they are not similar.
     """
     prints = written(set_prints(docs, words, id_col, text_col), "prints")
-    firsts = [F.first(c).alias(c) for c in ("fp", "second", "third", "fourth", "n", "parity")]
+    firsts = [F.first(c).alias(c) for c in (*PRINTS, "n", "parity", "least")]
     nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), *firsts), "print-nodes")
     places = nodes.select("node", "first_id")
+    rows = blocks(nodes)
     links, label = None, nodes.select("node", F.col("node").alias("root"))
     for k in range(ROUNDS + 1):
-        used = nodes.drop("first_id") if k == ROUNDS else nodes.drop("first_id", "third", "fourth", "parity")
-        labelled = written(used.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "near-labelled")
-        found, tiles = candidates(labelled, k < ROUNDS, similarity)
-        pairs = written(found, "near-pairs")
-        drop_path(docs.sparkSession, tiles)
+        labelled = nodes.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root", "first_id", "least")
+        if k < ROUNDS:
+            used = written(rows.join(labelled.drop("parity"), "node"), "near-labelled")
+            pairs = written(starred(used, k, similarity), "near-pairs")
+            dropped(used)
+        else:
+            pairs = unconnected(rows, labelled, similarity)
         more = similar(pairs, places, docs, words, similarity, id_col, text_col)
-        dropped(pairs, labelled)
+        dropped(pairs)
         tidy(docs.sparkSession)
         links = more if links is None else links.unionByName(more)
         label = written(components(links), "near-labels")
+    dropped(rows)
     roots = label
     member = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     kept = member.groupBy("root").agg(F.min_by(F.struct("node", "first_id"), F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("k")).select("k.*")

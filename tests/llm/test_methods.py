@@ -391,3 +391,65 @@ def test_texts_without_near_copies_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert sorted(got) == [*range(300), 1001]
     assert plan.index("Union") < plan.index("LeftAnti") and "getbit" in plan[plan.index("LeftAnti") :]
+
+
+def test_texts_that_share_nothing_are_not_compared(spark, monkeypatch):
+    """Work grows with texts that have a shingle in common, not with all texts or pairs of them."""
+    sizes, written = {}, simhash.written
+
+    def counted(df, name):
+        table = written(df, name)
+        sizes[name] = max(sizes.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(simhash, "written", counted)
+    draw = random.Random(12)
+    texts = [" ".join(f"w{draw.randrange(10**9)}" for _ in range(60)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *(f"{t} end" for t in texts[:5])])), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.without_near_copies(docs).collect()) == list(range(400))
+    assert sizes["prints"] == 405 and sizes["near-labelled"] <= 200  # ten texts in twenty blocks
+
+
+@pytest.mark.parametrize("spare", [0, 3])
+def test_large_blocks_by_brute_force(spark, monkeypatch, spare):
+    """A passage in very many texts, texts of little else, a large group of copies and a chain of them, with blocks that are cut."""
+    from test_operators import brute_copies
+
+    for name, value in {"HOT": 12, "SPARE": spare, "PIECE": 4, "WIDE_TILE": 16}.items():
+        monkeypatch.setattr(simhash, name, value)
+    draw = random.Random(13)
+    some = lambda n: [f"w{draw.randrange(10**6)}" for _ in range(n)]
+    passage, base, chain = some(40), some(120), some(100)
+    texts = [some(20) + passage + some(20) for _ in range(90)] + [passage + some(draw.randint(0, 9)) for _ in range(60)]
+    for _ in range(70):
+        copy = list(base)
+        copy[draw.randrange(len(copy))] = "x"
+        texts.append(copy + some(draw.randint(0, 3)))
+    for k in range(60):
+        texts.append(list(chain))
+        chain[draw.randrange(len(chain))] = f"x{k}"
+    texts = dict(enumerate([*map(" ".join, texts), "", " \n", "\t", "a b", "A b"]))
+    kept = simhash.without_near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == brute_copies(texts)
+
+
+def test_rows_of_one_key_meet(monkeypatch):
+    monkeypatch.setattr(simhash, "MET", 7)
+    draw = np.random.default_rng(4)
+    for n, m in ((0, 0), (0, 3), (1, 1), (30, 40), (50, 3)):
+        x, y = np.sort(draw.integers(0, 6, n)), np.sort(draw.integers(0, 6, m))
+        for a, b, same in ((x, y, False), (x, x, True)):
+            got = [(int(i), int(j)) for us, vs in simhash.together(a, b, same) for i, j in zip(us, vs, strict=True)]
+            assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j] and (i < j or not same)}
+
+
+def test_similar_texts_differ_in_few_orders():
+    """Sets at Jaccard 0.8 of all sizes: the share of orders with the same smallest shingle is 0.8."""
+    draw = np.random.default_rng(5)
+    for n in (8, 80, 800):
+        alike = []
+        for _ in range(60):
+            each = draw.integers(0, 1 << 64, n + n // 4, np.uint64)
+            alike.append(np.mean(np.array(simhash.smallest(each[:n])) == simhash.smallest(each)))
+        assert abs(np.mean(alike) - 0.8) < 0.06
+    assert simhash.smallest(each[:0]) == simhash.smallest(draw.integers(0, 1 << 64, 0, np.uint64))
