@@ -176,9 +176,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_col: st
 #: A text that has at most SPARE blocks of more than HOT texts is left out of those. So two texts may fail to meet only if their
 #: smallest shingles differ under ORDERS - SPARE orders or more; at Jaccard 0.8 that is so for fewer than 1 of 1,000,000,000 pairs.
 ORDERS, SPARE, HOT = 20, 3, 1024
-#: Rounds in which each text is compared with the nearest of the centers of its blocks, and bits by which the four prints may differ in them.
-ROUNDS, NEAR = 2, 48
-#: Bits by which the first two of the four prints, and all four, may differ in the last round. At Jaccard 0.8 more differ in fewer than 1 of 10,000,000 pairs.
+#: Rounds in turn: each text with the nearest center of its blocks, each with the nearest text of its blocks, all that are left.
+ROUNDS = ["center", "nearest", "nearest", "all"]
+#: Bits by which the four prints of a text and of a center may differ.
+NEAR = 48
+#: Bits by which the first two of the four prints, and all four, may differ in the other rounds. At Jaccard 0.8 more differ in fewer than 1 of 10,000,000 pairs.
 WIDE_TWO, WIDE = 49, 84
 #: Texts of a block that are dealt to one key, texts to a tile, and pairs of its rows that are taken at once.
 PIECE, WIDE_TILE, MET = 512, 4096, 1 << 17
@@ -292,14 +294,17 @@ def together(x: np.ndarray, y: np.ndarray, same: bool) -> Iterator[tuple[np.ndar
         at = stop
 
 
-def met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of nodes that meet in a block under different labels and may be similar, of tiles ``a`` and ``b`` (null: ``a`` itself)."""
+def met(batches: Iterator[pa.RecordBatch], nearest: bool, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v, far) of nodes that meet in a block under different labels and may be similar, of tiles ``a`` and ``b`` (null: ``a`` itself).
+
+    With ``nearest`` only the nearest u of each v of the two tiles.
+    """
     for batch in batches:
         for k in range(len(batch)):
             same = not batch.column("b")[k].is_valid
             a = tile_of(batch.column("a")[k].values)
             b = a if same else tile_of(batch.column("b")[k].values)
-            us, vs = [], []
+            found = np.zeros((0, 3), np.int64)
             for i, j in together(a["key"], b["key"], same):
                 ok = a["label"][i] != b["label"][j]
                 i, j = i[ok], j[ok]
@@ -307,15 +312,20 @@ def met(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.Rec
                 i, j = i[ok], j[ok]
                 ok = distance(a["fp"][i], b["fp"][j]) + distance(a["second"][i], b["second"][j]) <= WIDE_TWO
                 i, j = i[ok], j[ok]
-                for at in range(0, len(i), CHECKED):
-                    p, q = i[at : at + CHECKED], j[at : at + CHECKED]
-                    ok = possible(a, b, p, q, similarity)
-                    us.append(a["node"][p[ok]])
-                    vs.append(b["node"][q[ok]])
-            if us:
-                both = np.sort(np.stack((np.concatenate(us), np.concatenate(vs)), axis=1), axis=1)
-                both = np.unique(both, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+                ok = np.concatenate([np.zeros(0, bool), *(possible(a, b, i[at : at + CHECKED], j[at : at + CHECKED], similarity) for at in range(0, len(i), CHECKED))])
+                if not ok.any():
+                    continue
+                i, j = i[ok], j[ok]
+                u, v = a["node"][i], b["node"][j]
+                far = sum(distance(a[f][i], b[f][j]).astype(np.int64) for f in PRINTS)
+                if nearest:
+                    found = np.concatenate((found, np.stack((u, v, far), axis=1), np.stack((v, u, far), axis=1)))
+                    found = found[np.lexsort((found[:, 0], found[:, 2], found[:, 1]))]
+                    found = found[np.concatenate(([True], found[1:, 1] != found[:-1, 1]))]
+                else:
+                    found = np.unique(np.concatenate((found, np.stack((np.minimum(u, v), np.maximum(u, v), far), axis=1))), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.T], names=["u", "v", "far"])
 
 
 def tile_of(rows: pa.StructArray) -> dict[str, np.ndarray]:
@@ -365,8 +375,9 @@ def starred(rows: DataFrame, k: int, similarity: float) -> DataFrame:
     return near.select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
 
 
-def unconnected(rows: DataFrame, labelled: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (u, v) that meet in a block of ``rows`` (key, node, size) under different labels and that prints and bitmaps leave.
+def unconnected(rows: DataFrame, labelled: DataFrame, nearest: bool, similarity: float) -> DataFrame:
+    """All pairs (u, v) that meet in a block of ``rows`` (key, node, size) under different labels and that prints and bitmaps leave,
+    a written table; with ``nearest`` each text and the nearest one only.
 
     Small blocks share a tile, large ones are cut into tiles of their own, each two of which are compared by a task.
     """
@@ -378,18 +389,23 @@ def unconnected(rows: DataFrame, labelled: DataFrame, similarity: float) -> Data
     cuts = F.when(large, F.expr(f"ceil(size / {WIDE_TILE})")).otherwise(F.lit(1))
     dealt = left.withColumns({"large": large, "cuts": cuts, "g": F.when(large, F.col("key")).otherwise(F.expr(f"pmod(xxhash64(key), {tiles}L)"))})
     dealt = dealt.withColumn("s", F.expr("pmod(xxhash64(node), cuts)")).join(labelled, "node")
+    # Tiles of short texts have few bytes, but as many pairs.
+    dealt = dealt.repartition(max(4 * rows.sparkSession.sparkContext.defaultParallelism, tiles // 8), "g", "s")
     fields = F.struct("key", "node", "label", "n", *PRINTS, "parity")
     held = dealt.groupBy("large", "g", "cuts", "s").agg(F.collect_list(fields).alias("a"))
     none = F.lit(None).cast(held.schema["a"].dataType).alias("b")
     pairs = held.select("a", none)
     if most > WIDE_TILE:
         held = written(held.filter("large"), "near-tiles")
-        pairs = dealt.filter("NOT large").groupBy("g").agg(F.collect_list(fields).alias("a")).select("a", none)
+        pairs = dealt.filter("NOT large").groupBy("g", "s").agg(F.collect_list(fields).alias("a")).select("a", none)
         # Each pair of tiles is a key of its own, so that the tiles of one block don't meet in one task.
         each = held.select("g", "s", "a", F.explode(F.expr("sequence(s, cuts - 1)")).alias("t"))
         other = held.select("g", F.col("s").alias("t"), F.col("a").alias("b"))
         pairs = pairs.unionByName(each.join(other, ["g", "t"]).select("a", F.when(F.col("s") != F.col("t"), F.col("b")).alias("b")))
-    found = written(pairs.mapInArrow(trimmed(lambda batches: met(batches, similarity)), "u long, v long").distinct(), "near-pairs")
+    found = pairs.mapInArrow(trimmed(lambda batches: met(batches, nearest, similarity)), "u long, v long, far long")
+    if nearest:
+        found = found.groupBy("v").agg(F.min_by("u", F.struct("far", "u")).alias("u"))
+    found = written(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-pairs")
     dropped(left, *([held] if most > WIDE_TILE else []))
     return found
 
@@ -428,27 +444,33 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     """The rows of ``docs`` with one document of each group of near copies, that with the smallest id, with all columns.
 
     Texts link if their sets of word shingles have the Jaccard similarity. Only texts that meet in a block are compared,
-    so that work grows with the texts and the sizes of blocks, not with all pairs. In two rounds each text is compared with
-    the nearest of the centers of its blocks, so that a group of copies is not expanded into all pairs. After them, all
-    pairs of blocks that are still unconnected and within WIDE bits of the four prints are compared, unless their bitmaps
-    prove that they are not similar.
+    so that work grows with the texts and the sizes of blocks, not with all pairs. At first each text is compared with the
+    nearest of the centers of its blocks, then in a few rounds with the nearest text that it isn't connected to yet, so that
+    a group of copies is not expanded into all pairs. After them, all pairs of blocks that are still unconnected and within
+    WIDE bits of the four prints are compared, unless their bitmaps prove that they are not similar.
     """
     prints = written(set_prints(docs, words, id_col, text_col), "prints")
     firsts = [F.first(c).alias(c) for c in (*PRINTS, "n", "parity", "least")]
     nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), *firsts), "print-nodes")
     places = nodes.select("node", "first_id")
     rows = blocks(nodes)
-    links, label = None, nodes.select("node", F.col("node").alias("root"))
-    for k in range(ROUNDS + 1):
+    links, label, stuck = None, nodes.select("node", F.col("node").alias("root")), False
+    for k, step in enumerate(ROUNDS):
+        if step == "nearest" and stuck:
+            continue
         labelled = nodes.join(label, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root", "first_id", "least")
-        if k < ROUNDS:
+        if step == "center":
             used = written(rows.join(labelled.drop("parity"), "node"), "near-labelled")
             pairs = written(starred(used, k, similarity), "near-pairs")
             dropped(used)
         else:
-            pairs = unconnected(rows, labelled, similarity)
+            pairs = unconnected(rows, labelled, step == "nearest", similarity)
+            if pairs.isEmpty():  # then nothing is left for later rounds
+                dropped(pairs)
+                break
         more = similar(pairs, places, docs, words, similarity, id_col, text_col)
         dropped(pairs)
+        stuck = step == "nearest" and more.isEmpty()
         tidy(docs.sparkSession)
         links = more if links is None else links.unionByName(more)
         label = written(components(links), "near-labels")
